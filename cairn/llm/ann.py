@@ -45,30 +45,42 @@ def train_lists(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 5)
     return centres
 
 
-def adaptive_scan(query: np.ndarray, rows: np.ndarray, k: int, step: int, epsilon: float, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, squared distances) of the k nearest ``rows`` that the tests let through, nearest first.
+def adaptive_scan(queries: np.ndarray, limits: np.ndarray, rows: np.ndarray, k: int, step: int, epsilon: float, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query positions, row positions, squared distances): for each query the k nearest rows that the tests let through.
 
-    Rows come in batches. The first is measured in full and sets the threshold, the k-th distance so far. Of later
-    ones, ``step`` dimensions are added at a time; with d of D dimensions seen, a row is abandoned when its partial
-    distance is over threshold * d / D * (1 + epsilon / sqrt(d))^2: the hypothesis that its distance is within the
-    threshold is rejected. What survives all dimensions has its exact distance and may lower the threshold.
+    ``limits`` holds the squared distance that each query already has k rows within (infinite: none yet). Dimensions
+    come in blocks of ``step`` columns. With d of D seen, a row is abandoned for a query when its partial distance is
+    over limit * d / D * (1 + epsilon / sqrt(d))^2: the hypothesis that its distance is within the limit is rejected.
+    What survives all blocks has its exact distance. At most ``most`` partial distances are held at a time.
     """
-    dim, best, at = rows.shape[1], np.empty(0), np.empty(0, np.int64)
-    for start in range(0, len(rows), batch):
-        part = rows[start : start + batch]
-        limit = best[k - 1] if len(best) >= k else math.inf
-        alive, partial, seen = np.arange(len(part)), np.zeros(len(part)), 0
-        while seen < dim and len(alive):
+    dim = rows.shape[1]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for start in range(0, len(queries), max(1, most // max(1, len(rows)))):
+        part = slice(start, start + max(1, most // max(1, len(rows))))
+        q, limit = queries[part], limits[part]
+        head = slice(0, step)
+        first = (q[:, head] ** 2).sum(1)[:, None] + (rows[:, head] ** 2).sum(1)[None, :] - 2 * q[:, head] @ rows[:, head].T
+        seen = min(step, dim)
+        at_q, at_r = np.nonzero(first <= _bound(limit, seen, dim, epsilon)[:, None])
+        partial = first[at_q, at_r]
+        while seen < dim and len(at_q):
             cut = slice(seen, seen + step)
-            partial = partial + ((part[alive, cut] - query[cut]) ** 2).sum(axis=1)
+            partial = partial + ((q[at_q, cut] - rows[at_r, cut]) ** 2).sum(axis=1)
             seen = min(dim, seen + step)
-            bound = limit if seen == dim else limit * seen / dim * (1 + epsilon / math.sqrt(seen)) ** 2
-            keep = partial <= bound
-            alive, partial = alive[keep], partial[keep]
-        best, at = np.concatenate([best, partial]), np.concatenate([at, start + alive])
-        first = np.argsort(best, kind="stable")[:k]
-        best, at = best[first], at[first]
-    return at, best
+            keep = partial <= _bound(limit, seen, dim, epsilon)[at_q]
+            at_q, at_r, partial = at_q[keep], at_r[keep], partial[keep]
+        order = np.lexsort((at_r, partial, at_q))
+        at_q, at_r, partial = at_q[order], at_r[order], partial[order]
+        starts = np.searchsorted(at_q, at_q, side="left")
+        keep = np.arange(len(at_q)) - starts < k
+        found.append((start + at_q[keep], at_r[keep], partial[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def _bound(limit: np.ndarray, seen: int, dim: int, epsilon: float) -> np.ndarray:
+    if seen == dim:
+        return limit * (1 + 1e-9)
+    return limit * seen / dim * (1 + epsilon / math.sqrt(seen)) ** 2
 
 
 def nearest(
@@ -79,11 +91,12 @@ def nearest(
     vector_col: str = "embedding",
     sample_rows: int = 16_384,
     max_lists: int = 2048,
-    probe_share: float = 0.12,
-    least_probes: int = 12,
+    probe_share: float = 0.6,
+    least_probes: int = 16,
+    first_share: float = 0.05,
     step: int = 16,
     epsilon: float = 2.1,
-    block_rows: int = 128,
+    block_rows: int = 256,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest vectors found for every row of ``vectors`` that ``queries`` marks.
 
@@ -96,8 +109,10 @@ def nearest(
     so a group of copies of any size costs as much as one. Entries are rotated, scaled to unit length and dealt to
     inverted lists; list centres come from at most ``sample_rows`` entries in the order of a hash, there are about the
     square root of the number of entries of them, ``max_lists`` at most, and they alone are broadcast. Distinct query
-    vectors go to the ``probe_share`` nearest lists (``least_probes`` at least). Lists are cut in blocks of about
-    ``block_rows`` entries, each scanned by ``adaptive_scan``. The best k+1 entries of each query are expanded to ids.
+    vectors go to the ``probe_share`` nearest lists (``least_probes`` at least); vectors without structure need so many
+    for a recall over 0.9, clustered ones far fewer. Lists are cut in blocks of about ``block_rows`` entries, each
+    scanned by ``adaptive_scan``: the nearest ``first_share`` of the probed lists first, whose k+1-th distance is the
+    limit that candidates in all others are tested against. The best k+1 entries of a query are expanded to ids.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "ann")
@@ -129,33 +144,39 @@ def nearest(
             turn, centres = sent.value
             for b in batches:
                 x = _unit(np.array(b["v"].tolist())) @ turn
-                near = np.argpartition(-(x @ centres.T), take - 1, axis=1)[:, :take]
-                yield pd.DataFrame({"entry": np.repeat(b["entry"].to_numpy(), take), "list": near.ravel().astype(np.int32), "x": [r for r in x for _ in range(take)]})
+                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :take]
+                yield pd.DataFrame({"entry": np.repeat(b["entry"].to_numpy(), take), "list": near.ravel().astype(np.int32), "nth": np.tile(np.arange(take, dtype=np.int32), len(b)), "x": [r for r in x for _ in range(take)]})
 
         return run
 
-    dealt = "entry long, list int, x array<double>"
+    dealt = "entry long, list int, nth int, x array<double>"
     indexed = work.save(entries.select("entry", "v").mapInPandas(deal(1), dealt), "lists")
     sizes = indexed.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / block_rows).cast("int").alias("n_blocks"))
     sizes = work.save(sizes, "sizes")  # a row per list: max_lists at most
-    asked = asking.select("entry").distinct().join(entries, "entry").select("entry", "v").mapInPandas(deal(probes), dealt)
-    asked = asked.join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     cut = sizes.toDF("of_list", "n_parts")
     blocks = indexed.join(F.broadcast(cut), F.col("list") == F.col("of_list"))
     blocks = blocks.select("entry", "list", "x", F.pmod(F.xxhash64("entry"), F.col("n_parts")).cast("int").alias("block"))
 
     def scan(key, q, x):
-        q, x = (t.sort_values("entry") for t in (q, x))
-        out: list[tuple[int, int, float]] = []
+        at_q, at_r, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if len(q) and len(x):
-            table, ids = np.array(x["x"].tolist()), x["entry"].to_numpy()
-            for entry, vector in zip(q["entry"], q["x"], strict=True):
-                at, d = adaptive_scan(np.asarray(vector), table, k + 1, step, epsilon)
-                out += [(entry, int(ids[i]), float(y)) for i, y in zip(at, d, strict=True)]
-        return pd.DataFrame(out, columns=["asked", "entry", "d"]).astype({"asked": "int64", "entry": "int64", "d": "float64"})
+            x = x.sort_values("entry", ignore_index=True)
+            at_q, at_r, d = adaptive_scan(np.array(q["x"].tolist()), q["d"].to_numpy(), np.array(x["x"].tolist()), k + 1, step, epsilon)
+        return pd.DataFrame({"asked": q["entry"].to_numpy()[at_q], "entry": x["entry"].to_numpy()[at_r], "d": d}).astype({"asked": "int64", "entry": "int64", "d": "float64"})
 
-    found = asked.groupBy("list", "block").cogroup(blocks.groupBy("list", "block")).applyInPandas(scan, "asked long, entry long, d double")
+    def probe(which: DataFrame, limits: Column) -> DataFrame:
+        to = which.withColumn("d", limits).join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        return to.groupBy("list", "block").cogroup(blocks.groupBy("list", "block")).applyInPandas(scan, "asked long, entry long, d double")
+
+    first = max(1, math.ceil(first_share * probes))
+    asked = asking.select("entry").distinct().join(entries, "entry").select("entry", "v").mapInPandas(deal(probes), dealt)
+    asked = work.save(asked, "asked")
     best = F.row_number().over(Window.partitionBy("asked").orderBy("d", "entry"))
+    near = probe(asked.where(F.col("nth") < first), F.lit(math.inf))
+    near = work.save(near.withColumn("nth", best).where(F.col("nth") <= k + 1), "near")
+    limits = near.where(F.col("nth") == k + 1).select(F.col("asked").alias("of"), F.col("d").alias("limit"))
+    rest = asked.where(F.col("nth") >= first).join(limits, F.col("entry") == F.col("of"), "left")
+    found = near.drop("nth").unionByName(probe(rest, F.coalesce("limit", F.lit(math.inf))))
     found = work.save(found.withColumn("nth", best).where(F.col("nth") <= k + 1).select("asked", "entry"), "found")
 
     # exact cosines of what was found, then the ids that the entries stand for
