@@ -13,6 +13,13 @@ from cairn.llm.common import Workspace, ascii_lower
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A vocabulary of at most so many terms (some 20 MB) is broadcast; a larger one is joined by shuffling.
 BROADCAST_TERMS = 200_000
+#: Candidate documents whose ids may be broadcast (some 12 MB); more are joined by shuffling.
+BROADCAST_DOCS = 500_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint for a written table of at most ``rows`` rows; a larger one is left to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def words(text: Column) -> Column:
@@ -41,8 +48,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, work: Workspace, id_col:
 
     Every text ends with an empty word of term 0, whose position is the number of words.
     """
-    small = vocabulary.limit(broadcast_terms + 1).count() <= broadcast_terms
-    known = F.broadcast(vocabulary) if small else vocabulary
+    known = small(vocabulary, broadcast_terms)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.array_append(words(F.col(text_col)), F.lit("")).alias("w"))
     rows = rows.select("doc_id", F.posexplode("w").alias("pos", "word"))
     rows = rows.select("doc_id", "pos", ascii_lower(F.col("word")).alias("term"))
@@ -60,39 +66,43 @@ def _with_terms(tests: DataFrame, id_col: str, text_col: str, work: Workspace) -
     return terms.join(vocabulary, "term").select("item_id", "n", "pos", "term_id"), vocabulary
 
 
-def phrase_matches(index: PhraseIndex, phrases: DataFrame, salts: int = 64) -> DataFrame:
+def phrase_matches(index: PhraseIndex, phrases: DataFrame, broadcast_terms: int = BROADCAST_TERMS, broadcast_docs: int = BROADCAST_DOCS, salts: int = 64) -> DataFrame:
     """Exact occurrences (phrase_id, doc_id, start) of ``phrases`` (phrase_id, off, term_id).
 
     The list of a phrase's rarest term, moved back by that term's offset, gives the places where the phrase could
     start. They are intersected with the moved list of its second rarest term, and what is left with those of all
-    its other terms at once. Every join is on (doc_id, term_id, pos), so a frequent term is spread over its documents.
+    its other terms at once. These joins are on (doc_id, term_id, pos), so a frequent term is spread over its
+    documents. Phrases, and ids of the documents still in question, are broadcast up to the two bounds; beyond them
+    the first join deals each term over ``salts`` tasks and the last one shuffles by document.
     """
     posts, work = index.postings, index.work
     df = work.save(posts.groupBy("term_id").agg(F.count("*").alias("df")), "frequencies")
-    order = Window.partitionBy("phrase_id").orderBy("df", "off")
+    phrase = Window.partitionBy("phrase_id")
     ranked = phrases.join(df, "term_id", "left").na.fill(0, ["df"])
-    ranked = ranked.select("phrase_id", "off", "term_id", "df", F.row_number().over(order).alias("nth"), F.min("df").over(Window.partitionBy("phrase_id")).alias("least"), F.count("*").over(Window.partitionBy("phrase_id")).alias("size"))
+    ranked = ranked.select("phrase_id", "off", "term_id", F.row_number().over(phrase.orderBy("df", "off")).alias("nth"), F.min("df").over(phrase).alias("least"), F.count("*").over(phrase).alias("size"))
     ranked = work.save(ranked.where("least > 0").drop("least"), "ranked")  # a term that never occurs: no match
-    first = ranked.where("nth = 1").select("term_id", "off", "phrase_id", "size")
-    near = work.save(posts.join(first.select("term_id").distinct(), "term_id", "left_semi"), "rarest")
-    salt = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(salts)).cast("int")
-    dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    starts = near.withColumn("salt", salt).join(dealt, ["term_id", "salt"])
-    starts = starts.select("phrase_id", "size", "doc_id", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    part = lambda name, cond: work.save(ranked.where(cond), name)
+    first, second, rest = part("first", "nth = 1"), part("second", "nth = 2").drop("nth", "size"), part("rest", "nth > 2").drop("nth", "size")
+
+    if first.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        met = posts.join(F.broadcast(first), "term_id")
+    else:
+        salt = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(salts)).cast("int")
+        dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = posts.withColumn("salt", salt).join(dealt, ["term_id", "salt"])
+    starts = met.select("phrase_id", "size", "doc_id", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
     starts = work.save(starts, "starts-1")
 
-    second = ranked.where("nth = 2").select("phrase_id", "off", "term_id")
-    of_second = posts.join(second.select("term_id").distinct(), "term_id", "left_semi").distinct()
-    wanted = starts.where("size > 1").join(second, "phrase_id").withColumn("pos", F.col("start") + F.col("off"))
-    left = wanted.join(of_second, ["doc_id", "term_id", "pos"], "left_semi").select("phrase_id", "size", "doc_id", "start")
-    left = work.save(left.unionByName(starts.where("size = 1")), "starts-2")
+    terms = small(work.save(second.select("term_id").distinct(), "second-terms"), broadcast_terms)
+    wanted = starts.where("size > 1").join(small(second, broadcast_terms), "phrase_id").withColumn("pos", F.col("start") + F.col("off"))
+    left = wanted.join(posts.join(terms, "term_id", "left_semi"), ["doc_id", "term_id", "pos"], "left_semi").select("phrase_id", "size", "doc_id", "start")
+    left = work.save(left.unionByName(starts.where("size = 1")).distinct(), "starts-2")
 
-    rest = ranked.where("nth > 2").select("phrase_id", "off", "term_id")
-    wanted = left.where("size > 2").join(rest, "phrase_id").withColumn("pos", F.col("start") + F.col("off"))
-    of_left = posts.join(left.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
-    met = wanted.join(of_left, ["doc_id", "term_id", "pos"], "left_semi")
+    docs = small(work.save(left.where("size > 2").select("doc_id").distinct(), "left-docs"), broadcast_docs)
+    wanted = left.where("size > 2").join(small(rest, broadcast_terms), "phrase_id").withColumn("pos", F.col("start") + F.col("off"))
+    met = wanted.join(posts.join(docs, "doc_id", "left_semi"), ["doc_id", "term_id", "pos"], "left_semi")
     met = met.groupBy("phrase_id", "doc_id", "start", "size").agg(F.count("*").alias("n")).where("n = size - 2")
-    return met.select("phrase_id", "doc_id", "start").unionByName(left.where("size <= 2").select("phrase_id", "doc_id", "start").distinct())
+    return met.select("phrase_id", "doc_id", "start").unionByName(left.where("size <= 2").select("phrase_id", "doc_id", "start"))
 
 
 def proximity_matches(index: PhraseIndex, pairs: DataFrame, within: int) -> DataFrame:
@@ -125,13 +135,14 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: s
     span = F.least(F.col("n"), F.lit(window))
     spread = terms.withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - span + 1), F.least(F.col("pos"), F.col("n") - span))))
     listed = spread.groupBy("item_id", "start").agg(F.sort_array(F.collect_list(F.struct("pos", "term_id"))).getField("term_id").alias("terms"))
-    listed = work.save(listed.select("item_id", "terms", F.concat_ws(" ", F.col("terms").cast("array<string>")).alias("phrase_id")), "windows")
-    phrases = listed.select("phrase_id", "terms").dropDuplicates(["phrase_id"]).select("phrase_id", F.posexplode("terms").alias("off", "term_id"))
-    hits = work.save(phrase_matches(index, phrases), "hits")
-    size = F.size(F.split("phrase_id", " "))
-    covered = hits.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + size - 1)).alias("pos")).distinct()
+    listed = work.save(listed.select("item_id", "terms"), "windows")
+    phrases = work.save(listed.select("terms").distinct().withColumn("phrase_id", F.monotonically_increasing_id()), "phrases")
+    hits = work.save(phrase_matches(index, phrases.select("phrase_id", F.posexplode("terms").alias("off", "term_id")), broadcast_terms), "hits")
+    sizes = small(phrases.select("phrase_id", F.size("terms").alias("size")), broadcast_terms)
+    covered = hits.join(sizes, "phrase_id").select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
     covered = covered.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    items = hits.select("doc_id", "phrase_id").distinct().join(listed.select("phrase_id", F.col("item_id").cast("string").alias("item")), "phrase_id").select("doc_id", "item").distinct()
+    of = work.save(listed.join(phrases, "terms").select("phrase_id", F.col("item_id").cast("string").alias("item")).distinct(), "items")
+    items = hits.select("doc_id", "phrase_id").distinct().join(small(of, broadcast_terms), "phrase_id").select("doc_id", "item").distinct()
     items = items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item"))).alias("ids"))
     found = covered.join(items, "doc_id")
     out = index.lengths.join(found, "doc_id", "left")
