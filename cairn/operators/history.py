@@ -41,7 +41,7 @@ def author_counts(touches: DataFrame) -> DataFrame:
 def bus_factor(touches: DataFrame) -> DataFrame:
     """(file, bus_risk_score, top_owner): the top author's share of commits; ties to the later, then the smaller name."""
     counts = author_counts(touches)
-    top = F.min(F.struct((-F.col("n")).alias("n"), (-F.unix_micros("last")).alias("last"), "author")).alias("top")
+    top = F.min(F.struct((-F.col("n")).alias("n"), (-F.unix_micros(F.col("last").cast("timestamp"))).alias("last"), "author")).alias("top")
     out = counts.groupBy("file").agg(F.sum("n").alias("total"), top)
     return out.select("file", ratio2(-F.col("top.n"), F.col("total")).alias("bus_risk_score"), F.col("top.author").alias("top_owner"))
 
