@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import exists
+from cairn.llm.common import Workspace, exists
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 #: Words whose counts a worker remembers (about 60 MB); beyond it words are encoded each time they come.
@@ -91,5 +91,7 @@ def count_tokens(
         misses = misses.join(known, "digest", "left_anti")
     misses.dropDuplicates(["digest"]).mapInPandas(encode, CACHE).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).dropDuplicates(["digest"])
-    out = rows.drop("content").join(counts.select("digest", "n_tokens"), "digest", "left")
+    # written, so that a join on a digest that very many rows carry can be split
+    counts = Workspace(spark, "token-counts").save(counts.select("digest", "n_tokens"), "counts")
+    out = rows.drop("content").join(counts, "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
