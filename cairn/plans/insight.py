@@ -236,9 +236,9 @@ def _(fx):
 
 
 @query("B13_risk_band_filter", """
-WITH b AS (SELECT id FROM fx_nodes WHERE bus_risk*100 >= 75) SELECT src, dst, relation FROM fx_edges WHERE src IN (SELECT id FROM b) AND dst IN (SELECT id FROM b)""")
+WITH b AS (SELECT id FROM fx_nodes WHERE bus_risk*100 < 40) SELECT src, dst, relation FROM fx_edges WHERE src IN (SELECT id FROM b) AND dst IN (SELECT id FROM b)""")
 def _(fx):
-    band = fx.nodes.where(X.risk_filter_band(F.col("bus_risk") * 100) == "high").select("id")
+    band = fx.nodes.where(X.risk_filter_band(F.col("bus_risk") * 100) == "low").select("id")
     return fx.edges.join(band.withColumnRenamed("id", "src"), "src", "left_semi").join(band.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
