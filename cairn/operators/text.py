@@ -61,7 +61,7 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     s = s.withColumn("c", above)
     scope = F.when((F.col("type") == "function") & (F.col("c.indent") < F.col("indent")), F.concat("path", F.lit("::"), "c.name")).otherwise(F.col("path"))
     # the next symbol at the same or a lower indent: the least following line among those of each lower indent
-    after = F.collect_list(F.struct("line_no", "indent")).over(w.rowsBetween(1, 400))
+    after = F.collect_list(F.struct("line_no", "indent")).over(w.rowsBetween(1, Window.unboundedFollowing))
     nxt = F.array_min(F.transform(F.filter(after, lambda x: x["indent"] <= F.col("indent")), lambda x: x["line_no"]))
     s = s.withColumn("scope", scope).withColumn("nxt", nxt).join(last, "path")
     return s.select("path", F.concat("scope", F.lit("::"), "name").alias("id"), "name", "type", "scope", F.col("line_no").alias("start_line"), F.coalesce(F.col("nxt") - 1, "last_line").alias("end_line"), "indent")
@@ -188,15 +188,17 @@ def chunk_all(files: DataFrame) -> DataFrame:
     manifest = chunk_plain(f.where("kind = 'manifest'"), "manifest", 2000, 150)
     marked = chunk_markdown(f.where("kind = 'markdown'")).select("path", F.lit(None).cast("string").alias("symbol_id"), F.lit("doc").alias("chunk_type"), "part", "content")
     source = f.where("kind = 'code'")
-    code = chunk_code(source, extract_symbols(source))
-    done = manifest.unionByName(marked).unionByName(code)
-    rest = f.join(done.select("path").distinct(), "path", "left_anti")
-    return done.unionByName(chunk_plain(rest, "plain"))
+    symbols = extract_symbols(source)
+    code = chunk_code(source, symbols)
+    # code gives no chunk only where it has no symbol and at most twenty characters
+    tiny = source.where(F.length(F.trim("content")) <= 20).join(symbols.select("path").distinct(), "path", "left_anti")
+    rest = f.where("kind = 'plain'").unionByName(tiny)
+    return manifest.unionByName(marked).unionByName(code).unionByName(chunk_plain(rest, "plain"))
 
 
 # dependencies of manifests: (path, node, relation, target)
 def _deps(rows: DataFrame, prefix: str, names: Column) -> DataFrame:
-    return rows.select("path", F.concat(F.lit(f"[{prefix}]:"), F.explode(names)).alias("node"))
+    return rows.select("path", F.explode(F.transform(names, lambda n: F.concat(F.lit(f"[{prefix}]:"), n))).alias("node"))
 
 
 def npm_dependencies(files: DataFrame) -> DataFrame:

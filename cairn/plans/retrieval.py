@@ -12,12 +12,12 @@ FORMS = [
     "where is %s defined", "what breaks if we change %s", "who is %s?", "call chain of %s", "how does the %s layer work",
     "what does this project about %s", "%s", "find user_%s_id and 'auth token'",
 ]
-QUESTIONS = "SELECT item_id AS query_id, replace(CASE item_id % 8 " + " ".join(f"WHEN {i} THEN '{f.replace(chr(39), chr(39) * 2)}'" for i, f in enumerate(FORMS)) + " END, '%s', split_part(text, ' ', 2)) AS text FROM benchmark"
+QUESTIONS = "SELECT item_id AS query_id, replace(CASE item_id % 8 " + " ".join(f"WHEN {i} THEN '{f.replace(chr(39), chr(39) * 2)}'" for i, f in enumerate(FORMS)) + " END, '%s', regexp_replace(split_part(text, ' ', 2), '[^a-zA-Z]', '', 'g')) AS text FROM benchmark"
 
 
 def questions(fx):
     form = F.coalesce(*[F.when(F.col("item_id") % 8 == i, F.lit(f)) for i, f in enumerate(FORMS)])
-    return fx.benchmark.select(F.col("item_id").alias("query_id"), F.replace(form, F.lit("%s"), F.split("text", " ")[1]).alias("text"))
+    return fx.benchmark.select(F.col("item_id").alias("query_id"), F.replace(form, F.lit("%s"), F.regexp_replace(F.split("text", " ")[1], "[^a-zA-Z]", "")).alias("text"))
 
 
 PERSON_SQL = "coalesce(" + ", ".join(f"CASE WHEN length(trim(regexp_extract(lower(text), '{p}', 1))) > 2 AND NOT starts_with(trim(regexp_extract(lower(text), '{p}', 1)), 'the ') THEN trim(regexp_extract(lower(text), '{p}', 1)) END" for p in R.PERSON) + ")"

@@ -97,7 +97,7 @@ NODES = {
     "go.mod": ["'[go]:g.io/x' || k", "'[go]:g.io/y'"], "Dockerfile": ["'[docker]:img:' || k"], "compose.yml": ["'[service]:web'", "'[docker]:nginx:' || k"],
     "schema.prisma": ["'[prisma]:User'", "'[prisma]:Post'"], "main.tf": ["'[tf]:aws_s3.b' || k"], "k8s.yaml": ["'[k8s]:default/Service/s' || k", "'[k8s]:n/Pod/p'", "'[docker]:i:' || k"],
 }
-MAN = " UNION ALL ".join(f"SELECT 'c' || k || '/{n}' AS path, {body} AS content FROM (SELECT CAST(s_suppkey AS STRING) AS k FROM {{supplier}})" for n, body in MANIFESTS.items())
+MAN = " UNION ALL ".join(f"SELECT 'c' || k || '/{n}' AS path, {body.replace('{', '{{').replace('}', '}}')} AS content FROM (SELECT CAST(s_suppkey AS STRING) AS k FROM {{supplier}})" for n, body in MANIFESTS.items())
 
 
 def manifests(fx):

@@ -56,8 +56,14 @@ EXTENSIONS = (
 
 
 def read_source_files(spark: SparkSession, path: str, extensions=EXTENSIONS, names=SPECIAL_NAMES, ignored=IGNORED_DIRS) -> DataFrame:
-    """(path, content): text files below ``path`` by extension or name, outside ignored and hidden folders."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    """(path, content): text files below ``path`` by extension or name, outside ignored and hidden folders.
+
+    Spark skips hidden folders; of these, ``KEPT_HIDDEN_DIRS`` at the top are read, too.
+    """
+    top = [f"{path.rstrip('/')}/{d}" for d in KEPT_HIDDEN_DIRS]
+    at = [spark._jvm.org.apache.hadoop.fs.Path(d) for d in top]
+    kept = [d for d, p in zip(top, at, strict=True) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([path, *kept])
     at = F.replace(F.regexp_replace("path", r"^\w+:/*", "/"), F.lit("\\"), F.lit("/"))
     root = path.split(":", 1)[-1].rstrip("/")
     root = "/" + root.lstrip("/")
