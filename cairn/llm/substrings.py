@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import Workspace
@@ -36,21 +38,8 @@ def sentences(text: str | None, max_words: int = 16) -> list[tuple[int, int]]:
     return out
 
 
-def _sentence_list(text_col: str, max_words: int) -> Column:
-    @F.pandas_udf("array<struct<text:string,words:int>>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                parts = [t[a:b] for a, b in sentences(t, max_words)] if t else []
-                out.append([{"text": " ".join(p.split()), "words": len(p.split())} for p in parts])
-            yield pd.Series(out)
-
-    return split(F.col(text_col))
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, min_words: int = 20, max_words: int = 16) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text without repeats, n_sentences, n_removed.
+    """One row per row of ``docs``: doc_id, text without repeats, n_removed (sentences).
 
     Every run of ``run`` consecutive sentences with at least ``min_words`` words is a span; white space is squeezed
     before its text is hashed to two 64-bit numbers. The first occurrence of a span is the one of the smallest
@@ -63,41 +52,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     work = Workspace(docs.sparkSession, "substrings")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    @F.pandas_udf("array<struct<pos:int,h1:long,h2:long>>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import xxhash
-
+    @F.pandas_udf("pos array<int>, h1 array<long>, h2 array<long>")
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out = []
+            out: list[tuple] = []
             for t in texts:
                 parts = [t[a:b].split() for a, b in sentences(t, max_words)] if t else []
-                found = []
+                pos, digests = [], []
                 for i in range(len(parts) - run + 1):
                     words = [w for p in parts[i : i + run] for w in p]
                     if len(words) >= min_words:
-                        h = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-                        found.append({"pos": i, "h1": (h >> 64) - (1 << 63), "h2": (h & (1 << 64) - 1) - (1 << 63)})
-                out.append(found)
-            yield pd.Series(out)
+                        pos.append(i)
+                        digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+                two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                out.append((np.array(pos, np.int32), two[:, 0], two[:, 1]))
+            yield pd.DataFrame(out, columns=["pos", "h1", "h2"])
 
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("key"))
-    listed = work.save(rows.select("id", "key", spans("text").alias("s")).where(F.size("s") > 0), "spans")
-    flat = listed.select("id", "key", F.explode("s").alias("s")).select("id", "key", "s.pos", "s.h1", "s.h2")
+    listed = work.save(rows.select("id", "key", spans("text").alias("s")).select("id", "key", "s.*").where(F.size("pos") > 0), "spans")
+    flat = listed.select("id", "key", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("s")).select("id", "key", "s.*")
     first = flat.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"))
     first = work.save(first.where("n > 1").select("h1", "h2", "first"), "firsts")
     again = flat.join(first, ["h1", "h2"]).where("struct(id, pos) <> first")
     again = work.save(again.groupBy("id", "key").agg(F.collect_set("pos").alias("at")), "repeats")
 
-    @F.pandas_udf("text string, n_sentences int, n_removed int")
+    @F.pandas_udf("text string, n_removed int")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spots in batches:
             out = []
             for t, at in zip(texts, spots, strict=True):
-                parts = sentences(t, max_words)
                 gone = {j for i in (at if at is not None else ()) for j in range(i, i + run)}
-                kept = "".join(t[a:b] for i, (a, b) in enumerate(parts) if i not in gone).rstrip() if gone else t
-                out.append((kept, len(parts), len(gone)))
-            yield pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
+                if gone:
+                    t = "".join(t[a:b] for i, (a, b) in enumerate(sentences(t, max_words)) if i not in gone).rstrip()
+                out.append((t, len(gone)))
+            yield pd.DataFrame(out, columns=["text", "n_removed"])
 
     joined = rows.join(again, ["id", "key"], "left").withColumn("cut", cut("text", "at"))
-    return joined.select("doc_id", "cut.text", "cut.n_sentences", "cut.n_removed")
+    return joined.select("doc_id", "cut.text", "cut.n_removed")
