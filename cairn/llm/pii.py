@@ -100,7 +100,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, work: Workspace) -> DataF
     return work.save(rows.select("doc_id", "key", "found.base", "found.mentions"), "scanned")
 
 
-def bootstrap(scanned: DataFrame, work: Workspace, rounds: int = 3, confident: float = 0.9, least_seeds: int = 3) -> DataFrame:
+def bootstrap(scanned: DataFrame, work: Workspace, rounds: int = 3, confident: float = 0.75, least_seeds: int = 3) -> DataFrame:
     """(kind, pattern) pairs of high confidence, scored on the graph of patterns and instances.
 
     Instances are distinct lower-cased values. A seed's score is 1 for its kind and 0 for others. In each round a
@@ -132,7 +132,7 @@ def bootstrap(scanned: DataFrame, work: Workspace, rounds: int = 3, confident: f
     return scored.where(F.col("confidence") >= confident).select("kind", "pattern", "confidence")
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, confident: float = 0.9, least_seeds: int = 3) -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, confident: float = 0.75, least_seeds: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, key (xxhash64 of the text), base and added spans (kind, start, stop).
 
     Added spans are candidates of fitting form next to a high-confidence pattern; they overlap no base span. Offsets
