@@ -140,8 +140,18 @@ LABELLED = [
     (120, 0.10, 80, 0.00, 9, 0.00, 0, 1.0, 0, 1), (5, 1.00, 44, 0.00, 50, 0.05, 0, 1.0, 0, 1), (30, 0.40, 25, 0.10, 61, 0.00, 0, 1.0, 0, 1),
     (4, 0.00, 4, 0.00, 4, 0.00, 0, 1.0, 0, 1), (1, 1.00, 12, 0.00, 14, 0.00, 0, 1.0, 0, 1), (15, 0.00, 2, 0.00, 0, 0.00, 0, 1.0, 0, 1),
     (300, 0.01, 7, 0.00, 5, 0.80, 0, 1.0, 0, 1), (9, 0.00, 70, 0.00, 1, 1.00, 0, 1.0, 0, 1), (7, 0.00, 6, 0.00, 33, 0.00, 0, 1.0, 1, 1),
+    (2, 0.00, 1, 0.00, 1, 0.00, 0, 1.0, 0, 1), (1, 0.00, 2, 0.00, 2, 0.00, 0, 1.0, 0, 1), (3, 0.00, 0, 0.00, 2, 0.00, 0, 1.0, 0, 1),
+    (1, 0.00, 0, 0.00, 1, 0.00, 0, 1.0, 1, 1), (2, 0.00, 3, 0.00, 0, 0.00, 0, 1.0, 0, 1), (4, 0.00, 2, 0.00, 1, 0.00, 0, 1.0, 0, 1),
+    (1, 1.00, 1, 0.00, 2, 0.00, 0, 1.0, 0, 1), (2, 1.00, 2, 1.00, 2, 1.00, 0, 1.0, 0, 1), (5, 0.60, 1, 1.00, 1, 1.00, 0, 1.0, 0, 1),
+    (2, 0.00, 2, 1.00, 1, 1.00, 0, 1.0, 1, 1), (3, 1.00, 4, 0.00, 0, 0.00, 0, 1.0, 0, 1), (1, 0.00, 1, 0.00, 0, 0.00, 0, 1.0, 0, 1),
+    (6, 0.90, 9, 0.80, 7, 1.00, 0, 1.0, 0, 1), (25, 0.80, 2, 0.00, 1, 0.00, 0, 1.0, 0, 1), (4, 0.75, 30, 0.00, 2, 0.00, 0, 1.0, 0, 1),
     (45, 0.00, 38, 0.00, 62, 0.00, 0, 0.5, 0, 1), (28, 0.05, 44, 0.00, 30, 0.10, 0, 0.5, 0, 1), (70, 0.00, 6, 0.00, 80, 0.00, 0, 0.5, 0, 1),
     (6, 0.00, 3, 1.00, 48, 0.00, 0, 0.5, 1, 1), (7, 0.00, 50, 0.00, 52, 0.00, 0, 0.5, 1, 1), (12, 0.00, 40, 0.00, 36, 0.00, 0, 0.5, 0, 1),
+    (40, 0.00, 0, 0.00, 3, 0.00, 0, 0.5, 0, 1), (25, 0.00, 2, 1.00, 2, 1.00, 0, 0.5, 0, 1), (60, 0.05, 1, 0.00, 1, 1.00, 0, 0.5, 0, 1),
+    (17, 0.00, 2, 0.00, 1, 0.00, 0, 0.5, 0, 1), (100, 0.00, 3, 1.00, 0, 0.00, 0, 0.5, 0, 1), (18, 0.10, 1, 0.00, 2, 0.00, 0, 0.5, 0, 1),
+    (35, 0.20, 2, 0.50, 4, 1.00, 0, 0.5, 0, 1), (22, 0.00, 4, 1.00, 3, 0.00, 0, 0.5, 0, 1), (50, 0.15, 0, 0.00, 12, 0.30, 0, 0.5, 0, 1),
+    (1, 0.00, 30, 0.00, 28, 0.00, 0, 0.5, 0, 1), (2, 0.00, 19, 0.00, 45, 0.10, 0, 0.5, 0, 1), (4, 0.00, 70, 0.00, 22, 0.00, 0, 0.5, 0, 1),
+    (9, 0.00, 24, 0.00, 17, 0.00, 0, 0.5, 0, 1), (2, 0.00, 4, 1.00, 20, 0.00, 0, 0.5, 1, 1), (3, 0.00, 0, 0.00, 33, 0.00, 0, 0.5, 1, 1),
     (16, 0.00, 22, 0.00, 18, 0.00, 0, 0.5, 0, 1), (90, 0.12, 4, 1.00, 75, 0.00, 0, 0.5, 0, 1), (33, 0.00, 0, 0.00, 0, 0.00, 0, 0.5, 0, 1),
     (1, 1.00, 0, 0.00, 1, 1.00, 1, 0.0, 0, 0), (2, 1.00, 1, 1.00, 3, 1.00, 1, 0.0, 0, 0), (7, 0.00, 1, 1.00, 12, 0.00, 1, 0.0, 0, 0),
     (30, 0.00, 2, 1.00, 9, 0.00, 1, 0.0, 0, 0), (60, 0.02, 55, 0.00, 41, 0.00, 1, 0.0, 0, 0), (12, 0.10, 66, 0.00, 0, 0.00, 1, 0.0, 0, 0),
@@ -150,7 +160,11 @@ LABELLED = [
     (40, 0.00, 30, 0.00, 35, 0.00, 1, 0.5, 0, 0), (2, 1.00, 2, 1.00, 2, 1.00, 1, 0.5, 0, 0), (6, 0.00, 1, 1.00, 50, 0.00, 1, 0.5, 1, 0),
     (1, 1.00, 1, 1.00, 1, 1.00, 0, 0.5, 0, 0), (3, 1.00, 2, 1.00, 4, 1.00, 0, 0.5, 0, 0), (2, 0.00, 2, 1.00, 1, 1.00, 0, 0.5, 0, 0),
     (4, 0.00, 1, 1.00, 2, 0.00, 0, 0.5, 0, 0), (11, 0.80, 3, 1.00, 5, 1.00, 0, 0.5, 0, 0), (22, 0.90, 18, 0.90, 20, 0.80, 0, 0.5, 0, 0),
+    (2, 1.00, 0, 0.00, 20, 0.00, 0, 0.5, 0, 0), (2, 1.00, 30, 0.00, 25, 0.00, 0, 0.5, 0, 0), (30, 0.95, 20, 0.00, 25, 0.00, 0, 0.5, 0, 0),
+    (20, 0.60, 2, 0.00, 30, 0.00, 0, 0.5, 0, 0), (3, 0.00, 2, 0.00, 2, 0.00, 0, 0.5, 0, 0), (2, 0.00, 0, 0.00, 1, 0.00, 0, 0.5, 0, 0),
     (5, 0.20, 40, 0.00, 0, 0.00, 0, 0.5, 0, 0), (3, 0.00, 60, 0.00, 0, 0.00, 0, 0.5, 0, 0), (14, 0.70, 33, 0.00, 2, 1.00, 0, 0.5, 0, 0),
+    (40, 0.00, 30, 0.00, 50, 0.00, 0, 0.0, 0, 0), (8, 0.00, 60, 0.00, 40, 0.00, 0, 0.0, 0, 0), (3, 0.00, 45, 0.00, 50, 0.00, 0, 0.0, 0, 0),
+    (22, 0.00, 4, 0.00, 5, 0.00, 0, 0.0, 0, 0), (1, 0.00, 3, 0.00, 4, 0.00, 0, 0.0, 0, 0), (60, 0.10, 70, 0.00, 20, 0.00, 0, 0.0, 0, 0),
     (10, 0.00, 1, 1.00, 45, 0.00, 0, 0.0, 0, 0), (45, 0.00, 2, 1.00, 60, 0.00, 0, 0.0, 0, 0), (3, 1.00, 55, 0.00, 4, 1.00, 0, 0.0, 0, 0),
     (18, 0.00, 66, 0.00, 0, 0.00, 0, 0.0, 0, 0), (6, 0.00, 2, 0.00, 8, 0.00, 0, 0.0, 1, 0), (75, 0.00, 80, 0.00, 12, 0.00, 0, 0.0, 0, 0),
 ]
