@@ -19,33 +19,68 @@ SENTENCE = re.compile(r"[^\n]*?[.!?…]+(?=\s)\s*|[^\n]*\n\s*|[^\n]+\Z", re.S)
 WORD = re.compile(r"\S+\s*")
 
 
-def sentences(text: str | None, max_words: int = 16) -> list[tuple[int, int]]:
-    """(start, end) of the sentences of a whole text, which they cover without gaps.
+#: A longer sentence is cut after a word of LONG characters once it has LEAST words, and after MOST words at the latest.
+LEAST, LONG, MOST = 6, 8, 24
 
-    A sentence of more than ``max_words`` words is cut after every ``max_words``, counted from its own start, so that
-    equal passages are cut alike wherever they stand and a passage never hides in one endless sentence.
-    """
+
+def _cut_lengths(words: list[str]) -> list[int]:
+    """Words per piece of one sentence. Cuts follow the content, so they meet again after an inserted word."""
+    out, n = [], 0
+    for w in words:
+        n += 1
+        if n >= LEAST and len(w) >= LONG or n >= MOST:
+            out.append(n)
+            n = 0
+    return [*out, n] if n or not out else out
+
+
+def word_lists(text: str | None) -> tuple[list[str], list[int]]:
+    """All words of a text, and the number of words in each of its pieces."""
+    words: list[str] = []
+    lengths: list[int] = []
+    for m in SENTENCE.finditer(text or ""):
+        own = m.group().split()
+        words += own
+        lengths += _cut_lengths(own)
+    return words, lengths
+
+
+def sentences(text: str | None) -> list[tuple[int, int]]:
+    """(start, end) of the pieces that ``word_lists`` counts: sentences, long ones cut. They cover a text without gaps."""
     out = []
     for m in SENTENCE.finditer(text or ""):
-        at = m.start()
-        words = list(WORD.finditer(m.group()))
-        for i in range(max_words, len(words), max_words):
-            cut = m.start() + words[i].start()
-            out.append((at, cut))
-            at = cut
-        if m.end() > at:
-            out.append((at, m.end()))
+        ends = [w.end() for w in WORD.finditer(text, m.start(), m.end())]
+        at, done = m.start(), 0
+        for n in _cut_lengths(m.group().split())[:-1]:
+            done += n
+            out.append((at, ends[done - 1]))
+            at = ends[done - 1]
+        out.append((at, m.end()))
+    return out
+
+
+def runs(lengths: list[int], least_words: int, least_pieces: int) -> list[tuple[int, int]]:
+    """(first, end) of the shortest run from every piece on that has so many words and pieces, where there is one."""
+    out, end, total = [], 0, 0
+    for first in range(len(lengths)):
+        while end < len(lengths) and (total < least_words or end - first < least_pieces):
+            total += lengths[end]
+            end += 1
+        if total < least_words or end - first < least_pieces:
+            break
+        out.append((first, end))
+        total -= lengths[first]
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3, min_words: int = 20, max_words: int = 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = 2, least_words: int = 25) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without repeats, n_removed (sentences).
 
-    Every run of ``run`` consecutive sentences with at least ``min_words`` words is a span; white space is squeezed
-    before its text is hashed to two 64-bit numbers. The first occurrence of a span is the one of the smallest
+    A span starts at every sentence and takes as many consecutive ones as it needs for ``least_words`` words, at least
+    ``least_sentences``; long sentences count as several (see ``word_lists``). Its words are hashed to 128 bits. The first occurrence of a span is the one of the smallest
     doc_id, and there the earliest. Sentences covered by any other occurrence are removed; white space of the rest
     stays as it was, except that white space at the end goes with the sentences before it. A text that loses nothing
-    is returned unchanged, a null text as null. Texts of fewer sentences than ``run`` have no spans. Rows equal in id
+    is returned unchanged, a null text as null. Shorter texts have no spans. Rows equal in id
     and text are one document and lose the same sentences. An empty table gives no rows; other columns are ignored;
     rows with a null id come after all others.
     """
@@ -57,15 +92,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for texts in batches:
             out: list[tuple] = []
             for t in texts:
-                parts = [t[a:b].split() for a, b in sentences(t, max_words)] if t else []
-                pos, digests = [], []
-                for i in range(len(parts) - run + 1):
-                    words = [w for p in parts[i : i + run] for w in p]
-                    if len(words) >= min_words:
-                        pos.append(i)
-                        digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+                words, lengths = word_lists(t)
+                ends = np.concatenate([[0], np.cumsum(lengths)]).tolist() if lengths else [0]
+                found = runs(lengths, least_words, least_sentences)
+                digests = [xxhash.xxh3_128_digest(" ".join(words[ends[a] : ends[b]]).encode("utf-8", "surrogatepass")) for a, b in found]
                 two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                out.append((np.array(pos, np.int32), two[:, 0], two[:, 1]))
+                out.append((np.array([a for a, _ in found], np.int32), two[:, 0], two[:, 1]))
             yield pd.DataFrame(out, columns=["pos", "h1", "h2"])
 
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("key"))
@@ -81,9 +113,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for texts, spots in batches:
             out = []
             for t, at in zip(texts, spots, strict=True):
-                gone = {j for i in (at if at is not None else ()) for j in range(i, i + run)}
-                if gone:
-                    t = "".join(t[a:b] for i, (a, b) in enumerate(sentences(t, max_words)) if i not in gone).rstrip()
+                gone: set[int] = set()
+                if at is not None:
+                    end_of = dict(runs(word_lists(t)[1], least_words, least_sentences))
+                    gone = {j for i in at for j in range(i, end_of[i])}
+                    t = "".join(t[a:b] for i, (a, b) in enumerate(sentences(t)) if i not in gone).rstrip()
                 out.append((t, len(gone)))
             yield pd.DataFrame(out, columns=["text", "n_removed"])
 
