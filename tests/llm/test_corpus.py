@@ -308,7 +308,7 @@ def test_main_text(spark, sf):
 
 
 def test_repeated_passages(spark, odd, none):
-    passage = "The quick brown fox jumps over the lazy dog near the river bank. It then went home to sleep for many hours. Nobody saw it leave the old barn that night. All was calm again."
+    passage = "The quick brown fox jumps over the lazy dog near the river bank. It then went home to sleep for many hours. Nobody saw it leave the old barn that night. All was calm again until the sun rose over the wide and silent fields at last."
     texts = [f"Own start of one. {passage} Own end of it.", f"Different opening words.\n{passage}\nAnd more.", "Short. Short. Short. Short.", None, passage, "word " * 200]
     out = {r["doc_id"]: r for r in substrings.remove_repeats(docs(spark, texts)).collect()}
     assert out[0]["text"] == texts[0] and out[0]["n_removed"] == 0
@@ -325,11 +325,11 @@ def test_repeats_equal_plain(spark, sf):
         t = r["text"] or ""
         parts = substrings.sentences(t)
         assert "".join(t[a:b] for a, b in parts) == t
-        gone = set()
-        for i in range(len(parts) - 2):
-            span = " ".join(" ".join(t[a:b] for a, b in parts[i : i + 3]).split())
-            if len(span.split()) >= 20 and seen.setdefault(span, (r["doc_id"], i)) != (r["doc_id"], i):
-                gone |= {i, i + 1, i + 2}
+        gone, words = set(), [t[a:b].split() for a, b in parts]
+        for i in range(len(parts)):
+            j = next((j for j in range(i + 2, len(parts) + 1) if sum(map(len, words[i:j])) >= 25), None)
+            if j and seen.setdefault(" ".join(w for x in words[i:j] for w in x), (r["doc_id"], i)) != (r["doc_id"], i):
+                gone |= set(range(i, j))
         want[r["doc_id"]] = ("".join(t[a:b] for i, (a, b) in enumerate(parts) if i not in gone).rstrip() if gone else r["text"], len(gone))
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substrings.remove_repeats(table).collect()}
     assert got == want
