@@ -80,9 +80,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``least_sentences``; long sentences count as several (see ``word_lists``). Its words are hashed to 128 bits. The first occurrence of a span is the one of the smallest
     doc_id, and there the earliest. Sentences covered by any other occurrence are removed; white space of the rest
     stays as it was, except that white space at the end goes with the sentences before it. A text that loses nothing
-    is returned unchanged, a null text as null. Shorter texts have no spans. Rows equal in id
-    and text are one document and lose the same sentences. An empty table gives no rows; other columns are ignored;
-    rows with a null id come after all others.
+    is returned unchanged, a null text as null. Shorter texts have no spans, and the few words that a repeated passage
+    has after its last whole span stay. Rows equal in id and text are one document and lose the same sentences. An
+    empty table gives no rows; other columns are ignored; rows with a null id come after all others.
     """
     work = Workspace(docs.sparkSession, "substrings")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
