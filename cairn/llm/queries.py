@@ -56,7 +56,8 @@ def op7_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores.score_documents(_table(spark, sf_dir, "documents"))
+    scores = lm_scores.score_documents(_table(spark, sf_dir, "documents"))
+    return scores.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,18 @@ QUERIES = {f.__name__: f for f in (op1_adaptive_dimension_scan, op2_text_blocks,
 _WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
 
 ORACLES = {
+    "op8_stupid_backoff": r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+voc AS (SELECT word FROM t GROUP BY word HAVING count(*) >= 2 ORDER BY count(*) DESC, word LIMIT 200000),
+x AS (SELECT doc_id, pos, coalesce(voc.word, ' rare') AS w FROM t LEFT JOIN voc USING (word)),
+b AS (SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), ' start') AS v FROM x),
+one AS (SELECT w, count(*) AS c1 FROM b GROUP BY w), ctx AS (SELECT v, count(*) AS cv FROM b GROUP BY v), two AS (SELECT v, w, count(*) AS c2 FROM b GROUP BY v, w),
+s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE c2 >= 2) AS n_seen,
+ sum(CASE WHEN c2 >= 2 THEN ln(c2) - ln(cv) ELSE ln(4e-1) + ln(c1) - ln((SELECT count(*) FROM b)) END) AS score
+ FROM b JOIN one USING (w) JOIN ctx USING (v) JOIN two USING (v, w) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_seen, 0) AS n_seen, round(coalesce(score, 0), 4) AS log_score, round(score / n_words, 6) AS mean_log_score
+FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN s USING (doc_id)""",
     "op9_positional_index": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
