@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.exprs import risk_band, risk_level
 from cairn.operators.graph import functions_to_files, induced_edges, reversed_edges, siblings_of
+from cairn.sources.tables import Stages
 
 # Words that raise a file's risk.
 CRITICAL = "auth payment security config main init decoder encoder parser compiler recompiler runtime core kernel driver".split()
@@ -183,3 +184,27 @@ def impact_context(requests: DataFrame, scored: DataFrame, k: int = 10) -> DataF
     names = F.array_join(F.transform(F.coalesce("t", F.expr("cast(array() as array<struct<nth:int,id:string>>)")), lambda x: x["id"]), ", ")
     score = F.coalesce(F.floor("total_risk").cast("string"), F.lit("0"))
     return rows.select("request_id", F.concat(F.lit("Risk "), score, F.lit(". Affected: "), names, F.lit("\n"), "question").alias("text"))
+
+
+def focused_subgraph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 15, depth: int = 1, max_nodes: int = 40, stages: Stages | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (request_id, id, hop), their edges, and a summary (request_id, nodes, edges, truncated, seed_source).
+
+    Seeds come from a query's own words first and then from their synonyms; a node keeps the first source. The search
+    around the seeds is cut to ``max_nodes``; ``truncated`` says that the cut was reached. With ``stages``, seeds and
+    members are written and not computed again for each result.
+    """
+    from cairn.operators.graph import expand_subgraph
+    from cairn.operators.insight import first_source
+    from cairn.operators.retrieval import expand_tokens
+
+    wider = queries.select("query_id", F.array_join(expand_tokens(F.col("text")), " ").alias("text")).where("text <> ''")
+    seeds = [(name, keyword_seeds(q, nodes, k).select(F.col("query_id").alias("request_id"), "id")) for name, q in (("keyword", queries), ("expanded", wider))]
+    keep = stages.keep if stages else lambda df: df
+    seeds = keep(first_source(seeds))
+    members = keep(expand_subgraph(seeds.select("request_id", "id"), nodes, edges, depth, max_nodes))
+    inner = induced_edges(members, edges)
+    n = members.groupBy("request_id").agg(F.count("*").alias("nodes"))
+    e = inner.groupBy("request_id").agg(F.count("*").alias("edges"))
+    source = seeds.groupBy("request_id").agg(F.max("origin").alias("seed_source"))  # keyword, where any word was held
+    summary = n.join(e, "request_id", "left").join(source, "request_id").select("request_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), (F.col("nodes") >= max_nodes).alias("truncated"), "seed_source")
+    return members, inner, summary

@@ -7,6 +7,7 @@ from cairn.operators import insight as I
 from cairn.operators import risk as R
 from cairn.plans.graph import REQ, RULE_SQL, requests, rules
 from cairn.plans.registry import query
+from cairn.sources.tables import Stages
 
 CRIT, STORE, ROUTE = "|".join(R.CRITICAL), "|".join(R.STORAGE), "|".join(R.ROUTE)
 UNTESTED = "(SELECT id FROM fx_files f WHERE NOT is_test_file AND NOT EXISTS (SELECT 1 FROM fx_edges e WHERE e.dst = f.id AND relation = 'COVERS'))"
@@ -121,6 +122,31 @@ def _(fx):
     return G.induced_edges(found, fx.edges)
 
 
+def _wider(words):
+    """Synonyms of a query's words that it does not hold, as the operator finds them."""
+    from cairn.operators.retrieval import SYNONYMS
+
+    return [x for x in dict.fromkeys(y for w in words for y in SYNONYMS.get(w, "").split()) if x not in words]
+
+
+WIDE = [(i, _wider(t.split())) for i, t in TOKENS if _wider(t.split())]
+
+
+@query("R14_focused_subgraph", f"""
+WITH {TOKEN_SQL},
+wt AS (SELECT * FROM (VALUES {', '.join(f"({i}, {w})" for i, w in WIDE)}) v(query_id, tokens)),
+wx AS (SELECT CAST(query_id AS BIGINT) AS query_id, id, lower(concat_ws(' ', id, name, layer)) AS t, tokens FROM fx_nodes, wt WHERE len(list_filter(tokens, lambda k: contains(lower(id), k))) > 0),
+wp AS (SELECT query_id, id, 5e-1 + list_sum(list_transform(tokens, lambda k: CASE WHEN contains(t, k) THEN 3e0 + CASE WHEN len(list_filter(string_split(t, '/'), lambda p: contains(p, k))) > 0 THEN 2e0 ELSE 0e0 END ELSE 0e0 END)) AS points FROM wx),
+every AS (SELECT query_id, id, 'keyword' AS origin FROM seeds UNION ALL SELECT query_id, id, 'expanded' FROM (SELECT * FROM wp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY points DESC, id) <= 15)),
+b AS (SELECT src, dst FROM fx_edges WHERE relation <> 'MAYBE_CALLS' UNION SELECT dst, src FROM fx_edges WHERE relation <> 'MAYBE_CALLS'),
+h AS (SELECT query_id, id, 0 AS hop FROM every UNION ALL SELECT query_id, dst, 1 FROM every JOIN b ON src = id),
+m AS (SELECT query_id, id, min(hop) AS hop FROM h GROUP BY 1, 2), t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, id) <= 40),
+e AS (SELECT a.query_id, count(*) AS n FROM (SELECT DISTINCT * FROM fx_edges) e JOIN t a ON a.id = e.src JOIN t c ON c.id = e.dst AND c.query_id = a.query_id GROUP BY 1)
+SELECT t.query_id AS request_id, count(*) AS nodes, coalesce(max(e.n), 0) AS edges, count(*) >= 40 AS truncated, (SELECT max(origin) FROM every x WHERE x.query_id = t.query_id) AS seed_source FROM t LEFT JOIN e ON e.query_id = t.query_id GROUP BY t.query_id""")
+def _(fx):
+    return R.focused_subgraph(fx.spark.createDataFrame(TOKENS, "query_id long, text string"), fx.nodes, fx.edges, stages=Stages(fx.spark))[2]
+
+
 PR_RISK = f"""
 WITH pr AS (SELECT hash AS pr_id, file FROM fx_commit_files WHERE hash % 100 = 0),
 e AS (SELECT DISTINCT src, dst FROM fx_edges WHERE relation IN ('DEPENDS_ON', 'IMPORTS')),
