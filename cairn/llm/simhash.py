@@ -93,9 +93,10 @@ def fingerprint_links(fps: DataFrame, work: Workspace, radius: int = 3, bucket_l
     Every fingerprint enters one bucket for each covering mask. A bucket of at most ``bucket_limit`` members is
     compared in one task. A larger one is not: its members are dealt to finer buckets, whose masks add to the first a
     part of the positions left out of it; the parts are one more than the radius, so no pair is lost. That repeats
-    until buckets are small, which ends because the fullest mask holds a single fingerprint.
+    until buckets are small, which ends because the fullest mask holds a single fingerprint. The limit is 2^radius at
+    least: a crowded bucket then always leaves out more positions than the radius, and no part is empty.
     """
-    spark, level = fps.sparkSession, 0
+    level, bucket_limit = 0, max(bucket_limit, 1 << radius)
     masks = F.array(*[F.lit(_signed(m)).cast("long") for m in covering_masks(radius)])
     rows = fps.select("fp", F.explode(masks).alias("mask")).withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
     found: list[DataFrame] = []
@@ -105,6 +106,13 @@ def fingerprint_links(fps: DataFrame, work: Workspace, radius: int = 3, bucket_l
             pairs = [p for values in b["members"] for p in _spanning_links(np.asarray(values, np.int64), radius)]
             yield pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, dtype=np.int64)
 
+    @F.pandas_udf("array<long>")
+    def finer(masks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[int, list[int]] = {}
+        for b in masks:
+            known.update({m: [_signed(x) for x in _finer(int(m) & (1 << 64) - 1, radius)] for m in set(b) - set(known)})
+            yield pd.Series([known[m] for m in b])
+
     while True:
         sizes = rows.groupBy("mask", "part").agg(F.count("*").alias("n")).where("n > 1")
         sizes = work.save(sizes, f"sizes-{level}")
@@ -112,14 +120,11 @@ def fingerprint_links(fps: DataFrame, work: Workspace, radius: int = 3, bucket_l
         small = rows.join(sizes.where(F.col("n") <= bucket_limit), ["mask", "part"])
         small = small.groupBy("mask", "part").agg(F.collect_list("fp").alias("members")).select("members")
         found.append(work.save(small.mapInPandas(link, "a long, b long"), f"near-{level}"))
-        seen = [r["mask"] for r in hot.select("mask").distinct().limit(1 << 16).collect()]
-        if not seen:
+        if not hot.limit(1).count():
             break
         level += 1
-        finer = {m: [_signed(x) for x in _finer(m & (1 << 64) - 1, radius)] for m in seen}
-        steps = spark.createDataFrame([(m, x) for m, xs in finer.items() for x in xs if x != m], "mask long, next long")
-        rows = rows.join(hot.select("mask", "part"), ["mask", "part"]).join(F.broadcast(steps), "mask")
-        rows = rows.select("fp", F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("next")).alias("part"))
+        rows = rows.join(hot.select("mask", "part"), ["mask", "part"]).select("fp", F.explode(finer("mask")).alias("mask"))
+        rows = rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
         rows = work.save(rows.distinct(), f"finer-{level}")
     links = found[0]
     for f in found[1:]:
