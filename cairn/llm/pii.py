@@ -188,5 +188,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__spans")))
+    # texts without spans stay in the JVM
+    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.when(F.col("__spans").isNotNull(), F.col(text_col)), F.col("__spans")))
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
