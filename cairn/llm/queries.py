@@ -31,7 +31,7 @@ def op2_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    near = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, radius=3)
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import Workspace
 from cairn.llm.components import connected_components
+from cairn.llm.shingles import similar_links, sketches
 
 BITS = 64
 
@@ -132,18 +133,26 @@ def fingerprint_links(fps: DataFrame, work: Workspace, radius: int = 3, bucket_l
     return links.distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int | None = None, similarity: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long), component_id (smallest doc_id reachable over links).
 
-    Rows link if their fingerprints differ in at most ``radius`` bits. Copies share a fingerprint, so only distinct
-    fingerprints are compared, however many rows carry one. Null texts count as empty; repeated rows come out as often
-    as they went in; an empty table gives no rows; a null doc_id never becomes a component's id unless it is alone.
-    Other columns are ignored.
+    Rows link if the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more; fp is then
+    a digest of the set. With a ``radius``, rows link if their SimHash fingerprints differ in at most so many bits.
+    Copies share a fingerprint, so only distinct fingerprints are compared, however many rows carry one. Null texts
+    count as empty; repeated rows come out as often as they went in; an empty table gives no rows; a null doc_id never
+    becomes a component's id unless it is alone. Other columns are ignored.
     """
     work = Workspace(docs.sparkSession, "simhash")
-    fps = work.save(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = work.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    parts = connected_components(fingerprint_links(nodes.select("fp"), work, radius), work)
+    if radius is None:
+        found = work.save(sketches(docs, id_col, text_col, width), "sketches")
+        fps = found.select("doc_id", "fp")
+        first = F.first(F.struct("key", "bands", "sketch")).alias("s")
+        nodes = work.save(found.groupBy("fp").agg(F.min("doc_id").alias("first_id"), first).select("fp", "first_id", "s.*"), "nodes")
+        parts = connected_components(similar_links(nodes, docs, text_col, work, width, similarity), work)
+    else:
+        fps = work.save(fingerprints(docs, id_col, text_col, width), "fingerprints")
+        nodes = work.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+        parts = connected_components(fingerprint_links(nodes.select("fp"), work, radius), work)
     # components of fingerprints -> smallest doc_id over all their fingerprints
     member = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("comp"))
     member = work.save(member, "members")
