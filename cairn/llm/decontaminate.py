@@ -37,10 +37,11 @@ class PhraseIndex:
 
 
 def test_terms(tests: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, pos, term, n): the lower-cased words of the test items."""
-    rows = tests.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("w"))
-    rows = rows.select("item_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-    return rows.select("item_id", "n", "pos", ascii_lower(F.col("word")).alias("term"))
+    """(item_id, row, pos, term, n): the lower-cased words of the distinct test rows, whose numbers hold once written."""
+    rows = tests.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).distinct()
+    rows = rows.select("item_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
+    rows = rows.select("item_id", "row", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    return rows.select("item_id", "row", "n", "pos", ascii_lower(F.col("word")).alias("term"))
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> PhraseIndex:
@@ -63,7 +64,7 @@ def _with_terms(tests: DataFrame, id_col: str, text_col: str, work: Workspace) -
     numbered = terms.select("term").distinct().select("term", (F.monotonically_increasing_id() + 1).alias("term_id"))
     empty = tests.sparkSession.createDataFrame([("", 0)], "term string, term_id long")
     vocabulary = work.save(numbered.unionByName(empty), "vocabulary")
-    return terms.join(vocabulary, "term").select("item_id", "n", "pos", "term_id"), vocabulary
+    return terms.join(vocabulary, "term").select("item_id", "row", "n", "pos", "term_id"), vocabulary
 
 
 def phrase_matches(index: PhraseIndex, phrases: DataFrame, broadcast_terms: int = BROADCAST_TERMS, broadcast_docs: int = BROADCAST_DOCS, salts: int = 64) -> DataFrame:
@@ -125,7 +126,8 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: s
     A window is ``window`` consecutive words of a test item (an item of fewer words, but not none, is one window). A
     document's word is hit if it lies in an occurrence of some window; n_items counts the items with one, and
     items_sha256 digests their ids, sorted as strings and joined by commas (none: the digest of the empty string).
-    Null texts have no words. Windows that several items share are looked up once. Repeated rows come out as often as
+    Null texts have no words. Rows of one item id are
+    texts of one item, rows without an id those of one more (counted, not digested). Windows that several items share are looked up once. Repeated rows come out as often as
     they went in, each with the same figures; rows that share a doc_id but not the text count as places of one
     document. An empty table of either kind is no error. Other columns are ignored.
     """
@@ -134,7 +136,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: s
     index = build_index(docs, vocabulary, work, id_col, text_col, broadcast_terms)
     span = F.least(F.col("n"), F.lit(window))
     spread = terms.withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - span + 1), F.least(F.col("pos"), F.col("n") - span))))
-    listed = spread.groupBy("item_id", "start").agg(F.sort_array(F.collect_list(F.struct("pos", "term_id"))).getField("term_id").alias("terms"))
+    listed = spread.groupBy("row", "start").agg(F.first("item_id").alias("item_id"), F.sort_array(F.collect_list(F.struct("pos", "term_id"))).getField("term_id").alias("terms"))
     listed = work.save(listed.select("item_id", "terms"), "windows")
     phrases = work.save(listed.select("terms").distinct().withColumn("phrase_id", F.monotonically_increasing_id()), "phrases")
     hits = work.save(phrase_matches(index, phrases.select("phrase_id", F.posexplode("terms").alias("off", "term_id")), broadcast_terms), "hits")
