@@ -18,6 +18,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What may be an identifier: a token with an at sign, or with five digits and nothing but digits and joining marks.
 CANDIDATE = re.compile(r"[^\s@]+@[^\s@]+|\+?\(?[0-9][0-9().:\-]{4,}")
+#: Digit groups joined by single blanks, brackets, full stops or hyphens; no part of a longer number or of a time.
+GROUPED = re.compile(r"(?<![0-9:.])(?:\+|(?<!\+))(?:1[\x20.-](?=\(?[0-9]{3}[)\x20.-]))?(?:\([0-9]{2,5}\)\x20?[0-9]{5,8}|\(?[0-9]{2,8}\)?(?:(?:[\x20.\-]|(?<=\)))\(?[0-9]{2,8}\)?)+)(?![0-9:])")
+#: A token of so many digits is a whole identifier, to which blanks join nothing.
+WHOLE = 10
 WORD = re.compile(r"\S+")
 SPAN = "array<struct<kind:int,start:int,stop:int>>"
 #: Characters of context on either side in which neighbouring words are looked for.
@@ -59,6 +63,24 @@ def _fits(kind: int, value: str) -> bool:
     return (kind == 1 and value.count(".") == 3 and digits >= 4) or (kind == 2 and 13 <= digits <= 19) or (kind == 3 and 7 <= digits <= 15)
 
 
+def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of what may be an identifier and overlaps no base span; digit groups written apart are one."""
+    out: list[tuple[int, int]] = []
+    if not ("@" in text or re.search("[0-9]", text)):
+        return out
+    for m in GROUPED.finditer(text):
+        a, b, value = m.start(), m.end(), m.group()
+        parts = [sum(c in "0123456789" for c in t) for t in value.split(" ")]
+        if len(parts) > 1 and max(parts) < WHOLE and 7 <= sum(parts) <= 19 and not any(x < b and a < y for _, x, y in base):
+            out.append((a, b))
+    grouped = list(out)
+    for m in CANDIDATE.finditer(text):
+        a, b = m.start(), m.start() + len(m.group().rstrip(".,:;!?)(-\"'"))
+        if a < b and not any(x < b and a < y for _, x, y in base) and not any(x < b and a < y for x, y in grouped):
+            out.append((a, b))
+    return out
+
+
 def _mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
     """Base spans, and free candidates, with the lexical patterns that surround them.
 
@@ -66,11 +88,7 @@ def _mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
     word. A free candidate overlaps no base span; its kinds are those that its form fits, none excluded by guess.
     """
     found = [(k, a, b) for k, a, b in base]
-    for m in CANDIDATE.finditer(text) if "@" in text or re.search("[0-9]", text) else ():
-        value = m.group().rstrip(".,:;!?)(-\"'")
-        a, b = m.start(), m.start() + len(value)
-        if value and not any(x < b and a < y for _, x, y in base):
-            found.append((-1, a, b))
+    found += [(-1, a, b) for a, b in _candidates(text, base)]
     out = []
     for kind, a, b in found:
         before = [w[-40:].lower() for w in WORD.findall(text[max(0, a - REACH) : a])[-2:]]

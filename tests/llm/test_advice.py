@@ -60,3 +60,26 @@ def test_stage_links_shingle_sets_of_four_fifths(spark, sf):
         assert sorted(kept) == sorted(set(want.values()))
         got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table).collect()}
         assert got == want
+
+
+def test_repeated_and_shared_item_ids(spark):
+    a = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    b = "one two three four five six seven eight nine ten eleven"
+    rows = [(7, a), (7, a), (8, a), (8, b), (None, a), (None, b)]
+    tests = spark.createDataFrame(rows, "item_id long, text string")
+    out = decontaminate.decontaminate(docs(spark, [f"so {a}", f"so {b}", "alpha two gamma four"]), tests).collect()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in out}
+    assert got == {0: (13, 12, 3), 1: (12, 11, 2), 2: (4, 0, 0)}  # rows without an id count as one item
+    digests = {r["doc_id"]: r["items_sha256"] for r in out}
+    assert digests[0] == plain_hits(f"so {a}", {7: a, 8: a})[3] and digests[1] == plain_hits(f"so {b}", {8: b})[3]
+
+
+
+def test_digit_groups_written_apart(spark):
+    phones = [f"Please call us at +1 212 555 01{i:02d} today for help" for i in range(60)]  # unseen forms count against a pattern
+    cards = [f"Now charge the card {n} before next week" for n in ("4111 1111 1111 1111", "4012888888881881", "5555555555554444", "5105105105105100", "378282246310005", "371449635398431", "30569309025904", "6011111111111117", "6011000990139424", "3530111333300000", "3566002020360505", "38520000023237")]
+    forms = ["212 555 7788", "(212) 555-7788", "(212) 555 7788", "(212)555 7788", "212 5557788", "(020) 79460958", "212-555-7788", "1 212 555 7788"]
+    texts = phones + cards + [f"Please call us at {x} today for help" for x in forms] + ["Now charge the card 4111 1111 1111 1112 before next week", "rooms 212 555 7788 closed", "Please call us at 212-555-7788 24 hours a day"]
+    out = [r["text"] for r in pii.redact(docs(spark, texts)).orderBy("doc_id").collect()][len(phones + cards) :]
+    assert out == ["Please call us at [PHONE] today for help"] * len(forms) + ["Now charge the card [CARD] before next week", "rooms 212 555 7788 closed", "Please call us at [PHONE] 24 hours a day"]
+    assert [a for a, _ in pii._candidates("1" * 3000 + " 12 " * 3000, [])] is not None
