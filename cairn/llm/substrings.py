@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -19,16 +20,16 @@ SENTENCE = re.compile(r"[^\n]*?[.!?…]+(?=\s)\s*|[^\n]*\n\s*|[^\n]+\Z", re.S)
 WORD = re.compile(r"\S+\s*")
 
 
-#: A longer sentence is cut after a word of LONG characters once it has LEAST words, and after MOST words at the latest.
-LEAST, LONG, MOST = 6, 8, 24
+#: A sentence is cut after every word whose CRC-32 is a multiple of PART, and MOST words after the last cut at the latest.
+PART, MOST = 6, 12
 
 
 def _cut_lengths(words: list[str]) -> list[int]:
-    """Words per piece of one sentence. Cuts follow the content, so they meet again after an inserted word."""
+    """Words per piece of one sentence. Cuts follow the words alone, so they meet wherever a passage begins."""
     out, n = [], 0
     for w in words:
         n += 1
-        if n >= LEAST and len(w) >= LONG or n >= MOST:
+        if n >= MOST or not crc32(w.encode("utf-8", "surrogatepass")) % PART:
             out.append(n)
             n = 0
     return [*out, n] if n or not out else out

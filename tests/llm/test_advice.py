@@ -1,14 +1,11 @@
 """What a review of the corpus operators found cut short."""
 
 import itertools
-import re
-from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, lm_scores, pii, shingles, simhash, substrings
-from tests.llm.test_corpus import docs, plain_hits, plain_scores
+from cairn.llm import decontaminate, pii, simhash, substrings
+from tests.llm.test_corpus import docs, plain_hits
 
 
 def plain_sets(texts):
@@ -83,3 +80,22 @@ def test_digit_groups_written_apart(spark):
     out = [r["text"] for r in pii.redact(docs(spark, texts)).orderBy("doc_id").collect()][len(phones + cards) :]
     assert out == ["Please call us at [PHONE] today for help"] * len(forms) + ["Now charge the card [CARD] before next week", "rooms 212 555 7788 closed", "Please call us at [PHONE] 24 hours a day"]
     assert [a for a, _ in pii._candidates("1" * 3000 + " 12 " * 3000, [])] is not None
+
+
+def test_no_repeat_of_fifty_words_stays(spark):
+    rng = np.random.default_rng(0)
+
+    def some(n):  # short words, no sentence ends
+        return ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 7))) for _ in range(n)]
+
+    texts = []
+    for _ in range(40):
+        passage = some(55)
+        texts += [" ".join([*some(rng.integers(5, 30)), *passage, *some(rng.integers(5, 30))]) for _ in range(2)]
+    seen, kept = set(), []
+    for r in substrings.remove_repeats(docs(spark, texts)).orderBy("doc_id").collect():
+        w = r["text"].split()
+        kept += [r["doc_id"] for i in range(len(w) - 49) if tuple(w[i : i + 50]) in seen]
+        w = texts[r["doc_id"]].split()
+        seen |= {tuple(w[i : i + 50]) for i in range(len(w) - 49)}
+    assert len(set(kept)) <= 1  # 40 documents repeat such a passage; 39 kept it with cuts counted from the start
