@@ -22,8 +22,6 @@ _rng = np.random.default_rng(5)
 _FLIP, _TIMES = _rng.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64), _rng.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 #: Standard deviations by which a similarity estimated from a signature may be off.
 SPREAD = 4.0
-#: Members to which a text is likely similar before it counts as linked.
-LIKELY = 6
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -71,10 +69,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 def _crowd_pairs(fps: np.ndarray, marks: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Pairs of a crowded bucket that may be similar; what is surely linked is not paired among itself.
 
-    Sure is a similarity far over the limit, or one a little over it with each of several members.
+    Sure is an estimated similarity far over the limit.
     """
     one = (similarity * (1 - similarity) / marks.shape[1]) ** 0.5
-    off, left, likely, out = SPREAD * one, np.ones(len(fps), bool), np.zeros(len(fps), np.int64), []
+    off, left, out = SPREAD * one, np.ones(len(fps), bool), []
     for start in range(len(fps)):
         if not left[start]:
             continue
@@ -84,8 +82,7 @@ def _crowd_pairs(fps: np.ndarray, marks: np.ndarray, similarity: float) -> list[
             rest = np.flatnonzero(left)
             same = (marks[rest] == marks[at]).mean(axis=1)
             out += [(int(fps[at]), int(fps[x])) for x in rest[same >= similarity - off]]
-            likely[rest] += same >= similarity + one
-            sure = rest[(same >= min(similarity + off, 0.99)) | (likely[rest] >= LIKELY)]
+            sure = rest[same >= min(similarity + off, 0.99)]
             left[sure] = False
             front += sure.tolist()
     return out
