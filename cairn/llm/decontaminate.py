@@ -29,7 +29,10 @@ def words(text: Column) -> Column:
 
 @dataclass
 class PhraseIndex:
-    """Stored postings (doc_id, term_id, pos) of the terms that the tests use, and the number of words per row."""
+    """Stored postings (row, term_id, pos) of the terms that the tests use; per row its doc_id and number of words.
+
+    A row of the documents is known by a number of its own, so rows that share a doc_id stay apart.
+    """
 
     postings: DataFrame
     lengths: DataFrame
@@ -47,15 +50,16 @@ def test_terms(tests: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def build_index(docs: DataFrame, vocabulary: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> PhraseIndex:
     """Postings of ``vocabulary`` (term, term_id) in all texts, written once, in document order, without a shuffle.
 
-    Every text ends with an empty word of term 0, whose position is the number of words.
+    Every text ends with an empty word of term 0, whose position is the number of words; it alone carries the doc_id.
     """
     known = small(vocabulary, broadcast_terms)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.array_append(words(F.col(text_col)), F.lit("")).alias("w"))
-    rows = rows.select("doc_id", F.posexplode("w").alias("pos", "word"))
-    rows = rows.select("doc_id", "pos", ascii_lower(F.col("word")).alias("term"))
-    found = work.save(rows.join(known, "term").select("term_id", "doc_id", "pos"), "postings")
-    lengths = found.where("term_id = 0").select("doc_id", F.col("pos").cast("long").alias("n_words"))
-    return PhraseIndex(found.where("term_id > 0"), lengths, work)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.array_append(words(F.col(text_col)), F.lit("")).alias("w"))
+    rows = rows.select("doc_id", "row", F.posexplode("w").alias("pos", "word"))
+    rows = rows.select("doc_id", "row", "pos", ascii_lower(F.col("word")).alias("term"))
+    found = rows.join(known, "term").select("term_id", "row", "pos", F.when(F.col("term_id") == 0, F.col("doc_id")).alias("doc_id"))
+    found = work.save(found, "postings")  # one write, which fixes the numbers
+    lengths = found.where("term_id = 0").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
+    return PhraseIndex(found.where("term_id > 0").drop("doc_id"), lengths, work)
 
 
 def _with_terms(tests: DataFrame, id_col: str, text_col: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -68,13 +72,13 @@ def _with_terms(tests: DataFrame, id_col: str, text_col: str, work: Workspace) -
 
 
 def phrase_matches(index: PhraseIndex, phrases: DataFrame, broadcast_terms: int = BROADCAST_TERMS, broadcast_docs: int = BROADCAST_DOCS, salts: int = 64) -> DataFrame:
-    """Exact occurrences (phrase_id, doc_id, start) of ``phrases`` (phrase_id, off, term_id).
+    """Exact occurrences (phrase_id, row, start) of ``phrases`` (phrase_id, off, term_id).
 
     The list of a phrase's rarest term, moved back by that term's offset, gives the places where the phrase could
     start. They are intersected with the moved list of its second rarest term, and what is left with those of all
-    its other terms at once. These joins are on (doc_id, term_id, pos), so a frequent term is spread over its
-    documents. Phrases, and ids of the documents still in question, are broadcast up to the two bounds; beyond them
-    the first join deals each term over ``salts`` tasks and the last one shuffles by document.
+    its other terms at once. These joins are on (row, term_id, pos), so a frequent term is spread over its
+    documents. Phrases, and numbers of the rows still in question, are broadcast up to the two bounds; beyond them
+    the first join deals each term over ``salts`` tasks and the last one shuffles by row.
     """
     posts, work = index.postings, index.work
     df = work.save(posts.groupBy("term_id").agg(F.count("*").alias("df")), "frequencies")
@@ -88,26 +92,26 @@ def phrase_matches(index: PhraseIndex, phrases: DataFrame, broadcast_terms: int
     if first.limit(broadcast_terms + 1).count() <= broadcast_terms:
         met = posts.join(F.broadcast(first), "term_id")
     else:
-        salt = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(salts)).cast("int")
+        salt = F.pmod(F.xxhash64("row", "pos"), F.lit(salts)).cast("int")
         dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = posts.withColumn("salt", salt).join(dealt, ["term_id", "salt"])
-    starts = met.select("phrase_id", "size", "doc_id", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    starts = met.select("phrase_id", "size", "row", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
     starts = work.save(starts, "starts-1")
 
     terms = small(work.save(second.select("term_id").distinct(), "second-terms"), broadcast_terms)
     wanted = starts.where("size > 1").join(small(second, broadcast_terms), "phrase_id").withColumn("pos", F.col("start") + F.col("off"))
-    left = wanted.join(posts.join(terms, "term_id", "left_semi"), ["doc_id", "term_id", "pos"], "left_semi").select("phrase_id", "size", "doc_id", "start")
+    left = wanted.join(posts.join(terms, "term_id", "left_semi"), ["row", "term_id", "pos"], "left_semi").select("phrase_id", "size", "row", "start")
     left = work.save(left.unionByName(starts.where("size = 1")).distinct(), "starts-2")
 
-    docs = small(work.save(left.where("size > 2").select("doc_id").distinct(), "left-docs"), broadcast_docs)
+    docs = small(work.save(left.where("size > 2").select("row").distinct(), "left-docs"), broadcast_docs)
     wanted = left.where("size > 2").join(small(rest, broadcast_terms), "phrase_id").withColumn("pos", F.col("start") + F.col("off"))
-    met = wanted.join(posts.join(docs, "doc_id", "left_semi"), ["doc_id", "term_id", "pos"], "left_semi")
-    met = met.groupBy("phrase_id", "doc_id", "start", "size").agg(F.count("*").alias("n")).where("n = size - 2")
-    return met.select("phrase_id", "doc_id", "start").unionByName(left.where("size <= 2").select("phrase_id", "doc_id", "start"))
+    met = wanted.join(posts.join(docs, "row", "left_semi"), ["row", "term_id", "pos"], "left_semi")
+    met = met.groupBy("phrase_id", "row", "start", "size").agg(F.count("*").alias("n")).where("n = size - 2")
+    return met.select("phrase_id", "row", "start").unionByName(left.where("size <= 2").select("phrase_id", "row", "start"))
 
 
 def proximity_matches(index: PhraseIndex, pairs: DataFrame, within: int) -> DataFrame:
-    """(pair_id, doc_id, pos_a, pos_b) where terms a and b of ``pairs`` (pair_id, a, b) lie ``within`` words, either way.
+    """(pair_id, row, doc_id, pos_a, pos_b) where terms a and b of ``pairs`` (pair_id, a, b) lie ``within`` words, either way.
 
     Positions are cut in blocks of ``within`` words; a term's list joins the other's on document and block, with each
     posting of b entered in its own and both neighbouring blocks.
@@ -115,9 +119,9 @@ def proximity_matches(index: PhraseIndex, pairs: DataFrame, within: int) -> Data
     a = pairs.join(index.postings.withColumnRenamed("term_id", "a"), "a").withColumn("block", F.floor(F.col("pos") / within)).withColumnRenamed("pos", "pos_a")
     b = pairs.join(index.postings.withColumnRenamed("term_id", "b"), "b").withColumnRenamed("pos", "pos_b")
     at = F.floor(F.col("pos_b") / within)
-    b = b.select("pair_id", "doc_id", "pos_b", F.explode(F.array(at - 1, at, at + 1)).alias("block"))
-    both = a.join(b, ["pair_id", "doc_id", "block"]).where((F.abs(F.col("pos_a") - F.col("pos_b")) <= within) & (F.col("pos_a") != F.col("pos_b")))
-    return both.select("pair_id", "doc_id", "pos_a", "pos_b").distinct()
+    b = b.select("pair_id", "row", "pos_b", F.explode(F.array(at - 1, at, at + 1)).alias("block"))
+    both = a.join(b, ["pair_id", "row", "block"]).where((F.abs(F.col("pos_a") - F.col("pos_b")) <= within) & (F.col("pos_a") != F.col("pos_b")))
+    return both.select("pair_id", "row", "pos_a", "pos_b").distinct().join(index.lengths.select("row", "doc_id"), "row")
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
@@ -128,8 +132,8 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: s
     items_sha256 digests their ids, sorted as strings and joined by commas (none: the digest of the empty string).
     Null texts have no words. Rows of one item id are
     texts of one item, rows without an id those of one more (counted, not digested). Windows that several items share are looked up once. Repeated rows come out as often as
-    they went in, each with the same figures; rows that share a doc_id but not the text count as places of one
-    document. An empty table of either kind is no error. Other columns are ignored.
+    they went in, each with the same figures; rows that share a doc_id but not the text are documents of their own. An
+    empty table of either kind is no error. Other columns are ignored; ids may be of any type.
     """
     work = Workspace(docs.sparkSession, "decontaminate")
     terms, vocabulary = _with_terms(tests, item_col, item_text_col, work)
@@ -141,12 +145,12 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = 10, id_col: s
     phrases = work.save(listed.select("terms").distinct().withColumn("phrase_id", F.monotonically_increasing_id()), "phrases")
     hits = work.save(phrase_matches(index, phrases.select("phrase_id", F.posexplode("terms").alias("off", "term_id")), broadcast_terms), "hits")
     sizes = small(phrases.select("phrase_id", F.size("terms").alias("size")), broadcast_terms)
-    covered = hits.join(sizes, "phrase_id").select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
-    covered = covered.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
+    covered = hits.join(sizes, "phrase_id").select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
+    covered = covered.groupBy("row").agg(F.count("*").alias("n_hit"))
     of = work.save(listed.join(phrases, "terms").select("phrase_id", F.col("item_id").cast("string").alias("item")).distinct(), "items")
-    items = hits.select("doc_id", "phrase_id").distinct().join(small(of, broadcast_terms), "phrase_id").select("doc_id", "item").distinct()
-    items = items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item"))).alias("ids"))
-    found = covered.join(items, "doc_id")
-    out = index.lengths.join(found, "doc_id", "left")
+    items = hits.select("row", "phrase_id").distinct().join(small(of, broadcast_terms), "phrase_id").select("row", "item").distinct()
+    items = items.groupBy("row").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item"))).alias("ids"))
+    found = covered.join(items, "row")
+    out = index.lengths.join(found, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
