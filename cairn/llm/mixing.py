@@ -11,6 +11,8 @@ from cairn.llm.common import Workspace
 PROBES = 31
 #: Sources that may be broadcast (a few MB); more are joined by shuffling.
 BROADCAST_SOURCES = 50_000
+#: Buckets whose running sums are taken in one task.
+STRETCH = 4096
 
 
 def _probe(totals: DataFrame, budget: float, exponents: list[float]) -> DataFrame:
@@ -54,10 +56,10 @@ def solve_exponent(totals: DataFrame, budget: float, entropy_share: float | None
     return high
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float | None = None, entropy_share: float | None = 0.97, max_repeats: float | None = 4.0, block_tokens: int = 100_000, bucket_rows: int = 2000, seed: int = 17) -> DataFrame:
-    """The mixture as rows (doc_id, source, n_tokens, epoch, block, position), by temperature mixing.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float | None = None, entropy_share: float | None = 0.97, max_repeats: float | None = 4.0, block_tokens: int = 100_000, bucket_rows: int = 2000, seed: int = 17, tokens_col: str | None = None) -> DataFrame:
+    """The mixture as rows (doc_id, source, key, n_tokens, epoch, block, position), by temperature mixing.
 
-    Tokens are runs of characters other than white space. A source's share of all tokens is raised to an exponent
+    Tokens are runs of characters other than white space, or what ``tokens_col`` counts. key is a hash of the text. A source's share of all tokens is raised to an exponent
     that ``solve_exponent`` bisects, and the normalised weights times ``budget`` (tokens; all tokens of ``docs`` where
     None) give each source's quota. Every epoch of a source is a permutation of its documents by a seeded hash; whole
     documents are taken in that order, epoch after epoch, until the quota is reached, so each source ends within one
@@ -65,39 +67,50 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     to the whole budget; ``block`` is position / ``block_tokens``: each block of the output holds every source in its
     weight, and the order inside a block is that of ``position``, source and doc_id.
 
-    Running sums are taken in hash buckets of about ``bucket_rows`` rows, on top of bucket totals, so that no source
-    is gathered in one task. Documents without tokens (null, empty) are never taken, as they add to no quota. A null
+    The permutation hashes the id, the text and the number of a copy, so it is the same however the table is
+    partitioned. Running sums are taken in hash buckets of about ``bucket_rows`` rows, on top of totals of buckets and
+    of stretches of buckets, so that no source is gathered in one task. Documents without tokens (null, empty) are never taken, as they add to no quota. A null
     source is a source of its own. Repeated rows count each time and get places of their own. No documents or no
     tokens give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
-    n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"\S+")), F.lit(0)).cast("long")
+    n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"\S+")), F.lit(0)).cast("long") if tokens_col is None else F.coalesce(F.col(tokens_col).cast("long"), F.lit(0))
     source = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), n.alias("n_tokens")).where("n_tokens > 0")
-    # repeated rows are told apart by a number that their written table fixes
-    rows = work.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    totals = work.save(rows.groupBy("source").agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count("*").alias("n_rows")), "totals")
+    rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.xxhash64(F.col(text_col)).alias("key"), n.alias("n_tokens")).where("n_tokens > 0")
+    # repeated rows are one row with a number of copies until they are placed
+    rows = rows.groupBy("doc_id", "source", "key", "n_tokens").agg(F.count("*").alias("copies"))
+    rows = work.save(rows, "rows")
+    totals = work.save(rows.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).cast("double").alias("tokens"), F.sum("copies").alias("n_rows")), "totals")
     whole = totals.agg(F.sum("tokens")).first()[0] or 0.0
     budget = float(budget if budget is not None else whole)
     shares = work.save(totals.withColumn("share", F.col("tokens") / F.lit(whole or 1.0)), "shares")
     exponent = solve_exponent(shares, budget, entropy_share, max_repeats)
     z = shares.agg(F.sum(F.pow("share", F.lit(exponent)))).first()[0] or 1.0
-    plan = shares.select("source", "tokens", (F.pow("share", F.lit(exponent)) / z * budget).alias("quota"), F.ceil(F.col("n_rows") / bucket_rows).alias("n_buckets"))
+    # quotas in whole tokens, so that the order in which shares are added has no say
+    quota = F.round(F.pow("share", F.lit(exponent)) / F.lit(z) * F.lit(budget))
+    plan = shares.select("source", "tokens", quota.alias("quota"), F.ceil(F.col("n_rows") / bucket_rows).alias("n_buckets"))
     plan = work.save(plan, "plan")
     known = F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
 
     epochs = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("quota") / F.col("tokens")) - 1).cast("int"))
-    order = F.xxhash64("doc_id", "row", "epoch", F.lit(seed))
-    dealt = rows.join(known, "source").withColumn("epoch", F.explode(epochs)).withColumn("order", order)
+    dealt = rows.join(known, "source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies").withColumn("epoch", F.explode(epochs))
+    dealt = dealt.withColumn("order", F.xxhash64("doc_id", "key", "copy", "epoch", F.lit(seed)))
     # the top of the hash picks the bucket, so buckets follow one another in the permutation
     dealt = dealt.withColumn("bucket", F.floor((F.col("order").cast("double") / F.lit(2.0**64) + 0.5) * F.col("n_buckets")).cast("long"))
-    sums = dealt.groupBy("source", "epoch", "bucket").agg(F.sum("n_tokens").alias("t"))
-    before = Window.partitionBy("source").orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "epoch", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "epoch", "bucket").orderBy("order", "row").rowsBetween(Window.unboundedPreceding, -1)
+    # running sums on three levels: stretches of buckets, buckets of a stretch, rows of a bucket
+    stretch = F.floor(F.col("bucket") / STRETCH).cast("long")
+    sums = dealt.groupBy("source", "epoch", stretch.alias("stretch"), "bucket").agg(F.sum("n_tokens").alias("t"))
+    sums = work.save(sums, "sums")  # a row per bucket
+    tops = sums.groupBy("source", "epoch", "stretch").agg(F.sum("t").alias("t"))
+    before = Window.partitionBy("source").orderBy("epoch", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("source", "epoch", "stretch", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("top"))
+    before = Window.partitionBy("source", "epoch", "stretch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("base", F.coalesce(F.sum("t").over(before), F.lit(0))).join(tops, ["source", "epoch", "stretch"])
+    sums = sums.select("source", "epoch", "bucket", (F.col("top") + F.col("base")).alias("base"))
+    within = Window.partitionBy("source", "epoch", "bucket").orderBy("order", "doc_id", "key", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     placed = placed.join(sums, ["source", "epoch", "bucket"]).withColumn("at", F.col("base") + F.col("inner")).where("at < quota")
-    position = F.col("at") / F.col("quota") * budget
+    position = F.col("at") / F.col("quota") * F.lit(budget)
     name = F.when(F.col("source") == "null", None).otherwise(F.substring("source", 3, 1 << 30))
-    return placed.select("doc_id", name.alias("source"), "n_tokens", "epoch", F.floor(position / block_tokens).cast("long").alias("block"), position.alias("position"))
+    return placed.select("doc_id", name.alias("source"), "key", "n_tokens", "epoch", F.floor(position / block_tokens).cast("long").alias("block"), position.alias("position"))
