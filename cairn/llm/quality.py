@@ -12,22 +12,34 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIGITS, UPPER, LETTERS = re.compile(r"\d+"), re.compile(r"[^\W\d_]+"), re.compile(r"[^\W\d_]")
+DIGITS, UPPER = re.compile(r"\d+"), re.compile(r"[^\W\d_]+")
+#: A longer run without blanks (scripts that write none, encoded data) counts by its pieces of PIECE characters.
+LONGEST, PIECE = 32, 2
 #: Features whose buckets a worker remembers; beyond it they are hashed each time they come.
 KEPT = 300_000
 
 
 def _features(word: str) -> tuple[str, str]:
     """A word, lower-cased, and its form: letters as a or A by case, digits as 9, other characters as they are."""
-    form = UPPER.sub(lambda m: "A" if m.group().isupper() and len(m.group()) > 1 else "Aa" if m.group()[0].isupper() else "a", DIGITS.sub("9", word[:40]))
-    return "w" + word[:40].lower(), "f" + form[:24]
+    form = UPPER.sub(lambda m: "A" if m.group().isupper() and len(m.group()) > 1 else "Aa" if m.group()[0].isupper() else "a", DIGITS.sub("9", word))
+    return "w" + word.lower(), "f" + form
+
+
+def _words(text: str) -> Counter[str]:
+    """Words and their counts; a very long one as all its overlapping pieces, so that the whole text is read."""
+    found = Counter(text.split())
+    for word in [w for w in found if len(w) > LONGEST]:
+        n = found.pop(word)
+        for piece, m in Counter(map(word.__getitem__, (slice(i, i + PIECE) for i in range(len(word) - PIECE + 1)))).items():
+            found[piece] += n * m
+    return found
 
 
 def term_counts(text: str | None, buckets: int, kept: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of hashed words and word forms of a whole text. Half of the buckets are for forms."""
     at: Counter[int] = Counter()
     half = buckets // 2
-    for word, n in Counter((text or "").split()).items():
+    for word, n in _words(text or "").items():
         two = kept.get(word)
         if two is None:
             w, f = _features(word)
@@ -79,15 +91,19 @@ class LatentSpace:
 def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, neighbours: int, power: float, prior: float) -> np.ndarray:
     """Share of label 1 among each row's nearest labelled vectors, weighted by cosine to ``power``; one prior vote.
 
-    Exact: all products of the block with all labelled vectors. A row like none of them (empty text) gets the prior.
+    Exact: all products of the block with all labelled vectors. Labelled vectors that tie for the last place share it
+    evenly. A row like none of them (empty text) gets the prior.
     """
     k = min(neighbours, len(known))
     if not k:
         return np.full(len(vectors), prior)
     cosine = vectors @ known.T
-    at = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-    w = np.clip(np.take_along_axis(cosine, at, axis=1), 0, 1).astype(np.float64) ** power
-    return ((w * labels[at]).sum(axis=1) + 0.5 * prior) / (w.sum(axis=1) + 0.5)
+    last = np.partition(cosine, -k, axis=1)[:, -k][:, None]
+    share = (cosine > last).astype(np.float64)
+    tied = cosine == last
+    share += tied * ((k - share.sum(axis=1)) / tied.sum(axis=1))[:, None]
+    w = share * np.clip(cosine, 0, 1) ** power
+    return (w @ labels + 0.5 * prior) / (w.sum(axis=1) + 0.5)
 
 
 def held_out(id_col):
@@ -102,15 +118,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     a hash of the id: half from each label where there are enough. That bound fixes what is broadcast: max_labelled x
     ``rank`` floats and the projection of ``buckets`` x ``rank``. Every document is then projected and compared with
     all labelled vectors, in blocks. Only texts enter a score. Texts may be null or empty (they get the prior vote);
-    labels that are null or neither 0 nor 1, or of unknown documents, are ignored; without usable labels every score
-    is 0.5. Repeated rows are kept.
+    labels that are null or neither 0 nor 1, or of unknown documents, are ignored, and so are ids with both labels; a
+    labelled id with several texts teaches the one of the smallest hash. Without usable labels every score is 0.5.
+    Repeated rows are kept; ids may be of any type.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).dropDuplicates(["__id"])
+    known = known.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__label"), F.max(label_col).cast("int").alias("__most")).where("__label = __most").drop("__most")
     taken = known.where("__label = 0").orderBy(F.xxhash64("__id"), "__id").limit(max_labelled // 2)
     taken = taken.unionByName(known.where("__label = 1").orderBy(F.xxhash64("__id"), "__id").limit(max_labelled - max_labelled // 2))
-    ids = spark.createDataFrame(taken.collect(), "__id long, __label int")  # max_labelled rows at most
+    ids = spark.createDataFrame(taken.collect(), taken.schema)  # max_labelled rows at most
 
     def count(batches):
         kept: dict = {}
@@ -118,9 +135,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             both = [term_counts(t, buckets, kept) for t in b["text"]]
             yield pd.DataFrame({"id": b["__id"], "label": b["__label"], "at": [x[0] for x in both], "n": [x[1] for x in both]})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id")
-    rows = texts.mapInPandas(count, "id long, label int, at array<long>, n array<double>").collect()
-    rows = sorted({r["id"]: r for r in rows}.values(), key=lambda r: r["id"])
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id")
+    texts = texts.groupBy("__id", "__label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = texts.select(F.col("__id").cast("string").alias("__id"), "__label", "text")
+    rows = texts.mapInPandas(count, "id string, label int, at array<long>, n array<double>").collect()
+    rows = sorted(rows, key=lambda r: r["id"])
     y = np.array([r["label"] for r in rows], np.float64)
     space = LatentSpace([(np.array(r["at"], np.int64), np.array(r["n"])) for r in rows], buckets, rank) if rows else None
     sent = spark.sparkContext.broadcast((space, y))
