@@ -11,6 +11,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cairn.llm.common import Workspace
 
@@ -75,11 +76,11 @@ def runs(lengths: list[int], least_words: int, least_pieces: int) -> list[tuple[
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = 2, least_words: int = 25) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text without repeats, n_removed (sentences).
+    """One row per row of ``docs``: doc_id, text without repeats, n_removed (sentences and pieces of long ones).
 
     A span starts at every sentence and takes as many consecutive ones as it needs for ``least_words`` words, at least
     ``least_sentences``; long sentences count as several (see ``word_lists``). Its words are hashed to 128 bits. The first occurrence of a span is the one of the smallest
-    doc_id, and there the earliest. Sentences covered by any other occurrence are removed; white space of the rest
+    doc_id (of rows that share it, the smallest hash of the text), and there the earliest. Sentences covered by any other occurrence are removed; white space of the rest
     stays as it was, except that white space at the end goes with the sentences before it. A text that loses nothing
     is returned unchanged, a null text as null. Shorter texts have no spans, and the few words that a repeated passage
     has after its last whole span stay. Rows equal in id and text are one document and lose the same sentences. An
@@ -101,12 +102,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((np.array([a for a, _ in found], np.int32), two[:, 0], two[:, 1]))
             yield pd.DataFrame(out, columns=["pos", "h1", "h2"])
 
-    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("key"))
+    last = F.lit((1 << 63) - 1) if isinstance(docs.schema[id_col].dataType, IntegralType) else F.lit("\uffff")  # after all ids
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", last).alias("id"), F.xxhash64("text").alias("key"))
     listed = work.save(rows.select("id", "key", spans("text").alias("s")).select("id", "key", "s.*").where(F.size("pos") > 0), "spans")
     flat = listed.select("id", "key", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("s")).select("id", "key", "s.*")
-    first = flat.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"))
+    first = flat.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "pos")).alias("first"), F.count("*").alias("n"))
     first = work.save(first.where("n > 1").select("h1", "h2", "first"), "firsts")
-    again = flat.join(first, ["h1", "h2"]).where("struct(id, pos) <> first")
+    again = flat.join(first, ["h1", "h2"]).where("struct(id, key, pos) <> first")
     again = work.save(again.groupBy("id", "key").agg(F.collect_set("pos").alias("at")), "repeats")
 
     @F.pandas_udf("text string, n_removed int")
