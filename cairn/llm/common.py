@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own: dict[str, str] = {}
+_open: list[list[Workspace]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +43,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if _open:
+            _open[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -53,6 +58,22 @@ class Workspace:
         fs, at = _fs(self.spark, self.path(name))
         fs.delete(at, True)
 
+    def close(self) -> None:
+        """Frees all tables, once no DataFrame in use reads any of them."""
+        fs, at = _fs(self.spark, self.base)
+        fs.delete(at, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Frees the tables of all workspaces opened inside; what is still wanted must have been written elsewhere by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for work in _open.pop():
+            work.close()
+
 
 def ascii_lower(word: Column) -> Column:
     """A-Z to a-z and nothing else. ``lower`` does just that where every character is one byte."""

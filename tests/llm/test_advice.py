@@ -1,10 +1,17 @@
 """What a review of the corpus operators found cut short."""
 
+import hashlib
 import itertools
+import re
+import time
 
 import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
-from cairn.llm import decontaminate, pii, simhash, substrings
+from cairn.llm import decontaminate, mixing, pii, quality, simhash, substrings
+from cairn.llm.queries import QUERIES
 from tests.llm.test_corpus import docs, plain_hits
 
 
@@ -99,3 +106,72 @@ def test_no_repeat_of_fifty_words_stays(spark):
         w = texts[r["doc_id"]].split()
         seen |= {tuple(w[i : i + 50]) for i in range(len(w) - 49)}
     assert len(set(kept)) <= 1  # 40 documents repeat such a passage; 39 kept it with cuts counted from the start
+
+
+def test_rows_that_share_an_id_stay_apart(spark, sf):
+    import corpus_pipeline
+
+    a, b = "alpha beta gamma delta epsilon zeta", "eta theta iota kappa lambda mu nu"
+    tests = spark.createDataFrame([(1, f"{a} {b}")], "item_id long, text string")
+    rows = [(5, f"so {a}"), (5, b), (6, f"{a} {b}"), (6, "clean words here")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_hit"]) for r in decontaminate.decontaminate(table, tests).collect()) == [(5, 0), (5, 0), (6, 0), (6, 13)]
+    passage = "The quick brown fox jumps over the lazy dog near the river bank. It then went home to sleep for many hours. Nobody saw it leave the old barn."
+    table = spark.createDataFrame([(7, passage), (7, passage + " More."), (7, None), (None, passage)], "doc_id long, text string")
+    out = [(r["doc_id"], r["n_removed"] > 0) for r in substrings.remove_repeats(table).collect()]
+    assert sorted(map(str, out)) == ["(7, False)", "(7, False)", "(7, True)", "(None, True)"]
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11), (1, "g h i j k", "en", "s", 9), (1, "g h i j k", "en", "s", 9)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    assert corpus_pipeline.unseen(spark, docs, sf).count() == 3
+    mixed = corpus_pipeline.mixture(spark, docs, sf).collect()
+    assert sorted((r["text"], r["n_tokens"]) for r in mixed) == [("a b c d e f", 6), ("g h i j k", 5), ("g h i j k", 5)]
+    assert corpus_pipeline.one_of_each(spark, docs, sf).count() == 2
+
+
+def test_mixture_does_not_depend_on_partitions(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    one, five = (sorted(map(str, mixing.mix_sources(table.repartition(n)).collect())) for n in (1, 5))
+    assert one == five
+
+
+def plain_base(text):
+    """The four expressions as they stand, with Python's own search."""
+    found = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for kind, expression, low, high in ((2, r"[0-9]([\x20-]?[0-9])+", 14, 19), (3, r"\+[0-9][\x20().0-9-]+[0-9]", 10, 15)):
+        for m in re.finditer(expression, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if low <= len(digits) <= high and (kind == 3 or pii.luhn(digits)):
+                found.append((kind, m.start(), m.end()))
+    return sorted(found, key=lambda s: (s[1], s[0]))
+
+
+@given(st.text("a@._%1 2.@b5+-é(", max_size=60))
+def test_base_spans_equal_the_expressions(text):
+    assert pii.base_spans(text) == plain_base(text)
+
+
+def test_base_spans_of_a_table(spark, sf):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in QUERIES["op5_contextual_pii"](spark, sf).collect():
+        want = plain_base(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == i for s in want) for i in range(4)]
+        listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in want)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and set(listed.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+@pytest.mark.parametrize("text", ["0" * 200_000 + ".0.0.1", "Ab1" * 200_000, "1." * 200_000, "a@" * 100_000, "(12) " * 100_000, "漢字" * 200_000])
+def test_long_runs_take_linear_time(text):
+    began = time.monotonic()
+    pii._mentions(text, pii.base_spans(text))
+    assert time.monotonic() - began < 15
+
+
+def test_quality_reads_whole_words(spark):
+    kept = {}
+    a, b = (quality.term_counts("x" * 60 + end + " and", 8192, kept) for end in ("first", "other"))
+    assert sorted(a[0]) != sorted(b[0])
+    table = spark.createDataFrame([("p", "good text here"), ("q", "bad $$$"), ("p", "good text there"), (None, "x"), ("r", "漢字" * 5000)], "doc_id string, text string")
+    labels = spark.createDataFrame([("p", 1), ("q", 0), ("r", 1), ("r", 0)], "doc_id string, quality int")
+    assert quality.score_quality(table, labels).count() == 5
+    known, y = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]]), np.array([1.0, 0.0, 0.0])
+    assert quality.vote(np.array([[1.0, 0.0]]), known, y, 1, 2.0, 0.5)[0] == 0.5, "a tie for the last place is shared"
