@@ -4,29 +4,43 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import repeat
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import Workspace
 
-#: Word numbers: 0 for words outside the vocabulary, 1 for the start of a text, vocabulary words from 2.
-UNKNOWN, START, FIRST = 0, 1, 2
-#: A bigram's key is first * BASE + second.
+#: Word numbers: 1 for the start of a text, dictionary words from 2; other words have a digest from TAIL on.
+START, FIRST, TAIL = 1, 2, 1 << 32
+#: The key of two dictionary words is first * BASE + second; all others have a negative hash of both.
 BASE = 1 << 24
+_TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
-def _numbers(texts: pd.Series, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split(text: str | None) -> list[bytes]:
+    """Runs of characters other than blanks and \\x09-\\x0D, A-Z lower-cased, as UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+class Dictionary(dict):
+    """Numbers of the most frequent words; any other word is known by a 62-bit digest, which Spark computes alike."""
+
+    def __missing__(self, word: bytes) -> int:
+        return (xxhash.xxh64_intdigest(word, 42) >> 2) + TAIL
+
+
+def _numbers(texts: pd.Series, known: Dictionary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position of its text, word before, word) for every word of a batch of texts, as numbers."""
     flat: list[int] = []
     lengths = []
-    get = vocabulary.get
+    get = known.__getitem__
     for t in texts:
-        words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-        flat.extend(map(get, words, repeat(UNKNOWN)))
+        words = split(t)
+        flat.extend(map(get, words))
         lengths.append(len(words))
     ids, length = np.array(flat, np.int64), np.array(lengths, np.int64)
     before = np.concatenate([[START], ids[:-1]]) if len(ids) else ids
@@ -34,109 +48,180 @@ def _numbers(texts: pd.Series, vocabulary: dict[bytes, int]) -> tuple[np.ndarray
     return np.repeat(np.arange(len(length)), length), before, ids
 
 
-def _distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, key, count) of the distinct pairs, by doc and key."""
+def _keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """One number for each bigram."""
+    mixed = (before.astype(np.uint64) * _TIMES[0]) ^ ((ids.astype(np.uint64) + _TIMES[0]) * _TIMES[1])
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _TIMES[1]
+    return np.where((before < TAIL) & (ids < TAIL), before * BASE + ids, (mixed | np.uint64(1 << 63)).view(np.int64))
+
+
+def _distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct (doc, key) occurs first, and how often."""
     order = np.lexsort((key, doc))
     doc, key = doc[order], key[order]
     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.empty(0, np.int64)
-    return doc[first], key[first], np.diff(np.append(first, len(doc)))
+    return order[first], np.diff(np.append(first, len(doc)))
+
+
+class Frequent:
+    """Bigrams that may make up a ``share`` of all that a task reads, by at most ``room`` counters (Misra and Gries)."""
+
+    def __init__(self, share: float):
+        self.room, self.share, self.seen = int(4 / share), share, 0
+        self.counts: Counter[tuple[bytes, bytes]] = Counter()
+
+    def add(self, words: list[bytes], before: np.ndarray, ids: np.ndarray) -> None:
+        self.seen += len(ids)
+        pairs, n = np.unique(before * len(words) + ids, return_counts=True)
+        if len(pairs) > self.room:
+            n = n - np.partition(n, -self.room - 1)[-self.room - 1]
+        for pair, m in zip(pairs[n > 0].tolist(), n[n > 0].tolist(), strict=True):
+            self.counts[words[pair // len(words)], words[pair % len(words)]] += m
+        if len(self.counts) > self.room:
+            cut = sorted(self.counts.values(), reverse=True)[self.room]
+            self.counts = Counter({k: m - cut for k, m in self.counts.items() if m > cut})
 
+    def found(self) -> list[tuple[bytes, bytes, int]]:
+        return [(v, w, n) for (v, w), n in self.counts.items() if n >= self.share / 4 * self.seen]
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_size: int = 200_000, head: int = 512, least_count: int = 2, backoff: float = 0.4) -> DataFrame:
+
+def _tally(share: float):
+    """Batches of texts -> words with their counts and how often they end a text, and bigrams that may be frequent."""
+
+    def run(batches):
+        frequent = Frequent(share)
+        for b in batches:
+            local: dict[bytes, int] = {}
+            number, flat, ends, starts = local.setdefault, [], [], []
+            for t in b["text"]:
+                words = split(t)
+                if words:
+                    starts.append(len(flat))
+                    flat += [number(w, len(local)) for w in words]
+                    ends.append(flat[-1])
+            ids, names = np.array(flat, np.int64), list(local)
+            yield pd.DataFrame({"v": None, "w": names, "n": np.bincount(ids, minlength=len(names)), "last": np.bincount(np.array(ends, np.int64), minlength=len(names))})
+            inner = np.ones(len(ids), bool)  # a text's first word has none before it
+            inner[starts] = False
+            at = np.flatnonzero(inner)
+            frequent.add(names or [b""], ids[at - 1], ids[at])
+        for part in iter(lambda it=iter(frequent.found()): list(islice(it, 10_000)), []):
+            yield pd.DataFrame(part, columns=["v", "w", "n"]).assign(last=0)
+
+    return run
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary_size: int = 200_000, head: int = 512, hot_share: float = 2e-5, least_count: int = 2, backoff: float = 0.4) -> DataFrame:
     """(doc_id, n_words, n_seen, log_score, mean_log_score): stupid-backoff bigram scores under the corpus itself.
 
-    Words are runs of characters other than blanks and \\x09-\\x0D, A-Z lower-cased; those outside the
-    ``vocabulary_size`` most frequent (ties to the smaller word) share one number. S(w | v) is c(v w) / c(v) where the
-    bigram occurs ``least_count`` times in the corpus or more, else ``backoff`` * c(w) / N; c(v) counts v as a context
-    (the start of a text counts once a text). log_score sums natural logarithms over a document's words, n_seen counts
-    the bigrams that needed no backoff. All counts cover all documents.
-
-    The vocabulary, its counts, and counts of bigrams of the ``head`` most frequent words are of fixed size and go to
-    every worker; they hold every bigram that may be a hot key. All other bigrams of a document are rows, dealt by
-    the hash of the bigram, counted where they meet, and summed per document. Null or empty texts have
-    n_words 0, log_score 0 and a null mean; rows that share an id are parts of one document; an empty table gives no
-    rows; other columns are ignored.
+    Words are runs of characters other than blanks and \\x09-\\x0D, A-Z lower-cased; every word has counts of its own.
+    S(w | v) is c(v w) / c(v) where the bigram occurs ``least_count`` times in the corpus or more, else ``backoff`` *
+    c(w) / N; c(v) counts v as a context (the start of a text counts once a text). log_score sums natural logarithms
+    over a document's words, n_seen counts the bigrams that needed no backoff. All counts cover all documents.
+
+    Counts are tables that grow with the corpus. Of fixed size are only the ``dictionary_size`` most frequent words,
+    which have short numbers (others have 62-bit digests), and counts of frequent bigrams: those of the ``head`` most
+    frequent words, and all that make up ``hot_share`` of the corpus or more (4 / hot_share at most). Those go to every
+    worker, so that no bigram which meets in one task holds a larger share. All other bigrams of a document are rows,
+    dealt by the hash of the bigram and counted where they meet; what they then lack, the count of a word outside the
+    dictionary, is joined by its digest; scores are summed per document.
+
+    Null or empty texts have n_words 0, log_score 0 and a null mean; rows that share an id are parts of one document;
+    ids are whole numbers; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lm")
     no_id = -(1 << 63)  # pandas has no null for whole numbers
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("doc_id"), F.col(text_col).alias("text"))
 
-    # words and their counts, most frequent first
-    def tally(batches):
-        for b in batches:
-            whole: Counter[bytes] = Counter()
-            for t in b["text"]:
-                whole.update((t or "").encode("utf-8", "surrogatepass").lower().split())
-            yield pd.DataFrame({"word": list(whole.keys()), "n": list(whole.values())}).astype({"n": "int64"})
-
-    words = rows.select("text").mapInPandas(tally, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = work.save(words.where(f"n >= {least_count}").orderBy(F.desc("n"), "word").limit(vocabulary_size), "vocabulary")
-    top = sorted(((r["n"], bytes(r["word"])) for r in top.collect()), key=lambda r: (-r[0], r[1]))  # vocabulary_size rows
-    sent = spark.sparkContext.broadcast({w: FIRST + i for i, (_, w) in enumerate(top)})
+    counted = rows.select("text").mapInPandas(_tally(hot_share), "v binary, w binary, n long, last long")
+    counted = work.save(counted.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("last").alias("last")), "counted")
+    words = counted.where("v is null").select(F.col("w").alias("word"), "n", "last")
+    sums = words.agg(F.sum("n"), F.sum("last")).first()
+    total, texts = sums[0] or 0, sums[1] or 0
+    top = words.where(f"n >= {least_count}").orderBy(F.desc("n"), "word").limit(dictionary_size).toPandas()
+    top = top.sort_values(["n", "word"], ascending=[False, True], key=lambda c: c.map(bytes) if c.name == "word" else c, ignore_index=True)
+    numbers = Dictionary({bytes(w): FIRST + i for i, w in enumerate(top["word"])})
+    sent = spark.sparkContext.broadcast(dict(numbers))
+    hot = counted.where("v is not null").where(F.col("n") >= hot_share / 4 * total).toPandas()
+    pairs = [(numbers.get(bytes(v)), numbers.get(bytes(w))) for v, w in zip(hot["v"], hot["w"], strict=True)]
+    hot_keys = np.array(sorted(v * BASE + w for v, w in pairs if v and w), np.int64)
     edge = FIRST + head  # numbers below it are of the head
 
-    # counts of words as predicted and as context, and of head bigrams: bounded by vocabulary_size and (head + 2)^2
+    def frequent(before: np.ndarray, ids: np.ndarray, key: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(hot_keys, key), max(0, len(hot_keys) - 1))
+        return ((before < edge) & (ids < edge)) | (hot_keys[at] == key if len(hot_keys) else False)
+
+    # exact counts of frequent bigrams
     def count(batches):
+        known = Dictionary(sent.value)
         for b in batches:
-            doc, before, ids = _numbers(b["text"], sent.value)
-            inner = (before < edge) & (ids < edge)
-            last = ids[np.flatnonzero(np.diff(doc, append=-1))] if len(ids) else ids
-            (w, n), (k, m) = (np.unique(x, return_counts=True) for x in (np.concatenate([ids, before[before == START], -1 - last]), before[inner] * BASE + ids[inner]))
-            yield pd.DataFrame({"kind": np.repeat([1, 2], [len(w), len(k)]).astype(np.int32), "key": np.concatenate([w, k]), "n": np.concatenate([n, m])})
-
-    counted = rows.select("text").mapInPandas(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counted = work.save(counted, "counts").collect()
-    seen_as, last = np.zeros(FIRST + len(top), np.int64), np.zeros(FIRST + len(top), np.int64)
-    frequent: dict[int, int] = {}
-    for r in counted:
-        if r["kind"] == 2:
-            frequent[r["key"]] = r["n"]
-        elif r["key"] < 0:
-            last[-1 - r["key"]] = r["n"]
-        else:
-            seen_as[r["key"]] = r["n"]
-    total = int(seen_as.sum() - seen_as[START])
-    keys = np.array(sorted(k for k, n in frequent.items() if n >= least_count), np.int64)
-    tables = spark.sparkContext.broadcast((keys, np.log([frequent[k] for k in keys.tolist()] or [1.0]), np.log(np.maximum(1, seen_as - last)), np.log(np.maximum(1, seen_as)) + math.log(backoff) - math.log(max(1, total))))
+            _, before, ids = _numbers(b["text"], known)
+            key = _keys(before, ids)
+            key, n = np.unique(key[frequent(before, ids, key)], return_counts=True)
+            yield pd.DataFrame({"key": key, "n": n})
+
+    exact = rows.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    exact = work.save(exact, "frequent").where(F.col("n") >= least_count).toPandas().sort_values("key")
+    n_top, last = top["n"].to_numpy(np.int64), top["last"].to_numpy(np.int64)
+    context = np.log(np.maximum(1, np.concatenate([[1, texts], n_top - last])))
+    back = np.log(np.maximum(1, np.concatenate([[1, 1], n_top]))) + math.log(backoff) - math.log(max(1, total))
+    tables = spark.sparkContext.broadcast((exact["key"].to_numpy(np.int64), np.log(exact["n"].to_numpy(np.float64)), context, back))
 
     def explode(batches):
-        keys, log_two, log_context, log_back = tables.value
+        known = Dictionary(sent.value)
+        keys, log_two, context, back = tables.value
         for b in batches:
-            doc, before, ids = _numbers(b["text"], sent.value)
+            doc, before, ids = _numbers(b["text"], known)
             n_docs, names = len(b), b["doc_id"].to_numpy()
             length = np.bincount(doc, minlength=n_docs)
-            doc, key, n = _distinct(doc, before * BASE + ids)
-            inner = (key // BASE < edge) & (key % BASE < edge)
+            key = _keys(before, ids)
+            at, n = _distinct(doc, key)
+            doc, before, ids, key = doc[at], before[at], ids[at], key[at]
+            inner = frequent(before, ids, key)
             d, k, m = doc[inner], key[inner], n[inner]
             at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
             hit = keys[at] == k if len(keys) else np.zeros(len(k), bool)
-            score = m * (np.where(hit, log_two[at] - log_context[k // BASE], log_back[k % BASE]) if len(k) else np.empty(0))
+            score = m * (np.where(hit, log_two[at] - context[k // BASE], back[k % BASE]) if len(keys) else back[k % BASE]) if len(k) else np.empty(0)
             out = ~inner
+            none = np.zeros(out.sum())
+            # a document's own row: -1 - n_seen, n_words and score of its frequent bigrams
             yield pd.DataFrame(
                 {
                     "doc_id": np.concatenate([names[doc[out]], names]),
-                    "key": np.concatenate([key[out], np.full(n_docs, -1)]),
-                    "n": np.concatenate([n[out], length]).astype(np.int32),
-                    "seen": np.concatenate([np.zeros(out.sum()), np.bincount(d, m * hit, n_docs)]).astype(np.int32),
-                    "score": np.concatenate([np.zeros(out.sum()), np.bincount(d, score, n_docs)]),
+                    "key": np.concatenate([key[out], names]),
+                    "n": np.concatenate([n[out], -1 - np.bincount(d, m * hit, n_docs)]).astype(np.int32),
+                    "v": np.concatenate([before[out], length]),
+                    "w": np.concatenate([ids[out], np.zeros(n_docs, np.int64)]),
+                    "score": np.concatenate([none, np.bincount(d, score, n_docs)]),
                 }
             )
 
-    grams = rows.mapInPandas(explode, "doc_id long, key long, n int, seen int, score double")
-    # a bigram's rows are dealt by its key, counted there and given the count; a document's own row by its id
-    dealt = F.when(F.col("key") < 0, -1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))).otherwise(F.col("key"))
-    grams = grams.withColumn("key", dealt).withColumn("c", F.sum("n").over(Window.partitionBy("key")))
-    logs = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(seen_as)), "context": tables.value[2], "back": tables.value[3]}))
-    context, word = F.broadcast(logs.select(F.col("id").alias("v"), "context")), F.broadcast(logs.select(F.col("id").alias("w"), "back"))
-    grams = grams.withColumns({"v": F.shiftright("key", BASE.bit_length() - 1), "w": F.col("key").bitwiseAND(F.lit(BASE - 1))})
-    grams = grams.join(context, "v", "left").join(word, "w", "left")
-    own, known = F.col("key") < 0, F.col("c") >= least_count
-    log = F.col("n") * F.when(known, F.log("c") - F.col("context")).otherwise(F.col("back"))
-    out = grams.groupBy("doc_id").agg(
-        F.sum(F.when(own, F.col("n")).otherwise(0)).cast("long").alias("n_words"),
-        F.sum(F.when(own, F.col("seen")).when(known, F.col("n")).otherwise(0)).cast("long").alias("n_seen"),
-        F.sum(F.when(own, F.col("score")).otherwise(log)).alias("log_score"),
+    grams = rows.mapInPandas(explode, "doc_id long, key long, n int, v long, w long, score double")
+    # a bigram's rows are dealt by its key, counted there and given the count; a document's own row goes by its id
+    own = F.col("n") < 0
+    grams = grams.withColumn("key", F.when(own, F.xxhash64("doc_id")).otherwise(F.col("key")))
+    grams = grams.withColumn("c", F.sum(F.greatest("n", F.lit(0))).over(Window.partitionBy("key")))
+    logs = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(context)), "context": context, "back": back}))
+    contexts, backs = F.broadcast(logs.select(F.col("id").alias("v"), "context")), F.broadcast(logs.select(F.col("id").alias("w"), "back"))
+    grams = grams.join(contexts, "v", "left").join(backs, "w", "left")
+    seen = ~own & (F.col("c") >= least_count)
+    # what a bigram lacks, if anything: the digest of its context or of its word
+    lacks = F.when(own, None).when(seen, F.when(F.col("v") >= TAIL, F.col("v"))).when(F.col("w") >= TAIL, F.col("w"))
+    log = F.when(seen, F.log("c") - F.coalesce("context", F.lit(0.0))).otherwise(F.coalesce("back", F.lit(math.log(backoff) - math.log(max(1, total)))))
+    parts = grams.groupBy("doc_id", lacks.alias("digest"), (lacks.isNotNull() & seen).alias("as_context")).agg(
+        F.sum(F.when(own, F.col("v")).otherwise(0)).cast("long").alias("n_words"),
+        F.sum(F.when(own, -1 - F.col("n")).when(seen, F.col("n")).otherwise(0)).cast("long").alias("n_seen"),
+        F.sum(F.when(own, 0).otherwise(F.col("n"))).cast("long").alias("n"),
+        F.sum(F.when(own, F.col("score")).otherwise(F.col("n") * log)).alias("score"),
     )
+    parts = work.save(parts, "parts")
+    digest = F.shiftrightunsigned(F.xxhash64("word"), 2) + F.lit(TAIL)
+    tail = words.where(f"n >= {least_count}").select(digest.alias("digest"), F.col("n").alias("as_word"), (F.col("n") - F.col("last")).alias("before"))
+    lacking = parts.where("digest is not null").join(tail, "digest", "left")
+    added = F.when(F.col("as_context"), -F.log(F.greatest("before", F.lit(1)).cast("double"))).otherwise(F.log(F.coalesce("as_word", F.lit(1)).cast("double")))
+    lacking = lacking.select("doc_id", "n_words", "n_seen", (F.col("score") + F.col("n") * added).alias("score"))
+    out = parts.where("digest is null").select("doc_id", "n_words", "n_seen", "score").unionByName(lacking)
+    out = out.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.sum("score").alias("log_score"))
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != no_id, F.col("doc_id")))
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

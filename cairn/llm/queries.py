@@ -76,9 +76,7 @@ ORACLES = {
     "op8_stupid_backoff": r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
-voc AS (SELECT word FROM t GROUP BY word HAVING count(*) >= 2 ORDER BY count(*) DESC, word LIMIT 200000),
-x AS (SELECT doc_id, pos, coalesce(voc.word, ' rare') AS w FROM t LEFT JOIN voc USING (word)),
-b AS (SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), ' start') AS v FROM x),
+b AS (SELECT doc_id, word AS w, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY pos), ' start') AS v FROM t),
 one AS (SELECT w, count(*) AS c1 FROM b GROUP BY w), ctx AS (SELECT v, count(*) AS cv FROM b GROUP BY v), two AS (SELECT v, w, count(*) AS c2 FROM b GROUP BY v, w),
 s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE c2 >= 2) AS n_seen,
  sum(CASE WHEN c2 >= 2 THEN ln(c2) - ln(cv) ELSE ln(4e-1) + ln(c1) - ln((SELECT count(*) FROM b)) END) AS score

@@ -338,14 +338,11 @@ def test_repeats_equal_plain(spark, sf):
 # language model
 
 
-def plain_scores(texts, size, least=2, backoff=0.4):
+def plain_scores(texts, least=2, backoff=0.4):
     import math
     from collections import Counter
 
     words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
-    freq = Counter(w for x in words.values() for w in x)
-    vocabulary = set(sorted((w for w, n in freq.items() if n >= least), key=lambda w: (-freq[w], w))[:size])
-    words = {i: [w if w in vocabulary else None for w in x] for i, x in words.items()}
     one, context, two = Counter(), Counter(), Counter()
     for x in words.values():
         for v, w in zip(["<s>", *x], x):  # noqa: B905
@@ -365,16 +362,16 @@ def plain_scores(texts, size, least=2, backoff=0.4):
     return out
 
 
-@pytest.mark.parametrize("head", [4, 512])
-def test_scores_equal_plain(spark, sf, odd, none, head):
+@pytest.mark.parametrize(("head", "size"), [(4, 300), (512, 200_000)])
+def test_scores_equal_plain(spark, sf, odd, none, head, size):
     table = spark.read.parquet(f"{sf}/documents.parquet")
-    want = plain_scores({r["doc_id"]: r["text"] for r in table.collect()}, 3000)
-    out = lm_scores.score_documents(table, vocabulary_size=3000, head=head).collect()
+    want = plain_scores({r["doc_id"]: r["text"] for r in table.collect()})
+    out = lm_scores.score_documents(table, dictionary_size=size, head=head, hot_share=0.001).collect()
     assert len(out) == len(want)
     for r in out:
         n, seen, s = want[r["doc_id"]]
         assert (r["n_words"], r["n_seen"]) == (n, seen) and r["log_score"] == pytest.approx(s, rel=1e-9)
-    small = lm_scores.score_documents(odd, head=head)
+    small = lm_scores.score_documents(odd, dictionary_size=size, head=head)
     assert small.count() == 7 and small.where("n_words = 0 and mean_log_score is null").count() == 3
     assert lm_scores.score_documents(none).count() == 0
 
