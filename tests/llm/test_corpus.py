@@ -1,6 +1,7 @@
 """The corpus operators against plain Python, and on nulls, empty and long texts, repeats and empty tables."""
 
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -246,7 +247,7 @@ def test_neighbours_recall_and_edges(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((1500, 24)).astype(np.float32)
     x[200:500] = x[0]  # a large group of copies
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(2000, None, 0), (2050, [0.0] * 24, 0), (2100, [float("nan")] * 24, 0), (2150, [1.0], 0), (None, x[3].tolist(), 0), (50, x[50].tolist(), 0), (2200, (x[7] * 1e30).tolist(), 0)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(2000, None, 0), (2050, [0.0] * 24, 0), (2100, [float("nan")] * 24, 0), (2150, [1.0], 0), (2151, [-2.0], 0), (2250, [1.0, 2.0], 0), (None, x[3].tolist(), 0), (50, x[50].tolist(), 0), (2200, (x[7] * 1e30).tolist(), 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, list int")
     out = ann.nearest(table, F.col("vec_id") % 50 == 0).toPandas()
     ids = np.array([*range(1500), 2200])
@@ -254,6 +255,8 @@ def test_neighbours_recall_and_edges(spark):
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     hit = 0
     queries = [i for i in ids if i % 50 == 0]
+    assert out[out["query_id"] == 2150][["vec_id", "score"]].values.tolist() == [[2151, -1.0]]
+    out = out[out["query_id"] != 2150]
     assert sorted(out["query_id"].unique()) == queries
     for q in queries:
         s = y @ y[np.flatnonzero(ids == q)[0]]
@@ -268,6 +271,34 @@ def test_neighbours_recall_and_edges(spark):
     assert ann.nearest(table.where("vec_id in (1, 2)"), F.lit(True)).count() == 2
 
 
+def test_recall_on_the_table(spark):
+    """All of the vectors at sf0.1 (sf0.001 in a quick run) against all products."""
+    sf = os.environ.get("TEST_ANN_DIR", "/root/testdata/sf0.001")
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.array(table["embedding"].tolist(), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = QUERIES["op1_adaptive_dimension_scan"](spark, sf).toPandas()
+    asked, hit = [i for i in ids if i % 50 == 0], 0
+    for q in asked:
+        s = x @ x[ids == q][0]
+        true = [i for i in ids[np.lexsort((ids, -s))] if i != q][:5]
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert mine["rank"].tolist() == [1, 2, 3, 4, 5]
+        assert np.allclose(mine["score"], [s[ids == i][0] for i in mine["vec_id"]], atol=1e-12)
+        hit += len(set(true) & set(mine["vec_id"]))
+    assert hit >= 0.9 * 5 * len(asked), hit / (5 * len(asked))
+
+
+def test_huge_and_tiny_components_and_shared_ids(spark):
+    big = 1.5e308
+    rows = [(0, [big, big]), (1, [big, -big]), (2, [1e-320, 1e-320]), (3, [1.0, 1.0]), (4, [1.0, 0.0]), (4, [0.0, 1.0])]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 4)).collect()
+    got = [(r["vec_id"], round(r["score"], 6)) for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])) if r["query_id"] == 0]
+    assert got == [(2, 1.0), (3, 1.0), (4, 0.707107), (4, 0.707107), (1, 0.0)]
+    assert all(np.isfinite(r["score"]) and r["vec_id"] != r["query_id"] for r in out)
+    assert sum(r["query_id"] == 4 and r["rank"] == 1 for r in out) == 2, "each vector of a shared id asks by itself"
+
+
 def test_scan_without_limits_is_exact():
     rng = np.random.default_rng(2)
     q, r = rng.standard_normal((5, 32)), rng.standard_normal((300, 32))
