@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from cairn.llm import decontaminate, mixing, pii, quality, simhash, substrings
+from cairn.llm import decontaminate, html_blocks, mixing, pii, quality, simhash, substrings
 from cairn.llm.queries import QUERIES
 from tests.llm.test_corpus import docs, plain_hits
 
@@ -175,3 +175,55 @@ def test_quality_reads_whole_words(spark):
     assert quality.score_quality(table, labels).count() == 5
     known, y = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]]), np.array([1.0, 0.0, 0.0])
     assert quality.vote(np.array([[1.0, 0.0]]), known, y, 1, 2.0, 0.5)[0] == 0.5, "a tie for the last place is shared"
+
+
+def _main(spark):
+    tree = html_blocks.train_tree(spark)
+
+    def run(page):
+        found = html_blocks.blocks(page)
+        return [x.text for x, row in zip(found, html_blocks.features(found), strict=True) if html_blocks.is_main(tree, row)]
+
+    return tree, run
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>Before <i aria-hidden="true"></i> after.</p><p>And <span hidden>x <span>y</span> z</span> on</p></article>', "Before after. And on"),
+        ('<article><h2>Head <a class=anchor aria-hidden=true href=#x>#</a></h2><p>Text <b>bold <i hidden>no</b> gone</article>', "Head Text bold"),
+        ('<div class="layout has-sidebar"><article><p>Some text of it.</p></article></div>', "Some text of it."),
+        ('<div class="nav-fixed page"><nav><a href=/>Home</a></nav><main><p>Some text of it that is long enough to be read.</p></main></div>', "Some text of it that is long enough to be read."),
+        ("<article><p>Let <math><mi>x</mi></math> be.<p><object>seen</object> <svg><title>t</title><path d=1 /><text>label</text></svg></article>", "Let x be. seen label"),
+        ("<article><p>A<script>if (a<b) { x='</p><p>no' }</script>B</article>", "AB"),
+        ("<article><p>one</article><form><p>Mail <input></form><dialog>Hello there</dialog>", "one"),
+    ],
+)
+def test_main_text_of_odd_markup(spark, page, want):
+    assert " ".join(_main(spark)[1](page)) == want
+
+
+def test_tree_uses_neighbours_and_holds_without_hints(spark, sf):
+    """Pages whose elements and classes are taken away: word counts and link densities alone."""
+    tree, main = _main(spark)
+
+    def asked(t):
+        return {html_blocks.FEATURES[t[0]]} | asked(t[2]) | asked(t[3]) if isinstance(t, tuple) else set()
+
+    assert asked(tree) & {"words_before", "words_after", "link_before", "link_after"}
+    found = kept = right = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        body = re.search("<article>(.*)</article>", r["html"], re.S).group(1)
+        true = {x.text for x in html_blocks.blocks(body)}
+        bare = re.sub("<(/?)(article|nav|footer)", r"<\1div", r["html"]).replace('class="ad"', "")
+        got = main(bare)
+        n = lambda texts: sum(len(t.split()) for t in texts)
+        found, kept, right = found + n(true), kept + n(got), right + n(t for t in got if t in true)
+    assert right / found > 0.97 and right / kept > 0.93
+
+
+@pytest.mark.parametrize("page", ["<a '>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<span hidden>" * 100_000, "<p>x" * 100_000])
+def test_odd_markup_takes_linear_time(page):
+    began = time.monotonic()
+    html_blocks.blocks(page)
+    assert time.monotonic() - began < 15
