@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import Workspace
+from cairn.llm.components import connected_components
 from cairn.llm.decontaminate import small
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8^ROWS)^BANDS, 0.0001; one of 0.9 never in practice.
@@ -66,57 +67,91 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     return rows.select("doc_id", "key", "s.*")
 
 
-def _crowd_pairs(fps: np.ndarray, marks: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of a crowded bucket that may be similar; what is surely linked is not paired among itself.
-
-    Sure is an estimated similarity far over the limit.
-    """
-    one = (similarity * (1 - similarity) / marks.shape[1]) ** 0.5
-    off, left, out = SPREAD * one, np.ones(len(fps), bool), []
-    for start in range(len(fps)):
-        if not left[start]:
-            continue
-        left[start], front = False, [start]
-        while front:
-            at = front.pop()
-            rest = np.flatnonzero(left)
-            same = (marks[rest] == marks[at]).mean(axis=1)
-            out += [(int(fps[at]), int(fps[x])) for x in rest[same >= similarity - off]]
-            sure = rest[same >= min(similarity + off, 0.99)]
-            left[sure] = False
-            front += sure.tolist()
+def _forest(fps: np.ndarray, marks: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs estimated at ``least`` or more that takes the most similar first."""
+    left, out = np.arange(1, len(fps)), []
+    best, parent, at = np.full(len(left), -1.0), np.zeros(len(left), np.int64), 0
+    while len(left):
+        same = (marks[left] == marks[at]).mean(axis=1)
+        closer = same > best
+        best[closer], parent[closer] = same[closer], at
+        nth = int(np.argmax(best))
+        at = left[nth]
+        if best[nth] >= least:
+            out.append((int(fps[parent[nth]]), int(fps[at])))
+        keep = np.arange(len(left)) != nth
+        left, best, parent = left[keep], best[keep], parent[keep]
     return out
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, text_col: str, work: Workspace, width: int = 5, similarity: float = 0.8, bucket_limit: int = 24) -> DataFrame:
+def _signatures(sketches: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, sketches)), np.uint8).reshape(len(sketches), ROWS * BANDS)
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, text_col: str, work: Workspace, width: int = 5, similarity: float = 0.8, bucket_limit: int = 24, chunk: int = 1024) -> DataFrame:
     """Links (a, b) of ``nodes`` (fp, key, bands, sketch), enough to connect all whose shingle sets are that similar.
 
-    Nodes that share a band are candidates. In a bucket of at most ``bucket_limit`` every pair is one; in a larger one
-    signatures, eight bits a value, tell which pairs may be similar. Every candidate pair is then held to the exact
-    Jaccard similarity of both shingle sets, made again from the texts in question only.
+    Nodes that share a band are candidates, and every candidate pair is held to the exact Jaccard similarity of both
+    shingle sets, made again from the texts in question only. In a bucket of at most ``bucket_limit`` every pair is a
+    candidate. A larger one is cut in chunks of about ``chunk``, and signatures, eight bits a value, estimate the
+    similarity of its pairs. First come those of a spanning forest of each chunk, the most similar first; what they
+    connect is one component. Then come all pairs of the bucket that may be similar and lie in different components:
+    members outside a bucket's largest component are compared with all its members, chunk by chunk. So a crowd of near
+    copies costs a pair or so for each member and band, no task holds more than two chunks, and no link is lost but for an
+    estimate that is off by SPREAD standard deviations.
     """
     rows = nodes.select("fp", F.explode("bands").alias("band"))
     sizes = work.save(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     met = work.save(rows.join(sizes, "band"), "buckets")
+    may = similarity - SPREAD * (similarity * (1 - similarity) / (ROWS * BANDS)) ** 0.5
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
 
     def pairs(batches):
         for b in batches:
             found = [p for m in b["members"] for p in combinations(sorted(m), 2)]
             yield pd.DataFrame({"a": [p[0] for p in found], "b": [p[1] for p in found]}, dtype=np.int64)
 
-    def crowded(batches):
-        for b in batches:
-            for m in b["members"]:
-                m = sorted((x["fp"], x["sketch"]) for x in m)
-                marks = np.frombuffer(b"".join(bytes(x[1]) for x in m), np.uint8).reshape(len(m), -1)
-                found = _crowd_pairs(np.array([x[0] for x in m], np.int64), marks, similarity)
-                yield pd.DataFrame({"a": [p[0] for p in found], "b": [p[1] for p in found]}, dtype=np.int64)
+    def forest(m: pd.DataFrame) -> pd.DataFrame:
+        m = m.sort_values("fp")
+        found = _forest(m["fp"].to_numpy(), _signatures(m["sketch"]), may)
+        return pd.DataFrame({"a": [p[0] for p in found], "b": [p[1] for p in found]}, dtype=np.int64)
+
+    def across(key, rest: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if len(rest) and len(every):
+            fps, parts, marks = every["fp"].to_numpy(), every["part"].to_numpy(), _signatures(every["sketch"])
+            for fp, part, mark in zip(rest["fp"], rest["part"], _signatures(rest["sketch"]), strict=True):
+                near = fps[(parts != part) & ((marks == mark).mean(axis=1) >= may)]
+                a, b = [*a, np.full(len(near), fp)], [*b, near]
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}, dtype=np.int64)
+
+    def ordered(df: DataFrame) -> DataFrame:
+        return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     few = met.where(F.col("n") <= bucket_limit).groupBy("band").agg(F.collect_list("fp").alias("members"))
+    chunks = F.ceil(F.col("n") / chunk).cast("int")
     many = met.where(F.col("n") > bucket_limit).join(nodes.select("fp", "sketch"), "fp")
-    many = many.groupBy("band").agg(F.collect_list(F.struct("fp", "sketch")).alias("members"))
-    found = few.select("members").mapInPandas(pairs, "a long, b long").unionByName(many.select("members").mapInPandas(crowded, "a long, b long"))
-    found = work.save(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    many = work.save(many.select("band", "fp", "sketch", chunks.alias("chunks"), F.pmod(F.xxhash64("fp", "band"), chunks).alias("chunk")), "crowds")
+    found = few.select("members").mapInPandas(pairs, "a long, b long").unionByName(many.groupBy("band", "chunk").applyInPandas(forest, "a long, b long"))
+    found = work.save(ordered(found), "candidates-1")
+    links = work.save(_verified(found, nodes, docs, text_col, work, width, similarity, "1"), "links-of-trees")
+
+    parts = connected_components(links, Workspace(work.spark, "crowds"))
+    many = many.join(parts, many.fp == parts.node, "left").select("band", "fp", "sketch", "chunks", "chunk", F.coalesce("component", "fp").alias("part"))
+    largest = many.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    largest = largest.where("parts > 1").select("band", "largest", F.ceil((F.col("n") - F.col("most")) / chunk).cast("int").alias("rest_chunks"))
+    many = work.save(many.join(largest, "band"), "open-crowds")
+    rest = many.where("part <> largest").withColumn("rest_chunk", F.pmod(F.xxhash64("fp", "band"), "rest_chunks")).withColumn("chunk", F.explode(numbers(F.col("chunks"))))
+    own = [F.col(c).alias(c) for c in ("band", "fp", "sketch", "chunk", "part")]  # columns apart from those of ``rest``
+    every = many.select(*own, F.explode(numbers(F.col("rest_chunks"))).alias("rest_chunk"))
+    tile = ["band", "chunk", "rest_chunk"]
+    more = rest.groupBy(*tile).cogroup(every.groupBy(*tile)).applyInPandas(across, "a long, b long")
+    more = work.save(ordered(more).join(found, ["a", "b"], "left_anti"), "candidates-2")
+    return links.unionByName(_verified(more, nodes, docs, text_col, work, width, similarity, "2"))
+
+
+def _verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, work: Workspace, width: int, similarity: float, name: str) -> DataFrame:
+    """The pairs (a, b) of ``found`` whose shingle sets have the similarity, by the sets themselves."""
 
     @F.pandas_udf("array<long>")
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -124,9 +159,9 @@ def similar_links(nodes: DataFrame, docs: DataFrame, text_col: str, work: Worksp
             yield pd.Series([shingle_set(t, width).view(np.int64) for t in texts])
 
     asked = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "fp")
-    asked = work.save(nodes.select("fp", "key").join(asked, "fp"), "asked")
+    asked = work.save(nodes.select("fp", "key").join(asked, "fp"), f"asked-{name}")
     texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key")).join(small(asked, BROADCAST_KEYS), "key")
-    texts = work.save(texts.dropDuplicates(["fp"]).select("fp", hashes("text").alias("set")), "sets")
+    texts = work.save(texts.dropDuplicates(["fp"]).select("fp", hashes("text").alias("set")), f"sets-{name}")
     both = found.join(texts.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     both = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("total"))

@@ -10,7 +10,9 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from cairn.llm import decontaminate, html_blocks, mixing, pii, quality, simhash, substrings
+from cairn.llm import decontaminate, html_blocks, mixing, pii, quality, shingles, simhash, substrings
+from cairn.llm.common import Workspace
+from cairn.llm.components import connected_components
 from cairn.llm.queries import QUERIES
 from tests.llm.test_corpus import docs, plain_hits
 
@@ -66,6 +68,26 @@ def test_stage_links_shingle_sets_of_four_fifths(spark, sf):
         assert got == want
 
 
+@pytest.mark.parametrize("edits", [10, 20])
+def test_crowds_larger_than_a_chunk(spark, edits):
+    """Near copies that share bands: in two components that few pairs join, or with most pairs just below the limit."""
+    rng = np.random.default_rng(edits)
+    base = [f"c{i}" for i in range(400)]
+    texts = {i: edited(rng, base, edits) for i in range(80)}
+    table = docs(spark, list(texts.values()))
+    work = Workspace(spark, "test")
+    found = shingles.sketches(table, "doc_id", "text", 5)
+    nodes = work.save(found.select("fp", "key", "bands", "sketch"), "nodes")
+    ids = {r["fp"]: r["doc_id"] for r in found.collect()}
+    links = shingles.similar_links(nodes, table, "text", work, bucket_limit=6, chunk=16)
+    parts = {ids[r["node"]]: r["component"] for r in connected_components(links, work).collect()}
+    groups, want = {}, {}
+    for i, c in plain_near(texts).items():
+        groups.setdefault(parts.get(i, -1 - i), set()).add(i)
+        want.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
 def test_repeated_and_shared_item_ids(spark):
     a = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     b = "one two three four five six seven eight nine ten eleven"
