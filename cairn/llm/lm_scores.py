@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import islice
+from collections import Counter, defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import Workspace
@@ -64,18 +64,24 @@ def _distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Frequent:
-    """Bigrams that may make up a ``share`` of all that a task reads, by at most ``room`` counters (Misra and Gries)."""
+    """Bigrams that may make up a ``share`` of all words that a task reads, by at most ``room`` counters.
+
+    Of a batch count those that make up a quarter of the share there. Where the counters run out, all of them fall
+    (Misra and Gries), by another quarter of the share at most. So what has the share in the whole corpus has half of
+    it in the sum over all tasks.
+    """
 
     def __init__(self, share: float):
         self.room, self.share, self.seen = int(4 / share), share, 0
         self.counts: Counter[tuple[bytes, bytes]] = Counter()
 
-    def add(self, words: list[bytes], before: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, words: list[bytes], counts: np.ndarray, before: np.ndarray, ids: np.ndarray) -> None:
         self.seen += len(ids)
-        pairs, n = np.unique(before * len(words) + ids, return_counts=True)
-        if len(pairs) > self.room:
-            n = n - np.partition(n, -self.room - 1)[-self.room - 1]
-        for pair, m in zip(pairs[n > 0].tolist(), n[n > 0].tolist(), strict=True):
+        least = self.share / 4 * len(ids)
+        often = counts >= least
+        both = often[before] & often[ids]
+        pairs, n = np.unique(before[both] * len(words) + ids[both], return_counts=True)
+        for pair, m in zip(pairs[n >= least].tolist(), n[n >= least].tolist(), strict=True):
             self.counts[words[pair // len(words)], words[pair % len(words)]] += m
         if len(self.counts) > self.room:
             cut = sorted(self.counts.values(), reverse=True)[self.room]
@@ -91,27 +97,35 @@ def _tally(share: float):
     def run(batches):
         frequent = Frequent(share)
         for b in batches:
-            local: dict[bytes, int] = {}
-            number, flat, ends, starts = local.setdefault, [], [], []
+            number: defaultdict[bytes, int] = defaultdict(count().__next__)
+            flat, ends, starts = [], [], []
             for t in b["text"]:
                 words = split(t)
                 if words:
                     starts.append(len(flat))
-                    flat += [number(w, len(local)) for w in words]
+                    flat.extend(map(number.__getitem__, words))
                     ends.append(flat[-1])
-            ids, names = np.array(flat, np.int64), list(local)
-            yield pd.DataFrame({"v": None, "w": names, "n": np.bincount(ids, minlength=len(names)), "last": np.bincount(np.array(ends, np.int64), minlength=len(names))})
+            ids, names = np.array(flat, np.int64), list(number)
+            n = np.bincount(ids, minlength=len(names))
+            yield pd.DataFrame({"v": None, "w": names, "n": n, "last": np.bincount(np.array(ends, np.int64), minlength=len(names))})
             inner = np.ones(len(ids), bool)  # a text's first word has none before it
             inner[starts] = False
             at = np.flatnonzero(inner)
-            frequent.add(names or [b""], ids[at - 1], ids[at])
+            if len(at):
+                frequent.add(names, n, ids[at - 1], ids[at])
         for part in iter(lambda it=iter(frequent.found()): list(islice(it, 10_000)), []):
             yield pd.DataFrame(part, columns=["v", "w", "n"]).assign(last=0)
 
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary_size: int = 200_000, head: int = 512, hot_share: float = 2e-5, least_count: int = 2, backoff: float = 0.4) -> DataFrame:
+def _double(bits: Column) -> Column:
+    """The negative number whose 64 bits these are; zero for zero."""
+    exponent, fraction = F.shiftright(bits, 52).bitwiseAND(F.lit(2047)), bits.bitwiseAND(F.lit((1 << 52) - 1))
+    return F.when(exponent == 0, 0.0).otherwise(-(fraction + F.lit(1 << 52)).cast("double") * F.pow(F.lit(2.0), (exponent - 1075).cast("double")))
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary_size: int = 200_000, head: int = 512, hot_share: float = 5e-5, least_count: int = 2, backoff: float = 0.4) -> DataFrame:
     """(doc_id, n_words, n_seen, log_score, mean_log_score): stupid-backoff bigram scores under the corpus itself.
 
     Words are runs of characters other than blanks and \\x09-\\x0D, A-Z lower-cased; every word has counts of its own.
@@ -139,7 +153,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = counted.where("v is null").select(F.col("w").alias("word"), "n", "last")
     sums = words.agg(F.sum("n"), F.sum("last")).first()
     total, texts = sums[0] or 0, sums[1] or 0
-    top = words.where(f"n >= {least_count}").orderBy(F.desc("n"), "word").limit(dictionary_size).toPandas()
+    top = work.save(words.where(f"n >= {least_count}").orderBy(F.desc("n"), "word").limit(dictionary_size), "dictionary").toPandas()
     top = top.sort_values(["n", "word"], ascending=[False, True], key=lambda c: c.map(bytes) if c.name == "word" else c, ignore_index=True)
     numbers = Dictionary({bytes(w): FIRST + i for i, w in enumerate(top["word"])})
     sent = spark.sparkContext.broadcast(dict(numbers))
@@ -153,7 +167,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return ((before < edge) & (ids < edge)) | (hot_keys[at] == key if len(hot_keys) else False)
 
     # exact counts of frequent bigrams
-    def count(batches):
+    def recount(batches):
         known = Dictionary(sent.value)
         for b in batches:
             _, before, ids = _numbers(b["text"], known)
@@ -161,7 +175,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             key, n = np.unique(key[frequent(before, ids, key)], return_counts=True)
             yield pd.DataFrame({"key": key, "n": n})
 
-    exact = rows.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    exact = rows.select("text").mapInPandas(recount, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     exact = work.save(exact, "frequent").where(F.col("n") >= least_count).toPandas().sort_values("key")
     n_top, last = top["n"].to_numpy(np.int64), top["last"].to_numpy(np.int64)
     context = np.log(np.maximum(1, np.concatenate([[1, texts], n_top - last])))
@@ -183,25 +197,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
             hit = keys[at] == k if len(keys) else np.zeros(len(k), bool)
             score = m * (np.where(hit, log_two[at] - context[k // BASE], back[k % BASE]) if len(keys) else back[k % BASE]) if len(k) else np.empty(0)
-            out = ~inner
-            none = np.zeros(out.sum())
-            # a document's own row: -1 - n_seen, n_words and score of its frequent bigrams
+            out, far = ~inner, key < 0
+            # a document's own row: -1 - n_seen, n_words, and the bits of the score of its frequent bigrams
             yield pd.DataFrame(
                 {
                     "doc_id": np.concatenate([names[doc[out]], names]),
                     "key": np.concatenate([key[out], names]),
                     "n": np.concatenate([n[out], -1 - np.bincount(d, m * hit, n_docs)]).astype(np.int32),
-                    "v": np.concatenate([before[out], length]),
-                    "w": np.concatenate([ids[out], np.zeros(n_docs, np.int64)]),
-                    "score": np.concatenate([none, np.bincount(d, score, n_docs)]),
+                    "v": np.concatenate([np.where(far, before, 0)[out], length]),
+                    "w": np.concatenate([np.where(far, ids, 0)[out], np.bincount(d, score, n_docs).view(np.int64)]),
                 }
             )
 
-    grams = rows.mapInPandas(explode, "doc_id long, key long, n int, v long, w long, score double")
+    grams = rows.mapInPandas(explode, "doc_id long, key long, n int, v long, w long")
     # a bigram's rows are dealt by its key, counted there and given the count; a document's own row goes by its id
     own = F.col("n") < 0
     grams = grams.withColumn("key", F.when(own, F.xxhash64("doc_id")).otherwise(F.col("key")))
     grams = grams.withColumn("c", F.sum(F.greatest("n", F.lit(0))).over(Window.partitionBy("key")))
+    near = ~own & (F.col("key") >= 0)  # two dictionary words: their numbers are in the key
+    grams = grams.withColumn("score", F.when(own, _double(F.col("w"))))
+    grams = grams.withColumns({"v": F.when(near, F.shiftright("key", BASE.bit_length() - 1)).otherwise(F.col("v")), "w": F.when(near, F.col("key").bitwiseAND(F.lit(BASE - 1))).otherwise(F.col("w"))})
     logs = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(context)), "context": context, "back": back}))
     contexts, backs = F.broadcast(logs.select(F.col("id").alias("v"), "context")), F.broadcast(logs.select(F.col("id").alias("w"), "back"))
     grams = grams.join(contexts, "v", "left").join(backs, "w", "left")
