@@ -24,13 +24,15 @@ MANIFESTS = (
     "compose.yml", "compose.yaml", "kubernetes.yaml", "k8s.yaml", "deployment.yaml", "setup.py", "pom.xml",
     "build.gradle", "build.gradle.kts", "yarn.lock", "pnpm-lock.yaml", ".env", ".env.example", ".env.local",
 )
+# Path patterns of the layers, in the order in which they are tried, and the layers' other names.
 LAYERS = {
-    "api": "api/ apis/ routes/ route/ controllers/ controller/ handlers/ handler/ endpoints/ graphql/ routers/ router/".split(),
-    "service": "services/ service/ domain/ usecases/ use_cases/ application/ app/backend/ core/".split(),
-    "data": "models/ model/ db/ database/ repositories/ repository/ repo/ migrations/ migration/ schema/ dal/".split(),
-    "ui": "frontend/ ui/ components/ pages/ views/ src/app/ widgets/ screens/".split(),
-    "util": "utils/ util/ helpers/ lib/ common/ shared/ config/ scripts/ tools/".split(),
+    "api": ["api/", "apis/", "routes/", "route/", "controllers/", "controller/", "handlers/", "handler/", "endpoints/", "graphql/", "routers/", "router/"],
+    "service": ["services/", "service/", "domain/", "usecases/", "use_cases/", "application/", "app/backend/", "core/"],
+    "data": ["models/", "model/", "db/", "database/", "repositories/", "repository/", "repo/", "migrations/", "migration/", "schema/", "dal/"],
+    "ui": ["frontend/", "ui/", "components/", "pages/", "views/", "src/app/", "widgets/", "screens/"],
+    "util": ["utils/", "util/", "helpers/", "lib/", "common/", "shared/", "config/", "scripts/", "tools/"],
 }
+LAYER_NAMES = {"utility": "util"}
 LAYER_COLOURS = {"api": "#6366f1", "service": "#8b5cf6", "data": "#06b6d4", "ui": "#f59e0b", "util": "#64748b", "other": "#475569"}
 SENSITIVE = {
     "PII": "ssn|social_security|passport|dob|date_of_birth|personal_data|user_data|customer_data",
@@ -93,15 +95,21 @@ def node_role(path: Column) -> Column:
 
 
 def infer_layer(layer: Column, node_id: Column, name: Column, kind: Column) -> Column:
-    """A node's own layer if it is a known one; ``other`` without id and name; else the first layer whose pattern its id holds."""
-    text = F.lower(normalize_path(F.coalesce(F.nullif(node_id, F.lit("")), name, F.lit(""))))
-    folder = kind.isin("folder", "module")
-    out = F.when(F.lower(layer).isin(*LAYER_COLOURS), F.lower(layer)).when(text == "", "other")
+    """A node's own layer by its id or name, ``other`` if it is no known one; without one, by patterns in its id.
+
+    For a folder or module the patterns are first tried at the start of its id or after a slash, in all layers.
+    """
+    own = F.lower(F.trim(F.coalesce(layer, F.lit(""))))
+    text = F.lower(F.replace(F.coalesce(F.nullif(node_id, F.lit("")), name, F.lit("")), F.lit("\\"), F.lit("/")))
+    out = F.when(own.isin(*LAYER_COLOURS), own)
+    for other, key in LAYER_NAMES.items():
+        out = out.when(own == other, key)
+    out = out.when(own != "", "other")
+    any_of = lambda patterns: "|".join(p.replace(".", r"\.") for p in patterns)
     for key, patterns in LAYERS.items():
-        held = F.lit(False)
-        for p in patterns:
-            held = held | (folder & (F.startswith(text, F.lit(p.rstrip("/"))) | F.contains(text, F.lit("/" + p)))) | F.contains(text, F.lit(p))
-        out = out.when(held, key)
+        out = out.when(F.lower(kind).isin("folder", "module") & text.rlike(f"(^|/)({any_of(patterns)})"), key)
+    for key, patterns in LAYERS.items():
+        out = out.when(text.rlike(any_of(patterns)), key)
     return out.otherwise("other")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.matching import contained, small
+
 NOBODY = ("", "None", "Unknown")
 
 
@@ -13,7 +15,7 @@ def architecture_violations(edges: DataFrame, nodes: DataFrame, rules: DataFrame
     layers = nodes.select("id", "layer")
     dep = edges.where("relation = 'DEPENDS_ON'")
     rows = dep.join(layers.select(F.col("id").alias("src"), F.col("layer").alias("layer")), "src").join(layers.select(F.col("id").alias("dst"), F.col("layer").alias("banned")), "dst")
-    return rows.join(F.broadcast(rules.limit(1000)), ["layer", "banned"]).select("src", "dst", F.concat("layer", F.lit("→"), "banned").alias("violation_rule"))
+    return rows.join(small(rules.select("layer", "banned").distinct()), ["layer", "banned"]).select("src", "dst", F.concat("layer", F.lit("→"), "banned").alias("violation_rule"))
 
 
 def _glob(pattern: str) -> str:
@@ -69,18 +71,19 @@ def attach_incidents(nodes: DataFrame, incidents: DataFrame) -> DataFrame:
     return nodes.join(n, "id", "left").select(nodes["*"], F.coalesce("n", F.lit(0)).alias("prod_incidents_7d"), F.col("n").isNotNull().alias("hit"))
 
 
-def nodes_by_name(queries: DataFrame, nodes: DataFrame, limit: int = 100, broadcast_queries: int = 10_000) -> DataFrame:
-    """(query_id, id, tier): nodes in six tiers: name, id, ``::x`` suffix, ``::x::``, name contains, id contains.
+def nodes_by_name(queries: DataFrame, nodes: DataFrame, limit: int = 100) -> DataFrame:
+    """(query_id, id, tier) for queries (query_id, term): nodes in six tiers, the best of each node.
 
-    Containment has no key, so the terms, a stated and bounded set, are sent to the nodes; more than
-    ``broadcast_queries`` terms are refused.
+    Name, id, ``::x`` suffix, ``::x::``, name contains, id contains. Any number of terms: containment is an equi-join
+    on runs of characters.
     """
-    if queries.limit(broadcast_queries + 1).count() > broadcast_queries:
-        raise ValueError(f"more than {broadcast_queries} terms: ask in several calls")
-    low, term = F.lower("term"), F.col("term")
-    rows = nodes.select("id", "name").join(F.broadcast(queries), F.contains(F.lower("id"), low) | F.contains(F.lower("name"), low))
-    tier = F.when(F.col("name") == term, 1).when(F.col("id") == term, 2).when(F.endswith(F.col("id"), F.concat(F.lit("::"), term)), 3).when(F.contains(F.col("id"), F.concat(F.lit("::"), term, F.lit("::"))), 4).when(F.contains(F.lower("name"), low), 5).otherwise(6)
-    rows = rows.select("query_id", "id", tier.alias("tier"))
+    asked = queries.select("query_id", "term", F.lower("term").alias("low")).distinct()
+    names = nodes.select("id", "name", F.explode(F.array(F.lower("id"), F.lower("name"))).alias("text"))
+    pairs = contained(asked.select(F.col("low").alias("term")), names).withColumnRenamed("term", "low")
+    rows = names.join(pairs, "text").join(asked, "low").select("query_id", "term", "low", "id", "name").distinct()
+    term = F.col("term")
+    tier = F.when(F.col("name") == term, 1).when(F.col("id") == term, 2).when(F.endswith(F.col("id"), F.concat(F.lit("::"), term)), 3).when(F.contains(F.col("id"), F.concat(F.lit("::"), term, F.lit("::"))), 4).when(F.contains(F.lower("name"), F.col("low")), 5).otherwise(6)
+    rows = rows.groupBy("query_id", "id").agg(F.min(tier).alias("tier"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "id"))
     return rows.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
 
@@ -184,10 +187,11 @@ def what_if_leaves(nodes: DataFrame, ownership: DataFrame, persons: DataFrame, l
 def person_work(persons: DataFrame, nodes: DataFrame, ownership: DataFrame, limit: int = 50) -> DataFrame:
     """(person, id, role): files by the role in which a person's name, as part of another or whole, appears in them.
 
-    Names are few: each person is matched to distinct author names first, by containment, and then joined by name.
+    Each person is matched to distinct author names first, by containment, and then joined by name.
     """
     names = nodes.select(F.col("top_owner").alias("name")).union(nodes.select("last_author")).union(ownership.select("author")).where("name is not null").distinct()
-    match = F.broadcast(names.limit(100_000)).join(F.broadcast(persons.limit(10_000)), F.contains(F.lower("name"), F.lower("person"))).select("person", "name")
+    names, asked = names.withColumn("text", F.lower("name")), persons.select("person", F.lower("person").alias("term")).distinct()
+    match = contained(asked, names).join(names, "text").join(asked, "term").select("person", "name").distinct()
     rows = nodes.select("id", F.col("top_owner").alias("name"), F.lit(1).alias("role")).unionByName(nodes.select("id", F.col("last_author").alias("name"), F.lit(2).alias("role"))).unionByName(ownership.select(F.col("node").alias("id"), F.col("author").alias("name"), F.lit(3).alias("role")))
     best = rows.join(match, "name").groupBy("person", "id").agg(F.min("role").alias("role")).join(nodes.select("id", "commit_count"), "id")
     nth = F.row_number().over(Window.partitionBy("person").orderBy(F.desc("commit_count"), "id"))

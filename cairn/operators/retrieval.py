@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.exprs import sanitize_query
+from cairn.functions.exprs import distance_score, sanitize_query
+from cairn.operators.insight import nodes_by_name, person_work
+from cairn.operators.matching import contained, small
+from cairn.sources.tables import Stages
 
 # Keywords of the intents, in the order in which they are tried.
 IMPACT = ["blast radius", "what breaks", "impact if", "affected by", "downstream", "upstream impact", "if we change", "if we remove", "ripple effect"]
@@ -25,22 +30,23 @@ WEIGHTS = {
     "person": (25, 1.2, 0.5, 0.5), "impact": (25, 1.5, 0.6, 0.6), "symbol_lookup": (20, 1.3, 1.2, 0.8),
     "call_flow": (30, 1.4, 0.8, 0.9), "architecture": (30, 1.2, 0.7, 1.0), "semantic_general": (40, 0.9, 1.0, 1.0),
 }
+# Words that a query's word stands for, too.
 SYNONYMS = {
-    "payment": "stripe billing checkout charge invoice subscription transaction cart order price webhook",
-    "auth": "authentication authorization jwt token oauth session login password credential cookie middleware",
-    "authentication": "jwt token oauth session login password credential cookie",
-    "authorization": "permission role acl policy guard access",
-    "workflow": "pipeline flow process handler middleware task job queue worker scheduler",
-    "database": "model schema migration orm query repository dao entity table",
-    "api": "route endpoint controller router handler request response rest graphql",
-    "user": "account profile member customer identity signup register",
-    "notification": "email sms push alert event webhook message",
-    "upload": "storage file s3 blob image media asset",
-    "search": "index query elasticsearch filter fuzzy ranking",
-    "cache": "redis memcache ttl invalidate store",
-    "test": "spec unit integration fixture mock assert",
-    "config": "setting environment env configuration constant",
-    "error": "exception handler logging monitoring sentry",
+    "payment": ["stripe", "billing", "checkout", "charge", "invoice", "subscription", "transaction", "cart", "order", "price", "webhook"],
+    "auth": ["authentication", "authorization", "jwt", "token", "oauth", "session", "login", "password", "credential", "cookie", "middleware"],
+    "authentication": ["jwt", "token", "oauth", "session", "login", "password", "credential", "cookie"],
+    "authorization": ["permission", "role", "acl", "policy", "guard", "access"],
+    "workflow": ["pipeline", "flow", "process", "handler", "middleware", "task", "job", "queue", "worker", "scheduler"],
+    "database": ["model", "schema", "migration", "orm", "query", "repository", "dao", "entity", "table"],
+    "api": ["route", "endpoint", "controller", "router", "handler", "request", "response", "rest", "graphql"],
+    "user": ["account", "profile", "member", "customer", "identity", "signup", "register"],
+    "notification": ["email", "sms", "push", "alert", "event", "webhook", "message"],
+    "upload": ["storage", "file", "s3", "blob", "image", "media", "asset"],
+    "search": ["index", "query", "elasticsearch", "filter", "fuzzy", "ranking"],
+    "cache": ["redis", "memcache", "ttl", "invalidate", "store"],
+    "test": ["spec", "unit", "integration", "fixture", "mock", "assert"],
+    "config": ["setting", "environment", "env", "configuration", "constant"],
+    "error": ["exception", "handler", "logging", "monitoring", "sentry"],
 }
 CITATIONS = [
     r"`([^`]+\.(?:py|ts|tsx|js|jsx|go|java|rs|rb|md|yaml|yml|json|txt))(?::(\d+(?:-\d+)?))?`",
@@ -97,7 +103,7 @@ def tokens(text: Column) -> Column:
 
 def expand_tokens(text: Column) -> Column:
     """Synonyms of a query's tokens that it does not hold already, in table order."""
-    table = F.create_map(*[x for key, words in SYNONYMS.items() for x in (F.lit(key), F.array(*map(F.lit, words.split())))])
+    table = F.create_map(*[x for key, found in SYNONYMS.items() for x in (F.lit(key), F.array(*map(F.lit, found)))])
     held = tokens(text)
     new = F.flatten(F.transform(F.filter(held, lambda t: F.map_contains_key(table, t)), lambda t: F.element_at(table, t)))
     return F.array_except(F.array_distinct(new), held)
@@ -114,56 +120,252 @@ def top_k(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", nth).where(F.col("rank") <= k)
 
 
-def dense_search(queries: DataFrame, chunks: DataFrame, k: int, most_queries: int = 2_000) -> DataFrame:
+def dense_search(queries: DataFrame, chunks: DataFrame, k: int, block: int = 2_000) -> DataFrame:
     """(query_id, id, score, rank): exact cosine search of chunks (id, embedding) for queries (query_id, vector).
 
-    A stated set of at most ``most_queries`` vectors goes to the chunks; each task keeps its k best per query before
-    the shuffle. Vectors of different length never match.
+    Queries are a stated set, taken about ``block`` at a time: those of a block are sent to the chunks as one matrix,
+    and a batch of chunks returns the ``k`` best of each query only. Vectors of different length, null or zero never
+    match. Ids are whole numbers.
+    """
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("size(vector) > 0")
+    rows = chunks.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n_blocks = max(1, -(-q.count() // block))
+    out = None
+    for i in range(n_blocks):
+        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).toPandas()  # about ``block`` rows
+        sent = queries.sparkSession.sparkContext.broadcast({n: (g["query_id"].to_numpy(), _unit(np.array(g["vector"].tolist()))) for n, g in part.groupby(part["vector"].map(len))})
+        one = rows.mapInPandas(_best(sent, k), "query_id long, id long, score double")
+        out = one if out is None else out.unionByName(one)
+    return top_k(out, k, F.desc("score"), F.col("id"))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
+
+
+def _best(sent, k: int):
+    """For batches of chunks, the ``k`` nearest of each query that was sent; ties of the rounded score to the smaller id."""
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for n, (ids, vectors) in sent.value.items():
+                at = b["embedding"].map(lambda x, n=n: x is not None and len(x) == n)
+                if not at.any():
+                    continue
+                own = b["id"].to_numpy()[at.to_numpy()]
+                score = np.round(vectors @ _unit(np.array(b["embedding"][at].tolist())).T, 9)
+                score[np.isnan(score)] = -np.inf
+                last = np.partition(score, -min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])][:, None]
+                i, j = np.nonzero((score >= last) & (score > -np.inf))
+                order = np.lexsort((own[j], -score[i, j], i))
+                i, j = i[order], j[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+                found.append(pd.DataFrame({"query_id": ids[i[keep]], "id": own[j[keep]], "score": score[i[keep], j[keep]]}))
+            if found:
+                yield pd.concat(found)
+
+    return run
+
+
+def words(content: Column) -> Column:
+    return F.filter(F.split(F.lower(content), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2)
+
+
+def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, length) of chunks (id, content); with ``terms`` (term), only of those, which leave before any shuffle."""
+    t = chunks.select("id", words(F.col("content")).alias("w")).select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    if terms is not None:
+        t = t.join(small(terms), "term", "left_semi")
+    return t.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+
+
+def sparse_search(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, stages: Stages | None = None) -> DataFrame:
+    """(query_id, id, score, rank): chunks that hold all of a query's terms, ranked by BM25.
+
+    Only postings of asked terms are dealt out. A query's candidates are those of its rarest term; its other terms
+    are then looked up for these candidates alone. ``queries`` may have a column ``files`` (an array, null or empty: no
+    filter) that restricts candidates to chunks whose ``file`` contains, or is contained in, one of them. With
+    ``stages`` the postings are written and not computed again.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: ask in several calls")
-    q = queries.select("query_id", "vector")
-    rows = chunks.join(F.broadcast(q), F.size("vector") == F.size("embedding"))
-    rows = rows.select("query_id", "id", F.round(cosine(F.col("vector"), F.col("embedding")), 9).alias("score"))
-    return top_k(rows, k, F.desc("score"), F.col("id"))
-
-
-def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf) and (id, length) of chunks (id, content): the inverted list, map-side combined."""
-    t = chunks.select("id", F.explode(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2)).alias("term"))
-    tf = t.groupBy("term", "id").agg(F.count("*").alias("tf"))
-    return tf, tf.groupBy("id").agg(F.sum("tf").alias("length"))
-
-
-def sparse_search(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank): chunks that hold all of a query's terms, ranked by BM25."""
     q = queries.select("query_id", tokens(sanitize_query(F.col("text"))).alias("terms")).withColumn("n_terms", F.size("terms"))
     wanted = q.select("query_id", "n_terms", F.explode("terms").alias("term"))
-    tf, length = postings(chunks)
-    some = tf.join(wanted.select("term").distinct(), "term", "left_semi")
+    some = postings(chunks, wanted.select("term").distinct())
+    if stages:
+        wanted, some = stages.keep(wanted), stages.keep(some)
     df = some.groupBy("term").agg(F.count("*").alias("df"))
-    whole = length.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
-    rows = wanted.join(some.join(df, "term"), "term")
-    full = rows.groupBy("query_id", "id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.collect_list(F.struct("term", "tf", "df")).alias("t")).where("n = n_terms")
-    full = full.join(length, "id").join(F.broadcast(whole.limit(1)))
+    wanted = wanted.join(df, "term", "left")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "term"))
+    first = wanted.withColumn("nth", nth).where("nth = 1 and df > 0").select("query_id", "term")
+    candidates = first.join(some.select("term", "id"), "term").select("query_id", "id")
+    if "files" in queries.columns:
+        candidates = in_files(candidates, queries, chunks)
+    found = candidates.join(wanted.select("query_id", "n_terms", "term", "df"), "query_id").join(some, ["term", "id"])
+    full = found.groupBy("query_id", "id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.max("length").alias("length"), F.collect_list(F.struct("term", "tf", "df")).alias("t")).where("n = n_terms")
+    # every word of two characters or more counts; chunks without any do not
+    whole = chunks.select(F.size(words(F.col("content"))).alias("length")).where("length > 0").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
+    full = full.join(F.broadcast(whole.limit(1)))
     idf = lambda x: F.log(1 + (F.col("n_docs") - x["df"] + 0.5) / (x["df"] + 0.5))
     part = lambda x: idf(x) * x["tf"] * (k1 + 1) / (x["tf"] + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     score = F.aggregate(F.sort_array("t"), F.lit(0.0), lambda s, x: s + part(x))
     return top_k(full.select("query_id", "id", F.round(score, 6).alias("score")), k, F.desc("score"), F.col("id"))
 
 
-def keyword_fallback(queries: DataFrame, chunks: DataFrame, hits: DataFrame, k: int, most_queries: int = 2_000) -> DataFrame:
-    """(query_id, id, score, rank) for queries without a hit: chunks that hold the first token, shortest first."""
-    left = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.try_element_at(tokens(F.col("text")), F.lit(1)).alias("token")).where("token is not null")
-    left = left.limit(most_queries)
-    rows = chunks.join(F.broadcast(left), F.contains(F.lower("content"), F.col("token"))).select("query_id", "id", F.lit(0.5).alias("score"), F.length("content").alias("length"))
-    return top_k(rows, k, F.col("length"), F.col("id")).drop("length")
+def in_files(rows: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``rows`` (query_id, id, ...) of chunks whose ``file`` holds, or is held by, one of the query's ``files``, if it has any."""
+    own = rows.columns
+    asked = queries.select("query_id", "files")
+    files = chunks.select("id", F.col("file").alias("__file"))
+    near = F.exists("files", lambda f: F.contains(F.col("__file"), f) | F.contains(f, F.col("__file")))
+    return rows.join(files, "id").join(asked, "query_id").where((F.coalesce(F.size("files"), F.lit(0)) <= 0) | near).select(*own)
+
+
+def keyword_fallback(queries: DataFrame, chunks: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) for queries without a hit: chunks that hold the first token, shortest first.
+
+    A token is inside a word, so tokens are matched to the corpus's distinct words, and these to the chunks.
+    """
+    token = F.try_element_at(tokens(sanitize_query(F.col("text"))), F.lit(1))
+    left = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id", token.alias("term")).where("term is not null")
+    held = chunks.select("id", F.length("content").alias("length"), F.explode(F.array_distinct(words(F.col("content")))).alias("text"))
+    pairs = contained(left, held)
+    rows = held.join(small(pairs), "text").join(left, "term").select("query_id", "id", "length").distinct()
+    if "files" in queries.columns:
+        rows = in_files(rows, queries, chunks)
+    return top_k(rows.withColumn("score", F.lit(0.5)), k, F.col("length"), F.col("id")).drop("length")
+
+
+def seed_nodes(queries: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
+    """(query_id, id, score, rank): nodes of the 3 k nearest chunks (id, embedding, node), each by its nearest; score 0 is best."""
+    rows = dense_search(queries, chunks, 3 * k).withColumnRenamed("id", "chunk").join(chunks.select(F.col("id").alias("chunk"), "node"), "chunk")
+    best = rows.groupBy("query_id", F.col("node").alias("id")).agg(F.max("score").alias("score"))
+    return top_k(best.withColumn("score", distance_score(1 - F.col("score"))), k, F.col("score"), F.col("id"))
+
+
+def fused_seed_nodes(routed: DataFrame, chunks: DataFrame, k: int = 15, stages: Stages | None = None, hits: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank): nodes of chunks found by vectors and by keywords (``hits``, or 2 k, each), fused by weight.
+
+    ``routed`` is what route_query returns, with ``vector``; chunks are (id, content, embedding, node).
+    """
+    node = chunks.select(F.col("id").alias("chunk"), "node")
+    found = [("dense", dense_search(routed, chunks, hits or 2 * k)), ("sparse", sparse_search(routed, chunks, hits or 2 * k, stages=stages))]
+    fused = rrf(_union(found, node), _weights(routed, [name for name, _ in found]))
+    return fused.where(F.col("rank") <= k).select("query_id", F.col("key").alias("id"), "score", "rank")
+
+
+def _union(channels: list[tuple[str, DataFrame]], node: DataFrame) -> DataFrame:
+    """(query_id, channel, rank, key): ranked chunks under the id of their node, the best rank of each."""
+    out = None
+    for name, df in channels:
+        one = df.select("query_id", "rank", F.col("id").alias("chunk")).join(node, "chunk").groupBy("query_id", F.col("node").alias("key")).agg(F.min("rank").alias("rank")).withColumn("channel", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _weights(routed: DataFrame, channels: list[str]) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"{c}_weight").alias("weight")) for c in channels])
+    return routed.select("query_id", F.explode(each).alias("w")).select("query_id", "w.channel", "w.weight")
+
+
+def graph_search(routed: DataFrame, anchors: DataFrame, nodes: DataFrame, edges: DataFrame, ownership: DataFrame, k: int = 15) -> DataFrame:
+    """(query_id, rank, key, content): what the graph says about a query, ``k`` rows at most.
+
+    ``routed`` has query_id, intent, person (or null) and files, the files of nodes that the query names (an array);
+    ``anchors`` is (query_id, file, place), files that a search found. In order: the links of the named files, under
+    each of them; the files that the person works on; the links of the ten first anchors, the named files before the
+    found ones, under each of them (20 lines, 50 for questions of architecture and call flow); and for questions
+    without an anchor, of architecture or of no other intent, the overview: five links of each of the first 80 files.
+    Lines read ``source --[RELATION]--> target``.
+    """
+    line = F.concat(F.col("src"), F.lit(" --["), F.col("relation"), F.lit("]--> "), F.col("dst"))
+    named = routed.select("query_id", F.posexplode(F.coalesce("files", F.array().cast("array<string>"))).alias("place", "file"))
+    far = F.lit(1 << 20)
+    both = named.unionByName(anchors.select("query_id", (F.col("place") + far).cast("int").alias("place"), "file")).groupBy("query_id", "file").agg(F.min("place").alias("place"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "file"))
+    both = both.withColumn("nth", nth).where("nth <= 10").join(routed.select("query_id", "intent"), "query_id")
+    out = edges.select(F.col("src").alias("file"), line.alias("line"))
+    links = out.unionByName(edges.select(F.col("dst").alias("file"), line.alias("line"))).distinct()
+
+    def text(rows: DataFrame, most) -> DataFrame:
+        """(query_id, content): the first distinct lines, sorted."""
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("line"))
+        rows = rows.distinct().withColumn("place", place).where(F.col("place") <= most)
+        return rows.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("content"))
+
+    of_named = text(named.join(links, "file").select("query_id", "line"), 20)
+    symbol = named.join(of_named, "query_id").select("query_id", F.lit(0).alias("part"), F.col("place"), F.col("file").alias("key"), F.substring("content", 1, 8000).alias("content"))
+
+    asks = routed.where("person is not null").select("query_id", "person")
+    work = person_work(asks.select("person").distinct(), nodes, ownership)
+    work = text(asks.join(work, "person").select("query_id", F.concat("role", F.lit(" "), "id").alias("line")), 50).join(asks, "query_id")
+    person = work.select("query_id", F.lit(1).alias("part"), F.lit(0).alias("place"), F.concat(F.lit("person:"), "person").alias("key"), F.substring("content", 1, 8000).alias("content"))
+
+    wide = F.col("intent").isin("architecture", "call_flow")
+    around = both.join(links, "file")
+    around = text(around.where(wide).select("query_id", "line"), 50).unionByName(text(around.where(~wide).select("query_id", "line"), 20))
+    expansion = both.join(around, "query_id").select("query_id", F.lit(2).alias("part"), F.col("nth").alias("place"), F.concat(F.lit("graph:"), "file").alias("key"), F.substring("content", 1, 6000).alias("content"))
+
+    general = routed.where(F.col("intent").isin("architecture", "semantic")).join(both.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst", "relation"))
+    first = edges.join(small(nodes.where("type = 'file'").select(F.col("id").alias("src")).orderBy("src").limit(80)), "src", "left_semi")
+    first = first.withColumn("place", place).where("place <= 5").agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("content"))  # 400 lines
+    overview = general.join(F.broadcast(first.limit(1))).where("content <> ''").select("query_id", F.lit(3).alias("part"), F.lit(0).alias("place"), F.lit("graph:overview").alias("key"), F.substring("content", 1, 8000).alias("content"))
+
+    rows = symbol.unionByName(person).unionByName(expansion).unionByName(overview)
+    return top_k(rows, k, F.col("part"), F.col("place"), F.col("key")).select("query_id", "rank", "key", "content")
+
+
+def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, ownership: DataFrame, stages: Stages, k: int = 20, budget: int = 120_000, scorer=None) -> DataFrame:
+    """(query_id, intent, rank, key, score, content): the context of each query, from three channels.
+
+    ``queries`` is (query_id, text, vector); chunks are (id, content, embedding, node, file). A query is routed; nodes
+    that it names (20 at most) give files, and then only chunks of such files count, of twice as many by vectors as
+    are kept. Vectors, keywords (or the first token, where no chunk holds all) and the graph are fused by the route's
+    weights, under node ids, with the longest content; the first ones are kept, within a budget of characters.
+    """
+    routed = route_query(queries, k)
+    terms = routed.select("query_id", F.explode(extract_symbols(F.col("text"))).alias("term"))
+    matched = nodes_by_name(terms, nodes, 20)
+    files = matched.groupBy("query_id").agg(F.array_sort(F.collect_set(F.substring_index("id", "::", 1))).alias("files"))
+    routed = routed.withColumn("person", extract_person(F.col("text"))).join(files, "query_id", "left")
+    routed = stages.keep(routed)
+    most = routed.agg(F.max("k")).first()[0] or k
+
+    def cut(df: DataFrame) -> DataFrame:
+        """Ranked anew, at most the query's own k."""
+        near = top_k(df.drop("rank"), most, F.desc("score"), *([F.col("length")] if "length" in df.columns else []), F.col("id"))
+        return near.join(routed.select("query_id", "k"), "query_id").where("rank <= k").drop("k")
+
+    wide = dense_search(routed, chunks, 2 * most).join(routed.select("query_id", "k"), "query_id").where("rank <= 2 * k").drop("k")
+    dense = stages.keep(cut(in_files(wide, routed, chunks)))
+    sparse = sparse_search(routed, chunks, most, stages=stages).join(routed.select("query_id", "k"), "query_id").where("rank <= k").drop("k")
+    sparse = stages.keep(sparse)
+    fallback = keyword_fallback(routed, chunks, sparse, most).join(routed.select("query_id", "k"), "query_id").where("rank <= k").drop("k")
+    places = dense.join(chunks.select("id", "file"), "id").groupBy("query_id", "file").agg(F.min("rank").alias("place"))
+    graph = stages.keep(graph_search(routed, places, nodes, edges, ownership))
+
+    text = chunks.select(F.col("node").alias("key"), "content")
+    found = _union([("dense", dense), ("sparse", sparse.unionByName(fallback))], chunks.select(F.col("id").alias("chunk"), "node"))
+    wanted = found.select("key").distinct()
+    contents = text.join(small(wanted), "key", "left_semi").groupBy("key").agg(F.max_by("content", F.struct(F.length("content"), "content")).alias("content"))
+    found = found.join(contents, "key").unionByName(graph.withColumn("channel", F.lit("graph")), allowMissingColumns=True)
+    fused = rrf(found, _weights(routed, ["dense", "sparse", "graph"]), content=True)
+    kept = context_budget(rerank(fused.join(routed.select("query_id", "text"), "query_id"), scorer), budget)
+    return kept.join(routed.select("query_id", "intent"), "query_id").select("query_id", "intent", "rank", "key", "score", "content")
+
+
+def search_code(queries: DataFrame, chunks: DataFrame, k: int = 10, stages: Stages | None = None) -> DataFrame:
+    """(query_id, channel, rank, id, preview): dense and sparse hits side by side, 300 characters of each."""
+    dense, sparse = dense_search(queries, chunks, k), sparse_search(queries, chunks, k, stages=stages)
+    rows = dense.select("query_id", F.lit("dense").alias("channel"), "rank", "id").unionByName(sparse.select("query_id", F.lit("sparse").alias("channel"), "rank", "id"))
+    return rows.join(chunks.select("id", F.substring("content", 1, 300).alias("preview")), "id").select("query_id", "channel", "rank", "id", "preview")
 
 
 def rrf(ranked: DataFrame, weights: DataFrame, k: int = 60, content: bool = False) -> DataFrame:
     """(query_id, key, score, rank): reciprocal rank fusion of (query_id, channel, rank, key) with weights per channel."""
     rows = ranked.join(weights, ["query_id", "channel"])
-    best = rows.groupBy("query_id", "key").agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("s"), *([F.max_by("content", F.length("content")).alias("content")] if content else []))
+    best = rows.groupBy("query_id", "key").agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("s"), *([F.max_by("content", F.struct(F.length("content"), "content")).alias("content")] if content else []))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
     return best.withColumn("score", F.round("s", 6)).drop("s").withColumn("rank", nth)
 

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import risk_band, risk_level
-from cairn.operators.graph import functions_to_files, induced_edges, reversed_edges, siblings_of
+from cairn.operators.graph import expand_subgraph, functions_to_files, induced_edges, reversed_edges, siblings_of
+from cairn.operators.insight import first_source
+from cairn.operators.matching import contained
 from cairn.sources.tables import Stages
 
 # Words that raise a file's risk.
-CRITICAL = "auth payment security config main init decoder encoder parser compiler recompiler runtime core kernel driver".split()
-STORAGE = "schema migration model db database table".split()
-ROUTE = "route endpoint api controller handler".split()
-SENSITIVE = "auth payment security config".split()
-FALLBACK = "auth payment security config core main".split()
+CRITICAL = ["auth", "payment", "security", "config", "main", "init", "decoder", "encoder", "parser", "compiler", "recompiler", "runtime", "core", "kernel", "driver"]
+STORAGE = ["schema", "migration", "model", "db", "database", "table"]
+ROUTE = ["route", "endpoint", "api", "controller", "handler"]
+SENSITIVE = ["auth", "payment", "security", "config"]
+FALLBACK = ["auth", "payment", "security", "config", "core", "main"]
 
 
 def _has(node_id: Column, words: list[str]) -> Column:
@@ -124,22 +126,33 @@ def token_score(tokens: Column, text: Column, layer: Column, hint: Column, is_fi
     return points + F.when(layer == hint, 5.0).otherwise(0.0) + F.when(is_file, 0.5).otherwise(0.0)
 
 
-def keyword_seeds(queries: DataFrame, nodes: DataFrame, k: int = 15, most_queries: int = 10_000) -> DataFrame:
-    """(query_id, id, points, score): the best nodes for each query's tokens; score 0 is best."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: ask in several calls")
+def keyword_seeds(queries: DataFrame, nodes: DataFrame, k: int = 15) -> DataFrame:
+    """(query_id, id, points, score): the best nodes for each query's tokens; score 0 is best.
+
+    ``queries`` is (query_id, text) and may have a hinted ``layer``. A node is a candidate if its lower-cased id holds
+    a token, which is an equi-join on runs of characters.
+    """
     tokens = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\w]+")), lambda t: F.length(t) >= 2)
-    q = queries.select("query_id", tokens.alias("tokens"))
-    held = F.exists("tokens", lambda t: F.contains(F.lower("id"), t))
-    rows = nodes.join(F.broadcast(q), held)
+    q = queries.select("query_id", tokens.alias("tokens"), (F.lower("layer") if "layer" in queries.columns else F.lit(None).cast("string")).alias("hint"))
+    asked = q.select("query_id", F.explode("tokens").alias("term"))
+    low = nodes.select("id", F.lower("id").alias("text"))
+    pairs = contained(asked, low).join(low, "text").join(asked, "term").select("query_id", "id").distinct()
+    rows = pairs.join(nodes, "id").join(q, "query_id")
     text = F.concat_ws(" ", "id", "name", "layer")
-    rows = rows.select("query_id", "id", token_score(F.col("tokens"), text, F.col("layer"), F.lit(None).cast("string"), F.col("type") == "file").alias("points"))
+    rows = rows.select("query_id", "id", token_score(F.col("tokens"), text, F.col("layer"), F.col("hint"), F.col("type") == "file").alias("points"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("points"), "id"))
     top = rows.withColumn("nth", nth).where(F.col("nth") <= k)
     best = F.max("points").over(Window.partitionBy("query_id"))
     return top.select("query_id", "id", "points", F.round(1 - F.col("points") / best, 4).alias("score"))
 
 
+def layer_seeds(queries: DataFrame, nodes: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, id): the first ``k`` files, by id, of the layer that each query (query_id, layer) hints at."""
+    nth = F.row_number().over(Window.partitionBy("layer").orderBy("id"))
+    files = nodes.where("type = 'file'").select("layer", "id").withColumn("nth", nth).where(F.col("nth") <= k)
+    return queries.select("query_id", F.lower("layer").alias("layer")).join(files, "layer").select("query_id", "id")
+
+
 def pr_risk(pr_files: DataFrame, risks: DataFrame, on_cycles: DataFrame, violations: DataFrame) -> DataFrame:
     """(pr_id, score, level): ``risks`` is (file, risk, bus_risk, incidents), ``violations`` (pr_id, n)."""
     rows = pr_files.join(risks, "file", "left").join(on_cycles.select("pr_id", "file", F.lit(1).alias("cyclic")), ["pr_id", "file"], "left")
@@ -186,25 +199,62 @@ def impact_context(requests: DataFrame, scored: DataFrame, k: int = 10) -> DataF
     return rows.select("request_id", F.concat(F.lit("Risk "), score, F.lit(". Affected: "), names, F.lit("\n"), "question").alias("text"))
 
 
-def focused_subgraph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 15, depth: int = 1, max_nodes: int = 40, stages: Stages | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def focus_subgraph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, stages: Stages, k: int = 15, depth: int = 1, max_nodes: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Members (request_id, id, hop) and their edges around the best keyword seeds of queries (query_id, text, layer).
+
+    Queries without one start from 20 files of the layer that they hint at. With a hint only members of it stay.
+    """
+    seeds = stages.keep(keyword_seeds(queries, nodes, k).select("query_id", "id"))
+    bare = queries.where("layer is not null").join(seeds.select("query_id").distinct(), "query_id", "left_anti")
+    every = seeds.unionByName(layer_seeds(bare, nodes)).withColumnRenamed("query_id", "request_id")
+    members = expand_subgraph(every, nodes, edges, depth, max_nodes)
+    hint = queries.select(F.col("query_id").alias("request_id"), F.lower("layer").alias("hint"))
+    fits = F.col("hint").isNull() | (F.col("hint") == F.col("layer"))
+    members = stages.keep(members.join(nodes.select("id", "layer"), "id").join(hint, "request_id").where(fits).select("request_id", "id", "hop"))
+    return members, induced_edges(members, edges)
+
+
+def focused_subgraph(queries: DataFrame, fused: DataFrame, dense: DataFrame, expanded: DataFrame, nodes: DataFrame, edges: DataFrame, stages: Stages, k: int = 15, depth: int = 1, max_nodes: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (request_id, id, hop), their edges, and a summary (request_id, nodes, edges, truncated, seed_source).
 
-    Seeds come from a query's own words first and then from their synonyms; a node keeps the first source. The search
-    around the seeds is cut to ``max_nodes``; ``truncated`` says that the cut was reached. With ``stages``, seeds and
-    members are written and not computed again for each result.
+    ``queries`` is (query_id, text, layer, wider): layer is a hint or null, wider the text with its synonyms or null.
+    ``fused``, ``dense`` and ``expanded`` are seeds (query_id, id, rank) that retrieval found for the text by both
+    channels, by vectors alone, and for the wider text. Seeds of a query come from the first of fused, dense and
+    keywords that is not empty, else from the hinted layer; where retrieval had any, half as many keyword seeds join
+    them, and seeds of the wider text join all. Seeds that are no node, and with a hint those of another layer, do not
+    count. The search around them is cut to ``max_nodes``; with a hint only members of that layer stay. seed_source is
+    vector, mixed, keyword or layer. Seeds and members are written once.
     """
-    from cairn.operators.graph import expand_subgraph
-    from cairn.operators.insight import first_source
-    from cairn.operators.retrieval import expand_tokens
-
-    wider = queries.select("query_id", F.array_join(expand_tokens(F.col("text")), " ").alias("text")).where("text <> ''")
-    seeds = [(name, keyword_seeds(q, nodes, k).select(F.col("query_id").alias("request_id"), "id")) for name, q in (("keyword", queries), ("expanded", wider))]
-    keep = stages.keep if stages else lambda df: df
-    seeds = keep(first_source(seeds))
-    members = keep(expand_subgraph(seeds.select("request_id", "id"), nodes, edges, depth, max_nodes))
+    hint = queries.select("query_id", F.lower("layer").alias("hint"))
+    known = nodes.select("id", "layer")
+
+    def fits(df: DataFrame) -> DataFrame:
+        return df.join(known, "id").join(hint, "query_id").where(F.col("hint").isNull() | (F.col("hint") == F.col("layer"))).select("query_id", "id")
+
+    def without(df: DataFrame, found: DataFrame) -> DataFrame:
+        return df.join(found.select("query_id").distinct(), "query_id", "left_anti")
+
+    def cut(df: DataFrame, n: int, *order: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+        return df.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")
+
+    words = stages.keep(keyword_seeds(queries.select("query_id", "text", "layer"), nodes, k))
+    vector = fits(cut(fused, k, "rank"))
+    vector = stages.keep(vector.unionByName(without(fits(cut(dense, k, "rank")), vector)))
+    keyword = fits(without(words, vector))
+    half = fits(cut(words.join(vector.select("query_id").distinct(), "query_id", "left_semi"), max(3, k // 2), "score", "id"))
+    layer = without(without(layer_seeds(queries.where("layer is not null"), nodes), vector), keyword)
+    wide = queries.where("wider is not null").select("query_id", F.col("wider").alias("text"), "layer")
+    more = fits(cut(expanded, k, "rank")).unionByName(fits(keyword_seeds(wide, nodes, max(5, k // 2))))
+    sources = [("vector", vector), ("mixed", half), ("keyword", keyword), ("layer", layer), ("wider", more)]
+    seeds = stages.keep(first_source([(name, df.withColumnRenamed("query_id", "request_id")) for name, df in sources]))
+    members = expand_subgraph(seeds.select("request_id", "id"), nodes, edges, depth, max_nodes)
+    hinted = members.join(known, "id").join(hint.withColumnRenamed("query_id", "request_id"), "request_id").where(F.col("hint").isNull() | (F.col("hint") == F.col("layer")))
+    members = stages.keep(hinted.select("request_id", "id", "hop"))
     inner = induced_edges(members, edges)
     n = members.groupBy("request_id").agg(F.count("*").alias("nodes"))
     e = inner.groupBy("request_id").agg(F.count("*").alias("edges"))
-    source = seeds.groupBy("request_id").agg(F.max("origin").alias("seed_source"))  # keyword, where any word was held
+    had = lambda name: F.bool_or(F.col("origin") == name)
+    source = seeds.groupBy("request_id").agg(F.when(had("vector"), F.when(had("mixed") | had("wider"), "mixed").otherwise("vector")).when(had("keyword"), "keyword").when(had("layer"), "layer").otherwise("wider").alias("seed_source"))
     summary = n.join(e, "request_id", "left").join(source, "request_id").select("request_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), (F.col("nodes") >= max_nodes).alias("truncated"), "seed_source")
     return members, inner, summary

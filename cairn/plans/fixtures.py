@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.sources.tables import Stages
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
@@ -104,6 +106,16 @@ class Fixtures:
             self._views[view] = self.spark.sql(text, **used)
         return self._views[view]
 
+    @cached_property
+    def stages(self) -> Stages:
+        return Stages(self.spark)
+
+    def written(self, name: str) -> DataFrame:
+        """A view that is computed once and read by all that the query does with it."""
+        if f"written {name}" not in self._views:
+            self._views[f"written {name}"] = self._views[f"fx_{name}"] = self.stages.keep(getattr(self, name))
+        return self._views[f"fx_{name}"]
+
     @cached_property
     def as_of(self):
         """The end of history, as a one-row frame (as_of)."""

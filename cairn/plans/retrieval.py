@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cairn.functions import exprs as X
+from cairn.operators import insight as I
 from cairn.operators import retrieval as R
 from cairn.plans.registry import query
 
@@ -39,8 +40,12 @@ def _weight(i, default):
     return "CASE r " + " ".join(f"WHEN '{n}' THEN {w[i]}" + ("" if i == 0 else "::DOUBLE") for n, w in R.WEIGHTS.items()) + f" ELSE {default} END"
 
 
-ROUTED = f"""routed AS (SELECT query_id, text, regexp_replace(r, '_general$', '') AS intent, CAST(greatest(10, {_weight(0, 10)}) AS INT) AS k,
- CAST({_weight(1, 0.8)} AS DOUBLE) AS graph_weight, CAST({_weight(2, 1.0)} AS DOUBLE) AS sparse_weight, CAST({_weight(3, 1.0)} AS DOUBLE) AS dense_weight FROM (SELECT *, {ROUTE} AS r FROM ({QUESTIONS})))"""
+def routed_sql(source, k=10):
+    return f"""routed AS (SELECT query_id, text, regexp_replace(r, '_general$', '') AS intent, CAST(greatest({k}, {_weight(0, k)}) AS INT) AS k,
+ CAST({_weight(1, 0.8)} AS DOUBLE) AS graph_weight, CAST({_weight(2, 1.0)} AS DOUBLE) AS sparse_weight, CAST({_weight(3, 1.0)} AS DOUBLE) AS dense_weight FROM (SELECT *, {ROUTE} AS r FROM {source}))"""
+
+
+ROUTED = routed_sql(f"({QUESTIONS})")
 
 
 @query("R1_route_query", f"WITH {ROUTED} SELECT * FROM routed")
@@ -59,7 +64,7 @@ def _(fx):
     return questions(fx).select("query_id", R.extract_person(F.col("text")).alias("person"))
 
 
-SYN = "(VALUES " + ", ".join(f"('{k}', {v.split()})" for k, v in R.SYNONYMS.items()) + ") s(key, words)"
+SYN = "(VALUES " + ", ".join(f"('{k}', {v})" for k, v in R.SYNONYMS.items()) + ") s(key, words)"
 
 
 @query("R4_expand_tokens", f"""
@@ -74,12 +79,12 @@ def _(fx):
 
 DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 DENSE = f"""dense AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round({DOT('q.embedding', 'c.embedding')} / (sqrt({DOT('q.embedding', 'q.embedding')}) * sqrt({DOT('c.embedding', 'c.embedding')})), 9) AS score
- FROM embeddings c, (SELECT * FROM embeddings WHERE vec_id < 10) q), ranked_dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM dense QUALIFY rank <= {K})"""
+ FROM embeddings c, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q), ranked_dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM dense QUALIFY rank <= {K})"""
 
 
 def dense(fx, k=K):
     c = fx.embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    return R.dense_search(fx.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), c, k)
+    return R.dense_search(fx.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), c, k)
 
 
 @query("R5_dense_search", f"WITH {DENSE} SELECT query_id, id, score, rank FROM ranked_dense")
@@ -88,7 +93,7 @@ def _(fx):
 
 
 # keyword queries: two words from the middle of documents
-KEYED = "SELECT doc_id AS query_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[20:21], ' ') AS text FROM documents WHERE doc_id % 50 = 0"
+KEYED = "SELECT doc_id AS query_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[20:21], ' ') AS text FROM documents WHERE doc_id % 20 = 0"
 SPLIT = "list_filter(string_split_regex(lower(%s), '[^\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)"
 CLEAN = "left(trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9_\\s\\-.:/]', ' ', 'g'), '\\s+', ' ', 'g')), 500)"
 SPARSE = f"""kq AS ({KEYED}), w AS (SELECT query_id, list_distinct({SPLIT % CLEAN}) AS terms FROM kq),
@@ -99,7 +104,7 @@ ranked_sparse AS (SELECT query_id, id, round(s, 6) AS score, CAST(row_number() O
 
 
 def keyed(fx):
-    return fx.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 20, 2), " ").alias("text"))
+    return fx.documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 20, 2), " ").alias("text"))
 
 
 def chunks(fx):
@@ -111,64 +116,139 @@ def _(fx):
     return R.sparse_search(keyed(fx), chunks(fx), K)
 
 
-@query("R7_keyword_fallback", """
-WITH q AS (SELECT item_id AS query_id, regexp_extract(lower(text), '[\\p{L}\\p{N}_]{2,}') AS token FROM benchmark WHERE item_id % 20 = 0)
+@query("R7_keyword_fallback", f"""
+WITH q AS (SELECT query_id, ({SPLIT % CLEAN})[1] AS token FROM (SELECT item_id AS query_id, text FROM benchmark))
 SELECT query_id, doc_id AS id, 5e-1 AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY length(text), doc_id) AS INT) AS rank FROM q JOIN documents ON contains(lower(text), token) QUALIFY rank <= 10""")
 def _(fx):
-    q = fx.benchmark.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.regexp_extract(F.lower("text"), r"[\p{L}\p{N}_]{2,}", 0).alias("text"))
+    q = fx.benchmark.select(F.col("item_id").alias("query_id"), F.regexp_extract(F.lower("text"), r"[\p{L}\p{N}_]{2,}", 0).alias("text"))
     none = fx.spark.createDataFrame([], "query_id long")
     return R.keyword_fallback(q, chunks(fx), none, K)
 
 
-@query("R8_graph_search", """
-WITH q AS (SELECT file_key AS query_id, id FROM fx_files WHERE file_key % 50 = 0),
-n AS (SELECT query_id, dst, relation, row_number() OVER (PARTITION BY query_id ORDER BY dst, relation) AS nth FROM q JOIN fx_edges ON src = id)
-SELECT query_id, string_agg(relation || ' ' || dst, chr(10) ORDER BY nth) AS context FROM n WHERE nth <= 15 GROUP BY 1""")
-def _(fx):
-    from cairn.operators.graph import neighbours
+# questions over the code base: a file's name, an author, words of a document's text after two forms
+HQ = """hq AS (SELECT doc_id AS query_id, CASE (doc_id // 20) % 5 WHEN 0 THEN 'where is ' || regexp_replace(regexp_replace(id, '^.*/', ''), '\\.py$', '') || ' defined' WHEN 1 THEN 'who is nation_' || (doc_id % 25) || '?'
+ WHEN 2 THEN 'how does the architecture of ' || w || ' work' WHEN 3 THEN 'how is user auth done in ' || w ELSE w END AS text FROM (SELECT doc_id, coalesce(array_to_string(string_split(replace(text, chr(10), ' '), ' ')[20:21], ' '), '') AS w FROM documents WHERE doc_id % 20 = 0) JOIN fx_files ON file_key = doc_id)"""
+# documents as chunks of files
+CH = "ch AS (SELECT doc_id AS id, text AS content, id AS file FROM documents JOIN fx_files ON file_key = doc_id)"
 
-    q = fx.files.where("file_key % 50 = 0").select(F.col("file_key").alias("query_id"), "id")
-    rows = neighbours(q.select("id"), fx.edges, 15).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("neighbour", "relation"))).alias("n"))
-    text = F.array_join(F.transform("n", lambda x: F.concat(x["relation"], F.lit(" "), x["neighbour"])), "\n")
-    return q.join(rows, "id").select("query_id", text.alias("context"))
 
+def hashed_sql(name, source):
+    """Vectors of embed_chunks as (id, b, n) and their lengths."""
+    return f"""{name}_b AS (SELECT id, CAST(('0x' || left(md5(term), 8)) AS BIGINT) % 64 AS b, count(*) AS n FROM (SELECT id, unnest({SPLIT % 'content'}) AS term FROM {source}) GROUP BY 1, 2),
+{name} AS (SELECT id, map_from_entries(list((b, n))) AS m, sqrt(sum(n * n)) AS len FROM {name}_b GROUP BY 1)"""
 
-# two channels over one set of queries: vectors, and the vectors' own label order
-CHANNELS = f"""{DENSE}, lab AS (SELECT q.vec_id AS query_id, c.vec_id AS id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY c.vec_id) AS INT) AS rank FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id < 10 QUALIFY rank <= {K}),
-fused AS (SELECT query_id, id AS key, round(sum(w / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank, 1e0 AS w FROM ranked_dense UNION ALL SELECT query_id, id, rank, 6e-1 FROM lab) GROUP BY 1, 2),
-fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INT) AS rank FROM fused)"""
+
+def hdense_sql(source="hq", name="hall", q="qv", chunks=True):
+    """All scores (query_id, id, file, score) of chunks for the questions of ``source``."""
+    return f"""{hashed_sql('cv', 'ch') + ',' if chunks else ''} {hashed_sql(q, f'(SELECT query_id AS id, text AS content FROM {source})')},
+{name}_d AS (SELECT q.id AS query_id, c.id AS id, sum(q.n * c.n) AS dot FROM {q}_b q JOIN cv_b c ON q.b = c.b GROUP BY 1, 2),
+{name} AS (SELECT q.id AS query_id, c.id, c.file, round(coalesce(dot, 0) / (q.len * c.len), 9) AS score FROM {q} q CROSS JOIN (SELECT cv.*, file FROM cv JOIN ch ON ch.id = cv.id) c LEFT JOIN {name}_d d ON d.query_id = q.id AND d.id = c.id)"""
+
+
+def seeds_sql(scores, name):
+    """Nodes of the 45 nearest chunks, the 15 nearest nodes."""
+    return f"""{name}_b AS (SELECT query_id, file, max(score) AS score FROM (SELECT * FROM {scores} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 45) GROUP BY 1, 2),
+{name}_s AS (SELECT query_id, file AS id, round_even(least(greatest((1 - score) / 1.5e0, 0), 1), 4) AS score FROM {name}_b),
+{name} AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS INT) AS rank FROM {name}_s QUALIFY rank <= 15)"""
+
+
+HDENSE = hdense_sql()
 
 
-def fused(fx):
-    q = fx.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
-    lab = R.top_k(q.join(fx.embeddings.select(F.col("vec_id").alias("id"), "label"), "label"), K, F.col("id"))
-    ranked = dense(fx).select("query_id", F.lit("dense").alias("channel"), "rank", F.col("id").alias("key")).unionByName(lab.select("query_id", F.lit("label").alias("channel"), "rank", F.col("id").alias("key")))
-    weights = q.select("query_id", F.explode(F.array(F.struct(F.lit("dense").alias("channel"), F.lit(1.0).alias("weight")), F.struct(F.lit("label").alias("channel"), F.lit(0.6).alias("weight")))).alias("w")).select("query_id", "w.channel", "w.weight")
-    return R.rrf(ranked, weights)
+def hsparse_sql(files: bool):
+    """Keyword hits over ch for hq, all of them, ranked."""
+    near = "WHERE n = n_terms" + (" AND (nf.files IS NULL OR len(list_filter(nf.files, lambda f: contains(ch.file, f) OR contains(f, ch.file))) > 0)" if files else "")
+    return f"""w AS (SELECT query_id, list_distinct({SPLIT % CLEAN}) AS terms, ({SPLIT % CLEAN})[1] AS first_term FROM hq),
+wt AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM w), tf AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest({SPLIT % 'content'}) AS term FROM ch) GROUP BY 1, 2),
+ln AS (SELECT id, sum(tf) AS length FROM tf GROUP BY 1), whole AS (SELECT count(*) AS n_docs, avg(length) AS mean FROM ln), dfr AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+full_ AS (SELECT query_id, id, max(n_terms) AS n_terms, count(*) AS n, sum(ln(1 + (n_docs - df + 5e-1) / (df + 5e-1)) * tf * 2.2e0 / (tf + 1.2e0 * (25e-2 + 75e-2 * length / mean))) AS s FROM wt JOIN tf USING (term) JOIN dfr USING (term) JOIN ln USING (id), whole GROUP BY 1, 2),
+hs AS (SELECT full_.query_id, full_.id, round(s, 6) AS score, row_number() OVER (PARTITION BY full_.query_id ORDER BY round(s, 6) DESC, full_.id) AS rank FROM full_ JOIN ch ON ch.id = full_.id {'LEFT JOIN nf ON nf.query_id = full_.query_id' if files else ''} {near})"""
+
+
+# files of the nodes that a question names, and what the graph says
+NAMED = f"""syms AS (SELECT DISTINCT query_id, unnest({SYMBOLS_SQL}) AS term FROM hq),
+nm AS (SELECT query_id, id, min(CASE WHEN name = term THEN 1 WHEN id = term THEN 2 WHEN contains(lower(name), lower(term)) THEN 5 ELSE 6 END) AS tier FROM syms JOIN fx_nodes ON contains(lower(id), lower(term)) OR contains(lower(name), lower(term)) GROUP BY 1, 2),
+nf AS (SELECT query_id, list(id ORDER BY id) AS files FROM (SELECT * FROM nm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tier, id) <= 20) GROUP BY 1)"""
+LINKED = "lk AS (SELECT DISTINCT file, line FROM (SELECT src AS file, src || ' --[' || relation || ']--> ' || dst AS line FROM fx_edges UNION ALL SELECT dst, src || ' --[' || relation || ']--> ' || dst FROM fx_edges))"
+WORKS = """roles AS (SELECT id, top_owner AS name, 1 AS role FROM fx_nodes UNION ALL SELECT id, last_author, 2 FROM fx_nodes UNION ALL SELECT file, author, 3 FROM fx_authors),
+asked AS (SELECT query_id, {person} AS person FROM routed), works AS (SELECT person, r.id, min(role) AS role FROM roles r JOIN (SELECT DISTINCT person FROM asked WHERE person IS NOT NULL) p ON contains(lower(name), lower(person)) GROUP BY 1, 2),
+work AS (SELECT person, w.id, CASE role WHEN 1 THEN 'OWNER ' WHEN 2 THEN 'LAST_AUTHOR ' ELSE 'COLLABORATOR ' END || w.id AS line FROM works w JOIN fx_nodes n ON n.id = w.id QUALIFY row_number() OVER (PARTITION BY person ORDER BY commit_count DESC, w.id) <= 50)""".replace("{person}", PERSON_SQL)
+
+
+def graph_sql(anchors: str):
+    """``gr`` (query_id, rank, key, content) for anchors (query_id, file, place)."""
+    lines = lambda source, most: f"(SELECT query_id, string_agg(line, chr(10) ORDER BY line) AS content FROM (SELECT DISTINCT query_id, line, cap FROM {source} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY line) <= {most}) GROUP BY 1)"
+    return f"""{LINKED}, {WORKS}, nq AS (SELECT query_id, unnest(files) AS file, unnest(range(0, len(files))) AS place FROM nf),
+an AS (SELECT query_id, file, min(place) AS place FROM (SELECT * FROM nq UNION ALL SELECT query_id, file, place + 1048576 FROM {anchors}) GROUP BY 1, 2),
+an10 AS (SELECT a.*, intent, row_number() OVER (PARTITION BY a.query_id ORDER BY place, file) AS nth FROM an a JOIN routed USING (query_id) QUALIFY nth <= 10),
+l1 AS (SELECT DISTINCT query_id, line, 20 AS cap FROM nq JOIN lk USING (file)), l2 AS (SELECT DISTINCT query_id, line, CASE WHEN intent IN ('architecture', 'call_flow') THEN 50 ELSE 20 END AS cap FROM an10 JOIN lk USING (file)),
+wl AS (SELECT DISTINCT query_id, line, 50 AS cap FROM asked JOIN work USING (person)),
+parts AS (SELECT query_id, 0 AS part, place, file AS key, left(content, 8000) AS content FROM nq JOIN {lines('l1', 'cap')} USING (query_id)
+ UNION ALL SELECT query_id, 1, 0, 'person:' || person, left(content, 8000) FROM asked JOIN {lines('wl', 'cap')} USING (query_id)
+ UNION ALL SELECT query_id, 2, nth, 'graph:' || file, left(content, 6000) FROM an10 JOIN {lines('l2', 'cap')} USING (query_id)
+ UNION ALL SELECT query_id, 3, 0, 'graph:overview', left(content, 8000) FROM routed ANTI JOIN an10 USING (query_id), (SELECT string_agg(line, chr(10) ORDER BY line) AS content FROM (SELECT DISTINCT line FROM (
+  SELECT src || ' --[' || relation || ']--> ' || dst AS line FROM fx_edges WHERE src IN (SELECT id FROM fx_files ORDER BY id LIMIT 80) QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst, relation) <= 5))) WHERE intent IN ('architecture', 'semantic') AND content <> ''),
+gr AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY part, place, key) AS rank, key, content FROM parts QUALIFY rank <= 15)"""
+
+
+def hybrid(fx):
+    """Questions with vectors, and chunks with vectors, nodes and files."""
+    docs = fx.documents.join(fx.files.select(F.col("file_key").alias("doc_id"), F.col("id").alias("file")), "doc_id")
+    word = F.coalesce(F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 20, 2), " "), F.lit(""))
+    form = F.floor(F.col("doc_id") / 20) % 5
+    text = F.when(form == 0, F.concat(F.lit("where is "), F.regexp_replace(X.basename(F.col("file")), r"\.py$", ""), F.lit(" defined"))).when(form == 1, F.concat(F.lit("who is nation_"), (F.col("doc_id") % 25).cast("string"), F.lit("?"))).when(form == 2, F.concat(F.lit("how does the architecture of "), word, F.lit(" work"))).when(form == 3, F.concat(F.lit("how is user auth done in "), word)).otherwise(word)
+    q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), text.alias("text"))
+    vectors = lambda df: R.embed_chunks(df)
+    q = q.join(vectors(q.select(F.col("query_id").alias("id"), F.col("text").alias("content"))).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    c = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "file", F.col("file").alias("node"))
+    c = c.join(vectors(c.select("id", "content")), "id")
+    return fx.stages.keep(q), fx.stages.keep(c)
+
+
+@query("R8_graph_search", f"""
+WITH {HQ}, {routed_sql('hq')}, {NAMED}, {graph_sql('(SELECT NULL::BIGINT AS query_id, NULL::VARCHAR AS file, 0 AS place WHERE false)')} SELECT query_id, CAST(rank AS INT) AS rank, key, content FROM gr""")
+def _(fx):
+    q, _ = hybrid(fx)
+    nodes = fx.written("nodes")
+    routed = R.route_query(q).withColumn("person", R.extract_person(F.col("text")))
+    matched = I.nodes_by_name(routed.select("query_id", F.explode(R.extract_symbols(F.col("text"))).alias("term")), nodes, 20)
+    files = matched.groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("files"))
+    none = fx.spark.createDataFrame([], "query_id long, file string, place int")
+    return R.graph_search(fx.stages.keep(routed.join(files, "query_id", "left")), none, nodes, fx.written("edges"), owned(fx))
+
+
+def owned(fx):
+    return fx.touches.select(F.col("file").alias("node"), "author").distinct()
+
+
+FUSED = f"""WITH {HQ}, {CH}, {routed_sql('hq')}, {HDENSE}, {hsparse_sql(False)},
+chan AS (SELECT query_id, 'dense' AS c, file AS key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hall QUALIFY rank <= 30 UNION ALL SELECT query_id, 'sparse', file, rank FROM hs JOIN ch ON ch.id = hs.id WHERE rank <= 30),
+fused AS (SELECT query_id, key, round(sum(CASE c WHEN 'dense' THEN dense_weight ELSE sparse_weight END / (60 + rank)), 6) AS score FROM chan JOIN routed USING (query_id) GROUP BY 1, 2),
+fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INT) AS rank FROM fused)"""
 
 
-@query("R9_rrf", f"WITH {CHANNELS} SELECT query_id, key, score, rank FROM fr")
+@query("R9_rrf", FUSED + " SELECT query_id, key, score, rank FROM fr")
 def _(fx):
-    return fused(fx)
+    q, c = hybrid(fx)
+    return R.fused_seed_nodes(R.route_query(q), c.drop("file"), stages=fx.stages, k=1 << 30, hits=30).select("query_id", F.col("id").alias("key"), "score", "rank")
 
 
-@query("R10_rerank", f"WITH {CHANNELS} SELECT query_id, key, score, rank FROM fr WHERE rank <= 8")
+@query("R10_rerank", FUSED + " SELECT query_id, key, score, rank FROM fr WHERE rank <= 8")
 def _(fx):
-    return R.rerank(fused(fx))
+    q, c = hybrid(fx)
+    return R.rerank(R.fused_seed_nodes(R.route_query(q), c, stages=fx.stages, hits=30).select("query_id", F.col("id").alias("key"), "score", "rank"))
 
 
-@query("R13_fused_seed_nodes", f"WITH {CHANNELS} SELECT query_id, key, rank FROM fr WHERE rank <= 5")
+@query("R13_fused_seed_nodes", FUSED + " SELECT query_id, key AS id, score, rank FROM fr WHERE rank <= 15")
 def _(fx):
-    return fused(fx).where("rank <= 5").select("query_id", "key", "rank")
+    q, c = hybrid(fx)
+    return R.fused_seed_nodes(R.route_query(q), c, stages=fx.stages)
 
 
-@query("R12_seed_nodes", f"""
-WITH {DENSE}, d AS (SELECT query_id, 'n' || CAST(id // 3 AS VARCHAR) AS node, min(round(1 - score, 9)) AS distance FROM dense GROUP BY 1, 2)
-SELECT query_id, node, round_even(least(greatest(distance / 1.5e0, 0), 1), 4) AS score FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, node) <= 10""")
+@query("R12_seed_nodes", f"WITH {HQ}, {CH}, {HDENSE}, {seeds_sql('hall', 'sd')} SELECT query_id, id, score, rank FROM sd")
 def _(fx):
-    rows = dense(fx, 1 << 30).select("query_id", F.concat(F.lit("n"), F.floor(F.col("id") / 3).cast("string")).alias("node"), F.round(1 - F.col("score"), 9).alias("d"))
-    best = rows.groupBy("query_id", "node").agg(F.min("d").alias("distance"))
-    return R.top_k(best, 10, F.col("distance"), F.col("node")).select("query_id", "node", X.distance_score(F.col("distance")).alias("score"))
+    q, c = hybrid(fx)
+    return R.seed_nodes(q, c)
 
 
 @query("E5_context_budget", """
@@ -179,17 +259,22 @@ def _(fx):
 
 
 @query("R11_hybrid_retrieve", f"""
-WITH {SPARSE}, e AS (SELECT query_id, id AS key, 1e0 / (60 + rank) AS s FROM ranked_sparse), f AS (SELECT query_id, key, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, key) AS rank FROM e),
-b AS (SELECT query_id, rank, key, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS running FROM f JOIN documents ON doc_id = key WHERE rank <= 8)
-SELECT query_id, count(*) AS chunks, CAST(max(running) AS BIGINT) AS chars, string_agg(CAST(key AS VARCHAR), ',' ORDER BY rank) AS keys FROM b WHERE running <= 120000 GROUP BY 1""")
+WITH {HQ}, {CH}, {routed_sql('hq', 20)}, {NAMED}, {HDENSE}, {hsparse_sql(True)},
+dw AS (SELECT h.*, k FROM hall h JOIN routed USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 2 * k),
+de AS (SELECT query_id, id, file, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dw LEFT JOIN nf USING (query_id) WHERE files IS NULL OR len(list_filter(files, lambda f: contains(file, f) OR contains(f, file))) > 0 QUALIFY rank <= any_value(k) OVER (PARTITION BY query_id)),
+sp AS (SELECT query_id, id, rank FROM hs JOIN routed USING (query_id) WHERE rank <= k),
+fb AS (SELECT w.query_id, ch.id, row_number() OVER (PARTITION BY w.query_id ORDER BY length(content), ch.id) AS rank FROM (SELECT w.*, k FROM w ANTI JOIN sp USING (query_id) JOIN routed USING (query_id)) w JOIN ch ON contains(lower(content), first_term) LEFT JOIN nf ON nf.query_id = w.query_id
+ WHERE nf.files IS NULL OR len(list_filter(nf.files, lambda f: contains(ch.file, f) OR contains(f, ch.file))) > 0 QUALIFY rank <= any_value(k) OVER (PARTITION BY w.query_id)),
+{graph_sql('(SELECT query_id, file, min(rank) AS place FROM de GROUP BY 1, 2)')},
+chan AS (SELECT query_id, 'd' AS c, file AS key, rank, content FROM (SELECT de.*, content FROM de JOIN ch USING (id)) UNION ALL SELECT query_id, 's', file, rank, content FROM (SELECT * FROM sp UNION ALL SELECT * FROM fb) x JOIN ch USING (id) UNION ALL SELECT query_id, 'g', key, rank, content FROM gr),
+fz AS (SELECT query_id, key, round(sum(CASE c WHEN 'd' THEN dense_weight WHEN 's' THEN sparse_weight ELSE graph_weight END / (60 + rank)), 6) AS score, max(length(content)) AS chars FROM chan JOIN routed USING (query_id) GROUP BY 1, 2),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM fz QUALIFY rank <= 8),
+bu AS (SELECT *, sum(chars) OVER (PARTITION BY query_id ORDER BY rank) AS running FROM fr)
+SELECT query_id, intent, CAST(rank AS INT) AS rank, key, score, CAST(chars AS INT) AS chars FROM bu JOIN routed USING (query_id) WHERE running <= 120000""")
 def _(fx):
-    q = keyed(fx)
-    hits = R.sparse_search(q, chunks(fx), K).select("query_id", F.lit("sparse").alias("channel"), "rank", F.col("id").alias("key"))
-    routed = R.route_query(q).select("query_id", F.lit("sparse").alias("channel"), F.lit(1.0).alias("weight"))
-    top = R.rerank(R.rrf(hits, routed))
-    kept = R.context_budget(top.join(chunks(fx), F.col("key") == F.col("id")))
-    out = kept.groupBy("query_id").agg(F.count("*").alias("chunks"), F.max("running").alias("chars"), F.sort_array(F.collect_list(F.struct("rank", "key"))).alias("k"))
-    return out.select("query_id", "chunks", "chars", F.array_join(F.transform("k", lambda x: x["key"].cast("string")), ",").alias("keys"))
+    q, c = hybrid(fx)
+    rows = R.hybrid_retrieve(q, c, fx.written("nodes"), fx.written("edges"), owned(fx), fx.stages)
+    return rows.select("query_id", "intent", "rank", "key", "score", F.length("content").alias("chars"))
 
 
 ANSWERS = """SELECT file_key AS query_id, 'See `' || id || ':12` and (' || regexp_replace(id, '^.*/', 'src/') || ') or missing_mod.py:3; handler CoreThing uses missing_symbol' || CASE WHEN file_key % 3 = 0 THEN ' and `gone/away.ts`' ELSE '' END AS answer,
@@ -219,27 +304,29 @@ def _(fx):
 
 
 @query("R17_retrieval_benchmark", f"""
-WITH {DENSE}, qr AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id < 10 AND c.vec_id < 200),
+WITH {DENSE}, qr AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id % 20 = 0),
 p AS (SELECT qr.query_id, count(*) AS n, min(rank) AS first, count(*) FILTER (WHERE rank <= 1) AS h1, count(*) FILTER (WHERE rank <= 5) AS h5, count(*) FILTER (WHERE rank <= 10) AS h10 FROM qr LEFT JOIN ranked_dense d ON d.query_id = qr.query_id AND d.id = qr.id GROUP BY 1)
 SELECT count(*) AS queries, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(h1 / n), 6) AS recall_1, round(avg(h5 / n), 6) AS recall_5, round(avg(h10 / n), 6) AS recall_10 FROM p""")
 def _(fx):
-    q = fx.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
-    qrels = q.join(fx.embeddings.where("vec_id < 200").select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
-    return R.retrieval_benchmark(dense(fx), qrels)
+    q = fx.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return R.retrieval_benchmark(dense(fx), q.join(fx.embeddings.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id"))
 
 
 @query("R18_embed_chunks", f"""
-WITH t AS (SELECT doc_id AS id, unnest({SPLIT % 'text'}) AS term FROM documents), b AS (SELECT id, CAST(('0x' || left(md5(term), 8)) AS BIGINT) % 64 AS b, count(*) AS n FROM t GROUP BY 1, 2)
-SELECT id, count(*) AS buckets, round(max(n) / sqrt(sum(n*n)), 9) AS peak FROM b GROUP BY 1""")
+WITH c AS (SELECT doc_id AS id, text AS content FROM documents), {hashed_sql('cv', 'c')}
+SELECT id, CAST(b AS INT) AS bucket, round(coalesce(n, 0) / len, 9) AS value FROM cv CROSS JOIN range(64) r(b) LEFT JOIN cv_b USING (id, b)
+UNION ALL SELECT doc_id, CAST(b AS INT), 0e0 FROM documents ANTI JOIN cv ON id = doc_id CROSS JOIN range(64) r(b)""")
 def _(fx):
     v = R.embed_chunks(chunks(fx))
-    return v.select("id", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("buckets"), F.round(F.array_max("embedding"), 9).alias("peak")).where("buckets > 0")
+    return v.select("id", F.posexplode("embedding").alias("bucket", "value")).withColumn("value", F.round(F.col("value").cast("double"), 9))
 
 
-@query("X2_search_code", f"WITH {SPARSE} SELECT query_id, id, 'sparse' AS channel, left(text, 300) AS preview FROM ranked_sparse JOIN documents ON doc_id = id")
+@query("X2_search_code", f"""WITH {HQ}, {CH}, {HDENSE}, {hsparse_sql(False)}
+SELECT query_id, 'dense' AS channel, CAST(rank AS INT) AS rank, x.id, left(content, 300) AS preview FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hall QUALIFY rank <= {K}) x JOIN ch USING (id)
+UNION ALL SELECT query_id, 'sparse', CAST(rank AS INT), hs.id, left(content, 300) FROM hs JOIN ch ON ch.id = hs.id WHERE rank <= {K}""")
 def _(fx):
-    hits = R.sparse_search(keyed(fx), chunks(fx), K).select("query_id", "id")
-    return hits.join(chunks(fx), "id").select("query_id", "id", F.lit("sparse").alias("channel"), F.substring("content", 1, 300).alias("preview"))
+    q, c = hybrid(fx)
+    return R.search_code(q, c, K, fx.stages)
 
 
 B_SQL = """

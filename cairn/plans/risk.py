@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from cairn.operators import graph as G
 from cairn.operators import insight as I
+from cairn.operators import retrieval as V
 from cairn.operators import risk as R
 from cairn.plans.graph import REQ, RULE_SQL, requests, rules
 from cairn.plans.registry import query
-from cairn.sources.tables import Stages
+from cairn.plans.retrieval import FUSED, HQ, SYN, hdense_sql, hybrid, seeds_sql
 
 CRIT, STORE, ROUTE = "|".join(R.CRITICAL), "|".join(R.STORAGE), "|".join(R.ROUTE)
 UNTESTED = "(SELECT id FROM fx_files f WHERE NOT is_test_file AND NOT EXISTS (SELECT 1 FROM fx_edges e WHERE e.dst = f.id AND relation = 'COVERS'))"
@@ -93,58 +94,78 @@ def _(fx):
     return R.impact_categories(scored(fx, requests(fx)), fx.nodes)
 
 
-TOKENS = [(1, "auth core"), (2, "route user models"), (3, "api schema"), (4, "zzz")]
-TOKEN_SQL = """qt AS (SELECT * FROM (VALUES (1, ['auth', 'core']), (2, ['route', 'user', 'models']), (3, ['api', 'schema']), (4, ['zzz'])) v(query_id, tokens)),
-tx AS (SELECT CAST(query_id AS BIGINT) AS query_id, id, lower(concat_ws(' ', id, name, layer)) AS t, tokens FROM fx_nodes, qt WHERE len(list_filter(tokens, lambda k: contains(lower(id), k))) > 0),
-pt AS (SELECT query_id, id, 5e-1 + list_sum(list_transform(tokens, lambda k: CASE WHEN contains(t, k) THEN 3e0 + CASE WHEN len(list_filter(string_split(t, '/'), lambda p: contains(p, k))) > 0 THEN 2e0 ELSE 0e0 END ELSE 0e0 END)) AS points FROM tx),
-seeds AS (SELECT *, round(1 - points / max(points) OVER (PARTITION BY query_id), 4) AS score FROM (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY points DESC, id) <= 15))"""
+# questions with a layer hinted at by every third
+HINT = "CASE (query_id // 20) % 9 WHEN 0 THEN 'api' WHEN 3 THEN 'data' WHEN 6 THEN 'ui' END"
 
 
-@query("H3_token_scores", f"WITH {TOKEN_SQL} SELECT query_id, points, count(*) AS n FROM pt GROUP BY 1, 2")
-def _(fx):
-    q = fx.spark.createDataFrame(TOKENS, "query_id long, text string")
-    return R.keyword_seeds(q, fx.nodes, 1 << 30).groupBy("query_id", "points").agg(F.count("*").alias("n"))
+def points_sql(name: str, source: str) -> str:
+    """``name`` (query_id, id, points) of all candidates for the questions (query_id, text, layer) of ``source``."""
+    return f"""{name}_t AS (SELECT query_id, layer AS hint, list_distinct(list_filter(string_split_regex(lower(text), '[^\\w]+'), lambda t: length(t) >= 2)) AS tokens FROM {source}),
+{name}_x AS (SELECT query_id, id, layer, hint, lower(concat_ws(' ', id, name, layer)) AS t, tokens FROM fx_nodes JOIN {name}_t ON len(list_filter(tokens, lambda k: contains(lower(id), k))) > 0),
+{name} AS (SELECT query_id, id, 5e-1 + CASE WHEN layer = hint THEN 5e0 ELSE 0e0 END + list_sum(list_transform(tokens, lambda k: CASE WHEN contains(t, k) THEN 3e0 + CASE WHEN len(list_filter(string_split(t, '/'), lambda p: contains(p, k))) > 0 THEN 2e0 ELSE 0e0 END ELSE 0e0 END)) AS points FROM {name}_x)"""
+
+
+ASKED = f"{HQ}, aq AS (SELECT query_id, text, {HINT} AS layer FROM hq), {points_sql('pt', 'aq')}"
+SEEDS = "seeds AS (SELECT *, round(1 - points / max(points) OVER (PARTITION BY query_id), 4) AS score FROM (SELECT * FROM pt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY points DESC, id) <= 15))"
+
 
+def hinted(q):
+    k = F.floor(F.col("query_id") / 20) % 9
+    return q.withColumn("layer", F.when(k == 0, "api").when(k == 3, "data").when(k == 6, "ui"))
 
-@query("H4_keyword_seeds", f"WITH {TOKEN_SQL} SELECT query_id, id, points, score FROM seeds")
+
+@query("H3_token_scores", f"WITH {ASKED} SELECT query_id, points, count(*) AS n FROM pt GROUP BY 1, 2")
 def _(fx):
-    return R.keyword_seeds(fx.spark.createDataFrame(TOKENS, "query_id long, text string"), fx.nodes)
+    return R.keyword_seeds(hinted(hybrid(fx)[0]), fx.nodes, 1 << 30).groupBy("query_id", "points").agg(F.count("*").alias("n"))
 
 
-@query("G6_focus_subgraph", f"""
-WITH {TOKEN_SQL}, b AS (SELECT src, dst FROM fx_edges WHERE relation <> 'MAYBE_CALLS' UNION SELECT dst, src FROM fx_edges WHERE relation <> 'MAYBE_CALLS'),
-h AS (SELECT query_id, id, 0 AS hop FROM seeds UNION ALL SELECT query_id, dst, 1 FROM seeds JOIN b ON src = id),
-m AS (SELECT query_id, id, min(hop) AS hop FROM h GROUP BY 1, 2), t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, id) <= 40)
-SELECT DISTINCT a.query_id AS request_id, e.src, e.dst, e.relation FROM fx_edges e JOIN t a ON a.id = e.src JOIN t c ON c.id = e.dst AND c.query_id = a.query_id""")
+@query("H4_keyword_seeds", f"WITH {ASKED}, {SEEDS} SELECT query_id, id, points, score FROM seeds")
 def _(fx):
-    seeds = R.keyword_seeds(fx.spark.createDataFrame(TOKENS, "query_id long, text string"), fx.nodes)
-    found = G.expand_subgraph(seeds.select(F.col("query_id").alias("request_id"), "id"), fx.nodes, fx.edges, 1, 40)
-    return G.induced_edges(found, fx.edges)
+    return R.keyword_seeds(hinted(hybrid(fx)[0]), fx.nodes)
 
 
-def _wider(words):
-    """Synonyms of a query's words that it does not hold, as the operator finds them."""
-    from cairn.operators.retrieval import SYNONYMS
+LINKS = "b AS (SELECT src, dst FROM fx_edges WHERE relation <> 'MAYBE_CALLS' UNION SELECT dst, src FROM fx_edges WHERE relation <> 'MAYBE_CALLS')"
 
-    return [x for x in dict.fromkeys(y for w in words for y in SYNONYMS.get(w, "").split()) if x not in words]
+
+def around_sql(seeds: str) -> str:
+    """``t`` (query_id, id): what lies within one link of the seeds, 40 at most, in the hinted layer."""
+    return f"""{LINKS}, h AS (SELECT query_id, id, 0 AS hop FROM {seeds} UNION ALL SELECT query_id, dst, 1 FROM {seeds} JOIN b ON src = id),
+m AS (SELECT query_id, id, min(hop) AS hop FROM h GROUP BY 1, 2), t0 AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, id) <= 40),
+t AS (SELECT t0.* FROM t0 JOIN aq USING (query_id) JOIN fx_nodes n ON n.id = t0.id WHERE aq.layer IS NULL OR aq.layer = n.layer)"""
+
+
+@query("G6_focus_subgraph", f"""
+WITH {ASKED}, {SEEDS}, ls AS (SELECT query_id, id FROM aq JOIN fx_nodes USING (layer) WHERE query_id NOT IN (SELECT query_id FROM seeds) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 20),
+sl AS (SELECT query_id, id FROM seeds UNION SELECT query_id, id FROM ls), {around_sql('sl')}
+SELECT DISTINCT a.query_id AS request_id, e.src, e.dst, e.relation FROM fx_edges e JOIN t a ON a.id = e.src JOIN t c ON c.id = e.dst AND c.query_id = a.query_id""")
+def _(fx):
+    return R.focus_subgraph(hinted(hybrid(fx)[0]), fx.written("nodes"), fx.written("edges"), fx.stages)[1]
 
 
-WIDE = [(i, _wider(t.split())) for i, t in TOKENS if _wider(t.split())]
+WIDER = "(SELECT query_id, text || ' ' || words AS text, layer FROM aq JOIN (SELECT query_id, string_agg(word, ' ') AS words FROM (SELECT DISTINCT a.query_id, unnest(words) AS word FROM pt_t a JOIN " + SYN + " ON list_contains(a.tokens, key)) x JOIN pt_t USING (query_id) WHERE NOT list_contains(tokens, word) GROUP BY 1) USING (query_id))"
 
 
 @query("R14_focused_subgraph", f"""
-WITH {TOKEN_SQL},
-wt AS (SELECT * FROM (VALUES {', '.join(f"({i}, {w})" for i, w in WIDE)}) v(query_id, tokens)),
-wx AS (SELECT CAST(query_id AS BIGINT) AS query_id, id, lower(concat_ws(' ', id, name, layer)) AS t, tokens FROM fx_nodes, wt WHERE len(list_filter(tokens, lambda k: contains(lower(id), k))) > 0),
-wp AS (SELECT query_id, id, 5e-1 + list_sum(list_transform(tokens, lambda k: CASE WHEN contains(t, k) THEN 3e0 + CASE WHEN len(list_filter(string_split(t, '/'), lambda p: contains(p, k))) > 0 THEN 2e0 ELSE 0e0 END ELSE 0e0 END)) AS points FROM wx),
-every AS (SELECT query_id, id, 'keyword' AS origin FROM seeds UNION ALL SELECT query_id, id, 'expanded' FROM (SELECT * FROM wp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY points DESC, id) <= 15)),
-b AS (SELECT src, dst FROM fx_edges WHERE relation <> 'MAYBE_CALLS' UNION SELECT dst, src FROM fx_edges WHERE relation <> 'MAYBE_CALLS'),
-h AS (SELECT query_id, id, 0 AS hop FROM every UNION ALL SELECT query_id, dst, 1 FROM every JOIN b ON src = id),
-m AS (SELECT query_id, id, min(hop) AS hop FROM h GROUP BY 1, 2), t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, id) <= 40),
-e AS (SELECT a.query_id, count(*) AS n FROM (SELECT DISTINCT * FROM fx_edges) e JOIN t a ON a.id = e.src JOIN t c ON c.id = e.dst AND c.query_id = a.query_id GROUP BY 1)
-SELECT t.query_id AS request_id, count(*) AS nodes, coalesce(max(e.n), 0) AS edges, count(*) >= 40 AS truncated, (SELECT max(origin) FROM every x WHERE x.query_id = t.query_id) AS seed_source FROM t LEFT JOIN e ON e.query_id = t.query_id GROUP BY t.query_id""")
-def _(fx):
-    return R.focused_subgraph(fx.spark.createDataFrame(TOKENS, "query_id long, text string"), fx.nodes, fx.edges, stages=Stages(fx.spark))[2]
+WITH {ASKED}, {SEEDS}, {FUSED.removeprefix(f'WITH {HQ}, ')}, {seeds_sql('hall', 'sd')}, wq AS {WIDER}, {hdense_sql('wq', 'wall', 'wv', False)}, {seeds_sql('wall', 'ws')}, {points_sql('wp', 'wq')},
+ok AS (SELECT query_id, id FROM aq JOIN fx_nodes n ON aq.layer IS NULL OR aq.layer = n.layer),
+v1 AS (SELECT query_id, key AS id FROM fr WHERE rank <= 15 AND (query_id, key) IN (SELECT (query_id, id) FROM ok)), v AS (SELECT * FROM v1 UNION ALL SELECT query_id, id FROM sd WHERE query_id NOT IN (SELECT query_id FROM v1) AND (query_id, id) IN (SELECT (query_id, id) FROM ok)),
+kw AS (SELECT query_id, id FROM seeds WHERE query_id NOT IN (SELECT query_id FROM v) AND (query_id, id) IN (SELECT (query_id, id) FROM ok)),
+hf AS (SELECT query_id, id FROM (SELECT * FROM seeds WHERE query_id IN (SELECT query_id FROM v) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, id) <= 7) WHERE (query_id, id) IN (SELECT (query_id, id) FROM ok)),
+la AS (SELECT query_id, id FROM aq JOIN fx_nodes USING (layer) WHERE query_id NOT IN (SELECT query_id FROM v UNION ALL SELECT query_id FROM kw) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 20),
+wi AS (SELECT query_id, id FROM (SELECT query_id, id FROM ws UNION ALL SELECT query_id, id FROM (SELECT * FROM wp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY points DESC, id) <= 7)) WHERE (query_id, id) IN (SELECT (query_id, id) FROM ok)),
+every AS (SELECT *, 0 AS o FROM v UNION ALL SELECT *, 1 FROM hf UNION ALL SELECT *, 2 FROM kw UNION ALL SELECT *, 3 FROM la UNION ALL SELECT *, 4 FROM wi), sl AS (SELECT query_id, id, min(o) AS o FROM every GROUP BY 1, 2), {around_sql('sl')},
+e AS (SELECT a.query_id, count(*) AS n FROM (SELECT DISTINCT * FROM fx_edges) e JOIN t a ON a.id = e.src JOIN t c ON c.id = e.dst AND c.query_id = a.query_id GROUP BY 1),
+src AS (SELECT query_id, CASE WHEN bool_or(o = 0) THEN CASE WHEN bool_or(o IN (1, 4)) THEN 'mixed' ELSE 'vector' END WHEN bool_or(o = 2) THEN 'keyword' WHEN bool_or(o = 3) THEN 'layer' ELSE 'wider' END AS seed_source FROM sl GROUP BY 1)
+SELECT t.query_id AS request_id, count(*) AS nodes, coalesce(max(e.n), 0) AS edges, count(*) >= 40 AS truncated, any_value(seed_source) AS seed_source FROM t LEFT JOIN e ON e.query_id = t.query_id JOIN src ON src.query_id = t.query_id GROUP BY t.query_id""")
+def _(fx):
+    q, c = hybrid(fx)
+    words = F.array_join(V.expand_tokens(F.col("text")), " ")
+    q = fx.stages.keep(hinted(q).withColumn("wider", F.when(words != "", F.concat("text", F.lit(" "), words))))
+    wide = q.where("wider is not null").select("query_id", F.col("wider").alias("text"))
+    vectors = V.embed_chunks(wide.select(F.col("query_id").alias("id"), F.col("text").alias("content")))
+    wide = wide.join(vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    found = (V.fused_seed_nodes(V.route_query(q), c, stages=fx.stages), V.seed_nodes(q, c), V.seed_nodes(wide, c))
+    return R.focused_subgraph(q, *map(fx.stages.keep, found), fx.written("nodes"), fx.written("edges"), fx.stages)[2]
 
 
 PR_RISK = f"""

@@ -36,6 +36,7 @@ class Stages:
 
 
 RELATIONS = {"IMPORTS": "DEPENDS_ON", "MAYBE_IMPORTS": "MAYBE_CALLS"}
+# Folders that hold no source of one's own, and files known by their name.
 IGNORED_DIRS = (
     ".git", "node_modules", "__pycache__", ".next", "dist", "build", "target", ".gradle", ".idea", ".vscode",
     ".pytest_cache", ".mypy_cache", "vendor", "venv", ".venv", "site-packages", "coverage", ".tox", ".terraform",
@@ -46,13 +47,18 @@ SPECIAL_NAMES = (
     "Dockerfile", "Makefile", "makefile", "GNUmakefile", "Jenkinsfile", "Vagrantfile", "Procfile", ".gitignore",
     ".gitattributes", ".dockerignore", ".editorconfig", "Gemfile", "go.sum", "go.mod", "schema.prisma", ".env.example",
 )
+# Extensions of text files.
 EXTENSIONS = (
-    "py pyw pyi pyx js jsx mjs cjs ts tsx java kt kts scala c cpp cc cxx h hpp hxx hh cs csx go rs rb rake rbw php "
-    "phtml swift m mm r lua pl pm t sh bash zsh fish ksh ps1 psm1 psd1 dart elm ex exs clj cljs hs ml mli vim lisp cl "
-    "scm rkt jl nim cr d pas p pp vb vbs v sv svh html htm xhtml css scss sass less styl xml xsl xslt vue svelte json "
-    "json5 jsonc yaml yml toml ini cfg conf mk cmake gradle tf hcl tfvars sql graphql gql proto md markdown mdown mkdn "
-    "rst txt text adoc asciidoc csv tsv env lock"
-).split()
+    ".py", ".pyw", ".pyi", ".pyx", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".java", ".kt", ".kts", ".scala",
+    ".c", ".cpp", ".cc", ".cxx", ".h", ".hpp", ".hxx", ".hh", ".cs", ".csx", ".go", ".rs", ".rb", ".rake", ".rbw",
+    ".php", ".phtml", ".swift", ".m", ".mm", ".r", ".lua", ".pl", ".pm", ".t", ".sh", ".bash", ".zsh", ".fish",
+    ".ksh", ".ps1", ".psm1", ".psd1", ".dart", ".elm", ".ex", ".exs", ".clj", ".cljs", ".hs", ".ml", ".mli", ".vim",
+    ".lisp", ".cl", ".scm", ".rkt", ".jl", ".nim", ".cr", ".d", ".pas", ".p", ".pp", ".vb", ".vbs", ".v", ".sv",
+    ".svh", ".html", ".htm", ".xhtml", ".css", ".scss", ".sass", ".less", ".styl", ".xml", ".xsl", ".xslt", ".vue",
+    ".svelte", ".json", ".json5", ".jsonc", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".mk", ".cmake",
+    ".gradle", ".tf", ".hcl", ".tfvars", ".sql", ".graphql", ".gql", ".proto", ".md", ".markdown", ".mdown", ".mkdn",
+    ".rst", ".txt", ".text", ".adoc", ".asciidoc", ".csv", ".tsv", ".env", ".lock",
+)
 
 
 def read_source_files(spark: SparkSession, path: str, extensions=EXTENSIONS, names=SPECIAL_NAMES, ignored=IGNORED_DIRS) -> DataFrame:
@@ -73,7 +79,7 @@ def read_source_files(spark: SparkSession, path: str, extensions=EXTENSIONS, nam
     hidden = F.exists(folders, lambda d: F.startswith(d, F.lit(".")) & ~d.isin(*KEPT_HIDDEN_DIRS))
     skipped = F.exists(folders, lambda d: d.isin(*ignored)) | hidden
     name = F.element_at(parts, -1)
-    kept = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*extensions) | name.isin(*names) | name.rlike(r"^Dockerfile(\.\w+)?$")
+    kept = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).isin(*extensions) | name.isin(*names) | name.rlike(r"^Dockerfile(\.\w+)?$")
     return rows.where(kept & ~skipped).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
