@@ -203,7 +203,9 @@ def layer_overview(nodes: DataFrame, edges: DataFrame, k: int = 24) -> tuple[Dat
     """Layers (layer, files, names, val) and layer pairs (src_layer, dst_layer, n, weight)."""
     files = nodes.where("type = 'file'")
     nth = F.row_number().over(Window.partitionBy("layer").orderBy(F.length("name"), "name"))
-    named = files.withColumn("nth", nth).groupBy("layer").agg(F.count("*").alias("files"), F.sort_array(F.collect_list(F.when(F.col("nth") <= 3, F.struct("nth", "name")))).alias("n"))
+    first = files.select("layer", "name").withColumn("nth", nth).where("nth <= 3")  # cut before the shuffle, too
+    first = first.groupBy("layer").agg(F.sort_array(F.collect_list(F.struct("nth", "name"))).alias("n"))
+    named = files.groupBy("layer").agg(F.count("*").alias("files")).join(first, "layer")
     layers = named.select("layer", "files", F.array_join(F.transform("n", lambda x: x["name"]), ",").alias("names"), F.least(8 + 0.5 * F.col("files"), F.lit(40.0)).alias("val"))
     l = files.select("id", "layer")
     e = edges.where(F.col("relation").isin("DEPENDS_ON", "IMPORTS", "DEFINES"))
@@ -212,6 +214,17 @@ def layer_overview(nodes: DataFrame, edges: DataFrame, k: int = 24) -> tuple[Dat
     return layers, pairs.orderBy(F.desc("n"), "src_layer", "dst_layer").limit(k)
 
 
+def layer_members(nodes: DataFrame) -> DataFrame:
+    """(layer, id): members as rows, as a layer may hold most of a code base."""
+    return nodes.select("layer", "id").distinct()
+
+
+def chunks_by_extension(chunks: DataFrame, k: int = 5) -> DataFrame:
+    """(extension, chunks): the ``k`` endings of chunk paths that have the most chunks."""
+    ending = F.regexp_extract("path", r"\.([a-z0-9]+)$", 1)
+    return chunks.groupBy(ending.alias("extension")).agg(F.count("*").alias("chunks")).orderBy(F.desc("chunks"), "extension").limit(k)
+
+
 def suggest_reviewers(pr_files: DataFrame, experts: DataFrame, risks: DataFrame, k: int = 5) -> DataFrame:
     """(pr_id, person, score, confidence): expert weights (the eight heaviest a file) plus risk scores of owned files."""
     nth = F.row_number().over(Window.partitionBy("pr_id", "file").orderBy(F.desc("weight"), "person"))

@@ -21,7 +21,7 @@ STRUCTURE = {
     "rust": {"class": r"^\s*(?:pub\s+)?struct\s+(\w+)", "function": r"^\s*(?:pub\s+)?fn\s+(\w+)\s*\(", "import": r"use\s+([\w:]+)"},
     "ruby": {"class": r"^\s*(?:class|module)\s+(\w+)", "function": r"^\s*def\s+(?:self\.)?(\w+)", "import": r"require\s+['\"]([^'\"]+)['\"]"},
 }
-NO_FUNCTION = "if for while switch catch return else elif with print and or not in new await function class import from".split()
+NO_FUNCTION = ["if", "for", "while", "switch", "catch", "return", "else", "elif", "with", "print", "and", "or", "not", "in", "new", "await", "function", "class", "import", "from"]
 NO_CALL = [*NO_FUNCTION, "def", "super", "len", "range", "self"]
 
 
@@ -60,13 +60,27 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     above = F.last(F.when(F.col("type") == "class", F.struct("name", "indent")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     s = s.withColumn("c", above)
     scope = F.when((F.col("type") == "function") & (F.col("c.indent") < F.col("indent")), F.concat("path", F.lit("::"), "c.name")).otherwise(F.col("path"))
-    # the next symbol at the same or a lower indent: the least following line among those of each lower indent
-    after = F.collect_list(F.struct("line_no", "indent")).over(w.rowsBetween(1, Window.unboundedFollowing))
-    nxt = F.array_min(F.transform(F.filter(after, lambda x: x["indent"] <= F.col("indent")), lambda x: x["line_no"]))
-    s = s.withColumn("scope", scope).withColumn("nxt", nxt).join(last, "path")
+    # a file's symbols as one row, each with the next one at the same or a lower indent
+    listed = F.sort_array(F.collect_list(F.struct("line_no", "indent", "name", "type", "scope")))
+    s = s.withColumn("scope", scope).groupBy("path").agg(listed.alias("s"))
+    s = s.select("path", F.explode(F.arrays_zip("s", F.pandas_udf(_next_outer, "array<int>")(F.col("s.line_no"), F.col("s.indent")).alias("nxt"))).alias("x")).select("path", "x.s.*", "x.nxt").join(last, "path")
     return s.select("path", F.concat("scope", F.lit("::"), "name").alias("id"), "name", "type", "scope", F.col("line_no").alias("start_line"), F.coalesce(F.col("nxt") - 1, "last_line").alias("end_line"), "indent")
 
 
+def _next_outer(lines: pd.Series, indents: pd.Series) -> pd.Series:
+    """For each of a file's symbols, the line of the next one at the same or a lower indent; null: none."""
+    out = []
+    for line, indent in zip(lines, indents, strict=True):
+        found: list[int | None] = [None] * len(line)
+        open_: list[int] = []
+        for i, x in enumerate(indent):
+            while open_ and indent[open_[-1]] >= x:
+                found[open_.pop()] = int(line[i])
+            open_.append(i)
+        out.append(found)
+    return pd.Series(out)
+
+
 def structure_edges(symbols: DataFrame) -> DataFrame:
     """(src, dst, relation): DEFINES for classes and CONTAINS for functions."""
     return symbols.select(F.col("scope").alias("src"), F.col("id").alias("dst"), F.when(F.col("type") == "class", "DEFINES").otherwise("CONTAINS").alias("relation")).distinct()
@@ -94,21 +108,32 @@ def call_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: tuple[tuple[str, str], ...] = (("@/", "src/"),)) -> DataFrame:
-    """(path, module, target): the first candidate that is a file: alias, relative, dotted; with extension or index."""
+    """(path, module, relation, target): the first candidate that is a file: alias, relative, dotted; with extension or index.
+
+    A relative module goes up one folder for each ``../``; where it leaves the tree it is not resolved.
+    """
     m, folder = F.col("module"), dirname(F.col("path"))
     base = F.when(F.lit(False), m)
     for alias, to in aliases:
-        base = base.when(F.startswith(m, F.lit(alias)), F.concat(F.lit(to), F.substring(m, len(alias) + 1, 500)))
-    base = base.when(F.startswith(m, F.lit("./")), F.concat(folder, F.substring(m, 2, 500))).when(F.startswith(m, F.lit("../")), F.concat(dirname(folder), F.substring(m, 3, 500)))
+        base = base.when(F.startswith(m, F.lit(alias)), F.concat(F.lit(to), F.substring(m, len(alias) + 1, 1 << 30)))
+    steps = F.concat(F.filter(F.split(folder, "/"), lambda p: p != ""), F.split(m, "/"))
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(
+        steps,
+        none,
+        lambda acc, p: F.when((p == ".") | (p == ""), acc).when((p == "..") & (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("")), acc), -1) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))),
+    )
+    base = base.when(F.startswith(m, F.lit("./")) | F.startswith(m, F.lit("../")), F.array_join(walked, "/"))
     base = base.otherwise(F.when(F.contains(m, F.lit("/")), m).otherwise(F.replace(m, F.lit("."), F.lit("/"))))
     ends = ["", ".py", ".ts", ".tsx", ".js", ".jsx", ".go", "/__init__.py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
-    rows = imports.select("path", "module", "relation", F.posexplode(F.array(*[F.concat(base, F.lit(e)) for e in ends])).alias("nth", "target"))
+    rows = imports.select("path", "module", "relation", base.alias("base"))
+    rows = rows.select("path", "module", "relation", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ends])).alias("nth", "target"))
     hit = rows.join(files.select(F.col("path").alias("target")), "target")
     return hit.groupBy("path", "module", "relation").agg(F.min_by("target", "nth").alias("target"))
 
 
 def test_covers(files: DataFrame) -> DataFrame:
-    """(src, dst): ``test_x`` and ``x_test`` files to the files named x with the same ending."""
+    """(src, dst): ``test_x`` and ``x_test`` files to the files named x with the same ending; many files may have a name."""
     name = basename(F.col("path"))
     tested = F.when(name.rlike(r"^test_"), F.regexp_replace(name, "^test_", "")).when(name.rlike(r"_test\.\w+$"), F.regexp_replace(name, r"_test(\.\w+)$", "$1"))
     t = files.select(F.col("path").alias("src"), tested.alias("name")).where("name is not null")
@@ -281,9 +306,45 @@ def k8s_objects(files: DataFrame) -> DataFrame:
     return objects.unionByName(images).distinct()
 
 
+def lock_dependencies(files: DataFrame) -> DataFrame:
+    """(path, node): what the root package of a package-lock.json depends on."""
+    f = files.where(basename(F.col("path")) == "package-lock.json")
+    root = F.from_json(F.get_json_object("content", "$.packages"), "map<string,struct<dependencies:map<string,string>,devDependencies:map<string,string>>>")
+    root = F.try_element_at(root, F.lit(""))
+    none = F.expr("cast(array() as array<string>)")
+    return _deps(f, "npm", F.array_distinct(F.concat(*[F.coalesce(F.map_keys(root[k]), none) for k in ("dependencies", "devDependencies")])))
+
+
+def compose_links(files: DataFrame) -> DataFrame:
+    """(path, node, target): services that a compose file's service names below ``depends_on:``, as a list or as keys."""
+    lines = lines_of(files.where(F.lower(basename(F.col("path"))).rlike(r"^(docker-)?compose\.ya?ml$")))
+    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    got = lambda p: F.nullif(F.regexp_extract("line", p, 1), F.lit(""))
+    top = F.last(got(r"^(\w[\w-]*):"), ignorenulls=True).over(w)
+    service = F.last(F.when(F.col("line").rlike(r"^\w"), F.lit("")).otherwise(got(r"^  ([\w.-]+):\s*$")), ignorenulls=True).over(w)
+    section = F.last(F.when(F.col("line").rlike(r"^  ([\w.-]+):\s*$"), F.lit("")).otherwise(got(r"^    ([\w.-]+):")), ignorenulls=True).over(w)
+    rows = lines.withColumns({"top": top, "service": service, "section": section}).where("top = 'services' and service <> '' and section = 'depends_on'")
+    inline = F.regexp_extract_all(F.regexp_extract("line", r"depends_on:\s*\[(.*)\]", 1), F.lit(r"([\w.-]+)"), F.lit(1))
+    named = F.coalesce(got(r"^\s{6,}-\s*[\"']?([\w.-]+)"), got(r"^      ([\w.-]+):"))
+    rows = rows.select("path", "service", F.explode(F.concat(inline, F.array_compact(F.array(named)))).alias("t"))
+    return rows.select("path", F.concat(F.lit("[service]:"), "service").alias("node"), F.concat(F.lit("[service]:"), "t").alias("target")).distinct()
+
+
+def dependency_edges(files: DataFrame) -> DataFrame:
+    """(src, dst, relation): a manifest DEFINES services, models, resources and objects and DEPENDS_ON packages and images.
+
+    Services depend on services, and models relate to models (RELATES_TO).
+    """
+    own = F.col("node").rlike(r"^\[(service|prisma|tf|k8s)\]")
+    rows = dependencies(files).select(F.col("path").alias("src"), F.col("node").alias("dst"), F.when(own, "DEFINES").otherwise("DEPENDS_ON").alias("relation"))
+    services = compose_links(files).select(F.col("node").alias("src"), F.col("target").alias("dst"), F.lit("DEPENDS_ON").alias("relation"))
+    models = prisma_models(files).where("target is not null").select(F.col("node").alias("src"), F.col("target").alias("dst"), F.lit("RELATES_TO").alias("relation"))
+    return rows.unionByName(services).unionByName(models).distinct()
+
+
 def dependencies(files: DataFrame) -> DataFrame:
     """(path, node) over all kinds of manifests, each once."""
-    parts = [npm_dependencies, pip_dependencies, pyproject_dependencies, go_dependencies, docker_dependencies, compose_dependencies, terraform_resources, k8s_objects]
+    parts = [npm_dependencies, lock_dependencies, pip_dependencies, pyproject_dependencies, go_dependencies, docker_dependencies, compose_dependencies, terraform_resources, k8s_objects]
     out = prisma_models(files).select("path", "node")
     for f in parts:
         out = out.unionByName(f(files))

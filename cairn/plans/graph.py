@@ -71,16 +71,18 @@ def _(fx):
     return G.induced_edges(fx.files.select((F.col("file_key") % 10).alias("request_id"), "id"), fx.edges)
 
 
+# beside the tests that are there, every ninth file has one of each form in another folder
 @query("C11_test_covers", """
-WITH n AS (SELECT id, file_key, regexp_replace(id, '^.*/', '') AS name FROM fx_files)
-SELECT t.id AS src, s.id AS dst FROM (SELECT id, name FROM n WHERE starts_with(name, 'test_')) t JOIN n s ON s.name = substr(t.name, 6)
-UNION SELECT replace(id, 'tests/', 'twin/') AS src, id AS dst FROM n WHERE NOT starts_with(name, 'test_') AND file_key % 9 = 0""")
+WITH n AS (SELECT id, regexp_replace(id, '^.*/', '') AS name, file_key FROM fx_files),
+every AS (SELECT id, name FROM n UNION ALL SELECT 'spec/test_' || name, 'test_' || name FROM n WHERE file_key % 9 = 0 UNION ALL SELECT 'spec/' || replace(name, '.py', '_test.py'), replace(name, '.py', '_test.py') FROM n WHERE file_key % 9 = 0),
+t AS (SELECT id, CASE WHEN starts_with(name, 'test_') THEN substr(name, 6) WHEN name LIKE '%\\_test.py' ESCAPE '\\' THEN replace(name, '_test.py', '.py') END AS name FROM every)
+SELECT t.id AS src, e.id AS dst FROM t JOIN every e ON e.name = t.name""")
 def _(fx):
-    twins = fx.files.where("file_key % 9 = 0").where(~F.startswith(X.basename(F.col("id")), F.lit("test_")))
-    tests = fx.files.where("is_test_file").select("id", F.substring(X.basename(F.col("id")), 6, 500).alias("name"))
-    names = fx.files.select(F.col("id").alias("dst"), X.basename(F.col("id")).alias("name"))
-    found = tests.join(names, "name").select(F.col("id").alias("src"), "dst")
-    return found.unionByName(twins.select(F.replace("id", F.lit("tests/"), F.lit("twin/")).alias("src"), F.col("id").alias("dst"))).distinct()
+    from cairn.operators.text import test_covers
+
+    name, some = X.basename(F.col("id")), fx.files.where("file_key % 9 = 0")
+    more = some.select(F.explode(F.array(F.concat(F.lit("spec/test_"), name), F.concat(F.lit("spec/"), F.regexp_replace(name, r"\.py$", "_test.py")))).alias("path"))
+    return test_covers(fx.files.select(F.col("id").alias("path")).unionByName(more))
 
 
 RULES = [("api", "data"), ("ui", "data"), ("ui", "service"), ("util", "api"), ("data", "ui")]
@@ -351,6 +353,16 @@ def _(fx):
     return G.ego_network(requests(fx), fx.edges)
 
 
-@query("G11_communities")
+# five rounds, written out
+ROUNDS = " ".join(
+    f"v{i} AS (SELECT dst AS id, label FROM b JOIN l{i - 1} l ON l.id = src UNION ALL SELECT id, label FROM l{i - 1}), l{i} AS (SELECT id, label FROM (SELECT id, label, count(*) AS n FROM v{i} GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1),"
+    for i in range(1, 6)
+)
+
+
+@query("G11_communities", f"""
+WITH b AS (SELECT src, dst FROM {DEP} WHERE src <> dst UNION SELECT dst, src FROM {DEP} WHERE src <> dst), l0 AS (SELECT id, id AS label FROM fx_files), {ROUNDS}
+rk AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS nth FROM l5 GROUP BY 1)
+SELECT id, CASE WHEN nth <= 6 AND n > 1 THEN l5.label ELSE (SELECT label FROM rk WHERE nth = 1) END AS community FROM l5 JOIN rk USING (label)""")
 def _(fx):
     return G.communities(fx.nodes, fx.edges.where("relation = 'DEPENDS_ON'"), S.Stages(fx.spark))

@@ -85,13 +85,13 @@ def _(fx):
 
 
 @query("D18_person_work", """
-WITH p AS (SELECT * FROM (VALUES ('united'), ('china'), ('IN')) v(person)),
+WITH p AS (SELECT * FROM (VALUES ('nation_1'), ('Nation_7'), ('xyz')) v(person)),
 r AS (SELECT id, top_owner AS name, 1 AS role FROM fx_nodes UNION ALL SELECT id, last_author, 2 FROM fx_nodes UNION ALL SELECT file, author, 3 FROM fx_authors),
 b AS (SELECT person, r.id, min(role) AS role FROM r JOIN p ON contains(lower(name), lower(person)) GROUP BY 1, 2)
 SELECT person, b.id, CASE role WHEN 1 THEN 'OWNER' WHEN 2 THEN 'LAST_AUTHOR' ELSE 'COLLABORATOR' END AS role FROM b JOIN fx_nodes n ON n.id = b.id
 QUALIFY row_number() OVER (PARTITION BY person ORDER BY commit_count DESC, b.id) <= 50""")
 def _(fx):
-    persons = fx.spark.createDataFrame([("united",), ("china",), ("IN",)], "person string")
+    persons = fx.spark.createDataFrame([("nation_1",), ("Nation_7",), ("xyz",)], "person string")
     return I.person_work(persons, fx.nodes, fx.touches.select(F.col("file").alias("node"), "author").distinct())
 
 
@@ -109,9 +109,9 @@ def _(fx):
     return I.layer_overview(fx.nodes, fx.edges)[0]
 
 
-@query("D20_layer_members", "SELECT layer, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM fx_nodes GROUP BY 1")
+@query("D20_layer_members", "SELECT layer, id FROM fx_nodes")
 def _(fx):
-    return fx.nodes.groupBy("layer").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    return I.layer_members(fx.nodes)
 
 
 @query("D21_relation_histogram", "SELECT relation, count(*) AS n FROM fx_edges GROUP BY 1")
@@ -124,6 +124,12 @@ def _(fx):
     return fx.documents.groupBy(F.col("lang").alias("chunk_type")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
+@query("D22_chunks_by_extension", """
+SELECT extension, chunks FROM (SELECT regexp_extract(url, '\\.([a-z0-9]+)$', 1) AS extension, count(*) AS chunks FROM pages GROUP BY 1) ORDER BY chunks DESC, extension LIMIT 5""")
+def _(fx):
+    return I.chunks_by_extension(fx.pages.select(F.col("url").alias("path")))
+
+
 @query("D23_suggest_reviewers", """
 WITH pr AS (SELECT hash AS pr_id, file FROM fx_commit_files WHERE hash % 50 = 0),
 w AS (SELECT pr_id, author AS person, CAST(n AS DOUBLE) AS s FROM pr JOIN fx_authors a ON a.file = pr.file QUALIFY row_number() OVER (PARTITION BY pr_id, pr.file ORDER BY n DESC, author) <= 8),

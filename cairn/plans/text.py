@@ -44,9 +44,17 @@ def _(fx):
     return T.extract_imports(sources(fx))
 
 
-@query("C10_resolve_imports", f"WITH s AS ({SRC_SQL}) SELECT path, m AS module, 'MAYBE_IMPORTS' AS relation, path AS target FROM s")
+# imports of a file: its own module, itself by two steps up, by an alias and by a sibling's name, and one that is no file
+@query("C10_resolve_imports", """
+WITH f AS (SELECT id AS path, regexp_replace(regexp_replace(id, '^.*/', ''), '\\.py$', '') AS stem, split_part(id, '/', 1) AS a, split_part(id, '/', 2) AS b FROM fx_files)
+SELECT path, module, 'IMPORTS' AS relation, path AS target FROM (SELECT path, unnest([a || '.' || b || '.' || stem, '../../' || a || '/' || b || '/' || stem, '@' || a || '/' || b || '/' || stem || '.py', './' || stem, '../' || b || '/./' || stem]) AS module FROM f)""")
 def _(fx):
-    return T.resolve_imports(T.extract_imports(sources(fx)), sources(fx))
+    parts, stem = F.split("path", "/"), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.py$", "")
+    f = fx.files.select(F.col("id").alias("path")).withColumns({"stem": stem, "a": parts[0], "b": parts[1]})
+    forms = ["{a}.{b}.{stem}", "../../{a}/{b}/{stem}", "@{a}/{b}/{stem}.py", "./{stem}", "../{b}/./{stem}", "../../../../{a}/{b}/{stem}", "{a}/{b}/no_{stem}", "os"]
+    filled = [F.replace(F.replace(F.replace(F.lit(x), F.lit("{a}"), F.col("a")), F.lit("{b}"), F.col("b")), F.lit("{stem}"), F.col("stem")) for x in forms]
+    imports = f.select("path", F.explode(F.array(*filled)).alias("module"), F.lit("IMPORTS").alias("relation"))
+    return T.resolve_imports(imports, f.select("path"), (("@", ""),))
 
 
 @query("K2_call_edges", f"WITH s AS ({SRC_SQL}) SELECT path || '::C' || k || '::run' AS src, path || '::C' || k || '::stop' AS dst FROM s UNION ALL SELECT path || '::C' || k || '::run', path || '::helper_' || k FROM s")
@@ -55,25 +63,22 @@ def _(fx):
     return T.call_edges(s, T.extract_symbols(s))
 
 
-# a sectioned document for every text: the first line is its heading
-@query("K3_chunk_markdown", """
-WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, text FROM documents WHERE length(text) <= 1900 AND NOT regexp_matches(text, '(^|\\n)#{1,6} '))
-SELECT path, 1 AS section, 0 AS part, 'Doc ' || path AS heading, length('# Doc ' || path || chr(10) || text) AS chars FROM d
-UNION ALL SELECT path, 2, 0, 'End', 13 FROM d""")
+# every text as a document with a heading before and after it; its own headings begin sections, too
+@query("K3_chunk_markdown")
 def _(fx):
-    d = fx.documents.where("length(text) <= 1900").where(~F.col("text").rlike(r"(^|\n)#{1,6} ")).select(F.col("doc_id").cast("string").alias("path"), "text")
-    d = d.select("path", F.concat(F.lit("# Doc "), "path", F.lit("\n"), "text", F.lit("\n## End\nlast")).alias("content"))
-    out = T.chunk_markdown(d)
-    chars = F.length("content") + F.when(F.col("section") == 2, 13 - F.length("content")).otherwise(0)
-    return out.select("path", F.col("section").cast("int").alias("section"), "part", "heading", chars.cast("long").alias("chars"))
+    d = fx.documents.select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n## End\nlast")).alias("content"))
+    return T.chunk_markdown(d)
 
 
 @query("K4_chunk_code", f"""
 WITH s AS ({SRC_SQL}) SELECT path, path || '::helper_' || k AS symbol_id, 'function' AS chunk_type, 0 AS part, 'File: ' || path || chr(10) || 'Function: helper_' || k || chr(10) || 'def helper_' || k || '(x):' || chr(10) || '    return open("/v1/items/' || k || '")' AS content FROM s
-UNION ALL SELECT path, NULL, 'module', 0, 'File: ' || path || chr(10) || 'import os' || chr(10) || 'from ' || m || ' import *' FROM s""")
+UNION ALL SELECT path, NULL, 'module', 0, 'File: ' || path || chr(10) || 'import os' || chr(10) || 'from ' || m || ' import *' FROM s
+UNION ALL SELECT path, path || '::C' || k, 'class', 0, 'File: ' || path || chr(10) || 'Class: C' || k || chr(10) || array_to_string(string_split(content, chr(10))[3:8], chr(10)) FROM s
+UNION ALL SELECT path, path || '::C' || k || '::run', 'function', 0, 'File: ' || path || chr(10) || 'Function: run' || chr(10) || array_to_string(string_split(content, chr(10))[4:6], chr(10)) FROM s
+UNION ALL SELECT path, path || '::C' || k || '::stop', 'function', 0, 'File: ' || path || chr(10) || 'Function: stop' || chr(10) || array_to_string(string_split(content, chr(10))[7:8], chr(10)) FROM s""")
 def _(fx):
     s = sources(fx)
-    return T.chunk_code(s, T.extract_symbols(s)).where("chunk_type = 'module' or contains(symbol_id, '::helper_')")
+    return T.chunk_code(s, T.extract_symbols(s))
 
 
 @query("K6_chunk_fallback")
@@ -83,18 +88,19 @@ def _(fx):
 
 MANIFESTS = {
     "package.json": """'{"dependencies": {"a' || k || '": "1"}, "devDependencies": {"jest": "2"}}'""",
+    "package-lock.json": """'{"packages": {"": {"dependencies": {"l' || k || '": "1"}}, "node_modules/z": {"dependencies": {"deep": "1"}}}}'""",
     "requirements.txt": "'# x' || chr(10) || 'Flask==2.0' || chr(10) || 'p' || k || '>=1' || chr(10) || '-r y'",
     "pyproject.toml": "'[tool.poetry.dependencies]' || chr(10) || 'python = \"3\"' || chr(10) || 'q' || k || ' = \"1\"' || chr(10) || '[project]' || chr(10) || 'dependencies = [' || chr(10) || '  \"numpy>1\",' || chr(10) || ']'",
     "go.mod": "'module m' || chr(10) || 'require (' || chr(10) || '  g.io/x' || k || ' v1.0' || chr(10) || ')' || chr(10) || 'require g.io/y v2.0'",
     "Dockerfile": "'FROM img:' || k || ' AS b' || chr(10) || 'FROM scratch'",
-    "compose.yml": "'services:' || chr(10) || '  web:' || chr(10) || '    image: nginx:' || k || chr(10) || 'volumes:' || chr(10) || '  data:'",
+    "compose.yml": "'services:' || chr(10) || '  web:' || chr(10) || '    image: nginx:' || k || chr(10) || '    depends_on:' || chr(10) || '      - db' || chr(10) || '  db:' || chr(10) || '    image: pg' || chr(10) || 'volumes:' || chr(10) || '  data:'",
     "schema.prisma": "'model User {' || chr(10) || '  id Int' || chr(10) || '  posts Post[]' || chr(10) || '}' || chr(10) || 'model Post {' || chr(10) || '  id Int' || chr(10) || '}'",
     "main.tf": "'resource \"aws_s3\" \"b' || k || '\" {}'",
     "k8s.yaml": "'kind: Service' || chr(10) || 'metadata:' || chr(10) || '  name: s' || k || chr(10) || '---' || chr(10) || 'kind: Pod' || chr(10) || 'metadata:' || chr(10) || '  name: p' || chr(10) || '  namespace: n' || chr(10) || 'spec:' || chr(10) || '  - image: i:' || k",
 }
 NODES = {
-    "package.json": ["'[npm]:a' || k", "'[npm]:jest'"], "requirements.txt": ["'[pip]:flask'", "'[pip]:p' || k"], "pyproject.toml": ["'[pip]:q' || k", "'[pip]:numpy'"],
-    "go.mod": ["'[go]:g.io/x' || k", "'[go]:g.io/y'"], "Dockerfile": ["'[docker]:img:' || k"], "compose.yml": ["'[service]:web'", "'[docker]:nginx:' || k"],
+    "package.json": ["'[npm]:a' || k", "'[npm]:jest'"], "package-lock.json": ["'[npm]:l' || k"], "requirements.txt": ["'[pip]:flask'", "'[pip]:p' || k"], "pyproject.toml": ["'[pip]:q' || k", "'[pip]:numpy'"],
+    "go.mod": ["'[go]:g.io/x' || k", "'[go]:g.io/y'"], "Dockerfile": ["'[docker]:img:' || k"], "compose.yml": ["'[service]:web'", "'[docker]:nginx:' || k", "'[service]:db'", "'[docker]:pg'"],
     "schema.prisma": ["'[prisma]:User'", "'[prisma]:Post'"], "main.tf": ["'[tf]:aws_s3.b' || k"], "k8s.yaml": ["'[k8s]:default/Service/s' || k", "'[k8s]:n/Pod/p'", "'[docker]:i:' || k"],
 }
 MAN = " UNION ALL ".join(f"SELECT 'c' || k || '/{n}' AS path, {body.replace('{', '{{').replace('}', '}}')} AS content FROM (SELECT CAST(s_suppkey AS STRING) AS k FROM {{supplier}})" for n, body in MANIFESTS.items())
@@ -113,7 +119,14 @@ def _(fx):
     return T.dependencies(manifests(fx))
 
 
+@query("K8_dependency_edges", f"""SELECT path AS src, node AS dst, CASE WHEN regexp_matches(node, '^\\[(service|prisma|tf|k8s)\\]') THEN 'DEFINES' ELSE 'DEPENDS_ON' END AS relation FROM ({_nodes(*NODES)})
+UNION ALL SELECT '[service]:web', '[service]:db', 'DEPENDS_ON' UNION ALL SELECT '[prisma]:User', '[prisma]:Post', 'RELATES_TO'""")
+def _(fx):
+    return T.dependency_edges(manifests(fx))
+
+
 for _id, _name, _f in [
+    ("K8a_lock", "package-lock.json", T.lock_dependencies),
     ("K8a_npm", "package.json", T.npm_dependencies), ("K8b_pip", "requirements.txt", T.pip_dependencies), ("K8c_pyproject", "pyproject.toml", T.pyproject_dependencies), ("K8d_go", "go.mod", T.go_dependencies),
     ("K8e_docker", "Dockerfile", T.docker_dependencies), ("K8f_compose", "compose.yml", T.compose_dependencies), ("K8h_terraform", "main.tf", T.terraform_resources), ("K8h_k8s", "k8s.yaml", T.k8s_objects),
 ]:
@@ -130,7 +143,7 @@ def _(fx):
     return T.chunk_plain(manifests(fx).where(F.col("path").endswith("/Dockerfile")), "manifest").drop("symbol_id")
 
 
-@query("K7_chunk_all", "SELECT 'manifest' AS chunk_type, count(*)*8 + 0 AS n FROM supplier UNION ALL SELECT 'function', count(*)*3 FROM part UNION ALL SELECT 'class', count(*) FROM part UNION ALL SELECT 'module', count(*) FROM part")
+@query("K7_chunk_all", "SELECT 'manifest' AS chunk_type, count(*)*9 + 0 AS n FROM supplier UNION ALL SELECT 'function', count(*)*3 FROM part UNION ALL SELECT 'class', count(*) FROM part UNION ALL SELECT 'module', count(*) FROM part")
 def _(fx):
     rows = sources(fx).select("path", "content").unionByName(manifests(fx).where(~F.col("path").endswith("k8s.yaml")))
     return T.chunk_all(rows).groupBy("chunk_type").agg(F.count("*").alias("n"))
@@ -161,6 +174,53 @@ def _(fx):
     return S.upsert_edges(fx.nodes, fx.edges.where("relation <> 'CALLS'"), batch.unionByName(stray))
 
 
+def written(fx, rows, key, document, name: str) -> str:
+    """Rows of the driver tables as JSON documents in the shared folder, one a file, of a thousand rows each."""
+    path = fx.stages.path(name)
+    rows.groupBy(F.floor(key / 1000).alias("chunk")).agg(F.to_json(document).alias("value")).write.partitionBy("chunk").text(path)
+    return path
+
+
+@query("A3_read_commits", "SELECT CAST(hash AS VARCHAR) AS hash, msg, author, CAST(epoch(CAST(date AS TIMESTAMP)) AS BIGINT) AS at, branch FROM fx_commits")
+def _(fx):
+    rows = fx.commits.select(F.col("hash").cast("string").alias("hash"), "msg", "author", F.col("date").cast("timestamp").alias("date"), F.array(F.lit("a.py")).alias("files"), "branch")
+    at = written(fx, rows, F.col("hash").cast("long"), F.collect_list(F.struct(*rows.columns)), "commits")
+    return S.read_commits(fx.spark, at).select("hash", "msg", "author", F.col("date").cast("long").alias("at"), "branch")
+
+
+def symbol_index(fx):
+    """An index of a symbol a file, each referring to that of the file with half its key."""
+    symbol = lambda k: F.concat(F.lit("scip py "), k.cast("string"), F.lit("/f"), k.cast("string"), F.lit("()."))
+    k = F.col("file_key")
+    occurrence = F.array(F.struct(symbol(k).alias("symbol"), F.array((k % 90).cast("int"), F.lit(4)).alias("range")))
+    related = F.array(F.struct(symbol(F.floor(k / 2)).alias("symbol"), F.lit("").alias("type")))
+    doc = F.struct(F.col("id").alias("relative_path"), occurrence.alias("occurrences"), F.array(F.struct(symbol(k).alias("symbol"), related.alias("relationships"))).alias("symbols"))
+    return S.read_symbol_index(fx.spark, written(fx, fx.files, k, F.struct(F.collect_list(doc).alias("documents")), "scip"))
+
+
+@query("A10_read_symbol_index", "SELECT id AS file, 'f' || file_key AS name, CAST(file_key % 90 + 1 AS INT) AS line FROM fx_files")
+def _(fx):
+    return symbol_index(fx)[0].select("file", "name", "line")
+
+
+@query("A11_merge_symbols", "SELECT id, name, type, layer, 0 AS start_line FROM fx_nodes UNION ALL SELECT id || '::f' || file_key, 'f' || file_key, 'function', NULL, CAST(file_key % 90 + 1 AS INT) FROM fx_files")
+def _(fx):
+    return S.merge_symbols(fx.nodes, fx.edges, *symbol_index(fx))[0].select("id", "name", "type", "layer", F.coalesce("start_line", F.lit(0)).alias("start_line"))
+
+
+@query("A11_symbol_edges", "SELECT a.id || '::f' || a.file_key AS src, b.id || '::f' || b.file_key AS dst, 'REFERENCES' AS relation FROM fx_files a JOIN fx_files b ON b.file_key = a.file_key // 2")
+def _(fx):
+    return S.merge_symbols(fx.nodes, fx.edges, *symbol_index(fx))[1].where("relation = 'REFERENCES'")
+
+
+@query("A12_append_telemetry", "SELECT event_id, event_type, k AS batch FROM events, range(2) r(k)")
+def _(fx):
+    path = fx.stages.path("telemetry")
+    for k in range(2):
+        S.append_telemetry(fx.events.select("event_id", "event_type", F.lit(k).cast("long").alias("batch")), path)
+    return fx.spark.read.schema("event_id long, event_type string, batch long").json(path)
+
+
 @query("A7_wipe_tenant", "SELECT id FROM fx_files WHERE file_key % 4 <> 1")
 def _(fx):
     rows = fx.files.withColumn("tenant_id", (F.col("file_key") % 4).cast("string"))

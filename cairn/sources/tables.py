@@ -34,6 +34,11 @@ class Stages:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
+    def close(self) -> None:
+        """Frees what was written, once no DataFrame in use reads it."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
 RELATIONS = {"IMPORTS": "DEPENDS_ON", "MAYBE_IMPORTS": "MAYBE_CALLS"}
 # Folders that hold no source of one's own, and files known by their name.
@@ -44,7 +49,7 @@ IGNORED_DIRS = (
 )
 KEPT_HIDDEN_DIRS = (".github", ".circleci", ".gitlab")
 SPECIAL_NAMES = (
-    "Dockerfile", "Makefile", "makefile", "GNUmakefile", "Jenkinsfile", "Vagrantfile", "Procfile", ".gitignore",
+    "Dockerfile", "build.sbt", "Makefile", "makefile", "GNUmakefile", "Jenkinsfile", "Vagrantfile", "Procfile", ".gitignore",
     ".gitattributes", ".dockerignore", ".editorconfig", "Gemfile", "go.sum", "go.mod", "schema.prisma", ".env.example",
 )
 # Extensions of text files.
@@ -153,12 +158,16 @@ def read_symbol_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def merge_symbols(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Adds symbol nodes ``file::name`` and the relations between them, joined over their symbol ids."""
-    new = symbols.groupBy(F.concat("file", F.lit("::"), "name").alias("id")).agg(F.min("name").alias("name"), F.min("scip_symbol_id").alias("scip_symbol_id"), F.min("line").alias("start_line"))
-    new = new.select("id", "name", F.lit("function").alias("type"), "scip_symbol_id", "start_line")
-    merged = nodes.join(new.select("id"), "id", "left_anti").select("id", "name", "type", F.lit(None).cast("string").alias("scip_symbol_id"), F.lit(None).cast("int").alias("start_line")).unionByName(new)
-    ids = new.select("id", "scip_symbol_id")
-    links = relations.join(ids.select(F.col("scip_symbol_id").alias("src"), F.col("id").alias("a")), "src").join(ids.select(F.col("scip_symbol_id").alias("dst"), F.col("id").alias("b")), "dst")
+    """Adds symbol nodes ``file::name``, merged with nodes of the same id, and the relations between them.
+
+    A node keeps all its columns; its symbol id and first line become the symbol's.
+    """
+    new = symbols.groupBy(F.concat("file", F.lit("::"), "name").alias("id")).agg(F.min("name").alias("__name"), F.min("scip_symbol_id").alias("__scip"), F.min("line").alias("__line"))
+    have = lambda c, kind: F.col(c) if c in nodes.columns else F.lit(None).cast(kind)
+    own = {"name": F.coalesce(have("name", "string"), "__name"), "type": F.coalesce(have("type", "string"), F.lit("function")), "scip_symbol_id": F.coalesce("__scip", have("scip_symbol_id", "string")), "start_line": F.coalesce("__line", have("start_line", "int"))}
+    merged = nodes.join(new, "id", "full_outer").withColumns(own).drop("__name", "__scip", "__line")
+    ids = new.select("id", F.col("__scip").alias("scip"))
+    links = relations.join(ids.select(F.col("scip").alias("src"), F.col("id").alias("a")), "src").join(ids.select(F.col("scip").alias("dst"), F.col("id").alias("b")), "dst")
     return merged, edges.select("src", "dst", "relation").unionByName(links.select(F.col("a").alias("src"), F.col("b").alias("dst"), "relation")).distinct()
 
 
