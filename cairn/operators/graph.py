@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import basename, dirname, path_variants
@@ -32,9 +32,10 @@ def match_source(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     forms = r.select("request_id", F.explode(path_variants(F.col("path"))).alias("id")).join(ids, "id").select("request_id", "id", F.lit(2).alias("tier"))
     parts = F.split("id", "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))
-    under = ids.select("id", F.explode(folders).alias("folder"))
+    # only the smallest id of a folder or of a name can be chosen
+    under = ids.select("id", F.explode(folders).alias("folder")).groupBy("folder").agg(F.min("id").alias("id"))
     prefix = r.withColumn("folder", F.rtrim(F.col("path"), F.lit("/"))).join(under, "folder").select("request_id", "id", F.lit(3).alias("tier"))
-    named = r.withColumn("file", basename(F.col("path"))).join(ids.withColumn("file", basename(F.col("id"))), "file").select("request_id", "id", F.lit(4).alias("tier"))
+    named = r.withColumn("file", basename(F.col("path"))).join(ids.groupBy(basename(F.col("id")).alias("file")).agg(F.min("id").alias("id")), "file").select("request_id", "id", F.lit(4).alias("tier"))
     every = exact.unionByName(forms).unionByName(prefix).unionByName(named)
     return every.groupBy("request_id").agg(F.min(F.struct("tier", "id")).alias("m")).select("request_id", "m.id", "m.tier")
 
@@ -73,19 +74,20 @@ def induced_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, ["request_id", "dst"]).select("request_id", "src", "dst", "relation").distinct()
 
 
-def same_directory(files: DataFrame) -> DataFrame:
-    """(id, sibling) of files in one folder. Pairs grow with the square of a folder, so callers restrict ``files``."""
-    a = files.select("id", dirname(F.col("id")).alias("folder"))
-    b = a.withColumnRenamed("id", "sibling")
-    return a.join(b, "folder").where("id <> sibling").select("id", "sibling")
+def siblings_of(sources: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """(request_id, id): files anywhere below the folder of each source (request_id, id), itself left out.
 
-
-def siblings_of(sources: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(request_id, id): files anywhere below the folder of each source (request_id, id), itself left out."""
+    With ``most``, the first so many of a folder by id, and one more in place of the source itself: folders are cut
+    before they meet their sources.
+    """
     parts = F.split("id", "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))
     below = nodes.where("type = 'file'").select("id", parts.alias("p")).where("size(p) > 1").select("id", F.explode(folders).alias("folder"))
     s = sources.select("request_id", F.col("id").alias("source"), dirname(F.col("id")).alias("folder")).where("folder <> ''")
+    below = below.join(s.select("folder").distinct(), "folder", "left_semi")
+    if most is not None:
+        nth = F.row_number().over(Window.partitionBy("folder").orderBy("id"))
+        below = below.withColumn("nth", nth).where(F.col("nth") <= most + 1).drop("nth")
     return s.join(below, "folder").where("id <> source").select("request_id", "id").distinct()
 
 
@@ -145,7 +147,7 @@ def _step(front: DataFrame, links: DataFrame) -> DataFrame:
     return front.join(links, front.id == links.src).select("request_id", F.col("dst").alias("id"))
 
 
-def reach(seeds: DataFrame, links: DataFrame, hops: int, stages: Stages | None = None, cap: Column | None = None) -> DataFrame:
+def reach(seeds: DataFrame, links: DataFrame, hops: int, stages: Stages | None = None) -> DataFrame:
     """(request_id, id, hop): breadth-first over ``links`` (src, dst) from ``seeds`` (request_id, id) at hop 0.
 
     A level is joined, then what is known already leaves by an anti join. With ``stages`` every level is written to
@@ -184,12 +186,16 @@ def cycles(nodes: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
     files = nodes.where("not coalesce(is_test_file, false)").select("id")
     e = edges.where(f"relation = '{DEPENDS}' and src <> dst").select("src", "dst").distinct()
     e = e.join(files.withColumnRenamed("id", "src"), "src", "left_semi").join(files.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    # an edge that no cycle uses has an end which nothing enters, or which nothing leaves
+    for _ in range(2):
+        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
     paths = e.where("src < dst").select(F.array("src", "dst").alias("path"))
+    back = e.where("src > dst").select(F.col("src").alias("last"), F.col("dst").alias("first"))
     found = None
     for length in range(2, max_depth + 1):
         last, first = F.element_at("path", -1), F.element_at("path", 1)
-        back = paths.join(e, (last == e.src) & (first == e.dst)).select(F.lit(length).alias("length"), "path")
-        found = back if found is None else found.unionByName(back)
+        closed = paths.select("path", last.alias("last"), first.alias("first")).join(back, ["last", "first"], "left_semi").select(F.lit(length).alias("length"), "path")
+        found = closed if found is None else found.unionByName(closed)
         if length < max_depth:
             paths = paths.join(e, last == e.src).where((F.col("dst") > first) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
     return found.withColumn("path", F.array_join("path", " > "))

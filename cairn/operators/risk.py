@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions.exprs import risk_band, risk_level
 from cairn.operators.graph import expand_subgraph, functions_to_files, induced_edges, reversed_edges, siblings_of
 from cairn.operators.insight import first_source
-from cairn.operators.matching import contained
+from cairn.operators.matching import contained, small
 from cairn.sources.tables import Stages
 
 # Words that raise a file's risk.
@@ -53,48 +53,74 @@ def fallback_score(node_id: Column, direct: Column, hop: Column) -> Column:
     return F.least(F.lit(100), F.bround(score, 0).cast("int"))
 
 
-def affected_by(sources: DataFrame, nodes: DataFrame, edges: DataFrame, mode: str = "union", limit: int = 300) -> DataFrame:
+USES = ("DEPENDS_ON", "CALLS", "IMPORTS")
+MAYBE = ("MAYBE_CALLS", "MAYBE_DEPENDS")
+
+
+def affected_by(sources: DataFrame, nodes: DataFrame, edges: DataFrame, mode: str = "union", limit: int = 300, more: int = 200) -> DataFrame:
     """(request_id, id, kind, hop) for sources (request_id, id): who is hit when a source changes.
 
-    Classes in order: dependents, dependencies, dependents and dependencies through functions, siblings. ``union``
-    keeps all, the lowest hop first and then the class order; ``cascade`` keeps the first class that is not empty.
-    Ids with ``::`` are left out.
+    A source stands for its file's symbols, too. Classes in order: dependents (possible ones included), dependencies,
+    dependents and dependencies through functions, siblings. ``union`` keeps all, the lowest hop first and then the
+    class order; ``cascade`` keeps the first class that is not empty. ``limit`` rows a request stay. Then come pure
+    dependencies that are not among them, possible ones included, ``more`` at most. Ids with ``::`` are left out. A
+    source that is infrastructure hits every file (kind ``everything``) and nothing else.
     """
-    use = edges.where(F.col("relation").isin("DEPENDS_ON", "CALLS", "IMPORTS")).select("src", "dst").distinct()
-    lifted = functions_to_files(edges)
-    step = lambda links: sources.join(links, sources.id == links.src).select("request_id", F.col("dst").alias("id"))
+    asked = sources.join(nodes.where("infrastructure").select("id"), "id", "left_anti").select("request_id", "id")
+    whole = sources.join(nodes.where("infrastructure").select("id"), "id", "left_semi").select("request_id", F.col("id").alias("source"))
+    symbols = nodes.where("contains(id, '::')").select("id", F.substring_index("id", "::", 1).alias("file"))
+    held = edges.where("relation = 'CONTAINS'").select(F.col("dst").alias("id"), F.col("src").alias("file"))
+    symbols = symbols.unionByName(held).where("id <> file").distinct()
+    start = asked.unionByName(asked.withColumnRenamed("id", "file").join(symbols, "file").select("request_id", "id"))
+    use = edges.where(F.col("relation").isin(*USES)).select("src", "dst").distinct()
+    also = edges.where(F.col("relation").isin(*USES, *MAYBE)).select("src", "dst").distinct()
+    lifted = functions_to_files(edges.where(F.col("relation").isin("CONTAINS", *USES)))
+    step = lambda links: start.join(links, start.id == links.src).select("request_id", F.col("dst").alias("id"))
     classes = [
-        (step(reversed_edges(use)), "direct", 1), (step(use), "dependency", 1), (step(reversed_edges(lifted)), "indirect", 2),
-        (step(lifted), "indirect", 2), (siblings_of(sources, nodes), "sibling", 1),
+        (step(reversed_edges(also)), "direct", 1), (step(use), "dependency", 1), (step(reversed_edges(lifted)), "indirect", 2),
+        (step(lifted), "indirect", 2), (siblings_of(asked, nodes, limit), "sibling", 1),
     ]
     rows = None
     for i, (df, kind, hop) in enumerate(classes):
         one = df.select("request_id", "id", F.struct(F.lit(hop).alias("hop"), F.lit(i).alias("class"), F.lit(kind).alias("kind")).alias("h"))
         rows = one if rows is None else rows.unionByName(one)
-    own = sources.select("request_id", "id")
-    rows = rows.where("not contains(id, '::')").join(own, ["request_id", "id"], "left_anti")
+    rows = rows.where("not contains(id, '::')").join(asked, ["request_id", "id"], "left_anti")
     best = rows.groupBy("request_id", "id").agg(F.min("h").alias("h"))
     if mode == "cascade":
         first = rows.groupBy("request_id").agg(F.min("h.class").alias("c"))
         best = rows.join(first, "request_id").where("h.class = c").groupBy("request_id", "id").agg(F.min("h").alias("h"))
     out = best.select("request_id", "id", "h.kind", "h.hop")
-    nth = F.row_number().over(Window.partitionBy("request_id").orderBy("hop", "kind", "id"))
-    return out.withColumn("nth", nth).where(F.col("nth") <= limit).drop("nth")
 
+    def cut(df: DataFrame, n: int) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("request_id").orderBy("hop", "kind", "id"))
+        return df.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")
 
-def blast_radius(sources: DataFrame, nodes: DataFrame, edges: DataFrame, untested: DataFrame, mode: str = "union") -> DataFrame:
-    """(request_id, id, kind, hop, score, contribution): scored impact of each source.
+    out = cut(out, limit)
+    pure = step(also).withColumn("hop", F.lit(1)).unionByName(step(lifted).withColumn("hop", F.lit(2)))
+    pure = pure.where("not contains(id, '::')").join(asked, ["request_id", "id"], "left_anti").groupBy("request_id", "id").agg(F.min("hop").alias("hop"))
+    pure = cut(pure.join(out.select("request_id", "id"), ["request_id", "id"], "left_anti").select("request_id", "id", F.lit("dependency").alias("kind"), "hop"), more)
+    # such sources are few and stated, and each of them does hit every file
+    files = nodes.where("type = 'file'").select("id")
+    all_ = files.join(small(whole), F.col("id") != F.col("source")).select("request_id", "id", F.lit("everything").alias("kind"), F.lit(1).alias("hop"))
+    return out.unionByName(pure).unionByName(all_)
 
-    A source that is infrastructure hits every file with 100; such sources are few and stated, so files are joined to
-    them by tenant-wide replication of the source rows, not of pairs among files.
-    """
-    facts = nodes.select("id", "churn", "incidents", "infrastructure").join(untested.select("id", F.lit(True).alias("u")), "id", "left").withColumn("untested", F.coalesce("u", F.lit(False))).drop("u")
+
+def blast_radius(sources: DataFrame, nodes: DataFrame, edges: DataFrame, untested: DataFrame, mode: str = "union") -> DataFrame:
+    """(request_id, id, kind, hop, score, contribution): scored impact of each source; 100 where it hits everything."""
+    facts = nodes.select("id", "churn", "incidents").join(untested.select("id", F.lit(True).alias("u")), "id", "left").withColumn("untested", F.coalesce("u", F.lit(False))).drop("u")
     hits = affected_by(sources, nodes, edges, mode).join(facts, "id")
     dep = F.col("kind") == "dependency"
-    score = F.when(dep, dependency_score(F.col("id"), F.col("hop"), F.col("churn"))).otherwise(risk_score(F.col("id"), F.col("kind"), F.col("hop"), F.col("churn"), F.col("untested"), F.col("incidents")))
+    score = F.when(F.col("kind") == "everything", 100).when(dep, dependency_score(F.col("id"), F.col("hop"), F.col("churn"))).otherwise(risk_score(F.col("id"), F.col("kind"), F.col("hop"), F.col("churn"), F.col("untested"), F.col("incidents")))
     return hits.select("request_id", "id", "kind", "hop", score.alias("score"), (F.when(dep, 0.3).otherwise(1.0) * score).alias("contribution"))
 
 
+def warnings(sources: DataFrame, scored: DataFrame, nodes: DataFrame, untested: DataFrame) -> DataFrame:
+    """(request_id, warning): a source that is infrastructure, and untested files among the affected."""
+    manifest = sources.join(nodes.where("infrastructure").select("id"), "id").select("request_id", F.lit("changes affect the whole repository").alias("warning"))
+    bare = scored.where("kind not in ('dependency', 'everything')").join(untested.select("id"), "id").select("request_id", F.concat(F.lit("no test covers "), "id").alias("warning"))
+    return manifest.unionByName(bare)
+
+
 def total_risk(scored: DataFrame) -> DataFrame:
     """(request_id, affected, total_risk, band): the sum of contributions, 100 at most."""
     total = F.least(F.lit(100.0), F.round(F.sum("contribution"), 6))
@@ -111,7 +137,10 @@ def blast_edges(scored: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def impact_categories(scored: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(request_id, category, n): breaking API, compliance, reset, or logic for what is none of them."""
+    """(request_id, category, n): breaking API, compliance, reset, or logic for what is none of them.
+
+    Counts of affected nodes; the source itself, at hop 0 in a listing, is not one of them.
+    """
     n = nodes.select("id", "api_route", "sensitive", "infrastructure")
     tags = F.array_compact(F.array(F.when(F.col("api_route"), "breaking API"), F.when(F.col("sensitive"), "compliance"), F.when(F.col("infrastructure"), "reset")))
     rows = scored.join(n, "id").select("request_id", F.explode(F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("logic")))).alias("category"))
@@ -171,21 +200,67 @@ def pr_risk(pr_files: DataFrame, risks: DataFrame, on_cycles: DataFrame, violati
     return agg.withColumn("score", F.least(F.lit(100), score)).select("pr_id", "score", "incidents", level.alias("level"))
 
 
-def pr_review(pr_files: DataFrame, scored: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(pr_id, files, affected, ownership_changes, regressions): the lists of a review, ids sorted and comma-joined."""
-    n = nodes.select(F.col("id").alias("file"), "bus_risk")
-    rows = pr_files.join(n, "file")
-    names = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-    own = rows.groupBy("pr_id").agg(names(F.col("file")).alias("files"), names(F.when(F.col("bus_risk") >= 0.5, F.col("file"))).alias("ownership_changes"), names(F.when(F.col("bus_risk") >= 0.7, F.col("file"))).alias("regressions"))
-    hit = scored.groupBy(F.col("request_id").alias("pr_id")).agg(F.count_distinct("id").alias("affected"))
-    return own.join(hit, "pr_id", "left").withColumn("affected", F.coalesce("affected", F.lit(0)))
+def first_files(pr_files: DataFrame, most: int = 50) -> DataFrame:
+    """(pr_id, file): the first ``most`` files of each pull request, by name."""
+    nth = F.row_number().over(Window.partitionBy("pr_id").orderBy("file"))
+    return pr_files.select("pr_id", "file").distinct().withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
+
+
+def _lines(rows: DataFrame, name: str, line: Column, most: int, *order: Column) -> DataFrame:
+    """(pr_id, ``name``): the first lines of each pull request as an array."""
+    nth = F.row_number().over(Window.partitionBy("pr_id").orderBy(*order))
+    top = rows.select("*", line.alias("line")).withColumn("nth", nth).where(F.col("nth") <= most)
+    return top.groupBy("pr_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]).alias(name))
+
+
+def pr_review(pr_files: DataFrame, risks: DataFrame, affected: DataFrame, on_cycles: DataFrame, violations: DataFrame, reviewers: DataFrame) -> DataFrame:
+    """One row per pull request: its lists as arrays of lines, and the number of affected files.
+
+    ``pr_files`` is (pr_id, file), cut by ``first_files``; ``risks`` (file, risk, owner, bus_risk, incidents);
+    ``affected`` (pr_id, id); ``on_cycles`` (pr_id, file); ``violations`` (src, dst, violation_rule), where either end
+    counts, 25 at most; ``reviewers`` (pr_id, person, confidence). Incidents are the 20 heaviest. The checklist names
+    up to ten affected tests, then files of a risk of 70 or more, on cycles, and of single owners.
+    """
+    rows = pr_files.join(risks, "file")
+    cyclic = pr_files.join(on_cycles.select("pr_id", "file").distinct(), ["pr_id", "file"], "left_semi")
+    ends = violations.select(F.explode(F.array("src", "dst")).alias("file"), "src", "dst", "violation_rule")
+    broken = pr_files.join(ends, "file").select("pr_id", "src", "dst", "violation_rule").distinct()
+    tests = affected.where(F.lower("id").rlike("test|spec")).select("pr_id", "id").distinct()
+    owned = F.concat("file", F.lit(" ("), F.coalesce("owner", F.lit("Unknown")), F.lit(")"))
+    parts = [
+        _lines(pr_files, "files", F.col("file"), 50, F.col("file")),
+        _lines(rows.where("bus_risk >= 0.5"), "ownership_changes", owned, 50, F.col("file")),
+        _lines(rows.where("bus_risk >= 0.7"), "regressions", owned, 50, F.col("file")),
+        _lines(cyclic, "cycles", F.col("file"), 50, F.col("file")),
+        _lines(broken, "violations", F.concat("src", F.lit(" -> "), "dst", F.lit(" ("), "violation_rule", F.lit(")")), 25, F.col("src"), F.col("dst")),
+        _lines(rows.where("incidents > 0"), "incidents", F.concat("file", F.lit(": "), F.col("incidents").cast("string")), 20, F.desc("incidents"), F.col("file")),
+        _lines(reviewers, "reviewers", F.col("person"), 5, F.desc("confidence"), F.col("person")),
+        _lines(tests, "runs", F.concat(F.lit("Run: "), "id"), 10, F.col("id")),
+        rows.groupBy("pr_id").agg(F.count_if(F.col("risk") >= 70).alias("high"), F.count_if(F.col("bus_risk") >= 0.7).alias("lonely")),
+        affected.groupBy("pr_id").agg(F.count_distinct("id").alias("affected")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "pr_id", "left")
+    none = F.array().cast("array<string>")
+    lists = ("ownership_changes", "regressions", "cycles", "violations", "incidents", "reviewers", "runs")
+    out = out.withColumns({c: F.coalesce(c, none) for c in lists}).na.fill(0, ["high", "lonely", "affected"])
+    said = lambda n, text: F.when(n > 0, F.format_string(text, n))
+    checks = F.concat("runs", F.array_compact(F.array(said(F.col("high"), "Review by hand: %d file(s) of high risk"), said(F.size("cycles"), "Break %d dependency cycle(s) before the merge"), said(F.col("lonely"), "%d file(s) with a single owner"))))
+    checks = F.when(F.size(checks) > 0, checks).otherwise(F.array(F.lit("Nothing beyond the usual review")))
+    return out.withColumn("checklist", checks).select("pr_id", "files", "affected", *lists[:-1], "checklist")
 
 
 def pr_comment(report: DataFrame) -> DataFrame:
-    """(pr_id, body): a review as markdown; empty sections are left out."""
-    section = lambda title, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"### {title}\n- "), F.replace(c, F.lit(","), F.lit("\n- "))))
+    """(pr_id, body): a review (with score and level) as markdown; empty sections are left out."""
+
+    def section(title: str, c: str, most: int) -> Column:
+        lines = F.transform(F.slice(c, 1, most), lambda x: F.concat(F.lit("- "), x))
+        return F.when(F.size(c) > 0, F.concat(F.lit(f"### {title}\n"), F.array_join(lines, "\n")))
+
     head = F.concat(F.lit("## Risk: "), "level", F.lit(" ("), F.col("score").cast("string"), F.lit("/100)"))
-    return report.select("pr_id", F.concat_ws("\n\n", head, section("Changed files", F.col("files")), section("Ownership", F.col("ownership_changes")), section("Possible regressions", F.col("regressions"))).alias("body"))
+    parts = [("Changed files", "files", 15), ("Suggested reviewers", "reviewers", 5), ("Bus factor", "regressions", 8), ("Dependency cycles", "cycles", 10), ("Architecture violations", "violations", 12), ("Incidents in seven days", "incidents", 10), ("Checklist", "checklist", 12)]
+    return report.select("pr_id", F.concat_ws("\n\n", head, *[section(*p) for p in parts]).alias("body"))
 
 
 def impact_context(requests: DataFrame, scored: DataFrame, k: int = 10) -> DataFrame:

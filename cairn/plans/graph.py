@@ -319,7 +319,7 @@ WITH n AS (SELECT id FROM fx_files WHERE NOT is_test_file), e AS (SELECT DISTINC
 SELECT 2 AS length, a.src || ' > ' || a.dst AS path FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
 UNION ALL SELECT 3, a.src || ' > ' || a.dst || ' > ' || b.dst FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst""")
 def _(fx):
-    return G.cycles(fx.nodes, fx.edges)
+    return G.cycles(fx.files, fx.written("edges"))
 
 
 @query("G8_files_on_cycles", f"""

@@ -41,7 +41,8 @@ t AS (SELECT count(*) AS total_files, round(avg(bus_risk), 6) AS mean_bus_risk F
 SELECT total_files, mean_bus_risk, cycles, god_objects, orphans, greatest(0, 100 - 10*least(cycles, 100) - 5*least(god_objects, 100) - least(orphans, 100)) AS score, cycles + god_objects AS critical
 FROM t, c, g, o""")
 def _(fx):
-    return I.health_summary(fx.nodes, G.cycles(fx.nodes, fx.edges), I.god_objects(fx.nodes, fx.edges, 8), G.find_orphans(fx.nodes, fx.edges))
+    nodes, edges = fx.written("nodes"), fx.written("edges")
+    return I.health_summary(nodes, G.cycles(nodes, edges), I.god_objects(nodes, edges, 8), G.find_orphans(nodes, edges))
 
 
 @query("D10_leadership_surface", f"SELECT count(*) AS files, count(*) FILTER (WHERE {NOBODY}) AS unowned, floor((20000*count(*) FILTER (WHERE {NOBODY}) + count(*)) / (2*count(*))) / 100 AS unowned_percent FROM fx_nodes")
@@ -54,7 +55,7 @@ WITH d AS (SELECT dst, count(DISTINCT src) AS fan FROM fx_edges WHERE relation I
 SELECT id, coalesce(fan, 0) AS fan_in, CAST(floor(least(1e2, bus_risk*50 + coalesce(fan, 0)*2 + incidents*3)) AS INT) AS score
 FROM fx_nodes LEFT JOIN d ON id = dst ORDER BY bus_risk*(10 + coalesce(fan, 0))*(1 + incidents) DESC, id LIMIT 12""")
 def _(fx):
-    return I.top_risk_files(fx.nodes, fx.edges)
+    return I.top_risk_files(fx.written("nodes"), fx.written("edges"))
 
 
 @query("D12_violations_and_incidents", f"""

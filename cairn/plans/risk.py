@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cairn.operators import graph as G
+from cairn.operators import history as H
 from cairn.operators import insight as I
 from cairn.operators import retrieval as V
 from cairn.operators import risk as R
@@ -12,22 +13,37 @@ from cairn.plans.retrieval import FUSED, HQ, SYN, hdense_sql, hybrid, seeds_sql
 
 CRIT, STORE, ROUTE = "|".join(R.CRITICAL), "|".join(R.STORAGE), "|".join(R.ROUTE)
 UNTESTED = "(SELECT id FROM fx_files f WHERE NOT is_test_file AND NOT EXISTS (SELECT 1 FROM fx_edges e WHERE e.dst = f.id AND relation = 'COVERS'))"
-USE = "(SELECT DISTINCT src, dst FROM fx_edges WHERE relation IN ('DEPENDS_ON', 'CALLS', 'IMPORTS'))"
+
+
+# calls start in a function that its file contains
+CODE = "(SELECT CASE WHEN relation = 'CALLS' THEN src || '::f' ELSE src END AS src, dst, relation FROM fx_edges UNION ALL SELECT id, id || '::f', 'CONTAINS' FROM fx_files)"
+
+
+def code_edges(fx):
+    own = fx.files.select(F.col("id").alias("src"), F.concat("id", F.lit("::f")).alias("dst"), F.lit("CONTAINS").alias("relation"))
+    return fx.edges.withColumn("src", F.when(F.col("relation") == "CALLS", F.concat("src", F.lit("::f"))).otherwise(F.col("src"))).unionByName(own)
 
 
 def affected_sql(req: str, mode: str) -> str:
     """Common table expressions up to ``scored`` (request_id, id, kind, hop, score, contribution)."""
     pick = "" if mode == "union" else "JOIN (SELECT request_id AS r, min(c) AS fc FROM k GROUP BY 1) ON r = k.request_id AND k.c = fc"
     return f"""
-WITH q AS ({req}),
-every AS (SELECT request_id, src AS id, 1 AS hop, 0 AS c, 'direct' AS kind FROM q JOIN {USE} u ON u.dst = q.id
- UNION ALL SELECT request_id, dst, 1, 1, 'dependency' FROM q JOIN {USE} u ON u.src = q.id
+WITH q0 AS ({req}), q AS (SELECT q0.* FROM q0 JOIN fx_nodes n ON n.id = q0.id WHERE NOT n.infrastructure), ce AS {CODE},
+st AS (SELECT request_id, id FROM q UNION ALL SELECT request_id, id || '::f' FROM q),
+u AS (SELECT DISTINCT src, dst FROM ce WHERE relation IN ('DEPENDS_ON', 'CALLS', 'IMPORTS')), um AS (SELECT DISTINCT src, dst FROM ce WHERE relation IN ('DEPENDS_ON', 'CALLS', 'IMPORTS', 'MAYBE_CALLS', 'MAYBE_DEPENDS')),
+li AS (SELECT DISTINCT c.src, u.dst FROM ce c JOIN u ON c.relation = 'CONTAINS' AND c.dst = u.src WHERE c.src <> u.dst),
+every AS (SELECT request_id, src AS id, 1 AS hop, 0 AS c, 'direct' AS kind FROM st JOIN um ON um.dst = st.id
+ UNION ALL SELECT request_id, dst, 1, 1, 'dependency' FROM st JOIN u ON u.src = st.id
+ UNION ALL SELECT request_id, src, 2, 2, 'indirect' FROM st JOIN li ON li.dst = st.id UNION ALL SELECT request_id, dst, 2, 3, 'indirect' FROM st JOIN li ON li.src = st.id
  UNION ALL SELECT request_id, f.id, 1, 4, 'sibling' FROM q JOIN fx_files f ON starts_with(f.id, regexp_replace(q.id, '/[^/]*$', '') || '/')),
-k AS (SELECT * FROM every ANTI JOIN q USING (request_id, id)),
+k AS (SELECT * FROM every ANTI JOIN q USING (request_id, id) WHERE NOT contains(id, '::')),
 kk AS (SELECT k.request_id, k.id, min({{'hop': hop, 'c': c, 'kind': kind}}) AS h FROM k {pick} GROUP BY 1, 2),
-top AS (SELECT request_id, id, h.kind AS kind, h.hop AS hop FROM kk QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY h.hop, h.kind, id) <= 300),
+top0 AS (SELECT request_id, id, h.kind AS kind, h.hop AS hop FROM kk QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY h.hop, h.kind, id) <= 300),
+pu AS (SELECT request_id, id, min(hop) AS hop FROM (SELECT request_id, dst AS id, 1 AS hop FROM st JOIN um ON um.src = st.id UNION ALL SELECT request_id, dst, 2 FROM st JOIN li ON li.src = st.id) ANTI JOIN q USING (request_id, id) WHERE NOT contains(id, '::') GROUP BY 1, 2),
+top AS (SELECT * FROM top0 UNION ALL SELECT request_id, id, 'dependency', hop FROM (SELECT * FROM pu ANTI JOIN top0 USING (request_id, id) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY hop, id) <= 200)
+ UNION ALL SELECT request_id, f.id, 'everything', 1 FROM q0 JOIN fx_nodes n ON n.id = q0.id AND n.infrastructure JOIN fx_files f ON f.id <> q0.id),
 fact AS (SELECT t.*, n.churn, n.incidents, n.bus_risk, n.api_route, n.sensitive, n.infrastructure, u.id IS NOT NULL AS untested FROM top t JOIN fx_nodes n ON n.id = t.id LEFT JOIN {UNTESTED} u ON u.id = t.id),
-s AS (SELECT *, CASE WHEN kind = 'dependency' THEN least(100, CAST(round_even(greatest(3, 8 - 2*hop) * CASE WHEN regexp_matches(id, 'auth|payment|security|config') THEN 1.5e0 ELSE 1e0 END * CASE WHEN churn > 7e-1 THEN 1.3e0 ELSE 1e0 END, 0) AS INT))
+s AS (SELECT *, CASE WHEN kind = 'everything' THEN 100 WHEN kind = 'dependency' THEN least(100, CAST(round_even(greatest(3, 8 - 2*hop) * CASE WHEN regexp_matches(id, 'auth|payment|security|config') THEN 1.5e0 ELSE 1e0 END * CASE WHEN churn > 7e-1 THEN 1.3e0 ELSE 1e0 END, 0) AS INT))
  ELSE least(100, CAST(round_even(CASE kind WHEN 'direct' THEN greatest(20, 30 - 5*hop) WHEN 'sibling' THEN greatest(10, 20 - 3*hop) ELSE greatest(5, 15 - 3*hop) END
   * (CASE kind WHEN 'direct' THEN 1.8e0 WHEN 'sibling' THEN 1.2e0 ELSE 1e0 END * CASE WHEN regexp_matches(id, '{CRIT}') THEN 2e0 ELSE 1e0 END
   * CASE WHEN regexp_matches(id, '{STORE}') THEN 1.5e0 WHEN regexp_matches(id, '{ROUTE}') THEN 1.4e0 ELSE 1e0 END
@@ -37,14 +53,15 @@ scored AS (SELECT *, CASE WHEN kind = 'dependency' THEN 3e-1 ELSE 1e0 END * scor
 
 
 def scored(fx, r, mode="union"):
-    return R.blast_radius(r, fx.nodes, fx.edges, G.mark_untested(fx.nodes, fx.edges), mode)
+    nodes, edges = fx.written("nodes"), fx.written("edges")
+    return R.blast_radius(fx.stages.keep(r), nodes, fx.stages.keep(code_edges(fx)), G.mark_untested(nodes, edges), mode)
 
 
-PR = "SELECT hash AS request_id, file AS id FROM fx_commit_files WHERE hash % 100 = 0"
+PR = "SELECT hash AS request_id, file AS id FROM fx_commit_files WHERE hash % 20 = 0"
 
 
 def pr_files(fx):
-    return fx.commit_files.where("hash % 100 = 0").select(F.col("hash").alias("request_id"), F.col("file").alias("id"))
+    return fx.commit_files.where("hash % 20 = 0").select(F.col("hash").alias("request_id"), F.col("file").alias("id"))
 
 
 @query("G2_blast_radius", affected_sql(REQ, "union") + " SELECT request_id, id, kind, CAST(hop AS INT) AS hop, CAST(score AS INT) AS score, contribution FROM scored")
@@ -169,48 +186,95 @@ def _(fx):
 
 
 PR_RISK = f"""
-WITH pr AS (SELECT hash AS pr_id, file FROM fx_commit_files WHERE hash % 100 = 0),
+WITH pr AS (SELECT hash AS pr_id, file FROM fx_commit_files WHERE hash % 20 = 0),
 e AS (SELECT DISTINCT src, dst FROM fx_edges WHERE relation IN ('DEPENDS_ON', 'IMPORTS')),
 w1 AS (SELECT DISTINCT file AS s, dst AS t FROM (SELECT DISTINCT file FROM pr) JOIN e ON src = file), w2 AS (SELECT DISTINCT s, dst AS t FROM w1 JOIN e ON src = t), w3 AS (SELECT DISTINCT s, dst AS t FROM w2 JOIN e ON src = t),
 cyc AS (SELECT DISTINCT s FROM (SELECT s FROM w2 WHERE s = t UNION ALL SELECT s FROM w3 WHERE s = t)),
-v AS (SELECT pr_id, count(*) AS n FROM pr JOIN fx_edges x ON x.src = pr.file AND relation = 'DEPENDS_ON' JOIN fx_nodes a ON a.id = x.src JOIN fx_nodes b ON b.id = x.dst JOIN {RULE_SQL} ON r.layer = a.layer AND r.banned = b.layer GROUP BY 1),
-g AS (SELECT pr.pr_id, avg(CAST(floor(n.bus_risk*40) AS INT)) AS mean, count(cyc.s) AS cyclic, count(*) FILTER (WHERE n.bus_risk >= 7e-1) AS lonely, CAST(sum(least(15, incidents)) AS BIGINT) AS incidents
- FROM pr JOIN fx_nodes n ON n.id = pr.file LEFT JOIN cyc ON cyc.s = pr.file GROUP BY 1),
+av AS (SELECT x.src, x.dst, a.layer || '→' || b.layer AS rule FROM fx_edges x JOIN fx_nodes a ON a.id = x.src JOIN fx_nodes b ON b.id = x.dst JOIN {RULE_SQL} ON r.layer = a.layer AND r.banned = b.layer WHERE relation = 'DEPENDS_ON'),
+pv AS (SELECT DISTINCT pr_id, src, dst, rule FROM pr JOIN av ON src = file OR dst = file), v AS (SELECT pr_id, count(*) AS n FROM (SELECT * FROM pv QUALIFY row_number() OVER (PARTITION BY pr_id ORDER BY src, dst) <= 25) GROUP BY 1),
+fr AS (SELECT pr.pr_id, pr.file, CAST(floor(n.bus_risk*75) AS INT) AS risk, n.top_owner, n.bus_risk, n.incidents FROM pr JOIN fx_nodes n ON n.id = pr.file),
+g AS (SELECT fr.pr_id, avg(risk) AS mean, count(cyc.s) AS cyclic, count(*) FILTER (WHERE bus_risk >= 7e-1) AS lonely, CAST(sum(least(15, incidents)) AS BIGINT) AS incidents FROM fr LEFT JOIN cyc ON cyc.s = fr.file GROUP BY 1),
 r0 AS (SELECT g.*, least(100, floor(mean + 10*cyclic + 10*lonely + 5*coalesce(v.n, 0) + incidents)) AS raw FROM g LEFT JOIN v ON v.pr_id = g.pr_id),
 r1 AS (SELECT pr_id, incidents, CAST(least(100, CASE WHEN incidents > 0 AND raw < 95 THEN raw + 10 ELSE raw END) AS INT) AS score FROM r0),
 risk AS (SELECT pr_id, score, incidents, CASE WHEN score >= 80 OR (score >= 60 AND incidents > 0) THEN 'CRITICAL' WHEN score >= 60 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM r1)"""
 
 
-def pr_risk(fx):
-    pr = fx.commit_files.where("hash % 100 = 0").select(F.col("hash").alias("pr_id"), "file")
-    risks = fx.nodes.select(F.col("id").alias("file"), F.floor(F.col("bus_risk") * 40).alias("risk"), "bus_risk", "incidents")
-    v = I.architecture_violations(fx.edges, fx.nodes, rules(fx)).join(pr, F.col("src") == F.col("file")).groupBy("pr_id").agg(F.count("*").alias("n"))
-    return R.pr_risk(pr, risks, G.files_on_cycles(pr, fx.edges, 3), v)
+def reviewed(fx):
+    """Files of pull requests and what their reviews need, each written once."""
+    nodes, edges = fx.written("nodes"), fx.written("edges")
+    keep = fx.stages.keep
+    pr = keep(R.first_files(fx.commit_files.where("hash % 20 = 0").select(F.col("hash").alias("pr_id"), "file")))
+    risks = nodes.select(F.col("id").alias("file"), F.floor(F.col("bus_risk") * 75).cast("int").alias("risk"), F.col("top_owner").alias("owner"), "bus_risk", "incidents")
+    violations = keep(I.architecture_violations(edges, nodes, rules(fx)))
+    return pr, risks, keep(G.files_on_cycles(pr, edges, 3, fx.stages)), violations
+
+
+def pr_risk(parts):
+    pr, risks, cycles, violations = parts
+    ends = violations.select(F.explode(F.array("src", "dst")).alias("file"), "src", "dst")
+    n = pr.join(ends, "file").select("pr_id", "src", "dst").distinct().groupBy("pr_id").agg(F.least(F.count("*"), F.lit(25)).alias("n"))
+    return R.pr_risk(pr, risks, cycles, n)
 
 
 @query("H5_pr_risk", PR_RISK + " SELECT pr_id, score, incidents, level FROM risk")
 def _(fx):
-    return pr_risk(fx)
+    return pr_risk(reviewed(fx))
+
+
+def lines_sql(name: str, source: str, line: str, most: int, order: str) -> str:
+    return f"{name} AS (SELECT pr_id, list(line ORDER BY nth) AS {name} FROM (SELECT pr_id, {line} AS line, row_number() OVER (PARTITION BY pr_id ORDER BY {order}) AS nth FROM {source} QUALIFY nth <= {most}) GROUP BY 1)"
+
+
+OWNED = "file || ' (' || coalesce(top_owner, 'Unknown') || ')'"
+REVIEW = ", ".join([
+    lines_sql("files", "pr", "file", 50, "file"), lines_sql("ownership_changes", "(SELECT * FROM fr WHERE bus_risk >= 5e-1)", OWNED, 50, "file"), lines_sql("regressions", "(SELECT * FROM fr WHERE bus_risk >= 7e-1)", OWNED, 50, "file"),
+    lines_sql("cycles", "(SELECT * FROM pr WHERE file IN (SELECT s FROM cyc))", "file", 50, "file"), lines_sql("violations", "pv", "src || ' -> ' || dst || ' (' || rule || ')'", 25, "src, dst"),
+    lines_sql("incidents", "(SELECT * FROM fr WHERE incidents > 0)", "file || ': ' || incidents", 20, "incidents DESC, file"),
+    "ex AS (SELECT pr_id, person, sum(s) AS score FROM (SELECT pr_id, author AS person, CAST(n AS DOUBLE) AS s FROM pr JOIN fx_authors a ON a.file = pr.file QUALIFY row_number() OVER (PARTITION BY pr_id, pr.file ORDER BY n DESC, author) <= 8 UNION ALL SELECT pr_id, top_owner, CAST(risk AS DOUBLE) FROM fr WHERE top_owner IS NOT NULL) GROUP BY 1, 2)",
+    "rv AS (SELECT pr_id, person, least(1e2, floor(score + 5e-1)) / 100 AS confidence FROM ex QUALIFY row_number() OVER (PARTITION BY pr_id ORDER BY score DESC, person) <= 5)",
+    lines_sql("reviewers", "rv", "person", 5, "confidence DESC, person"), lines_sql("runs", "(SELECT DISTINCT request_id AS pr_id, id FROM scored WHERE regexp_matches(lower(id), 'test|spec'))", "'Run: ' || id", 10, "id"),
+    "hl AS (SELECT pr_id, count(*) FILTER (WHERE risk >= 70) AS high, count(*) FILTER (WHERE bus_risk >= 7e-1) AS lonely FROM fr GROUP BY 1)", "af AS (SELECT request_id AS pr_id, count(DISTINCT id) AS affected FROM scored GROUP BY 1)",
+    """rev0 AS (SELECT pr_id, files, coalesce(affected, 0) AS affected, coalesce(ownership_changes, []) AS ownership_changes, coalesce(regressions, []) AS regressions, coalesce(cycles, []) AS cycles, coalesce(violations, []) AS violations,
+ coalesce(incidents.incidents, []) AS incidents, coalesce(reviewers, []) AS reviewers, list_concat(coalesce(runs, []), list_filter([CASE WHEN high > 0 THEN 'Review by hand: ' || high || ' file(s) of high risk' END, CASE WHEN len(coalesce(cycles, [])) > 0 THEN 'Break ' || len(cycles) || ' dependency cycle(s) before the merge' END, CASE WHEN lonely > 0 THEN lonely || ' file(s) with a single owner' END], lambda x: x IS NOT NULL)) AS c
+ FROM files LEFT JOIN ownership_changes USING (pr_id) LEFT JOIN regressions USING (pr_id) LEFT JOIN cycles USING (pr_id) LEFT JOIN violations USING (pr_id) LEFT JOIN incidents USING (pr_id) LEFT JOIN reviewers USING (pr_id) LEFT JOIN runs USING (pr_id) LEFT JOIN hl USING (pr_id) LEFT JOIN af USING (pr_id))""",
+    "rev AS (SELECT * EXCLUDE (c), CASE WHEN len(c) > 0 THEN c ELSE ['Nothing beyond the usual review'] END AS checklist FROM rev0)",
+])
+REVIEWED = affected_sql(PR, "union") + ", " + PR_RISK.strip().removeprefix("WITH ").replace("e AS (SELECT DISTINCT src, dst FROM fx_edges", "de AS (SELECT DISTINCT src, dst FROM fx_edges").replace("JOIN e ON", "JOIN de ON") + ", " + REVIEW
+LISTS = ("files", "ownership_changes", "regressions", "cycles", "violations", "incidents", "reviewers", "checklist")
+
+
+def review(fx):
+    parts = reviewed(fx)
+    pr, risks, cycles, violations = parts
+    affected = fx.stages.keep(scored(fx, pr.select(F.col("pr_id").alias("request_id"), F.col("file").alias("id"))).select(F.col("request_id").alias("pr_id"), "id").distinct())
+    experts = H.author_counts(fx.touches).select(F.col("author").alias("person"), "file", F.col("n").alias("weight"))
+    reviewers = I.suggest_reviewers(pr, experts, risks)
+    return R.pr_review(pr, risks, affected, cycles, violations, reviewers), pr_risk(parts)
+
+
+@query("H6_pr_review", REVIEWED + " SELECT pr_id, affected, " + ", ".join(f"array_to_string({c}, '|') AS {c}" for c in LISTS) + " FROM rev")
+def _(fx):
+    return review(fx)[0].select("pr_id", "affected", *[F.array_join(c, "|").alias(c) for c in LISTS])
+
 
+def section_sql(title: str, c: str, most: int) -> str:
+    return f"CASE WHEN len({c}) > 0 THEN '### {title}' || chr(10) || array_to_string(list_transform({c}[1:{most}], lambda x: '- ' || x), chr(10)) END"
 
-REVIEW = """rev AS (SELECT hash AS pr_id, string_agg(file, ',' ORDER BY file) AS files, coalesce(string_agg(file, ',' ORDER BY file) FILTER (WHERE bus_risk >= 5e-1), '') AS ownership_changes,
- coalesce(string_agg(file, ',' ORDER BY file) FILTER (WHERE bus_risk >= 7e-1), '') AS regressions FROM fx_commit_files JOIN fx_nodes ON id = file WHERE hash % 100 = 0 GROUP BY 1)"""
 
+SECTIONS = [("Changed files", "files", 15), ("Suggested reviewers", "reviewers", 5), ("Bus factor", "regressions", 8), ("Dependency cycles", "cycles", 10), ("Architecture violations", "violations", 12), ("Incidents in seven days", "rev.incidents", 10), ("Checklist", "checklist", 12)]
 
-@query("H6_pr_review", affected_sql(PR, "union") + f", {REVIEW}, a AS (SELECT request_id, count(DISTINCT id) AS affected FROM scored GROUP BY 1) SELECT rev.*, coalesce(affected, 0) AS affected FROM rev LEFT JOIN a ON request_id = pr_id")
+
+@query("X3_pr_comment", REVIEWED + " SELECT pr_id, concat_ws(chr(10) || chr(10), '## Risk: ' || level || ' (' || score || '/100)', " + ", ".join(section_sql(*x) for x in SECTIONS) + ") AS body FROM rev JOIN risk USING (pr_id)")
 def _(fx):
-    pr = pr_files(fx)
-    return R.pr_review(pr.select(F.col("request_id").alias("pr_id"), F.col("id").alias("file")), scored(fx, pr), fx.nodes)
+    report, risk = review(fx)
+    return R.pr_comment(report.join(risk.select("pr_id", "score", "level"), "pr_id"))
 
 
-@query("X3_pr_comment", PR_RISK + f""", {REVIEW}
-SELECT rev.pr_id, concat_ws(chr(10) || chr(10), '## Risk: ' || level || ' (' || score || '/100)', '### Changed files' || chr(10) || '- ' || replace(files, ',', chr(10) || '- '),
- CASE WHEN ownership_changes <> '' THEN '### Ownership' || chr(10) || '- ' || replace(ownership_changes, ',', chr(10) || '- ') END,
- CASE WHEN regressions <> '' THEN '### Possible regressions' || chr(10) || '- ' || replace(regressions, ',', chr(10) || '- ') END) AS body FROM rev JOIN risk ON risk.pr_id = rev.pr_id""")
+@query("G2_warnings", affected_sql(REQ, "union") + f""" SELECT request_id, 'changes affect the whole repository' AS warning FROM q0 JOIN fx_nodes n ON n.id = q0.id AND infrastructure
+UNION ALL SELECT request_id, 'no test covers ' || id FROM scored JOIN {UNTESTED} t USING (id) WHERE kind NOT IN ('dependency', 'everything')""")
 def _(fx):
-    pr = pr_files(fx)
-    review = R.pr_review(pr.select(F.col("request_id").alias("pr_id"), F.col("id").alias("file")), scored(fx, pr), fx.nodes)
-    return R.pr_comment(review.join(pr_risk(fx), "pr_id"))
+    r = requests(fx)
+    return R.warnings(r, scored(fx, r), fx.written("nodes"), G.mark_untested(fx.written("nodes"), fx.written("edges")))
 
 
 @query("X1_impact_question_context", affected_sql(REQ, "union") + """,
