@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from cairn.llm.common import Workspace
+from cairn.llm.decontaminate import small
 
 #: A sentence with the white space after it: up to a full stop, question or exclamation mark before white space, or
 #: up to a line end.
 SENTENCE = re.compile(r"[^\n]*?[.!?…]+(?=\s)\s*|[^\n]*\n\s*|[^\n]+\Z", re.S)
 WORD = re.compile(r"\S+\s*")
+#: Repeated hashes that may be broadcast (some 40 MB); more are joined by shuffling.
+BROADCAST_HASHES = 1_000_000
 
 
 #: A sentence is cut after every word whose CRC-32 is a multiple of PART, and MOST words after the last cut at the latest.
@@ -106,9 +109,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", last).alias("id"), F.xxhash64("text").alias("key"))
     listed = work.save(rows.select("id", "key", spans("text").alias("s")).select("id", "key", "s.*").where(F.size("pos") > 0), "spans")
     flat = listed.select("id", "key", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("s")).select("id", "key", "s.*")
-    first = flat.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "pos")).alias("first"), F.count("*").alias("n"))
-    first = work.save(first.where("n > 1").select("h1", "h2", "first"), "firsts")
-    again = flat.join(first, ["h1", "h2"]).where("struct(id, key, pos) <> first")
+    # hashes that occur again, by half of their bits; only rows that have one are looked at further
+    repeated = work.save(flat.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "repeated")
+    met = work.save(flat.join(small(repeated, BROADCAST_HASHES), "h1"), "met")
+    first = met.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "pos")).alias("first"))
+    again = met.join(first, ["h1", "h2"]).where("struct(id, key, pos) <> first")
     again = work.save(again.groupBy("id", "key").agg(F.collect_set("pos").alias("at")), "repeats")
 
     @F.pandas_udf("text string, n_removed int")
@@ -124,5 +129,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((t, len(gone)))
             yield pd.DataFrame(out, columns=["text", "n_removed"])
 
-    joined = rows.join(again, ["id", "key"], "left").withColumn("cut", cut("text", "at"))
-    return joined.select("doc_id", "cut.text", "cut.n_removed")
+    joined = rows.join(again, ["id", "key"], "left")
+    hit = F.col("at").isNotNull()  # other texts stay in the JVM
+    joined = joined.withColumn("cut", cut(F.when(hit, F.col("text")), F.col("at")))
+    return joined.select("doc_id", F.when(hit, F.col("cut.text")).otherwise(F.col("text")).alias("text"), F.when(hit, F.col("cut.n_removed")).otherwise(0).alias("n_removed"))
