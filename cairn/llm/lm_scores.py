@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import count, islice
 
 import numpy as np
@@ -48,6 +49,13 @@ def _numbers(texts: pd.Series, known: Dictionary) -> tuple[np.ndarray, np.ndarra
     return np.repeat(np.arange(len(length)), length), before, ids
 
 
+def _slices(batch: pd.DataFrame, most: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """Parts of a batch of about ``most`` characters, one row at least, so that a worker's arrays stay small."""
+    part = batch["text"].str.len().fillna(0).cumsum() // most
+    for _, rows in batch.groupby(part.to_numpy(), sort=False):
+        yield rows
+
+
 def _keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """One number for each bigram."""
     mixed = (before.astype(np.uint64) * _TIMES[0]) ^ ((ids.astype(np.uint64) + _TIMES[0]) * _TIMES[1])
@@ -125,7 +133,7 @@ def _double(bits: Column) -> Column:
     return F.when(exponent == 0, 0.0).otherwise(-(fraction + F.lit(1 << 52)).cast("double") * F.pow(F.lit(2.0), (exponent - 1075).cast("double")))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary_size: int = 200_000, head: int = 512, hot_share: float = 5e-5, least_count: int = 2, backoff: float = 0.4) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary_size: int = 200_000, head: int = 512, hot_share: float = 2e-4, least_count: int = 2, backoff: float = 0.4) -> DataFrame:
     """(doc_id, n_words, n_seen, log_score, mean_log_score): stupid-backoff bigram scores under the corpus itself.
 
     Words are runs of characters other than blanks and \\x09-\\x0D, A-Z lower-cased; every word has counts of its own.
@@ -169,7 +177,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # exact counts of frequent bigrams
     def recount(batches):
         known = Dictionary(sent.value)
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             _, before, ids = _numbers(b["text"], known)
             key = _keys(before, ids)
             key, n = np.unique(key[frequent(before, ids, key)], return_counts=True)
@@ -185,7 +193,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def explode(batches):
         known = Dictionary(sent.value)
         keys, log_two, context, back = tables.value
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             doc, before, ids = _numbers(b["text"], known)
             n_docs, names = len(b), b["doc_id"].to_numpy()
             length = np.bincount(doc, minlength=n_docs)
