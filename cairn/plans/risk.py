@@ -199,11 +199,12 @@ r1 AS (SELECT pr_id, incidents, CAST(least(100, CASE WHEN incidents > 0 AND raw
 risk AS (SELECT pr_id, score, incidents, CASE WHEN score >= 80 OR (score >= 60 AND incidents > 0) THEN 'CRITICAL' WHEN score >= 60 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM r1)"""
 
 
-def reviewed(fx):
-    """Files of pull requests and what their reviews need, each written once."""
+def reviewed(fx, asked=None):
+    """Files of pull requests (of those ``asked`` for, by pr_id) and what their reviews need, each written once."""
     nodes, edges = fx.written("nodes"), fx.written("edges")
     keep = fx.stages.keep
-    pr = keep(R.first_files(fx.commit_files.where("hash % 20 = 0").select(F.col("hash").alias("pr_id"), "file")))
+    pr = fx.commit_files.where("hash % 20 = 0").select(F.col("hash").alias("pr_id"), "file")
+    pr = keep(R.first_files(pr.join(asked, "pr_id", "left_semi") if asked is not None else pr))
     risks = nodes.select(F.col("id").alias("file"), F.floor(F.col("bus_risk") * 75).cast("int").alias("risk"), F.col("top_owner").alias("owner"), "bus_risk", "incidents")
     violations = keep(I.architecture_violations(edges, nodes, rules(fx)))
     return pr, risks, keep(G.files_on_cycles(pr, edges, 3, fx.stages)), violations

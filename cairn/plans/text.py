@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import text as T
 from cairn.plans.registry import query
+from cairn.plans.risk import PR_RISK, pr_risk, reviewed
 from cairn.sources import tables as S
 from cairn.streaming import jobs as J
 
@@ -275,18 +276,15 @@ def _(fx):
     ref = F.concat(F.lit("refs/heads/"), F.when(F.col("o_orderstatus") == "F", "main").otherwise("dev"))
     before = F.when(F.col("o_orderkey") % 5 == 0, "0000").otherwise("abc")
     p = stream(fx, "orders").select((F.col("o_custkey") % 50).alias("repo"), ref.alias("ref"), before.alias("before"), key.alias("after"), ts("o_orderdate"), F.array(commit, commit).alias("commits"))
-    return J.drain(J.push_changes(p), S.Stages(fx.spark)).select("repo", "head", "mode", F.size("files").alias("n"))
+    return J.drain(J.push_changes(p), fx.stages).select("repo", "head", "mode", F.size("files").alias("n"))
 
 
-@query("T2_pr_events", """
-SELECT o_orderkey AS pr_id, 'opened' AS action, CAST(o_orderkey % 101 AS INT) AS score, CASE WHEN o_orderkey % 101 >= 80 THEN 'failure' WHEN o_orderkey % 101 >= 60 THEN 'neutral' ELSE 'success' END AS conclusion FROM orders WHERE o_orderpriority = '1-URGENT'""")
+@query("T2_pr_events", PR_RISK + """ SELECT pr_id, 'opened' AS action, score, CASE level WHEN 'CRITICAL' THEN 'failure' WHEN 'HIGH' THEN 'neutral' ELSE 'success' END AS conclusion
+FROM risk JOIN orders ON o_orderkey = pr_id WHERE o_orderpriority = '1-URGENT'""")
 def _(fx):
-    from cairn.functions.exprs import risk_level
-
-    score = (F.col("o_orderkey") % 101).cast("int")
-    risk = fx.orders.select(F.col("o_orderkey").alias("pr_id"), score.alias("score"), risk_level(score).alias("level"))
     e = stream(fx, "orders").select(F.col("o_orderkey").alias("pr_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "opened").otherwise("closed").alias("action"))
-    return J.drain(e, S.Stages(fx.spark), each=lambda df: J.pr_events(df, risk)).drop("batch_id")
+    review = lambda prs: pr_risk(reviewed(fx, prs)).select("pr_id", "score", "level")
+    return J.drain(e, fx.stages, each=lambda df: J.pr_events(df, review)).drop("batch_id")
 
 
 @query("T3_incidents_7d", """
@@ -294,7 +292,7 @@ WITH e AS (SELECT user_id % 20 AS file, date_trunc('day', ts) AS d FROM events W
 SELECT file, CAST(d - INTERVAL 1 DAY * k AS TIMESTAMP) AS start, count(*) AS n FROM e, range(7) r(k) GROUP BY 1, 2""")
 def _(fx):
     e = stream(fx, "events").where("event_type = 'error'").select((F.col("user_id") % 20).alias("file"), ts())
-    out = J.latest(J.drain(J.incidents_7d(e), S.Stages(fx.spark), "update"), ["file", "start", "end"])
+    out = J.latest(J.drain(J.incidents_7d(e), fx.stages, "update"), ["file", "start", "end"])
     return out.select("file", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
@@ -303,7 +301,7 @@ SELECT event_type AS intent, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start,
  round(avg(CASE WHEN user_id % 2 = 0 THEN 1e0 ELSE 0e0 END), 9) AS pass_rate FROM events GROUP BY 1, 2""")
 def _(fx):
     e = stream(fx, "events").select(ts(), F.col("event_type").alias("intent"), F.col("value").alias("latency_ms"), (F.col("user_id") % 2 == 0).alias("passed"))
-    out = J.latest(J.drain(J.telemetry_rollup(e, "1 hour"), S.Stages(fx.spark), "update"), ["intent", "start"])
+    out = J.latest(J.drain(J.telemetry_rollup(e, "1 hour"), fx.stages, "update"), ["intent", "start"])
     return out.withColumn("pass_rate", F.round("pass_rate", 9)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -313,8 +311,11 @@ def _(fx):
     return J.rate_limit_report(fx.events.select("event_id", F.col("user_id").alias("key"), "ts"), 2, 3600)
 
 
-@query("T5_rate_limit_admission")
+@query("T5_rate_limit_admission", """
+WITH RECURSIVE e AS (SELECT event_id, user_id AS key, epoch_us(CAST(ts AS TIMESTAMP)) / 1e6 AS t_at, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(CAST(ts AS TIMESTAMP)) / 1e6, event_id) AS nth FROM events),
+a AS (SELECT key, event_id, nth, true AS ok, t_at AS p1, CAST(NULL AS DOUBLE) AS p2 FROM e WHERE nth = 1
+ UNION ALL SELECT key, event_id, nth, ok, CASE WHEN ok THEN t_at ELSE p1 END, CASE WHEN ok THEN p1 ELSE p2 END FROM (SELECT e.key, e.event_id, e.nth, e.t_at, a.p1, a.p2, coalesce(a.p2 <= e.t_at - 3600, true) AS ok FROM a JOIN e ON e.key = a.key AND e.nth = a.nth + 1))
+SELECT key, event_id, ok FROM a""")
 def _(fx):
-    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
-    e = stream(fx, "events").select("event_id", F.col("user_id").alias("key"), at)
-    return J.drain(J.admitted(e, 2, 3600), S.Stages(fx.spark)).drop("batch_id")
+    e = stream(fx, "events").select("event_id", F.col("user_id").alias("key"), ts())
+    return J.drain(J.admitted(e, 2, 3600, "3650 days"), fx.stages).drop("batch_id")

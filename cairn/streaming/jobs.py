@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -47,9 +48,13 @@ def push_changes(pushes: DataFrame, branch: str = "main", most: int = 200, delay
     return kept.select("repo", F.col("after").alias("head"), F.when(full, "full").otherwise("delta").alias("mode"), files.alias("files"))
 
 
-def pr_events(events: DataFrame, risk: DataFrame, blocking: bool = True) -> DataFrame:
-    """(pr_id, action, score, conclusion) for the actions that start a review; ``risk`` (pr_id, score, level) is static."""
+def pr_events(events: DataFrame, review: Callable[[DataFrame], DataFrame], blocking: bool = True) -> DataFrame:
+    """(pr_id, action, score, conclusion) for the actions of a micro-batch that start a review.
+
+    ``review`` scores the pull requests (pr_id) of the batch, and no others: (pr_id, score, level).
+    """
     kept = events.where(F.col("action").isin("opened", "synchronize", "reopened", "ready_for_review"))
+    risk = review(kept.select("pr_id").distinct())
     return kept.join(risk, "pr_id").select("pr_id", "action", "score", check_conclusion(F.col("level"), F.lit(blocking)).alias("conclusion"))
 
 
@@ -74,23 +79,34 @@ def rate_limit_report(events: DataFrame, most: int, seconds: int) -> DataFrame:
     return events.withColumn("in_window", F.count("*").over(w)).where(F.col("in_window") > most).select("event_id", "key", "in_window")
 
 
-def admitted(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """(key, event_id, ok): exact sliding-window admission of a stream of (event_id, key, at), at in epoch seconds.
+def admitted(events: DataFrame, most: int, seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """(key, event_id, ok): exact sliding-window admission of a stream of (event_id, key, ts).
 
-    A rejected request does not count. The state of a key is the times of at most ``most`` admitted requests.
+    A rejected request does not count, which makes admission sequential within a key. A key's state is the times of at
+    most ``most`` admitted requests, and goes once the watermark has passed the last of them by the window. Requests
+    of one micro-batch are taken by time and id; those later than the watermark are dropped.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = deque(state.get[0] if state.exists else ())
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         out = []
         for event, at in zip(rows["event_id"], rows["at"], strict=True):
-            times = [t for t in times if t > at - seconds]
+            while times and times[0] <= at - seconds:
+                times.popleft()
             ok = len(times) < most
             if ok:
                 times.append(at)
             out.append((key[0], event, ok))
-        state.update((times,))
+        state.update((list(times),))
+        if times:
+            gone = int((times[-1] + seconds) * 1000)
+            state.setTimeoutTimestamp(max(gone, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "event_id", "ok"])
 
-    return events.groupBy("key").applyInPandasWithState(step, "key long, event_id long, ok boolean", "times array<double>", "append", "NoTimeout")
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
+    rows = events.withWatermark("ts", delay).select("event_id", "key", "ts", at)
+    return rows.groupBy("key").applyInPandasWithState(step, "key long, event_id long, ok boolean", "times array<double>", "append", "EventTimeTimeout")

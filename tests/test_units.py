@@ -28,9 +28,9 @@ def test_paths(spark):
 
 
 def test_layer(spark):
-    rows = [("API", "x", "n", "file"), (None, None, None, "file"), (None, "a/b/models/user.py", "user.py", "file"), (None, "ui", "ui", "folder"), (None, "z.py", "z.py", "file")]
+    rows = [("API", "x", "n", "file"), (None, None, None, "file"), (None, "a/b/models/user.py", "user.py", "file"), (None, "ui/kit", "kit", "folder"), (None, "z.py", "z.py", "file"), ("kernel", "api/x.py", "n", "file"), ("Utility", "api/x.py", "n", "file"), (None, "apiary", "n", "folder"), (" Data ", "x", "n", "file"), (None, "src\\utils\\a.py", "n", "file")]
     out = values(spark, rows, "l string, id string, n string, t string", X.infer_layer(F.col("l"), F.col("id"), F.col("n"), F.col("t")))
-    assert out == ["api", "other", "data", "ui", "other"]
+    assert out == ["api", "other", "data", "ui", "other", "other", "util", "other", "data", "util"]
 
 
 def test_risk_score(spark):
@@ -112,3 +112,51 @@ def test_split_covers_the_text(size, overlap):
         assert 0 <= found <= at
         at = max(at, found + len(p))
     assert at == len(text)
+
+
+def test_markdown_sections_and_windows(spark):
+    """Long sections are cut, their windows overlap and cover them; headings begin sections, in any level."""
+    long = "\n".join(f"line {i} of a long section" for i in range(400))
+    text = f"intro\n# One\n{long}\n### Two\nend\n####### not a heading\n#also not"
+    out = T.chunk_markdown(spark.createDataFrame([("a.md", text), ("b.md", ""), ("c.md", "# Only")], "path string, content string"), 2000, 100).collect()
+    of = lambda path, section: [r["content"] for r in sorted(out, key=lambda r: r["part"]) if (r["path"], r["section"]) == (path, section)]
+    assert of("a.md", 0) == ["intro"] and of("a.md", 2) == ["### Two\nend\n####### not a heading\n#also not"]
+    parts = of("a.md", 1)
+    assert len(parts) > 4 and all(len(p) <= 2000 for p in parts) and "# One\n" + long == parts[0] + "".join(p[100:] for p in parts[1:])
+    assert {r["path"] for r in out} == {"a.md", "c.md"} and {r["heading"] for r in out if r["section"] > 0} == {"One", "Two", "Only"}
+
+
+def test_structure_in_all_languages(spark):
+    files = [
+        ("a.py", "class A:\n    async def f(self):\n        pass\ndef g():\n    pass"), ("a.js", "export class B {\n}\nexport function h(x) {\n}"), ("a.ts", "export abstract class C {\n}\nfunction k<T>(x) {\n}"),
+        ("A.java", "public final class D {\n  private static int m(int x) {\n  }\n}"), ("a.cpp", "struct E {\n};\nint n(int x) {\n}"), ("a.go", "type F struct {\n}\nfunc (r *F) p() {\n}"), ("a.rs", "pub struct G;\npub fn q() {\n}"), ("a.rb", "class H\n  def self.r\n  end\nend"),
+    ]
+    out = T.extract_symbols(spark.createDataFrame(files, "path string, content string")).collect()
+    names = {p: [(r["name"], r["type"], r["end_line"]) for r in sorted(out, key=lambda r: r["start_line"]) if r["path"] == p] for p, _ in files}
+    assert names["a.py"] == [("A", "class", 3), ("f", "function", 3), ("g", "function", 5)]
+    assert [n[:2] for p in ("a.js", "a.ts", "A.java", "a.cpp", "a.go", "a.rs", "a.rb") for n in names[p]] == [(x, k) for pair in ("Bh", "Ck", "Dm", "En", "Fp", "Gq", "Hr") for x, k in zip(pair, ("class", "function"), strict=True)]
+
+
+def test_no_rows_are_cut(spark):
+    """More rules, persons and queries than former bounds took."""
+    from cairn.operators import insight as I
+
+    rules = spark.range(2000).selectExpr("concat('l', id) AS layer", "'x' AS banned")
+    nodes = spark.createDataFrame([("a", "l1999"), ("b", "x")], "id string, layer string")
+    assert I.architecture_violations(spark.createDataFrame([("a", "b", "DEPENDS_ON")], "src string, dst string, relation string"), nodes, rules).count() == 1
+    queries = spark.range(3000).selectExpr("id AS query_id", "concat('word', id) AS text")
+    chunks = spark.range(3000).selectExpr("id", "concat('some word', id, ' here') AS content")
+    none = spark.createDataFrame([], "query_id long")
+    assert R.keyword_fallback(queries, chunks, none, 1).count() == 3000
+    people = spark.range(12_000).selectExpr("concat('person-', id) AS person")
+    files = spark.range(12_000).selectExpr("concat('f', id) AS id", "concat('Person-', id) AS top_owner", "CAST(NULL AS STRING) AS last_author", "1 AS commit_count")
+    owned = spark.createDataFrame([], "node string, author string")
+    assert I.person_work(people, files, owned, 1).select("person").distinct().count() == 12_000
+
+
+def test_containment_is_exact(spark):
+    from cairn.operators.matching import contained
+
+    texts, terms = ["alpha beta", "be", "b", "", "αβγδ", "a.b*c"], ["a", "be", "ta", "beta", "βγ", "zzz", "", ".b*", "alpha beta"]
+    out = contained(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert sorted(map(tuple, out)) == sorted((t, x) for t in terms for x in texts if t and t in x)
