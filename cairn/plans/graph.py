@@ -122,13 +122,13 @@ def _(fx):
 
 
 @query("C15_infer_edges", """
-WITH m AS (SELECT file_key % 97 AS request_id, id, regexp_replace(id, '/[^/]*$', '') AS folder, regexp_replace(regexp_replace(id, '^.*/', ''), '\\.[^.]*$', '') AS stem FROM fx_files WHERE file_key % 3 = 0),
+WITH m AS (SELECT file_key % 397 AS request_id, id, regexp_replace(id, '/[^/]*$', '') AS folder, regexp_replace(regexp_replace(id, '^.*/', ''), '\\.[^.]*$', '') AS stem FROM fx_files),
 x AS (SELECT DISTINCT a.request_id FROM fx_edges JOIN m a ON src = a.id JOIN m b ON dst = b.id AND a.request_id = b.request_id),
 l AS (SELECT * FROM m WHERE request_id NOT IN (SELECT request_id FROM x)),
 p AS (SELECT a.request_id, a.id AS a, b.id AS b, CASE WHEN a.stem <> b.stem AND length(a.stem) > 3 AND length(b.stem) > 3 AND (contains(a.stem, b.stem) OR contains(b.stem, a.stem)) THEN 'RELATED' WHEN a.stem = b.stem THEN 'PAIRED' WHEN a.folder = b.folder THEN 'SIBLING' END AS kind
  FROM l a JOIN l b ON a.request_id = b.request_id AND a.id < b.id) SELECT * FROM p WHERE kind IS NOT NULL""")
 def _(fx):
-    return G.infer_edges(fx.files.where("file_key % 3 = 0").select((F.col("file_key") % 97).alias("request_id"), "id"), fx.edges)
+    return G.infer_edges(fx.files.select((F.col("file_key") % 397).alias("request_id"), "id"), fx.edges)
 
 
 @query("C16_team_topology", """
@@ -179,7 +179,7 @@ def _(fx):
 
 @query("C20_nodes_by_name", """
 WITH s AS (SELECT id || '::f' || k AS id, 'f' || k AS name FROM fx_files, range(3) r(k) UNION ALL SELECT id, regexp_replace(id, '^.*/', '') FROM fx_files),
-q AS (SELECT file_key AS query_id, regexp_replace(id, '^.*/', '') AS term FROM fx_files WHERE file_key % 100 = 0 UNION ALL SELECT -1, 'f2' UNION ALL SELECT -2, 'core_'),
+q AS (SELECT file_key AS query_id, regexp_replace(id, '^.*/', '') AS term FROM fx_files WHERE file_key % 20 = 0 UNION ALL SELECT -1, 'f2' UNION ALL SELECT -2, 'core_'),
 m AS (SELECT query_id, s.id, CASE WHEN s.name = term THEN 1 WHEN s.id = term THEN 2 WHEN ends_with(s.id, '::' || term) THEN 3 WHEN contains(s.id, '::' || term || '::') THEN 4 WHEN contains(lower(s.name), lower(term)) THEN 5 ELSE 6 END AS tier
  FROM q JOIN s ON contains(lower(s.id), lower(term)) OR contains(lower(s.name), lower(term)))
 SELECT query_id, id, CAST(tier AS INT) AS tier FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tier, id) <= 100""")
@@ -187,7 +187,7 @@ def _(fx):
     from cairn.operators.insight import nodes_by_name
 
     all_ = symbols(fx).select("id", "name").unionByName(fx.files.select("id", X.basename(F.col("id")).alias("name")))
-    q = fx.files.where("file_key % 100 = 0").select(F.col("file_key").alias("query_id"), X.basename(F.col("id")).alias("term")).unionByName(fx.spark.createDataFrame([(-1, "f2"), (-2, "core_")], "query_id long, term string"))
+    q = fx.files.where("file_key % 20 = 0").select(F.col("file_key").alias("query_id"), X.basename(F.col("id")).alias("term")).unionByName(fx.spark.createDataFrame([(-1, "f2"), (-2, "core_")], "query_id long, term string"))
     return nodes_by_name(q, all_)
 
 
@@ -213,11 +213,11 @@ def _(fx):
     return G.functions_to_files(fx.edges.select(f.alias("src"), "dst", "relation").unionByName(own))
 
 
-@query("C23_commit_touch", "SELECT hash, id FROM fx_commit_files JOIN fx_nodes ON file = id WHERE hash % 50 = 0")
+@query("C23_commit_touch", "SELECT hash, id FROM fx_commit_files JOIN fx_nodes ON file = id")
 def _(fx):
     from cairn.operators.insight import commit_touch
 
-    return commit_touch(fx.nodes, fx.commit_files.where("hash % 50 = 0"))
+    return commit_touch(fx.nodes, fx.commit_files)
 
 
 @query("C24_workspace_links", """
@@ -263,12 +263,12 @@ def _(fx):
 
 
 @query("F2_pr_affected_union", f"""
-WITH pr AS (SELECT hash AS pr_id, file FROM fx_commit_files WHERE hash % 100 = 0 QUALIFY row_number() OVER (PARTITION BY hash ORDER BY file) <= 20)
+WITH pr AS (SELECT hash AS pr_id, file FROM fx_commit_files WHERE hash % 20 = 0 QUALIFY row_number() OVER (PARTITION BY hash ORDER BY file) <= 20)
 SELECT DISTINCT pr_id, e.src AS affected FROM pr JOIN {DEP} e ON e.dst = file
 UNION SELECT pr_id, e2.src FROM pr JOIN {DEP} e ON e.dst = file JOIN {DEP} e2 ON e2.dst = e.src""")
 def _(fx):
     nth = F.row_number().over(Window.partitionBy("hash").orderBy("file"))
-    pr = fx.commit_files.where("hash % 100 = 0").withColumn("nth", nth).where("nth <= 20").select(F.col("hash").alias("request_id"), F.col("file").alias("id"))
+    pr = fx.commit_files.where("hash % 20 = 0").withColumn("nth", nth).where("nth <= 20").select(F.col("hash").alias("request_id"), F.col("file").alias("id"))
     dep = G.reversed_edges(fx.edges.where("relation = 'DEPENDS_ON'").select("src", "dst"))
     one = G._step(pr, dep)
     return one.unionByName(G._step(one, dep)).distinct().select(F.col("request_id").alias("pr_id"), F.col("id").alias("affected"))

@@ -76,12 +76,12 @@ def _(fx):
 
 
 @query("D17_what_if_leaves", """
-WITH m AS (SELECT top_owner AS person, id AS file, bus_risk FROM fx_nodes WHERE top_owner IN (SELECT n_name FROM nation WHERE n_regionkey < 2)
+WITH m AS (SELECT top_owner AS person, id AS file, bus_risk FROM fx_nodes WHERE top_owner IN (SELECT n_name FROM nation)
  QUALIFY row_number() OVER (PARTITION BY top_owner ORDER BY bus_risk DESC, id) <= 80),
 o AS (SELECT m.person, m.file, a.author, row_number() OVER (PARTITION BY m.person, m.file ORDER BY a.author) AS nth FROM m JOIN fx_authors a ON a.file = m.file AND a.author <> m.person)
 SELECT m.person, m.file, m.bus_risk, coalesce(string_agg(o.author, ',' ORDER BY o.nth), '') AS others FROM m LEFT JOIN o ON o.person = m.person AND o.file = m.file AND o.nth <= 4 GROUP BY 1, 2, 3""")
 def _(fx):
-    persons = fx.nation.where("n_regionkey < 2").select(F.col("n_name").alias("person"))
+    persons = fx.nation.select(F.col("n_name").alias("person"))
     return I.what_if_leaves(fx.nodes, fx.touches.select(F.col("file").alias("node"), "author").distinct(), persons)
 
 
@@ -132,7 +132,7 @@ def _(fx):
 
 
 @query("D23_suggest_reviewers", """
-WITH pr AS (SELECT hash AS pr_id, file FROM fx_commit_files WHERE hash % 50 = 0),
+WITH pr AS (SELECT hash AS pr_id, file FROM fx_commit_files WHERE hash % 20 = 0),
 w AS (SELECT pr_id, author AS person, CAST(n AS DOUBLE) AS s FROM pr JOIN fx_authors a ON a.file = pr.file QUALIFY row_number() OVER (PARTITION BY pr_id, pr.file ORDER BY n DESC, author) <= 8),
 r AS (SELECT pr_id, top_owner AS person, CAST(incidents*10 AS DOUBLE) AS s FROM pr JOIN fx_nodes ON id = pr.file WHERE top_owner IS NOT NULL),
 t AS (SELECT pr_id, person, sum(s) AS score FROM (SELECT * FROM w UNION ALL SELECT * FROM r) GROUP BY 1, 2)
@@ -140,7 +140,7 @@ SELECT pr_id, person, score, least(1e2, floor(score + 5e-1)) / 100 AS confidence
 def _(fx):
     experts = H.author_counts(fx.touches).select(F.col("author").alias("person"), "file", F.col("n").alias("weight"))
     risks = fx.nodes.select(F.col("id").alias("file"), F.col("top_owner").alias("owner"), (F.col("incidents") * 10).alias("risk"))
-    return I.suggest_reviewers(fx.commit_files.where("hash % 50 = 0").select(F.col("hash").alias("pr_id"), "file"), experts, risks)
+    return I.suggest_reviewers(fx.commit_files.where("hash % 20 = 0").select(F.col("hash").alias("pr_id"), "file"), experts, risks)
 
 
 @query("D24_folder_rollup", """
