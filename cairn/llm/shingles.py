@@ -88,17 +88,16 @@ def _signatures(sketches: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, sketches)), np.uint8).reshape(len(sketches), ROWS * BANDS)
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, text_col: str, work: Workspace, width: int = 5, similarity: float = 0.8, bucket_limit: int = 24, chunk: int = 1024) -> DataFrame:
+def similar_links(nodes: DataFrame, docs: DataFrame, text_col: str, work: Workspace, width: int = 5, similarity: float = 0.8, bucket_limit: int = 24, chunk: int = 512) -> DataFrame:
     """Links (a, b) of ``nodes`` (fp, key, bands, sketch), enough to connect all whose shingle sets are that similar.
 
     Nodes that share a band are candidates, and every candidate pair is held to the exact Jaccard similarity of both
     shingle sets, made again from the texts in question only. In a bucket of at most ``bucket_limit`` every pair is a
     candidate. A larger one is cut in chunks of about ``chunk``, and signatures, eight bits a value, estimate the
     similarity of its pairs. First come those of a spanning forest of each chunk, the most similar first; what they
-    connect is one component. Then come all pairs of the bucket that may be similar and lie in different components:
-    members outside a bucket's largest component are compared with all its members, chunk by chunk. So a crowd of near
-    copies costs a pair or so for each member and band, no task holds more than two chunks, and no link is lost but for an
-    estimate that is off by SPREAD standard deviations.
+    connect is one component. Then members outside a bucket's largest component are compared with all its members of
+    other components, by their sets, chunk by chunk, and only links leave the task. So a crowd of near copies makes a
+    pair or so for each member and band, no task holds more than two chunks, and no link between candidates is lost.
     """
     rows = nodes.select("fp", F.explode("bands").alias("band"))
     sizes = work.save(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
@@ -117,13 +116,8 @@ def similar_links(nodes: DataFrame, docs: DataFrame, text_col: str, work: Worksp
         return pd.DataFrame({"a": [p[0] for p in found], "b": [p[1] for p in found]}, dtype=np.int64)
 
     def across(key, rest: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if len(rest) and len(every):
-            fps, parts, marks = every["fp"].to_numpy(), every["part"].to_numpy(), _signatures(every["sketch"])
-            for fp, part, mark in zip(rest["fp"], rest["part"], _signatures(rest["sketch"]), strict=True):
-                near = fps[(parts != part) & ((marks == mark).mean(axis=1) >= may)]
-                a, b = [*a, np.full(len(near), fp)], [*b, near]
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}, dtype=np.int64)
+        found = _across(rest, every, similarity) if len(rest) and len(every) else []
+        return pd.DataFrame({"a": [p[0] for p in found], "b": [p[1] for p in found]}, dtype=np.int64)
 
     def ordered(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -141,28 +135,52 @@ def similar_links(nodes: DataFrame, docs: DataFrame, text_col: str, work: Worksp
     largest = many.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"))
     largest = largest.where("parts > 1").select("band", "largest", F.ceil((F.col("n") - F.col("most")) / chunk).cast("int").alias("rest_chunks"))
     many = work.save(many.join(largest, "band"), "open-crowds")
+    sets = work.save(_sets(many.select("fp").distinct(), nodes, docs, text_col, work, width, "crowds"), "sets-of-crowds")
+    many = many.drop("sketch").join(sets, "fp")
     rest = many.where("part <> largest").withColumn("rest_chunk", F.pmod(F.xxhash64("fp", "band"), "rest_chunks")).withColumn("chunk", F.explode(numbers(F.col("chunks"))))
-    own = [F.col(c).alias(c) for c in ("band", "fp", "sketch", "chunk", "part")]  # columns apart from those of ``rest``
+    own = [F.col(c).alias(c) for c in ("band", "fp", "set", "chunk", "part")]  # columns apart from those of ``rest``
     every = many.select(*own, F.explode(numbers(F.col("rest_chunks"))).alias("rest_chunk"))
     tile = ["band", "chunk", "rest_chunk"]
-    more = rest.groupBy(*tile).cogroup(every.groupBy(*tile)).applyInPandas(across, "a long, b long")
-    more = work.save(ordered(more).join(found, ["a", "b"], "left_anti"), "candidates-2")
-    return links.unionByName(_verified(more, nodes, docs, text_col, work, width, similarity, "2"))
+    more = rest.select(*tile, "fp", "set", "part").groupBy(*tile).cogroup(every.groupBy(*tile)).applyInPandas(across, "a long, b long")
+    return links.unionByName(work.save(ordered(more), "links-across"))
+
+
+def _across(rest: pd.DataFrame, every: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a row of ``rest`` and one of ``every`` (fp, set, part) that have the similarity; one for each other part."""
+    sizes = every["set"].map(len).to_numpy()
+    values, owner = np.concatenate(every["set"].tolist()), np.repeat(np.arange(len(every)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    fps, parts, out = every["fp"].to_numpy(), every["part"].to_numpy(), []
+    for fp, own, part in zip(rest["fp"], rest["set"], rest["part"], strict=True):
+        low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        n = high - low  # where each of its shingles stands in the list of all
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(fps))
+        near = np.flatnonzero((shared >= similarity * (sizes + len(own) - shared) - 1e-9) & (parts != part))
+        _, first = np.unique(parts[near], return_index=True)
+        out += [(int(fp), int(fps[i])) for i in near[first]]
+    return out
 
 
 def _verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, work: Workspace, width: int, similarity: float, name: str) -> DataFrame:
     """The pairs (a, b) of ``found`` whose shingle sets have the similarity, by the sets themselves."""
+    asked = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "fp")
+    texts = work.save(_sets(asked, nodes, docs, text_col, work, width, name), f"sets-{name}")
+    both = found.join(texts.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    both = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("total"))
+    return both.where(F.col("n") >= similarity * (F.col("total") - F.col("n")) - 1e-9).select("a", "b")
+
+
+def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, work: Workspace, width: int, name: str) -> DataFrame:
+    """(fp, set): the shingle sets of the nodes ``asked`` for (fp), made again from their texts."""
 
     @F.pandas_udf("array<long>")
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shingle_set(t, width).view(np.int64) for t in texts])
 
-    asked = found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "fp")
     asked = work.save(nodes.select("fp", "key").join(asked, "fp"), f"asked-{name}")
     texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key")).join(small(asked, BROADCAST_KEYS), "key")
-    texts = work.save(texts.dropDuplicates(["fp"]).select("fp", hashes("text").alias("set")), f"sets-{name}")
-    both = found.join(texts.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("total"))
-    return both.where(F.col("n") >= similarity * (F.col("total") - F.col("n")) - 1e-9).select("a", "b")
+    return texts.dropDuplicates(["fp"]).select("fp", hashes("text").alias("set"))
