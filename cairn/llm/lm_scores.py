@@ -10,16 +10,15 @@ from itertools import count, islice
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import Workspace
 
 #: Word numbers: 1 for the start of a text, dictionary words from 2; other words have a digest from TAIL on.
-START, FIRST, TAIL = 1, 2, 1 << 32
-#: The key of two dictionary words is first * BASE + second; all others have a negative hash of both.
+START, FIRST, TAIL = 1, 2, 1 << 62
+#: Two dictionary words are one number, first * BASE + second.
 BASE = 1 << 24
-_TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -31,7 +30,7 @@ class Dictionary(dict):
     """Numbers of the most frequent words; any other word is known by a 62-bit digest, which Spark computes alike."""
 
     def __missing__(self, word: bytes) -> int:
-        return (xxhash.xxh64_intdigest(word, 42) >> 2) + TAIL
+        return (xxhash.xxh64_intdigest(word, 42) >> 2) | TAIL
 
 
 def _numbers(texts: pd.Series, known: Dictionary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,18 +55,22 @@ def _slices(batch: pd.DataFrame, most: int = 2_000_000) -> Iterator[pd.DataFrame
         yield rows
 
 
-def _keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """One number for each bigram."""
-    mixed = (before.astype(np.uint64) * _TIMES[0]) ^ ((ids.astype(np.uint64) + _TIMES[0]) * _TIMES[1])
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * _TIMES[1]
-    return np.where((before < TAIL) & (ids < TAIL), before * BASE + ids, (mixed | np.uint64(1 << 63)).view(np.int64))
+def _keys(before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, other) of each bigram: what it is dealt by, and what is needed beside that to tell it apart.
+
+    Two dictionary words: their one number, and 0. A second word outside the dictionary: its digest, and the first
+    word. Only the first one outside: its digest, negative, and the second word.
+    """
+    far, first = ids >= TAIL, before >= TAIL
+    return np.where(far, ids, np.where(first, -before, before * BASE + ids)), np.where(far, before, np.where(first, ids, 0))
 
 
-def _distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct (doc, key) occurs first, and how often."""
-    order = np.lexsort((key, doc))
-    doc, key = doc[order], key[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.empty(0, np.int64)
+def _distinct(doc: np.ndarray, key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct (doc, key, other) occurs first, and how often."""
+    order = np.lexsort((other, key, doc))
+    doc, key, other = doc[order], key[order], other[order]
+    new = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (other[1:] != other[:-1])
+    first = np.flatnonzero(np.concatenate([[True], new])) if len(doc) else np.empty(0, np.int64)
     return order[first], np.diff(np.append(first, len(doc)))
 
 
@@ -127,12 +130,6 @@ def _tally(share: float):
     return run
 
 
-def _double(bits: Column) -> Column:
-    """The negative number whose 64 bits these are; zero for zero."""
-    exponent, fraction = F.shiftright(bits, 52).bitwiseAND(F.lit(2047)), bits.bitwiseAND(F.lit((1 << 52) - 1))
-    return F.when(exponent == 0, 0.0).otherwise(-(fraction + F.lit(1 << 52)).cast("double") * F.pow(F.lit(2.0), (exponent - 1075).cast("double")))
-
-
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dictionary_size: int = 200_000, head: int = 512, hot_share: float = 2e-4, least_count: int = 2, backoff: float = 0.4) -> DataFrame:
     """(doc_id, n_words, n_seen, log_score, mean_log_score): stupid-backoff bigram scores under the corpus itself.
 
@@ -145,8 +142,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     which have short numbers (others have 62-bit digests), and counts of frequent bigrams: those of the ``head`` most
     frequent words, and all that make up ``hot_share`` of the corpus or more (4 / hot_share at most). Those go to every
     worker, so that no bigram which meets in one task holds a larger share. All other bigrams of a document are rows,
-    dealt by the hash of the bigram and counted where they meet; what they then lack, the count of a word outside the
-    dictionary, is joined by its digest; scores are summed per document.
+    dealt by the hash of the bigram, or of a word outside the dictionary, and counted where they meet; what a bigram
+    then lacks, the count of a context outside the dictionary, is joined by its digest; scores are summed per document.
 
     Null or empty texts have n_words 0, log_score 0 and a null mean; rows that share an id are parts of one document;
     ids are whole numbers; an empty table gives no rows; other columns are ignored.
@@ -179,7 +176,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known = Dictionary(sent.value)
         for b in (part for whole in batches for part in _slices(whole)):
             _, before, ids = _numbers(b["text"], known)
-            key = _keys(before, ids)
+            key, _ = _keys(before, ids)
             key, n = np.unique(key[frequent(before, ids, key)], return_counts=True)
             yield pd.DataFrame({"key": key, "n": n})
 
@@ -197,53 +194,53 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             doc, before, ids = _numbers(b["text"], known)
             n_docs, names = len(b), b["doc_id"].to_numpy()
             length = np.bincount(doc, minlength=n_docs)
-            key = _keys(before, ids)
-            at, n = _distinct(doc, key)
-            doc, before, ids, key = doc[at], before[at], ids[at], key[at]
+            key, other = _keys(before, ids)
+            at, n = _distinct(doc, key, other)
+            doc, before, ids, key, other = doc[at], before[at], ids[at], key[at], other[at]
             inner = frequent(before, ids, key)
             d, k, m = doc[inner], key[inner], n[inner]
             at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
             hit = keys[at] == k if len(keys) else np.zeros(len(k), bool)
             score = m * (np.where(hit, log_two[at] - context[k // BASE], back[k % BASE]) if len(keys) else back[k % BASE]) if len(k) else np.empty(0)
-            out, far = ~inner, key < 0
-            # a document's own row: -1 - n_seen, n_words, and the bits of the score of its frequent bigrams
+            out = ~inner
+            # a document's own row: -1 - n_seen, n_words, and the score of its frequent bigrams, under any key
+            spread = (names * 0x9E3779B1 + np.arange(n_docs)) % (1 << 40)
             yield pd.DataFrame(
                 {
                     "doc_id": np.concatenate([names[doc[out]], names]),
-                    "key": np.concatenate([key[out], names]),
+                    "key": np.concatenate([key[out], spread]),
+                    "other": np.concatenate([other[out], length]),
                     "n": np.concatenate([n[out], -1 - np.bincount(d, m * hit, n_docs)]).astype(np.int32),
-                    "v": np.concatenate([np.where(far, before, 0)[out], length]),
-                    "w": np.concatenate([np.where(far, ids, 0)[out], np.bincount(d, score, n_docs).view(np.int64)]),
+                    "score": np.concatenate([np.zeros(out.sum()), np.bincount(d, score, n_docs)]),
                 }
             )
 
-    grams = rows.mapInPandas(explode, "doc_id long, key long, n int, v long, w long")
-    # a bigram's rows are dealt by its key, counted there and given the count; a document's own row goes by its id
-    own = F.col("n") < 0
-    grams = grams.withColumn("key", F.when(own, F.xxhash64("doc_id")).otherwise(F.col("key")))
-    grams = grams.withColumn("c", F.sum(F.greatest("n", F.lit(0))).over(Window.partitionBy("key")))
-    near = ~own & (F.col("key") >= 0)  # two dictionary words: their numbers are in the key
-    grams = grams.withColumn("score", F.when(own, _double(F.col("w"))))
-    grams = grams.withColumns({"v": F.when(near, F.shiftright("key", BASE.bit_length() - 1)).otherwise(F.col("v")), "w": F.when(near, F.col("key").bitwiseAND(F.lit(BASE - 1))).otherwise(F.col("w"))})
+    grams = rows.mapInPandas(explode, "doc_id long, key long, other long, n int, score double")
+    # all rows of a bigram, and all of a word outside the dictionary as a second word, meet: one exchange counts both
+    own, far, near = F.col("n") < 0, F.col("key") >= TAIL, F.col("key").between(0, TAIL - 1)
+    n = F.greatest("n", F.lit(0))
+    grams = grams.withColumn("two", F.sum(n).over(Window.partitionBy("key", "other"))).withColumn("one", F.sum(n).over(Window.partitionBy("key")))
+    v = F.when(near, F.shiftright("key", BASE.bit_length() - 1)).when(far, F.col("other"))
+    w = F.when(near, F.col("key").bitwiseAND(F.lit(BASE - 1))).when(~far, F.col("other"))
     logs = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(context)), "context": context, "back": back}))
     contexts, backs = F.broadcast(logs.select(F.col("id").alias("v"), "context")), F.broadcast(logs.select(F.col("id").alias("w"), "back"))
-    grams = grams.join(contexts, "v", "left").join(backs, "w", "left")
-    seen = ~own & (F.col("c") >= least_count)
-    # what a bigram lacks, if anything: the digest of its context or of its word
-    lacks = F.when(own, None).when(seen, F.when(F.col("v") >= TAIL, F.col("v"))).when(F.col("w") >= TAIL, F.col("w"))
-    log = F.when(seen, F.log("c") - F.coalesce("context", F.lit(0.0))).otherwise(F.coalesce("back", F.lit(math.log(backoff) - math.log(max(1, total)))))
-    parts = grams.groupBy("doc_id", lacks.alias("digest"), (lacks.isNotNull() & seen).alias("as_context")).agg(
-        F.sum(F.when(own, F.col("v")).otherwise(0)).cast("long").alias("n_words"),
+    grams = grams.withColumns({"v": v, "w": w}).join(contexts, "v", "left").join(backs, "w", "left")
+    seen = ~own & (F.col("two") >= least_count)
+    # what a bigram that was seen may lack: the count of a context outside the dictionary
+    lacks = F.when(seen & (F.col("key") < 0), -F.col("key")).when(seen & far & (F.col("other") >= TAIL), F.col("other"))
+    unseen = F.coalesce("back", F.log("one") + F.lit(math.log(backoff) - math.log(max(1, total))))
+    log = F.when(seen, F.log("two") - F.coalesce("context", F.lit(0.0))).otherwise(unseen)
+    parts = grams.groupBy("doc_id", lacks.alias("digest")).agg(
+        F.sum(F.when(own, F.col("other")).otherwise(0)).cast("long").alias("n_words"),
         F.sum(F.when(own, -1 - F.col("n")).when(seen, F.col("n")).otherwise(0)).cast("long").alias("n_seen"),
-        F.sum(F.when(own, 0).otherwise(F.col("n"))).cast("long").alias("n"),
+        F.sum(n).cast("long").alias("n"),
         F.sum(F.when(own, F.col("score")).otherwise(F.col("n") * log)).alias("score"),
     )
     parts = work.save(parts, "parts")
-    digest = F.shiftrightunsigned(F.xxhash64("word"), 2) + F.lit(TAIL)
-    tail = words.where(f"n >= {least_count}").select(digest.alias("digest"), F.col("n").alias("as_word"), (F.col("n") - F.col("last")).alias("before"))
+    digest = F.shiftrightunsigned(F.xxhash64("word"), 2).bitwiseOR(F.lit(TAIL))
+    tail = words.where(f"n >= {least_count}").select(digest.alias("digest"), (F.col("n") - F.col("last")).alias("before"))
     lacking = parts.where("digest is not null").join(tail, "digest", "left")
-    added = F.when(F.col("as_context"), -F.log(F.greatest("before", F.lit(1)).cast("double"))).otherwise(F.log(F.coalesce("as_word", F.lit(1)).cast("double")))
-    lacking = lacking.select("doc_id", "n_words", "n_seen", (F.col("score") + F.col("n") * added).alias("score"))
+    lacking = lacking.select("doc_id", "n_words", "n_seen", (F.col("score") - F.col("n") * F.log(F.greatest(F.coalesce("before", F.lit(1)), F.lit(1)).cast("double"))).alias("score"))
     out = parts.where("digest is null").select("doc_id", "n_words", "n_seen", "score").unionByName(lacking)
     out = out.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.sum("score").alias("log_score"))
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != no_id, F.col("doc_id")))
