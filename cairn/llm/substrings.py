@@ -14,26 +14,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from cairn.llm.common import Workspace
-from cairn.llm.decontaminate import small
 
 #: A sentence with the white space after it: up to a full stop, question or exclamation mark before white space, or
 #: up to a line end.
 SENTENCE = re.compile(r"[^\n]*?[.!?…]+(?=\s)\s*|[^\n]*\n\s*|[^\n]+\Z", re.S)
 WORD = re.compile(r"\S+\s*")
-#: Repeated hashes that may be broadcast (some 40 MB); more are joined by shuffling.
-BROADCAST_HASHES = 1_000_000
 
 
 #: A sentence is cut after every word whose CRC-32 is a multiple of PART, and MOST words after the last cut at the latest.
 PART, MOST = 6, 12
 
 
+class _Ends(dict):
+    """Whether a piece ends after a word; so many words are remembered."""
+
+    def __missing__(self, word: str) -> bool:
+        ends = not crc32(word.encode("utf-8", "surrogatepass")) % PART
+        if len(self) < 300_000:
+            self[word] = ends
+        return ends
+
+
+_ends = _Ends()
+
+
 def _cut_lengths(words: list[str]) -> list[int]:
     """Words per piece of one sentence. Cuts follow the words alone, so they meet wherever a passage begins."""
     out, n = [], 0
-    for w in words:
+    for ends in map(_ends.__getitem__, words):
         n += 1
-        if n >= MOST or not crc32(w.encode("utf-8", "surrogatepass")) % PART:
+        if ends or n >= MOST:
             out.append(n)
             n = 0
     return [*out, n] if n or not out else out
@@ -82,7 +92,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of ``docs``: doc_id, text without repeats, n_removed (sentences and pieces of long ones).
 
     A span starts at every sentence and takes as many consecutive ones as it needs for ``least_words`` words, at least
-    ``least_sentences``; long sentences count as several (see ``word_lists``). Its words are hashed to 128 bits. The first occurrence of a span is the one of the smallest
+    ``least_sentences``; long sentences count as several (see ``word_lists``). Its words are hashed to 96 bits. The first occurrence of a span is the one of the smallest
     doc_id (of rows that share it, the smallest hash of the text), and there the earliest. Sentences covered by any other occurrence are removed; white space of the rest
     stays as it was, except that white space at the end goes with the sentences before it. A text that loses nothing
     is returned unchanged, a null text as null. Shorter texts have no spans, and the few words that a repeated passage
@@ -92,7 +102,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     work = Workspace(docs.sparkSession, "substrings")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    @F.pandas_udf("pos array<int>, h1 array<long>, h2 array<long>")
+    @F.pandas_udf("pos array<int>, h1 array<long>, h2 array<int>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out: list[tuple] = []
@@ -102,16 +112,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found = runs(lengths, least_words, least_sentences)
                 digests = [xxhash.xxh3_128_digest(" ".join(words[ends[a] : ends[b]]).encode("utf-8", "surrogatepass")) for a, b in found]
                 two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                out.append((np.array([a for a, _ in found], np.int32), two[:, 0], two[:, 1]))
+                out.append((np.array([a for a, _ in found], np.int32), two[:, 0], two[:, 1].astype(np.int32)))
             yield pd.DataFrame(out, columns=["pos", "h1", "h2"])
 
     last = F.lit((1 << 63) - 1) if isinstance(docs.schema[id_col].dataType, IntegralType) else F.lit("\uffff")  # after all ids
-    rows = rows.select("doc_id", "text", F.coalesce("doc_id", last).alias("id"), F.xxhash64("text").alias("key"))
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", last).alias("id"), F.hash("text").alias("key"))  # the key tells rows of one id apart
     listed = work.save(rows.select("id", "key", spans("text").alias("s")).select("id", "key", "s.*").where(F.size("pos") > 0), "spans")
     flat = listed.select("id", "key", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("s")).select("id", "key", "s.*")
-    # hashes that occur again, by half of their bits; only rows that have one are looked at further
+    # hashes that occur again, by their first part; only rows that have one are looked at further
     repeated = work.save(flat.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "repeated")
-    met = work.save(flat.join(small(repeated, BROADCAST_HASHES), "h1"), "met")
+    met = work.save(flat.join(repeated, "h1"), "met")
     first = met.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "pos")).alias("first"))
     again = met.join(first, ["h1", "h2"]).where("struct(id, key, pos) <> first")
     again = work.save(again.groupBy("id", "key").agg(F.collect_set("pos").alias("at")), "repeats")
