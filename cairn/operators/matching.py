@@ -29,11 +29,12 @@ def contained(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """
     t = terms.select("term").where("length(term) > 0").distinct()
     own = F.when(F.length("term") < GRAM, F.array("term")).otherwise(_runs(F.col("term"), GRAM))
-    asked = small(t.select("term", F.explode(F.array_distinct(own)).alias("gram")), BROADCAST_ROWS)
+    asked = t.select("term", F.explode(F.array_distinct(own)).alias("gram"))
+    hint = F.broadcast if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df  # bounds all that follows from it
     every = F.array_distinct(F.concat(*[_runs(F.col("text"), n) for n in range(1, GRAM + 1)]))
     grams = texts.select("text").distinct().select("text", F.explode(every).alias("gram"))
-    df = grams.join(small(asked.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    df = grams.join(hint(asked.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
     nth = F.row_number().over(Window.partitionBy("term").orderBy("df", "gram"))
     # a run that no text has rules the term out
     key = asked.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("nth", nth).where("nth = 1 and df > 0").select("term", "gram")
-    return grams.join(small(key), "gram").where(F.contains("text", "term")).select("term", "text")
+    return grams.join(hint(key), "gram").where(F.contains("text", "term")).select("term", "text")

@@ -342,6 +342,7 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edg
     sparse = sparse_search(routed, chunks, most, stages=stages).join(routed.select("query_id", "k"), "query_id").where("rank <= k").drop("k")
     sparse = stages.keep(sparse)
     fallback = keyword_fallback(routed, chunks, sparse, most).join(routed.select("query_id", "k"), "query_id").where("rank <= k").drop("k")
+    fallback = stages.keep(fallback)
     places = dense.join(chunks.select("id", "file"), "id").groupBy("query_id", "file").agg(F.min("rank").alias("place"))
     graph = stages.keep(graph_search(routed, places, nodes, edges, ownership))
 
