@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -15,86 +16,107 @@ from pyspark.sql.types import IntegralType
 
 from cairn.llm.common import Workspace
 
-#: A sentence with the white space after it: up to a full stop, question or exclamation mark before white space, or
-#: up to a line end.
-SENTENCE = re.compile(r"[^\n]*?[.!?…]+(?=\s)\s*|[^\n]*\n\s*|[^\n]+\Z", re.S)
-WORD = re.compile(r"\S+\s*")
-
-
+WORD = re.compile(r"\S+")
+#: A sentence ends with a word that ends with one of these, and with its line.
+STOPS = (".", "!", "?", "…")
 #: A sentence is cut after every word whose CRC-32 is a multiple of PART, and MOST words after the last cut at the latest.
 PART, MOST = 6, 12
+#: Bases of both polynomials that hash a run of words, odd numbers; the second keeps 32 bits.
+BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
-class _Ends(dict):
-    """Whether a piece ends after a word; so many words are remembered."""
+class _Hashes(dict):
+    """A word's hash; its lowest bit says whether a piece ends after the word. So many words are remembered."""
 
-    def __missing__(self, word: str) -> bool:
-        ends = not crc32(word.encode("utf-8", "surrogatepass")) % PART
+    def __missing__(self, word: str) -> int:
+        own = word.encode("utf-8", "surrogatepass")
+        ends = word.endswith(STOPS) or not crc32(own) % PART
+        value = xxhash.xxh3_64_intdigest(own) & ~1 | ends
         if len(self) < 300_000:
-            self[word] = ends
-        return ends
+            self[word] = value
+        return value
 
 
-_ends = _Ends()
+_hashes = _Hashes()
 
 
-def _cut_lengths(words: list[str]) -> list[int]:
-    """Words per piece of one sentence. Cuts follow the words alone, so they meet wherever a passage begins."""
-    out, n = [], 0
-    for ends in map(_ends.__getitem__, words):
-        n += 1
-        if ends or n >= MOST:
-            out.append(n)
-            n = 0
-    return [*out, n] if n or not out else out
+def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """base ** k and its inverse modulo 2 ** 64, for k up to n."""
+    if len(known.get(base, ())) <= n:
+        room = max(4096, 2 * n)
+        for x in (base, pow(base, -1, 1 << 64)):
+            with np.errstate(over="ignore"):
+                known[x] = np.cumprod(np.full(room, x, np.uint64)) * np.uint64(pow(x, -1, 1 << 64))
+    return known[base], known[pow(base, -1, 1 << 64)]
 
 
-def word_lists(text: str | None) -> tuple[list[str], list[int]]:
-    """All words of a text, and the number of words in each of its pieces."""
-    words: list[str] = []
-    lengths: list[int] = []
-    for m in SENTENCE.finditer(text or ""):
-        own = m.group().split()
-        words += own
-        lengths += _cut_lengths(own)
-    return words, lengths
+def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of a text, and the number of words up to the end of each piece.
+
+    Pieces are sentences; long ones are cut where their words say so, so cuts meet wherever a passage begins. A word
+    is a run of characters other than white space; a sentence ends as STOPS says.
+    """
+    lines = [line.split() for line in (text or "").split("\n")]
+    words = [w for line in lines for w in line]
+    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    if not words:
+        return hashes, np.empty(0, np.int64)
+    ends = (hashes & np.uint64(1)).astype(bool)
+    ends[[n - 1 for n in accumulate(map(len, lines)) if n]] = True
+    cuts = np.flatnonzero(ends) + 1
+    gaps = np.diff(cuts, prepend=0)
+    more = (gaps - 1) // MOST  # cuts by length alone
+    if more.any():
+        first = np.repeat(cuts - gaps, more)
+        nth = np.arange(len(first)) - np.repeat(np.cumsum(more) - more, more) + 1
+        cuts = np.sort(np.concatenate([cuts, first + MOST * nth]))
+    return hashes, cuts
+
+
+def runs(cuts: np.ndarray, least_words: int, least_pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) piece of the shortest run from every piece on that has so many words and pieces, where there is one."""
+    starts = np.concatenate([[0], cuts[:-1]]) if len(cuts) else cuts
+    first = np.arange(len(cuts))
+    end = np.maximum(first + least_pieces, np.searchsorted(cuts, starts + least_words) + 1)
+    fits = end <= len(cuts)
+    return first[fits], end[fits]
+
+
+def run_hashes(hashes: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits for the words from each ``a`` to its ``z``: polynomials in two bases over the words' hashes, then mixed.
+
+    Sums of hash * base ** place are taken once for all places; what stands before ``a`` is taken off, and the place of
+    ``a`` by the inverse base.
+    """
+    out = []
+    with np.errstate(over="ignore"):
+        for base in BASES:
+            power, inverse = _powers(base, len(hashes))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[: len(hashes)])])
+            x = (total[z] - total[a]) * inverse[a] + (z - a).astype(np.uint64)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            out.append((x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25))
+    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of the pieces that ``word_lists`` counts: sentences, long ones cut. They cover a text without gaps."""
-    out = []
-    for m in SENTENCE.finditer(text or ""):
-        ends = [w.end() for w in WORD.finditer(text, m.start(), m.end())]
-        at, done = m.start(), 0
-        for n in _cut_lengths(m.group().split())[:-1]:
-            done += n
-            out.append((at, ends[done - 1]))
-            at = ends[done - 1]
-        out.append((at, m.end()))
-    return out
-
-
-def runs(lengths: list[int], least_words: int, least_pieces: int) -> list[tuple[int, int]]:
-    """(first, end) of the shortest run from every piece on that has so many words and pieces, where there is one."""
-    out, end, total = [], 0, 0
-    for first in range(len(lengths)):
-        while end < len(lengths) and (total < least_words or end - first < least_pieces):
-            total += lengths[end]
-            end += 1
-        if total < least_words or end - first < least_pieces:
-            break
-        out.append((first, end))
-        total -= lengths[first]
-    return out
+    """(start, end) of the pieces of a text, which cover it without gaps: white space goes with the piece before it."""
+    cuts = pieces(text)[1]
+    if not len(cuts):
+        return [(0, len(text))] if text else []
+    starts = [m.start() for m in WORD.finditer(text)]
+    at = [0, *(starts[k] for k in cuts[:-1].tolist()), len(text)]
+    return list(zip(at, at[1:], strict=False))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_sentences: int = 2, least_words: int = 25) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without repeats, n_removed (sentences and pieces of long ones).
 
     A span starts at every sentence and takes as many consecutive ones as it needs for ``least_words`` words, at least
-    ``least_sentences``; long sentences count as several (see ``word_lists``). Its words are hashed to 96 bits. The first occurrence of a span is the one of the smallest
-    doc_id (of rows that share it, the smallest hash of the text), and there the earliest. Sentences covered by any other occurrence are removed; white space of the rest
-    stays as it was, except that white space at the end goes with the sentences before it. A text that loses nothing
+    ``least_sentences``; long sentences count as several (see ``pieces``). Its words are hashed to 96 bits. The first
+    occurrence of a span is the one of the smallest doc_id (of rows that share it, the smallest hash of the text), and
+    there the earliest. Sentences covered by any other occurrence are removed; white space of the rest stays as it was,
+    except that white space at the end goes with the sentences before it. A text that loses nothing
     is returned unchanged, a null text as null. Shorter texts have no spans, and the few words that a repeated passage
     has after its last whole span stay. Rows equal in id and text are one document and lose the same sentences. An
     empty table gives no rows; other columns are ignored; rows with a null id come after all others.
@@ -107,12 +129,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for texts in batches:
             out: list[tuple] = []
             for t in texts:
-                words, lengths = word_lists(t)
-                ends = np.concatenate([[0], np.cumsum(lengths)]).tolist() if lengths else [0]
-                found = runs(lengths, least_words, least_sentences)
-                digests = [xxhash.xxh3_128_digest(" ".join(words[ends[a] : ends[b]]).encode("utf-8", "surrogatepass")) for a, b in found]
-                two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                out.append((np.array([a for a, _ in found], np.int32), two[:, 0], two[:, 1].astype(np.int32)))
+                hashes, cuts = pieces(t)
+                first, end = runs(cuts, least_words, least_sentences)
+                out.append((first.astype(np.int32), *run_hashes(hashes, np.concatenate([[0], cuts])[first], cuts[end - 1])))
             yield pd.DataFrame(out, columns=["pos", "h1", "h2"])
 
     last = F.lit((1 << 63) - 1) if isinstance(docs.schema[id_col].dataType, IntegralType) else F.lit("\uffff")  # after all ids
@@ -131,12 +150,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for texts, spots in batches:
             out = []
             for t, at in zip(texts, spots, strict=True):
-                gone: set[int] = set()
+                n_gone = 0
                 if at is not None:
-                    end_of = dict(runs(word_lists(t)[1], least_words, least_sentences))
-                    gone = {j for i in at for j in range(i, end_of[i])}
-                    t = "".join(t[a:b] for i, (a, b) in enumerate(sentences(t)) if i not in gone).rstrip()
-                out.append((t, len(gone)))
+                    cuts = pieces(t)[1]
+                    first, end = runs(cuts, least_words, least_sentences)
+                    gone = np.zeros(len(cuts) + 1, np.int64)
+                    np.add.at(gone, first[at], 1)
+                    np.add.at(gone, end[at], -1)
+                    gone = np.cumsum(gone)[:-1] > 0
+                    n_gone = int(gone.sum())
+                    t = "".join(t[a:z] for (a, z), x in zip(sentences(t), gone.tolist(), strict=True) if not x).rstrip()
+                out.append((t, n_gone))
             yield pd.DataFrame(out, columns=["text", "n_removed"])
 
     joined = rows.join(again, ["id", "key"], "left")
