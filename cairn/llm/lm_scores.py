@@ -219,7 +219,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # all rows of a bigram, and all of a word outside the dictionary as a second word, meet: one exchange counts both
     own, far, near = F.col("n") < 0, F.col("key") >= TAIL, F.col("key").between(0, TAIL - 1)
     n = F.greatest("n", F.lit(0))
-    grams = grams.withColumn("two", F.sum(n).over(Window.partitionBy("key", "other"))).withColumn("one", F.sum(n).over(Window.partitionBy("key")))
+    grams = grams.repartition("key").sortWithinPartitions("key", "other")
+    grams = grams.withColumn("one", F.sum(n).over(Window.partitionBy("key"))).withColumn("two", F.sum(n).over(Window.partitionBy("key", "other")))
     v = F.when(near, F.shiftright("key", BASE.bit_length() - 1)).when(far, F.col("other"))
     w = F.when(near, F.col("key").bitwiseAND(F.lit(BASE - 1))).when(~far, F.col("other"))
     logs = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(context)), "context": context, "back": back}))
