@@ -12,6 +12,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cairn.llm.common import Workspace
 
@@ -146,12 +147,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     then lacks, the count of a context outside the dictionary, is joined by its digest; scores are summed per document.
 
     Null or empty texts have n_words 0, log_score 0 and a null mean; rows that share an id are parts of one document;
-    ids are whole numbers; an empty table gives no rows; other columns are ignored.
+    ids are of any type; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lm")
     no_id = -(1 << 63)  # pandas has no null for whole numbers
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(no_id)).alias("doc_id"), F.col(text_col).alias("text"))
+    rows, ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), None
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):  # other ids are numbered
+        ids = rows.where("doc_id is not null").select(F.col("doc_id").alias("named")).distinct()
+        ids = work.save(ids.withColumn("number", F.monotonically_increasing_id()), "ids")
+        rows = rows.join(ids, F.col("doc_id") == F.col("named"), "left").select(F.col("number").alias("doc_id"), "text")
+    rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id)).alias("doc_id"), "text")
 
     counted = rows.select("text").mapInPandas(_tally(hot_share), "v binary, w binary, n long, last long")
     counted = work.save(counted.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("last").alias("last")), "counted")
@@ -245,4 +251,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = parts.where("digest is null").select("doc_id", "n_words", "n_seen", "score").unionByName(lacking)
     out = out.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.sum("score").alias("log_score"))
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != no_id, F.col("doc_id")))
+    if ids is not None:
+        out = out.join(ids, F.col("doc_id") == F.col("number"), "left").select(F.col("named").alias("doc_id"), "n_words", "n_seen", "log_score")
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
