@@ -125,8 +125,8 @@ def nearest(
     Nearness is the cosine, computed in double precision from the original vectors; ties go to the smaller id; rows of
     the query's own id are no candidates. Vectors that are null, empty, zero or not finite take no part, and only
     vectors of one length are compared with each other. A table without usable vectors gives no rows; repeated rows
-    count once; rows that share an id but not the vector each ask, and are found, by themselves; other columns are
-    ignored.
+    count once; rows that share an id but not the vector each ask, and are found, by themselves, and as many more
+    entries are kept for a query as an asking id has further vectors at most; other columns are ignored.
 
     Equal vectors are one entry that stands for its k+1 smallest ids, which is all that any query can return of them,
     so a group of copies of any size costs as much as one. Entries are rotated, scaled to unit length and dealt to
@@ -153,10 +153,14 @@ def nearest(
     asking = rows.where("asks").select(key.alias("key"), "v", F.col("id").alias("query_id")).distinct()
     asking = work.save(asking.join(entries.select("key", "v", "entry", "dim"), ["key", "v"]).select("query_id", "entry", "dim"), "asking")
 
+    # an id's own vectors may be the nearest of all, so as many more entries are looked for as one id has at most
+    own = work.save(rows.where("asks").select(F.col("id").alias("query_id")).distinct().join(rows.select("id", key.alias("key"), "v").distinct(), F.col("query_id") == F.col("id")).groupBy("query_id").count(), "own")
+    more = (own.agg(F.max("count")).first()[0] or 1) - 1
+
     found = None
     for r in entries.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():  # a row per vector length
         part = f"dim = {r['dim']}"
-        one = _search(entries.where(part), asking.where(part), r["dim"], r["n"], work, k, sample_rows, max_lists, recall, least_probes, first_share, step, epsilon, block_rows, block_queries)
+        one = _search(entries.where(part), asking.where(part), r["dim"], r["n"], work, k + more, sample_rows, max_lists, recall, least_probes, first_share, step, epsilon, block_rows, block_queries)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], f"query_id {vectors.schema[id_col].dataType.simpleString()}, rank int, vec_id {vectors.schema[id_col].dataType.simpleString()}, score double")
@@ -167,7 +171,7 @@ def nearest(
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     score = dot(F.col("qv"), F.col("cv")) / (F.sqrt(dot(F.col("qv"), F.col("qv"))) * F.sqrt(dot(F.col("cv"), F.col("cv"))))
     pairs = work.save(pairs.select("asked", score.alias("score"), "ids"), "pairs")
-    merged = pairs.groupBy("asked").agg(F.collect_list(F.struct("score", "ids")).alias("found"))  # k+1 entries at most
+    merged = pairs.groupBy("asked").agg(F.collect_list(F.struct("score", "ids")).alias("found"))  # k+1 entries at most, where ids have one vector
     hits = asking.join(merged, asking.entry == merged.asked).select("query_id", "asked", F.explode("found").alias("f"))
     hits = hits.select("query_id", "asked", "f.score", F.explode("f.ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))

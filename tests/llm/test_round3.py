@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import embedding_dups, manifest, runs
+from cairn.llm import ann, embedding_dups, lm_scores, manifest, runs, substrings
+from cairn.llm.common import Workspace
 from cairn.llm.queries import QUERIES
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, tree string, rank int, digest string, kept int, words string, start long, __read long"
@@ -250,3 +251,55 @@ def test_periods_of_all_planted_kinds(spark):
     out = runs.describe(frame)
     assert sorted((tuple(r) for r in out.collect()), key=str) == plain_rows(table)
     assert out.where(F.col("n_runs") > 0).count() > 10
+
+
+# earlier operators
+
+
+def test_scores_of_text_ids(spark):
+    texts = ["the cat sat on the mat", "the cat ran", None, "the dog sat on the mat"]
+    by = [{r["doc_id"]: tuple(r)[1:] for r in lm_scores.score_documents(spark.createDataFrame([(name(i), t) for i, t in enumerate(texts)], f"doc_id {kind}, text string")).collect()} for name, kind in ((lambda i: i, "long"), (lambda i: f"d-{i}", "string"))]
+    assert by[1] == {f"d-{i}": v for i, v in by[0].items()}
+    shared = spark.createDataFrame([("a", "x y"), ("a", "x y"), (None, "x y z")], "doc_id string, text string")
+    assert {(r["doc_id"], r["n_words"]) for r in lm_scores.score_documents(shared).collect()} == {("a", 4), (None, 3)}
+
+
+def test_runs_of_stops_take_linear_time():
+    for text in ("." * 400_000, "!?" * 200_000 + "x", "a. " * 100_000, "\n" * 200_000):
+        assert "".join(text[a:b] for a, b in substrings.sentences(text)) == text
+
+
+def test_run_hashes_tell_runs_apart():
+    rng = random.Random(2)
+    seen, back = {}, {}
+    for _ in range(400):
+        words = [rng.choice(["a", "b", "c.", "dd", "e\n", "f!"]) for _ in range(rng.randrange(120))]
+        text = " ".join(words)
+        own = text.split()
+        hashes, cuts = substrings.pieces(text)
+        first, end = substrings.runs(cuts, 5, 2)
+        a, z = np.concatenate([[0], cuts])[first], cuts[end - 1]
+        for i, j, key in zip(a, z, zip(*(h.tolist() for h in substrings.run_hashes(hashes, a, z)), strict=True), strict=True):
+            assert j - i >= 5 and seen.setdefault(key, own[i:j]) == own[i:j]
+            assert back.setdefault(tuple(own[i:j]), key) == key
+
+
+def test_an_id_with_many_near_vectors(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(8)
+    rows = [(0, (base + 1e-3 * rng.standard_normal(8)).tolist()) for _ in range(9)] + [(i, rng.standard_normal(8).tolist()) for i in range(1, 40)]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=5).collect()
+    assert len(out) == 9 * 5 and all(r["vec_id"] != 0 for r in out)
+
+
+def test_pipeline_keeps_clashing_columns(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = ("row", "__row", "score", "held_out", "predicted", "position", "epoch", "n_tokens", "block", "component_id", "fp", "key", "hash")
+    table = spark.read.parquet(f"{sf}/documents.parquet").limit(60).withColumns({c: F.lit(f"own {c}") for c in names})
+    for name, stage in pipeline.STAGES[:-1]:
+        out = Workspace(spark, "test").save(stage(spark, table, sf), "stage")
+        assert out.columns == table.columns, name
+        assert out.where(" or ".join(f"{c} is null or {c} <> 'own {c}'" for c in names)).count() == 0, name
+    mixed = pipeline.mixture(spark, table, sf)
+    assert set(table.columns) <= set(mixed.columns) and len(mixed.columns) == len(table.columns)
+    assert mixed.where("position is null or cast(position as string) like 'own%'").count() == 0 < mixed.count()
