@@ -202,11 +202,21 @@ def cycles(nodes: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
 
 
 def files_on_cycles(pr_files: DataFrame, edges: DataFrame, max_len: int = 6, stages: Stages | None = None) -> DataFrame:
-    """(pr_id, file, length) of changed files that lie on a dependency cycle: the shortest walk back to themselves."""
+    """(pr_id, file, length) of changed files that lie on a dependency cycle: the shortest walk back to themselves.
+
+    A file looks half the length ahead and half of it back; the nearest node met on both sides closes its shortest
+    cycle. Edges that no cycle uses are trimmed first.
+    """
     e = edges.where(F.col("relation").isin(DEPENDS, "IMPORTS") & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
-    seeds = pr_files.select(F.col("file").alias("request_id"), F.col("file").alias("id")).distinct()
-    met = reach(seeds, e, max_len - 1, stages)
-    back = met.join(e, (met.id == e.src) & (met.request_id == e.dst)).groupBy("request_id").agg((F.min("hop") + 1).alias("length"))
+    for _ in range(2):
+        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+    if stages:
+        e = stages.keep(e)
+    seeds = pr_files.select(F.col("file").alias("id")).distinct().join(e.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("request_id"), "id")
+    ahead = reach(seeds, e, (max_len + 1) // 2, stages).where("hop > 0")
+    behind = reach(seeds, reversed_edges(e), max_len // 2, stages).where("hop > 0").withColumnRenamed("hop", "back")
+    length = (F.col("hop") + F.col("back")).alias("length")
+    back = ahead.join(behind, ["request_id", "id"]).groupBy("request_id").agg(F.min(length).alias("length"))
     return pr_files.join(back, pr_files.file == back.request_id).select("pr_id", "file", "length").distinct()
 
 

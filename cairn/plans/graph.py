@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions import exprs as X
+from cairn.operators import communities as C
 from cairn.operators import graph as G
 from cairn.plans.registry import query
 from cairn.sources import tables as S
@@ -324,12 +325,20 @@ def _(fx):
 
 @query("G8_files_on_cycles", f"""
 WITH e AS (SELECT DISTINCT src, dst FROM {DEP}), pr AS (SELECT hash AS pr_id, file FROM fx_commit_files WHERE hash % 20 = 0),
-w1 AS (SELECT DISTINCT file AS s, dst AS t FROM (SELECT DISTINCT file FROM pr) JOIN e ON src = file), w2 AS (SELECT DISTINCT s, dst AS t FROM w1 JOIN e ON src = t), w3 AS (SELECT DISTINCT s, dst AS t FROM w2 JOIN e ON src = t),
-c AS (SELECT s, min(l) AS l FROM (SELECT s, 2 AS l FROM w2 WHERE s = t UNION ALL SELECT s, 3 FROM w3 WHERE s = t) GROUP BY 1)
+w1 AS (SELECT DISTINCT file AS s, dst AS t FROM (SELECT DISTINCT file FROM pr) JOIN e ON src = file), {", ".join(f"w{i} AS (SELECT DISTINCT s, dst AS t FROM w{i - 1} JOIN e ON src = t)" for i in range(2, 7))},
+c AS (SELECT s, min(l) AS l FROM ({" UNION ALL ".join(f"SELECT s, {i} AS l FROM w{i} WHERE s = t" for i in range(2, 7))}) GROUP BY 1)
 SELECT DISTINCT pr_id, file, CAST(l AS INT) AS length FROM pr JOIN c ON file = s""")
 def _(fx):
     pr = fx.commit_files.where("hash % 20 = 0").select(F.col("hash").alias("pr_id"), "file")
-    return G.files_on_cycles(pr, fx.edges, 3)
+    return G.files_on_cycles(pr, fx.written("edges"), 6, fx.stages)
+
+
+@query("G7_strong_components", f"""
+WITH e AS (SELECT DISTINCT src, dst FROM {DEP} WHERE src <> dst), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+two AS (SELECT a.src AS id, a.dst AS other FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst)
+SELECT id, least(id, min(other)) AS component FROM two GROUP BY id""")
+def _(fx):
+    return C.strong_components(fx.written("edges").where("relation = 'DEPENDS_ON'"), fx.stages)
 
 
 @query("G9_shortest_path", f"""
@@ -366,3 +375,55 @@ rk AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l
 SELECT id, CASE WHEN nth <= 6 AND n > 1 THEN l5.label ELSE (SELECT label FROM rk WHERE nth = 1) END AS community FROM l5 JOIN rk USING (label)""")
 def _(fx):
     return G.communities(fx.nodes, fx.edges.where("relation = 'DEPENDS_ON'"), S.Stages(fx.spark))
+
+
+def louvain_sql(levels: int = 3, rounds: int = 4) -> str:
+    """Labels of every level (lb0: none) and their modularity, on the fixed rounds of ``communities.louvain``."""
+    out = [
+        "li AS (SELECT DISTINCT src AS a, dst AS b, 1::HUGEINT AS w FROM (SELECT src, dst FROM fx_edges WHERE relation = 'DEPENDS_ON' UNION ALL SELECT dst, src FROM fx_edges WHERE relation = 'DEPENDS_ON') WHERE a <> b)",
+        "mm AS (SELECT sum(w) AS m FROM li)", "lb0 AS (SELECT DISTINCT id, id AS label FROM fx_nodes)", "g0 AS (SELECT * FROM li)",
+    ]
+    for i in range(levels):
+        out.append(f"n{i}_0 AS (SELECT a AS v, sum(w) AS k, a AS c FROM g{i} GROUP BY a)")
+        for t in range(rounds):
+            now, p = f"n{i}_{t}", f"x{i}_{t}"
+            out += [
+                f"{p}t AS (SELECT c, sum(k) AS total FROM {now} GROUP BY c)", f"{p}f AS (SELECT * FROM {now} WHERE CAST('0x' || left(md5(v), 1) AS INT) % 2 = {t % 2})",
+                f"{p}w AS (SELECT v, c, sum(w) AS w FROM (SELECT g.a AS v, n.c, g.w FROM g{i} g JOIN {p}f f ON f.v = g.a JOIN {now} n ON n.v = g.b WHERE g.a <> g.b UNION ALL SELECT v, c, 0 FROM {p}f) GROUP BY v, c)",
+                f"{p}b AS (SELECT y.v, y.c FROM {p}w y JOIN {p}f f ON f.v = y.v JOIN {p}t t ON t.c = y.c, mm QUALIFY row_number() OVER (PARTITION BY y.v ORDER BY m * y.w - f.k * (t.total - CASE WHEN y.c = f.c THEN f.k ELSE 0 END) DESC, y.c) = 1)",
+                f"n{i}_{t + 1} AS (SELECT n.v, n.k, coalesce(b.c, n.c) AS c FROM {now} n LEFT JOIN {p}b b ON b.v = n.v)",
+            ]
+        last = f"n{i}_{rounds}"
+        out.append(f"lb{i + 1} AS (SELECT id, coalesce(c, label) AS label FROM lb{i} LEFT JOIN {last} ON v = label)")
+        out.append(f"g{i + 1} AS (SELECT x.c AS a, y.c AS b, sum(w) AS w FROM g{i} JOIN {last} x ON x.v = a JOIN {last} y ON y.v = b GROUP BY 1, 2)")
+    out.append("deg AS (SELECT a AS id, sum(w) AS k FROM li GROUP BY a)")
+    score = " UNION ALL ".join(f"SELECT {i} AS level, (SELECT m FROM mm) * (SELECT count(*) FROM li JOIN lb{i} x ON x.id = a JOIN lb{i} y ON y.id = b WHERE x.label = y.label) - (SELECT sum(t * t) FROM (SELECT sum(k) AS t FROM deg JOIN lb{i} USING (id) GROUP BY label)) AS q" for i in range(levels + 1))
+    out.append(f"best AS (SELECT level FROM ({score}) ORDER BY q DESC, level LIMIT 1)")
+    out.append("lv AS (" + " UNION ALL ".join(f"SELECT id, label FROM lb{i} WHERE {i} = (SELECT level FROM best)" for i in range(levels + 1)) + ")")
+    out.append("rk AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS nth FROM lv GROUP BY 1)")
+    out.append("cm AS (SELECT id, CAST(CASE WHEN nth < 6 AND n > 1 THEN nth ELSE 0 END AS INT) AS community FROM lv JOIN rk USING (label))")
+    return "WITH " + ",\n".join(out)
+
+
+LOUVAIN = louvain_sql()
+
+
+def louvain(fx):
+    nodes = fx.written("nodes")
+    return C.merged_communities(nodes, C.louvain(nodes, fx.written("edges").where("relation = 'DEPENDS_ON'"), fx.stages))
+
+
+@query("G11_louvain", f"{LOUVAIN} SELECT id, community FROM cm")
+def _(fx):
+    return louvain(fx)
+
+
+LAYER_PLACE = "CASE layer " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(C.LAYER_ORDER)) + " ELSE 6 END"
+
+
+@query("G11_community_report", f"""{LOUVAIN}, named AS (SELECT community, string_agg(name, ', ' ORDER BY id) AS label FROM (SELECT community, id, name FROM cm JOIN fx_nodes USING (id) QUALIFY row_number() OVER (PARTITION BY community ORDER BY id) <= 3) GROUP BY 1),
+lay AS (SELECT community, layer, count(*) AS c FROM cm JOIN fx_nodes USING (id) GROUP BY 1, 2), tot AS (SELECT community, CAST(sum(c) AS BIGINT) AS n FROM lay GROUP BY 1),
+top AS (SELECT community, layer FROM lay QUALIFY row_number() OVER (PARTITION BY community ORDER BY c DESC, {LAYER_PLACE}) = 1)
+SELECT community, n, CASE WHEN length(label) > 40 THEN left(label, 38) || '…' ELSE label END AS label, layer AS dominant_layer, CASE layer {" ".join(f"WHEN '{x}' THEN '{c}'" for x, c in C.LAYER_COLORS.items())} END AS color FROM tot JOIN named USING (community) JOIN top USING (community)""")
+def _(fx):
+    return C.community_report(fx.nodes, fx.stages.keep(louvain(fx)))

@@ -185,11 +185,14 @@ def _(fx):
     return R.focused_subgraph(q, *map(fx.stages.keep, found), fx.written("nodes"), fx.written("edges"), fx.stages)[2]
 
 
+#: Walks of two to six edges from each changed file, and those that come back to it.
+WALKS = ", ".join(f"w{i} AS (SELECT DISTINCT s, dst AS t FROM w{i - 1} JOIN e ON src = t)" for i in range(2, 7))
+CLOSED = " UNION ALL ".join(f"SELECT s, {i} AS l FROM w{i} WHERE s = t" for i in range(2, 7))
 PR_RISK = f"""
 WITH pr AS (SELECT hash AS pr_id, file FROM fx_commit_files WHERE hash % 20 = 0),
 e AS (SELECT DISTINCT src, dst FROM fx_edges WHERE relation IN ('DEPENDS_ON', 'IMPORTS')),
-w1 AS (SELECT DISTINCT file AS s, dst AS t FROM (SELECT DISTINCT file FROM pr) JOIN e ON src = file), w2 AS (SELECT DISTINCT s, dst AS t FROM w1 JOIN e ON src = t), w3 AS (SELECT DISTINCT s, dst AS t FROM w2 JOIN e ON src = t),
-cyc AS (SELECT DISTINCT s FROM (SELECT s FROM w2 WHERE s = t UNION ALL SELECT s FROM w3 WHERE s = t)),
+w1 AS (SELECT DISTINCT file AS s, dst AS t FROM (SELECT DISTINCT file FROM pr) JOIN e ON src = file), {WALKS},
+cyc AS (SELECT DISTINCT s FROM ({CLOSED})),
 av AS (SELECT x.src, x.dst, a.layer || '→' || b.layer AS rule FROM fx_edges x JOIN fx_nodes a ON a.id = x.src JOIN fx_nodes b ON b.id = x.dst JOIN {RULE_SQL} ON r.layer = a.layer AND r.banned = b.layer WHERE relation = 'DEPENDS_ON'),
 pv AS (SELECT DISTINCT pr_id, src, dst, rule FROM pr JOIN av ON src = file OR dst = file), v AS (SELECT pr_id, count(*) AS n FROM (SELECT * FROM pv QUALIFY row_number() OVER (PARTITION BY pr_id ORDER BY src, dst) <= 25) GROUP BY 1),
 fr AS (SELECT pr.pr_id, pr.file, CAST(floor(n.bus_risk*75) AS INT) AS risk, n.top_owner, n.bus_risk, n.incidents FROM pr JOIN fx_nodes n ON n.id = pr.file),
@@ -207,7 +210,7 @@ def reviewed(fx, asked=None):
     pr = keep(R.first_files(pr.join(asked, "pr_id", "left_semi") if asked is not None else pr))
     risks = nodes.select(F.col("id").alias("file"), F.floor(F.col("bus_risk") * 75).cast("int").alias("risk"), F.col("top_owner").alias("owner"), "bus_risk", "incidents")
     violations = keep(I.architecture_violations(edges, nodes, rules(fx)))
-    return pr, risks, keep(G.files_on_cycles(pr, edges, 3, fx.stages)), violations
+    return pr, risks, keep(G.files_on_cycles(pr, edges, 6, fx.stages)), violations
 
 
 def pr_risk(parts):
@@ -281,7 +284,7 @@ def _(fx):
 @query("X1_impact_question_context", affected_sql(REQ, "union") + """,
 t AS (SELECT request_id, CAST(floor(least(1e2, round(sum(contribution), 6))) AS BIGINT) AS total FROM scored GROUP BY 1),
 n AS (SELECT request_id, string_agg(id, ', ' ORDER BY nth) AS names FROM (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS nth FROM scored) WHERE nth <= 10 GROUP BY 1)
-SELECT q.request_id, 'Risk ' || coalesce(total, 0) || '. Affected: ' || coalesce(names, '') || chr(10) || 'What breaks if I change ' || q.id || '?' AS text FROM q LEFT JOIN t ON t.request_id = q.request_id LEFT JOIN n ON n.request_id = q.request_id""")
+SELECT q.request_id, 'Risk ' || coalesce(total, 0) || '. Affected: ' || coalesce(names, '') || chr(10) || 'What breaks if I change ' || q.id || '?' AS text FROM q0 AS q LEFT JOIN t ON t.request_id = q.request_id LEFT JOIN n ON n.request_id = q.request_id""")
 def _(fx):
     r = requests(fx)
     asked = r.select("request_id", F.concat(F.lit("What breaks if I change "), "id", F.lit("?")).alias("question"))
