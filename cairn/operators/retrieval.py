@@ -184,28 +184,45 @@ def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 def sparse_search(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, stages: Stages | None = None) -> DataFrame:
     """(query_id, id, score, rank): chunks that hold all of a query's terms, ranked by BM25.
 
-    Only postings of asked terms are dealt out. A query's candidates are those of its rarest term; its other terms
-    are then looked up for these candidates alone. ``queries`` may have a column ``files`` (an array, null or empty: no
+    Only postings of asked terms are dealt out. ``queries`` may have a column ``files`` (an array, null or empty: no
     filter) that restricts candidates to chunks whose ``file`` contains, or is contained in, one of them. With
-    ``stages`` the postings are written and not computed again.
+    ``stages`` what is used more than once is written and not computed again. ``keyword_index.KeywordIndex`` keeps
+    postings from one batch of queries to the next.
     """
-    q = queries.select("query_id", tokens(sanitize_query(F.col("text"))).alias("terms")).withColumn("n_terms", F.size("terms"))
-    wanted = q.select("query_id", "n_terms", F.explode("terms").alias("term"))
-    some = postings(chunks, wanted.select("term").distinct())
+    own = ["files"] if "files" in queries.columns else []
+    q = queries.select(F.lit("").alias("tenant_id"), "query_id", tokens(sanitize_query(F.col("text"))).alias("terms"), *own)
+    split = chunks.select("id", words(F.col("content")).alias("w"), *(["file"] if own else []))
+    lengths = split.select(F.lit("").alias("tenant_id"), "id", F.size("w").alias("length"), *(["file"] if own else []))
     if stages:
-        wanted, some = stages.keep(wanted), stages.keep(some)
-    df = some.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = wanted.join(df, "term", "left")
+        q, lengths = stages.keep(q), stages.keep(lengths)
+    some = postings(chunks, q.select(F.explode("terms").alias("term")).distinct()).withColumn("tenant_id", F.lit(""))
+    if stages:
+        some = stages.keep(some)
+    # every word of two characters or more counts; chunks without any do not
+    whole = lengths.where("length > 0").groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
+    return rank_postings(q, some, whole, lengths, k, k1, b)
+
+
+def rank_postings(queries: DataFrame, some: DataFrame, whole: DataFrame, files: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score, rank): BM25 of the chunks that hold all terms of queries (tenant_id, query_id, terms).
+
+    ``some`` are postings (tenant_id, term, id, tf, length) of the terms asked for, ``whole`` is (tenant_id, n_docs,
+    mean). A query's candidates are those of its rarest term; its other terms are then looked up for these alone. Where
+    queries have ``files``, candidates are held to them by ``files`` (tenant_id, id, file).
+    """
+    wanted = queries.select("tenant_id", "query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    df = some.groupBy("tenant_id", "term").agg(F.count("*").alias("df"))
+    wanted = wanted.join(df, ["tenant_id", "term"], "left")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "term"))
-    first = wanted.withColumn("nth", nth).where("nth = 1 and df > 0").select("query_id", "term")
-    candidates = first.join(some.select("term", "id"), "term").select("query_id", "id")
+    first = wanted.withColumn("nth", nth).where("nth = 1 and df > 0").select("tenant_id", "query_id", "term")
+    candidates = first.join(some.select("tenant_id", "term", "id"), ["tenant_id", "term"]).select("tenant_id", "query_id", "id")
     if "files" in queries.columns:
-        candidates = in_files(candidates, queries, chunks)
-    found = candidates.join(wanted.select("query_id", "n_terms", "term", "df"), "query_id").join(some, ["term", "id"])
-    full = found.groupBy("query_id", "id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.max("length").alias("length"), F.collect_list(F.struct("term", "tf", "df")).alias("t")).where("n = n_terms")
-    # every word of two characters or more counts; chunks without any do not
-    whole = chunks.select(F.size(words(F.col("content"))).alias("length")).where("length > 0").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
-    full = full.join(F.broadcast(whole.limit(1)))
+        near = F.exists("files", lambda f: F.contains(F.col("__file"), f) | F.contains(f, F.col("__file")))
+        candidates = candidates.join(files.select("tenant_id", "id", F.col("file").alias("__file")), ["tenant_id", "id"]).join(queries.select("query_id", "files"), "query_id")
+        candidates = candidates.where((F.coalesce(F.size("files"), F.lit(0)) <= 0) | near).select("tenant_id", "query_id", "id")
+    found = candidates.join(wanted.select("query_id", "n_terms", "term", "df"), "query_id").join(some, ["tenant_id", "term", "id"])
+    full = found.groupBy("tenant_id", "query_id", "id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.max("length").alias("length"), F.collect_list(F.struct("term", "tf", "df")).alias("t")).where("n = n_terms")
+    full = full.join(whole, "tenant_id")
     idf = lambda x: F.log(1 + (F.col("n_docs") - x["df"] + 0.5) / (x["df"] + 0.5))
     part = lambda x: idf(x) * x["tf"] * (k1 + 1) / (x["tf"] + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     score = F.aggregate(F.sort_array("t"), F.lit(0.0), lambda s, x: s + part(x))

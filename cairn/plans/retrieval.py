@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cairn.functions import exprs as X
 from cairn.operators import insight as I
 from cairn.operators import retrieval as R
+from cairn.operators.keyword_index import KeywordIndex
 from cairn.plans.registry import query
 
 K = 10
@@ -116,6 +117,18 @@ def _(fx):
     return R.sparse_search(keyed(fx), chunks(fx), K)
 
 
+@query("R6_standing_index", f"WITH {SPARSE} SELECT * FROM ranked_sparse")
+def _(fx):
+    """The same answers from stored postings: a batch with stale texts and rows that go, then the changes."""
+    index = KeywordIndex(fx.spark, fx.stages.path("keyword-index"))
+    c = chunks(fx).withColumn("tenant_id", F.lit("t"))
+    stale = F.when(F.col("id") % 7 == 0, F.concat("content", F.lit(" stale words"))).otherwise(F.col("content"))
+    dead = c.where("id % 5 = 0").select("tenant_id", (-1 - F.col("id")).alias("id"), "content")
+    index.update(1, c.where("id % 9 <> 0").withColumn("content", stale).unionByName(dead))
+    index.update(2, c, dead)
+    return index.search(keyed(fx).withColumn("tenant_id", F.lit("t")), K)
+
+
 @query("R7_keyword_fallback", f"""
 WITH q AS (SELECT query_id, ({SPLIT % CLEAN})[1] AS token FROM (SELECT item_id AS query_id, text FROM benchmark))
 SELECT query_id, doc_id AS id, 5e-1 AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY length(text), doc_id) AS INT) AS rank FROM q JOIN documents ON contains(lower(text), token) QUALIFY rank <= 10""")
