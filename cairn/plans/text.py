@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from cairn.functions import exprs as X
 from cairn.operators import text as T
 from cairn.plans.registry import query
 from cairn.plans.risk import PR_RISK, pr_risk, reviewed
 from cairn.sources import tables as S
+from cairn.streaming import ingest as I
 from cairn.streaming import jobs as J
 
 # a Python file for every part; {m} is the file's own module, so its import resolves
@@ -279,6 +281,43 @@ def _(fx):
     return J.drain(J.push_changes(p), fx.stages).select("repo", "head", "mode", F.size("files").alias("n"))
 
 
+# pushes to main: each commit changes its files, and removes some
+PUSHED = """acts AS (SELECT f.id AS path, CASE WHEN (f.file_key + c.hash) % 13 = 0 THEN 'removed' ELSE 'changed' END AS action, CAST(c.hash AS VARCHAR) AS head
+ FROM (SELECT DISTINCT l_orderkey AS hash, l_partkey AS file_key FROM lineitem) c JOIN fx_files f USING (file_key) JOIN orders ON o_orderkey = c.hash WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY o_orderdate DESC, CAST(c.hash AS VARCHAR) DESC, action DESC) = 1)"""
+
+
+def pushed(fx):
+    """The store after all pushes to main, each merged in its micro-batch, and each batch given again."""
+    dealt = fx.lineitem.select(F.col("l_orderkey").alias("hash"), F.col("l_partkey").alias("file_key")).distinct().join(fx.files.select("file_key", "id"), "file_key")
+    goes = (F.col("file_key") + F.col("hash")) % 13 == 0
+    commits = dealt.groupBy("hash").agg(F.collect_list(F.when(~goes, F.col("id"))).alias("modified"), F.collect_list(F.when(goes, F.col("id"))).alias("removed"))  # lines of an order
+    commit = F.struct(F.array().cast("array<string>").alias("added"), "modified", "removed")
+    ref = F.concat(F.lit("refs/heads/"), F.when(F.col("o_orderstatus") == "F", "main").otherwise("dev"))
+    head = F.col("o_orderkey").cast("string")
+    pushes = stream(fx, "orders").join(fx.stages.keep(commits), F.col("o_orderkey") == F.col("hash")).select(F.lit(1).alias("repo"), ref.alias("ref"), F.lit("abc").alias("before"), head.alias("after"), ts("o_orderdate"), F.array(commit).alias("commits"))
+    edges = fx.written("edges")
+
+    def extract(files):
+        nodes = files.select(F.col("path").alias("id"), X.basename(F.col("path")).alias("name"), F.lit("file").alias("type"), "head")
+        return nodes, edges.join(files.select(F.col("path").alias("src")), "src", "left_semi")
+
+    store = I.CodeStore(fx.spark, fx.stages.path("graph"), "id string, name string, type string, head string")
+    I.ingest(pushes, store, extract, fx.stages.path("graph-checkpoint")).awaitTermination()
+    for batch in store.store.done():  # a replay changes nothing
+        store.apply(batch, fx.files.limit(0).select(F.col("id").alias("path"), F.lit("removed").alias("action"), F.lit("x").alias("head")), extract)
+    return store
+
+
+@query("T1_ingest_nodes", f"WITH {PUSHED} SELECT path AS id, regexp_replace(path, '^.*/', '') AS name, 'file' AS type, head FROM acts WHERE action = 'changed'")
+def _(fx):
+    return pushed(fx).nodes()
+
+
+@query("T1_ingest_edges", f"WITH {PUSHED} SELECT DISTINCT src, dst, relation FROM fx_edges WHERE src IN (SELECT path FROM acts WHERE action = 'changed') AND dst IN (SELECT path FROM acts WHERE action = 'changed')")
+def _(fx):
+    return pushed(fx).edges()
+
+
 @query("T2_pr_events", PR_RISK + """ SELECT pr_id, 'opened' AS action, score, CASE level WHEN 'CRITICAL' THEN 'failure' WHEN 'HIGH' THEN 'neutral' ELSE 'success' END AS conclusion
 FROM risk JOIN orders ON o_orderkey = pr_id WHERE o_orderpriority = '1-URGENT'""")
 def _(fx):
