@@ -2,110 +2,146 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import accumulate
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from cairn.llm.common import Workspace
 
-WORD = re.compile(r"\S+")
+#: Characters below FAR have their white space and their values in tables; no white space lies beyond.
+FAR = 0x3001
+NEWLINE = 10
 #: A sentence ends with a word that ends with one of these, and with its line.
-STOPS = (".", "!", "?", "…")
-#: A sentence is cut after every word whose CRC-32 is a multiple of PART, and MOST words after the last cut at the latest.
+STOPS = np.array([ord(c) for c in ".!?…"], np.uint32)
+#: A sentence is cut after every word whose hash is a multiple of PART, and MOST words after the last cut at the latest.
 PART, MOST = 6, 12
-#: Bases of both polynomials that hash a run of words, odd numbers; the second keeps 32 bits.
-BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+#: Bases of the polynomials that hash the characters of a word, and, twice, the words of a run; the last keeps 32 bits.
+BASES = (0xA0761D6478BD642F, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
-class _Hashes(dict):
-    """A word's hash; its lowest bit says whether a piece ends after the word. So many words are remembered."""
+def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    """base ** k modulo 2 ** 64 for k below ``n`` at least; short rows are kept."""
+    if len(known.get(base, ())) >= n:
+        return known[base]
+    with np.errstate(over="ignore"):
+        out = np.cumprod(np.full(max(n, 4096), base, np.uint64)) * np.uint64(pow(base, -1, 1 << 64))
+    if len(out) <= 1 << 16:
+        known[base] = out
+    return out
+
 
-    def __missing__(self, word: str) -> int:
-        own = word.encode("utf-8", "surrogatepass")
-        ends = word.endswith(STOPS) or not crc32(own) % PART
-        value = xxhash.xxh3_64_intdigest(own) & ~1 | ends
-        if len(self) < 300_000:
-            self[word] = value
-        return value
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that spreads all their bits."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(32))
 
 
-_hashes = _Hashes()
+def _between(values: np.ndarray, a: np.ndarray, z: np.ndarray, base: int) -> np.ndarray:
+    """A hash of the values from each ``a`` to its ``z``: a polynomial modulo 2 ** 64, mixed.
 
+    Sums of value * base ** place are taken once for all places; what stands before ``a`` is taken off, and the place
+    of ``a`` by the inverse base.
+    """
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * _powers(base, len(values))[: len(values)], out=total[1:])
+        inverse = _powers(pow(base, -1, 1 << 64), len(values) + 1)
+        return _mixed((total[z] - total[a]) * inverse[a] + (z - a).astype(np.uint64))
+
+
+def _values(chars: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mixed((chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
-def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    """base ** k and its inverse modulo 2 ** 64, for k up to n."""
-    if len(known.get(base, ())) <= n:
-        room = max(4096, 2 * n)
-        for x in (base, pow(base, -1, 1 << 64)):
-            with np.errstate(over="ignore"):
-                known[x] = np.cumprod(np.full(room, x, np.uint64)) * np.uint64(pow(x, -1, 1 << 64))
-    return known[base], known[pow(base, -1, 1 << 64)]
 
+SOLID, VALUES = np.array([not chr(c).isspace() for c in range(FAR + 1)]), _values(np.arange(FAR + 1))
 
-def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of a text, and the number of words up to the end of each piece.
 
-    Pieces are sentences; long ones are cut where their words say so, so cuts meet wherever a passage begins. A word
-    is a run of characters other than white space; a sentence ends as STOPS says.
+def pieces(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each word of a text, where each begins, and the number of words up to the end of each piece.
+
+    Words are runs of characters other than white space. Pieces are sentences, see STOPS; long ones are cut where
+    their words say so, so cuts meet wherever a passage begins.
     """
-    lines = [line.split() for line in (text or "").split("\n")]
-    words = [w for line in lines for w in line]
-    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    if not words:
-        return hashes, np.empty(0, np.int64)
-    ends = (hashes & np.uint64(1)).astype(bool)
-    ends[[n - 1 for n in accumulate(map(len, lines)) if n]] = True
-    cuts = np.flatnonzero(ends) + 1
+    chars = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    near = np.minimum(chars, FAR)
+    solid = SOLID[near]
+    edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    edges = np.concatenate([[0] if len(solid) and solid[0] else [], edges, [len(chars)] if len(solid) and solid[-1] else []]).astype(np.int64)
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64), starts, starts
+    value = VALUES[near]
+    far = np.flatnonzero(near == FAR)
+    value[far] = _values(chars[far])
+    hashes = _between(value, starts, ends, BASES[0])
+    over = np.isin(chars[ends - 1], STOPS) | (hashes % np.uint64(PART) == 0)
+    line_ends = np.searchsorted(starts, np.flatnonzero(chars == NEWLINE)) - 1
+    over[line_ends[line_ends >= 0]] = True
+    over[-1] = True
+    cuts = np.flatnonzero(over) + 1
     gaps = np.diff(cuts, prepend=0)
     more = (gaps - 1) // MOST  # cuts by length alone
     if more.any():
-        first = np.repeat(cuts - gaps, more)
-        nth = np.arange(len(first)) - np.repeat(np.cumsum(more) - more, more) + 1
-        cuts = np.sort(np.concatenate([cuts, first + MOST * nth]))
-    return hashes, cuts
+        after = np.repeat(cuts - gaps, more)
+        nth = np.arange(len(after)) - np.repeat(np.cumsum(more) - more, more) + 1
+        cuts = np.sort(np.concatenate([cuts, after + MOST * nth]))
+    return hashes, starts, cuts
+
 
+def runs(cuts: np.ndarray, least_words: int, least_pieces: int, last: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) piece of the shortest run from every piece on that has so many words and pieces, where there is one.
 
-def runs(cuts: np.ndarray, least_words: int, least_pieces: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, end) piece of the shortest run from every piece on that has so many words and pieces, where there is one."""
-    starts = np.concatenate([[0], cuts[:-1]]) if len(cuts) else cuts
+    With ``last``, a run ends before the piece that it names for the run's first.
+    """
+    begin = np.concatenate([[0], cuts[:-1]]) if len(cuts) else cuts
     first = np.arange(len(cuts))
-    end = np.maximum(first + least_pieces, np.searchsorted(cuts, starts + least_words) + 1)
-    fits = end <= len(cuts)
+    end = np.maximum(first + least_pieces, np.searchsorted(cuts, begin + least_words) + 1)
+    fits = end <= (len(cuts) if last is None else last)
     return first[fits], end[fits]
 
 
 def run_hashes(hashes: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits for the words from each ``a`` to its ``z``: polynomials in two bases over the words' hashes, then mixed.
-
-    Sums of hash * base ** place are taken once for all places; what stands before ``a`` is taken off, and the place of
-    ``a`` by the inverse base.
-    """
-    out = []
-    with np.errstate(over="ignore"):
-        for base in BASES:
-            power, inverse = _powers(base, len(hashes))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[: len(hashes)])])
-            x = (total[z] - total[a]) * inverse[a] + (z - a).astype(np.uint64)
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            out.append((x ^ (x >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25))
-    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """96 bits for the words from each ``a`` to its ``z``."""
+    one, two = (_between(hashes, a, z, base) for base in BASES[1:])
+    return one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def spans_of(texts: list[str], least_words: int, least_pieces: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first piece, hashes) of the runs of each text. The texts are cut and hashed as one, line after line."""
+    hashes, starts, cuts = pieces("\n".join(texts))
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    bound = np.searchsorted(cuts, np.searchsorted(starts, at), "right")  # the first piece of each text
+    first, end = runs(cuts, least_words, least_pieces, np.repeat(bound[1:], np.diff(bound)))
+    one, two = run_hashes(hashes, np.concatenate([[0], cuts])[first], cuts[end - 1])
+    cut = np.searchsorted(first, bound)
+    return [((first[a:z] - b).astype(np.int32), one[a:z], two[a:z]) for a, z, b in zip(cut, cut[1:], bound, strict=False)]
+
+
+def _parts(texts: pd.Series, most: int = 1 << 16) -> Iterator[list[str]]:
+    """Texts in turn, in lists of about ``most`` characters, so that arrays are neither many nor long."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t or "")
+        size += len(part[-1])
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of the pieces of a text, which cover it without gaps: white space goes with the piece before it."""
-    cuts = pieces(text)[1]
+    _, starts, cuts = pieces(text)
     if not len(cuts):
         return [(0, len(text))] if text else []
-    starts = [m.start() for m in WORD.finditer(text)]
-    at = [0, *(starts[k] for k in cuts[:-1].tolist()), len(text)]
+    at = [0, *starts[cuts[:-1]].tolist(), len(text)]
     return list(zip(at, at[1:], strict=False))
 
 
@@ -127,11 +163,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     @F.pandas_udf("pos array<int>, h1 array<long>, h2 array<int>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out: list[tuple] = []
-            for t in texts:
-                hashes, cuts = pieces(t)
-                first, end = runs(cuts, least_words, least_sentences)
-                out.append((first.astype(np.int32), *run_hashes(hashes, np.concatenate([[0], cuts])[first], cuts[end - 1])))
+            out = [x for part in _parts(texts) for x in spans_of(part, least_words, least_sentences)]
             yield pd.DataFrame(out, columns=["pos", "h1", "h2"])
 
     last = F.lit((1 << 63) - 1) if isinstance(docs.schema[id_col].dataType, IntegralType) else F.lit("\uffff")  # after all ids
@@ -152,7 +184,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for t, at in zip(texts, spots, strict=True):
                 n_gone = 0
                 if at is not None:
-                    cuts = pieces(t)[1]
+                    cuts = pieces(t)[2]
                     first, end = runs(cuts, least_words, least_sentences)
                     gone = np.zeros(len(cuts) + 1, np.int64)
                     np.add.at(gone, first[at], 1)

@@ -276,7 +276,8 @@ def test_run_hashes_tell_runs_apart():
         words = [rng.choice(["a", "b", "c.", "dd", "e\n", "f!"]) for _ in range(rng.randrange(120))]
         text = " ".join(words)
         own = text.split()
-        hashes, cuts = substrings.pieces(text)
+        hashes, starts, cuts = substrings.pieces(text)
+        assert [text[i:].split()[0] for i in starts] == own
         first, end = substrings.runs(cuts, 5, 2)
         a, z = np.concatenate([[0], cuts])[first], cuts[end - 1]
         for i, j, key in zip(a, z, zip(*(h.tolist() for h in substrings.run_hashes(hashes, a, z)), strict=True), strict=True):
