@@ -23,18 +23,19 @@ def simple_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.unionByName(reversed_edges(e)).distinct().select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).cast("long").alias("w"))
 
 
-def _parity(v: Column) -> Column:
-    return F.conv(F.substring(F.md5(v), 1, 1), 16, 10).cast("int") % 2
+def _turn(v: Column, turn: int) -> Column:
+    """Whether it is a node's turn: a half of all nodes, another one each time, so that no two swap places for ever."""
+    return F.conv(F.substring(F.md5(F.concat(v, F.lit(f":{turn}"))), 1, 1), 16, 10).cast("int") % 2 == 0
 
 
 def _moved(now: DataFrame, links: DataFrame, turn: int, two_m: int) -> DataFrame:
-    """(v, k, c) after the nodes of one parity chose the community around them that adds most to the modularity.
+    """(v, k, c) after the nodes whose turn it is chose the community around them that adds most to the modularity.
 
     With the node taken out of its own, a community adds 2m * links into it - degree * its degrees. Whole numbers
     decide; ties go to the smallest label.
     """
     total = now.groupBy("c").agg(F.sum("k").alias("total"))
-    free = now.where(_parity(F.col("v")) == turn % 2)
+    free = now.where(_turn(F.col("v"), turn))
     near = links.where("a <> b").join(free.select(F.col("v").alias("a")), "a", "left_semi").join(now.select(F.col("v").alias("b"), "c"), "b")
     around = near.groupBy(F.col("a").alias("v"), "c").agg(F.sum("w").alias("w"))
     own = free.select("v", "c", F.lit(0).cast("long").alias("w"))  # it may always stay
@@ -61,11 +62,11 @@ def modularity(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> float:
     return _quality(links, labels, two_m) / two_m**2 if two_m else 0.0
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, stages: Stages, levels: int = 3, rounds: int = 4) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, stages: Stages, levels: int = 3, rounds: int = 6) -> DataFrame:
     """(id, label): communities of the undirected simple graph by the Louvain method, in rounds for all nodes at once.
 
-    On each level nodes of one parity (a hash of the name) move at a time, ``rounds`` rounds, to the community that adds
-    most to the modularity; then communities become the nodes of the next level, their links added up. The level whose
+    On each level half of the nodes move at a time (by a hash of name and round), ``rounds`` rounds, to the community
+    that adds most to the modularity; then communities become the nodes of the next level, their links added up. The level whose
     labels have the highest modularity on the first graph is returned, no level at all being one of them. Every round
     is written to the shared folder; a whole number per level reaches the driver. A community's label is one of its ids.
     """
@@ -73,10 +74,10 @@ def louvain(nodes: DataFrame, edges: DataFrame, stages: Stages, levels: int = 3,
     two_m = first.agg(F.sum("w")).first()[0] or 0
     labels = stages.keep(nodes.select("id", F.col("id").alias("label")).distinct())
     best, most = labels, _quality(first, labels, two_m)
-    for _ in range(levels):
+    for level in range(levels):
         now = stages.keep(links.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k")).withColumn("c", F.col("v")))
         for turn in range(rounds):
-            now = stages.keep(_moved(now, links, turn, two_m))
+            now = stages.keep(_moved(now, links, level * rounds + turn, two_m))
         to = now.select(F.col("v").alias("label"), "c")
         labels = stages.keep(labels.join(to, "label", "left").select("id", F.coalesce("c", "label").alias("label")))
         quality = _quality(first, labels, two_m)

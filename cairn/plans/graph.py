@@ -377,7 +377,7 @@ def _(fx):
     return G.communities(fx.nodes, fx.edges.where("relation = 'DEPENDS_ON'"), S.Stages(fx.spark))
 
 
-def louvain_sql(levels: int = 3, rounds: int = 4) -> str:
+def louvain_sql(levels: int = 3, rounds: int = 6) -> str:
     """Labels of every level (lb0: none) and their modularity, on the fixed rounds of ``communities.louvain``."""
     out = [
         "li AS (SELECT DISTINCT src AS a, dst AS b, 1::HUGEINT AS w FROM (SELECT src, dst FROM fx_edges WHERE relation = 'DEPENDS_ON' UNION ALL SELECT dst, src FROM fx_edges WHERE relation = 'DEPENDS_ON') WHERE a <> b)",
@@ -388,7 +388,7 @@ def louvain_sql(levels: int = 3, rounds: int = 4) -> str:
         for t in range(rounds):
             now, p = f"n{i}_{t}", f"x{i}_{t}"
             out += [
-                f"{p}t AS (SELECT c, sum(k) AS total FROM {now} GROUP BY c)", f"{p}f AS (SELECT * FROM {now} WHERE CAST('0x' || left(md5(v), 1) AS INT) % 2 = {t % 2})",
+                f"{p}t AS (SELECT c, sum(k) AS total FROM {now} GROUP BY c)", f"{p}f AS (SELECT * FROM {now} WHERE CAST('0x' || left(md5(v || ':{i * rounds + t}'), 1) AS INT) % 2 = 0)",
                 f"{p}w AS (SELECT v, c, sum(w) AS w FROM (SELECT g.a AS v, n.c, g.w FROM g{i} g JOIN {p}f f ON f.v = g.a JOIN {now} n ON n.v = g.b WHERE g.a <> g.b UNION ALL SELECT v, c, 0 FROM {p}f) GROUP BY v, c)",
                 f"{p}b AS (SELECT y.v, y.c FROM {p}w y JOIN {p}f f ON f.v = y.v JOIN {p}t t ON t.c = y.c, mm QUALIFY row_number() OVER (PARTITION BY y.v ORDER BY m * y.w - f.k * (t.total - CASE WHEN y.c = f.c THEN f.k ELSE 0 END) DESC, y.c) = 1)",
                 f"n{i}_{t + 1} AS (SELECT n.v, n.k, coalesce(b.c, n.c) AS c FROM {now} n LEFT JOIN {p}b b ON b.v = n.v)",

@@ -303,8 +303,8 @@ def pushed(fx):
 
     store = I.CodeStore(fx.spark, fx.stages.path("graph"), "id string, name string, type string, head string")
     I.ingest(pushes, store, extract, fx.stages.path("graph-checkpoint")).awaitTermination()
-    for batch in store.store.done():  # a replay changes nothing
-        store.apply(batch, fx.files.limit(0).select(F.col("id").alias("path"), F.lit("removed").alias("action"), F.lit("x").alias("head")), extract)
+    for v in store.store.done():  # a replay changes nothing
+        store.apply(v // 2, fx.files.limit(0).select(F.col("id").alias("path"), F.lit("removed").alias("action"), F.lit("x").alias("head")), extract)
     return store
 
 

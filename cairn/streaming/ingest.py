@@ -45,13 +45,13 @@ class CodeStore:
         leave a file of the batch are replaced by what was extracted, as far as both ends are nodes then (A6); those
         that touch a node which went go with it. Batches come in ascending order.
         """
-        done = self.store.done()
-        if done and batch <= done[-1]:
+        if self.store.holds(batch):
             return False
+        v = 2 * batch
         found, links = extract(files.where("action = 'changed'").select("path", "head"))
         for name, df in (("files", files.select("path").distinct()), ("found", found), ("links", links.select("src", "dst", "relation"))):
-            self.store.put(batch, name, df)
-        own = {name: self.spark.read.schema(df.schema).parquet(f"{self.store.path}/{name}/v={batch}") for name, df in (("files", files.select("path")), ("found", found), ("links", links.select("src", "dst", "relation")))}
+            self.store.put(v, name, df)
+        own = {name: self.spark.read.schema(df.schema).parquet(f"{self.store.path}/{name}/v={v}") for name, df in (("files", files.select("path")), ("found", found), ("links", links.select("src", "dst", "relation")))}
         paths, found, links = own["files"], own["found"], own["links"]
         file_of = lambda c: F.substring_index(c, "::", 1)
 
@@ -59,7 +59,7 @@ class CodeStore:
         before = now.join(found.select("id").distinct(), "id", "left_semi")
         merged = upsert(before, found.select(*before.columns), ["id"], self.keep_old).withColumn("alive", F.lit(True))
         gone = now.join(paths, file_of("id") == F.col("path"), "left_semi").join(found.select("id"), "id", "left_anti")
-        self.store.put(batch, "nodes", merged.unionByName(gone.withColumn("alive", F.lit(False))))
+        self.store.put(v, "nodes", merged.unionByName(gone.withColumn("alive", F.lit(False))))
 
         gone = gone.select("id")
         after = now.select("id").join(gone, "id", "left_anti").unionByName(found.select("id")).distinct()
@@ -67,18 +67,18 @@ class CodeStore:
         leave = old.join(paths, file_of("src") == F.col("path"), "left_semi")
         cut = old.join(gone, F.col("dst") == F.col("id"), "left_semi")
         dead = leave.unionByName(cut).distinct().join(fresh, ["src", "dst", "relation"], "left_anti")
-        self.store.put(batch, "edges", fresh.withColumn("alive", F.lit(True)).unionByName(dead.withColumn("alive", F.lit(False))))
-        self.store.finish(batch)
+        self.store.put(v, "edges", fresh.withColumn("alive", F.lit(True)).unionByName(dead.withColumn("alive", F.lit(False))))
+        self.store.finish(v)
         for name in own:
-            self.store.drop_table(batch, name)
+            self.store.drop_table(v, name)
         return True
 
     def merge(self) -> None:
-        """All versions as one, in place of the last: what is passed over, and what went, is dropped."""
+        """All batches as one: what is passed over, and what went, is dropped."""
         done = self.store.done()
         if len(done) < 2:
             return
-        into = done[-1] + 1
+        into = done[-1] // 2 * 2 + 1
         for table, rows in (("nodes", self.nodes()), ("edges", self.edges())):
             self.store.put(into, table, rows.withColumn("alive", F.lit(True)))
         self.store.finish(into)
@@ -113,10 +113,10 @@ def ingest(pushes: DataFrame, store: CodeStore, extract: Extract, checkpoint: st
     kept = pushes.where(F.col("ref") == f"refs/heads/{branch}").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["repo", "after"])
 
     def put(df: DataFrame, batch: int) -> None:
-        if batch in store.store.done():
+        if store.store.holds(batch):
             return
-        store.store.put(batch, "pushes", df)
-        df = store.spark.read.schema(df.schema).parquet(f"{store.store.path}/pushes/v={batch}")
+        store.store.put(2 * batch, "pushes", df)
+        df = store.spark.read.schema(df.schema).parquet(f"{store.store.path}/pushes/v={2 * batch}")
         n = F.size(F.array_distinct(F.flatten(F.transform("commits", lambda c: F.concat(c["added"], c["modified"], c["removed"])))))
         whole = F.coalesce(F.col("before"), F.lit("")).rlike("^0*$") | (n == 0) | (n > most)
         files = file_actions(df)
@@ -127,6 +127,6 @@ def ingest(pushes: DataFrame, store: CodeStore, extract: Extract, checkpoint: st
             stored = store.nodes().select(F.substring_index("id", "::", 1).alias("path")).distinct()
             files = files.unionByName(stored.join(there, "path", "left_anti").select("path", F.lit("removed").alias("action"), F.lit(head).alias("head")))
         store.apply(batch, files, extract)
-        store.store.drop_table(batch, "pushes")
+        store.store.drop_table(2 * batch, "pushes")
 
     return kept.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
