@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -11,10 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space between words.
-BLANKS = r"[\x20\x09-\x0D]+"
-
-
 class SuffixTree:
     """Ukkonen's tree of a sequence of positive symbols, closed by the end mark 0.
 
@@ -223,7 +219,7 @@ def collapsed(words: list[bytes], rows: np.ndarray) -> list[bytes]:
     return [w for w, k in zip(words, np.cumsum(inside).tolist(), strict=False) if not k] if len(rows) else words
 
 
-def periodic_runs(docs: DataFrame, text_col: str | Column = "text", least_words: int = 6, least_times: int = 4) -> DataFrame:
+def periodic_runs(docs: DataFrame, text_col: str = "text", least_words: int = 6, least_times: int = 4, rewrite: tuple[Column, Callable[[list[bytes], int], list[bytes]]] | None = None) -> DataFrame:
     """``docs`` (all columns) with ``__runs``: n_words, runs (array of start, length, period) and text without repeats.
 
     Words are runs of characters other than blanks and \\x09-\\x0D, numbered from 0. A run is a stretch of words with the
@@ -233,36 +229,35 @@ def periodic_runs(docs: DataFrame, text_col: str | Column = "text", least_words:
 
     Suffix trees are built of those stretches of a text that can hold a run (see ``stretches``), which leaves out no run.
     Texts are rows of their own: no shuffle, and memory grows with the longest such stretch. A null text has no words, as
-    an empty one; repeated rows stay; an empty table gives no rows; a column named ``__runs`` is replaced.
+    an empty one; repeated rows stay; an empty table gives no rows; a column named ``__runs`` is replaced. With
+    ``rewrite``, a column of whole numbers and a function of a text's words and its number, words are replaced first.
     """
+    number, change = rewrite or (F.lit(0), lambda words, _: words)
     fields = "n_words long, start array<long>, length array<long>, period array<long>, text string"
 
     @F.pandas_udf(fields)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, numbers in batches:
             out = []
-            for t in texts:
-                words = (t or "").encode("utf-8", "surrogatepass").split()  # bytes part at ASCII blanks only
+            for t, h in zip(texts, numbers, strict=True):
+                words = change((t or "").encode("utf-8", "surrogatepass").split(), h)  # bytes part at ASCII blanks only
                 rows = word_runs(words, least_words, least_times)
                 out.append((len(words), *rows.T, b" ".join(collapsed(words, rows)).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["n_words", "start", "length", "period", "text"])
 
     x = F.col("__runs")
-    rows = docs.withColumn("__runs", run(F.col(text_col) if isinstance(text_col, str) else text_col))
+    rows = docs.withColumn("__runs", run(F.col(text_col), number.cast("long")))
     return rows.withColumn("__runs", F.struct(x["n_words"].alias("n_words"), F.arrays_zip(x["start"].alias("start"), x["length"].alias("length"), x["period"].alias("period")).alias("runs"), x["text"].alias("text")))
 
 
-def planted(doc_id: Column, text: Column) -> Column:
-    """The text of the contract's tenth of the documents: from word a on, the words that follow a repeat with period p."""
-    h = F.crc32(doc_id.cast("string"))
-    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
-    n, g = F.size(words), F.floor(h / 10)
-    a = F.pmod(g, n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
-    told = F.struct(words.alias("words"), a.alias("a"), p.alias("p"))
-    # one element, so that its parts are worked out once and not for every word
-    again = F.transform(F.array(told), lambda t: F.array_join(F.transform(t["words"], lambda w, i: F.when(i < t["a"], w).otherwise(F.get(t["words"], t["a"] + F.pmod(i - t["a"], t["p"])))), " "))
-    return F.when((h % 10 == 0) & (n > 0), again[0]).otherwise(text)
+def planted(words: list[bytes], h: int) -> list[bytes]:
+    """The contract's rewriting: where ``h`` is a multiple of ten, the words from a on repeat with period p."""
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,7 +266,8 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A document without an id is not planted. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = periodic_runs(rows.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")))
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(1))
+    found = periodic_runs(rows, rewrite=(h, planted))
     runs = F.col("__runs.runs")
     # the greatest length; of several the smallest start, then period
     best = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))

@@ -25,7 +25,7 @@ BASES = (0xA0761D6478BD642F, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 def _powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
     """base ** k modulo 2 ** 64 for k below ``n`` at least; short rows are kept."""
-    if len(known.get(base, ())) >= n:
+    if base in known and len(known[base]) >= n:
         return known[base]
     with np.errstate(over="ignore"):
         out = np.cumprod(np.full(max(n, 4096), base, np.uint64)) * np.uint64(pow(base, -1, 1 << 64))
