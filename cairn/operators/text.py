@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -107,29 +108,72 @@ def call_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.withColumn("best", best).where("not best or same").select("src", "dst").distinct()
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, aliases: tuple[tuple[str, str], ...] = (("@/", "src/"),)) -> DataFrame:
+def config_aliases(files: DataFrame) -> DataFrame:
+    """(repo, alias, target): import prefixes that configuration files at the top of a repository stand for.
+
+    From files (repo, path, content): the first target of each of ``compilerOptions.paths`` of tsconfig.json or
+    jsconfig.json, wildcards cut, and the module of go.mod, which is the top. Targets are relative to the top; a
+    configuration that does not parse gives none. Of several targets of an alias the smallest counts.
+    """
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"/?\*$", ""), r"^\./", "")
+    paths = F.from_json(F.get_json_object("content", "$.compilerOptions.paths"), "map<string,array<string>>")
+    ts = files.where(F.col("path").isin("tsconfig.json", "jsconfig.json")).select("repo", F.explode(paths).alias("alias", "targets"))
+    ts = ts.select("repo", plain(F.col("alias")).alias("alias"), plain(F.get("targets", F.lit(0))).alias("target"))
+    go = files.where("path = 'go.mod'").select("repo", F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("alias"), F.lit("").alias("target"))
+    every = ts.unionByName(go).where("alias <> '' and target is not null")
+    return every.groupBy("repo", "alias").agg(F.min("target").alias("target"))
+
+
+def _normal(steps: Column) -> Column:
+    """Path parts without ``.`` and with each ``..`` taking the part before it; what leaves the top keeps its ``..``."""
+    none = F.array().cast("array<string>")
+    last = lambda acc: F.element_at(F.concat(F.array(F.lit("")), acc), -1)
+    return F.aggregate(
+        steps,
+        none,
+        lambda acc, p: F.when((p == ".") | (p == ""), acc).when((p == "..") & (F.size(acc) > 0) & (last(acc) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))),
+    )
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: tuple[tuple[str, str], ...] = (("@/", "src/"),), alias_table: DataFrame | None = None, fallback: bool = False) -> DataFrame:
     """(path, module, relation, target): the first candidate that is a file: alias, relative, dotted; with extension or index.
 
-    A relative module goes up one folder for each ``../``; where it leaves the tree it is not resolved.
+    With a column ``repo``, in ``imports``, ``files`` and the ``alias_table`` (repo, alias, target; see
+    ``config_aliases``), each repository is resolved by itself; of its aliases that a module begins with the longest
+    counts, and before them those of ``aliases``, which hold everywhere. A relative module goes up one folder for each
+    ``../``; where it leaves the tree it is not resolved. With ``fallback``, a module that is no file gets the path that
+    its language would give it: dots as folders and ``.py`` or ``.java``, and for JavaScript and TypeScript its own
+    path, seen from the file if it is relative, and ``.js``.
     """
     m, folder = F.col("module"), dirname(F.col("path"))
+    own = ["repo"] if "repo" in imports.columns else []
+    rows = imports.select(*own, "path", "module", "relation")
     base = F.when(F.lit(False), m)
     for alias, to in aliases:
         base = base.when(F.startswith(m, F.lit(alias)), F.concat(F.lit(to), F.substring(m, len(alias) + 1, 1 << 30)))
+    if alias_table is not None:
+        heads = rows.select("repo", "module").distinct().select("repo", "module", F.explode(F.transform(F.sequence(F.lit(1), F.length(m)), lambda n: F.substring(m, F.lit(1), n))).alias("alias"))
+        longest = heads.join(alias_table, ["repo", "alias"]).groupBy("repo", "module").agg(F.max_by(F.struct("alias", "target"), F.length("alias")).alias("__alias"))
+        rows = rows.join(longest, ["repo", "module"], "left")
+        named = F.concat_ws("/", F.nullif("__alias.target", F.lit("")), F.nullif(F.ltrim(F.substring(m, F.length("__alias.alias") + 1, F.lit(1 << 30)), F.lit("/")), F.lit("")))
+        base = base.when(F.col("__alias").isNotNull(), F.array_join(_normal(F.split(named, "/")), "/"))
+    relative = F.startswith(m, F.lit("./")) | F.startswith(m, F.lit("../"))
     steps = F.concat(F.filter(F.split(folder, "/"), lambda p: p != ""), F.split(m, "/"))
-    none = F.array().cast("array<string>")
-    walked = F.aggregate(
-        steps,
-        none,
-        lambda acc, p: F.when((p == ".") | (p == ""), acc).when((p == "..") & (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("")), acc), -1) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))),
-    )
-    base = base.when(F.startswith(m, F.lit("./")) | F.startswith(m, F.lit("../")), F.array_join(walked, "/"))
+    base = base.when(relative, F.array_join(_normal(steps), "/"))
     base = base.otherwise(F.when(F.contains(m, F.lit("/")), m).otherwise(F.replace(m, F.lit("."), F.lit("/"))))
     ends = ["", ".py", ".ts", ".tsx", ".js", ".jsx", ".go", "/__init__.py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
-    rows = imports.select("path", "module", "relation", base.alias("base"))
-    rows = rows.select("path", "module", "relation", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ends])).alias("nth", "target"))
-    hit = rows.join(files.select(F.col("path").alias("target")), "target")
-    return hit.groupBy("path", "module", "relation").agg(F.min_by("target", "nth").alias("target"))
+    rows = rows.select(*own, "path", "module", "relation", base.alias("base"))
+    tried = rows.select(*own, "path", "module", "relation", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ends])).alias("nth", "target"))
+    hit = tried.join(files.select(*own, F.col("path").alias("target")), [*own, "target"])
+    hit = hit.groupBy(*own, "path", "module", "relation").agg(F.min_by("target", "nth").alias("target"))
+    if not fallback:
+        return hit
+    language = detect_language(F.col("path"))
+    dots = F.replace(m, F.lit("."), F.lit("/"))
+    guess = F.when(language == "python", F.concat(dots, F.lit(".py"))).when(language == "java", F.concat(dots, F.lit(".java")))
+    guess = guess.when(language.isin("javascript", "jsx", "typescript", "tsx"), F.concat(F.when(relative, F.col("base")).otherwise(m), F.lit(".js")))
+    left = rows.join(hit.select(*own, "path", "module", "relation"), [*own, "path", "module", "relation"], "left_anti")
+    return hit.unionByName(left.select(*own, "path", "module", "relation", guess.alias("target")).where("target is not null").distinct())
 
 
 def test_covers(files: DataFrame) -> DataFrame:
@@ -164,19 +208,51 @@ def _windows(size: int, overlap: int, separators: tuple[str, ...]):
     return cut
 
 
-def chunk_markdown(docs: DataFrame, max_chars: int = 2000, overlap: int = 100) -> DataFrame:
-    """(path, section, part, heading, content): sections by heading, windows with a preference for line ends."""
-    lines = lines_of(docs)
-    head = F.regexp_extract("line", r"^#{1,6} +(.+)", 1)
+def heading_windows(path: str, title: str, body: str, size: int, overlap: int) -> list[tuple[str, str]]:
+    """(title with part, chunk) of a section: windows that with their header have at most ``size`` characters.
+
+    A window ends after its last line end past a third of ``size``, if it has one there; the next one begins
+    ``overlap`` characters before its end. All but a lone window say which part they are.
+    """
+    header = f"File: {path}\nDoc: {title}\n"
+    out: list[tuple[str, str]] = []
+    start, room = 0, max(1, size - len(header))
+    while start < len(body):
+        end = start + room
+        if end < len(body) and (line := body.rfind("\n", start, end)) > start + size // 3:
+            end = line + 1
+        piece = body[start:end].strip()
+        if piece:
+            part = len(out) + 1
+            suffix = f" (part {part})" if part > 1 or end < len(body) else ""
+            out.append((title + suffix, f"{header}{suffix}\n{piece}"))
+        if end >= len(body):
+            break
+        start = max(start + 1, end - overlap)
+    return out
+
+
+def chunk_markdown(docs: DataFrame, max_chars: int = 2000, overlap: float = 0.5) -> DataFrame:
+    """(path, section, part, heading, content): a document's sections by heading, each cut in windows that overlap.
+
+    A section begins with a heading of one to six ``#``; what stands before the first one is the Introduction. Chunks
+    begin with their file and heading; ``overlap`` is a share of ``max_chars``. Sections of white space give none.
+    """
+    lines = docs.select("path", F.posexplode(F.split("content", "\r\n|[\n\r]")).alias("line_no", "line"))
+    head = F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1))
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumns({"h": head}).withColumn("section", F.sum(F.when(F.col("h") != "", 1).otherwise(0)).over(w))
+    rows = lines.withColumn("h", head).withColumn("section", F.sum(F.when(F.col("h") != "", 1).otherwise(0)).over(w))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    sections = rows.groupBy("path", "section").agg(F.max("h").alias("heading"), text.alias("content")).where(F.trim("content") != "")
-    small = sections.where(F.length("content") <= max_chars).select("path", "section", F.lit(0).alias("part"), "heading", "content")
-    large = sections.where(F.length("content") > max_chars)
-    cut = _windows(max_chars, overlap, ("\n",))
-    large = large.select("path", "section", "heading", F.posexplode(cut("content")).alias("part", "content")).select("path", "section", "part", "heading", "content")
-    return small.unionByName(large)
+    sections = rows.groupBy("path", "section").agg(F.max("h").alias("heading"), text.alias("content"))
+    title = F.when(F.col("section") == 0, "Introduction").otherwise(F.col("heading"))
+
+    @F.pandas_udf("array<struct<heading:string,content:string>>")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for paths, titles, bodies in batches:
+            yield pd.Series([[{"heading": h, "content": c} for h, c in heading_windows(p, t, b.strip(), max_chars, int(max_chars * overlap))] for p, t, b in zip(paths, titles, bodies, strict=True)])
+
+    found = sections.select("path", "section", F.posexplode(cut("path", title, "content")).alias("part", "x"))
+    return found.select("path", "section", "part", "x.heading", "x.content")
 
 
 def chunk_code(files: DataFrame, symbols: DataFrame, max_chars: int = 2000, overlap: int = 150) -> DataFrame:
@@ -206,6 +282,76 @@ def chunk_plain(files: DataFrame, kind: str, size: int = 1000, overlap: int = 10
     return rows.select("path", F.lit(None).cast("string").alias("symbol_id"), F.lit(kind).alias("chunk_type"), "part", "content")
 
 
+# Where to cut source text, the widest structure first; what follows for all languages.
+SEPARATORS = {
+    "python": ["\nclass ", "\ndef ", "\n\tdef "],
+    "javascript": ["\nfunction ", "\nconst ", "\nlet ", "\nvar ", "\nclass ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\ndefault "],
+    "typescript": ["\nenum ", "\ninterface ", "\nnamespace ", "\ntype ", "\nclass ", "\nfunction ", "\nconst ", "\nlet ", "\nvar ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\ndefault "],
+    "java": ["\nclass ", "\npublic ", "\nprotected ", "\nprivate ", "\nstatic ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase "],
+    "cpp": ["\nclass ", "\nvoid ", "\nint ", "\nfloat ", "\ndouble ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase "],
+    "go": ["\nfunc ", "\nvar ", "\nconst ", "\ntype ", "\nif ", "\nfor ", "\nswitch ", "\ncase "],
+    "rust": ["\nfn ", "\nconst ", "\nlet ", "\nif ", "\nwhile ", "\nfor ", "\nloop ", "\nmatch "],
+    "ruby": ["\ndef ", "\nclass ", "\nif ", "\nunless ", "\nwhile ", "\nfor ", "\ndo ", "\nbegin ", "\nrescue "],
+}
+LAST_SEPARATORS = ["\n\n", "\n", " ", ""]
+#: Languages that are cut as another one.
+CUT_AS = {"jsx": "javascript", "tsx": "typescript", "c": "cpp"}
+
+
+def split_recursive(text: str, size: int, overlap: int, separators: list[str]) -> list[str]:
+    """Chunks of at most ``size`` characters: cut at the first separator that occurs, what is still too long at the next.
+
+    A separator stays with what follows it. Neighbouring pieces are put together as long as they fit; a chunk begins
+    with the last pieces of the one before it, of ``overlap`` characters at most. White space around chunks goes.
+    """
+    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    sep, rest = separators[at], separators[at + 1 :]
+    if sep:
+        first, *others = text.split(sep)
+        pieces = [p for p in (first, *(sep + o for o in others)) if p]
+    else:
+        pieces = list(text)
+    out: list[str] = []
+    held: deque[str] = deque()
+    total = 0
+
+    def flush() -> None:
+        chunk = "".join(held).strip()
+        if chunk:
+            out.append(chunk)
+
+    for p in pieces:
+        if len(p) >= size and rest:  # to be cut further; nothing runs on over it
+            flush()
+            held.clear()
+            total = 0
+            out += split_recursive(p, size, overlap, rest)
+            continue
+        if total + len(p) > size:
+            flush()
+            while held and (total > overlap or total + len(p) > size):
+                total -= len(held.popleft())
+        held.append(p)
+        total += len(p)
+    flush()
+    return out
+
+
+def chunk_fallback(files: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
+    """(path, symbol_id, chunk_type, part, content): recursive cuts by the separators of each file's language.
+
+    Each chunk is headed by its file, which does not count. Files of white space give none.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, languages in batches:
+            yield pd.Series([split_recursive(t, size, overlap, SEPARATORS.get(CUT_AS.get(x, x), []) + LAST_SEPARATORS) for t, x in zip(texts, languages, strict=True)])
+
+    rows = files.where(F.trim("content") != "").select("path", F.posexplode(cut("content", detect_language(F.col("path")))).alias("part", "text"))
+    return rows.select("path", F.lit(None).cast("string").alias("symbol_id"), F.lit("plain").alias("chunk_type"), "part", F.concat(F.lit("File: "), "path", F.lit("\n"), "text").alias("content"))
+
+
 def chunk_all(files: DataFrame) -> DataFrame:
     """Manifests, markdown and code each by their own rule, everything that gave no chunk by the plain one."""
     kind = F.when(is_manifest(F.col("path")), "manifest").when(F.lower("path").rlike(r"\.(md|markdown|rst)$"), "markdown").when(detect_language(F.col("path")) != "unknown", "code").otherwise("plain")
@@ -218,7 +364,7 @@ def chunk_all(files: DataFrame) -> DataFrame:
     # code gives no chunk only where it has no symbol and at most twenty characters
     tiny = source.where(F.length(F.trim("content")) <= 20).join(symbols.select("path").distinct(), "path", "left_anti")
     rest = f.where("kind = 'plain'").unionByName(tiny)
-    return manifest.unionByName(marked).unionByName(code).unionByName(chunk_plain(rest, "plain"))
+    return manifest.unionByName(marked).unionByName(code).unionByName(chunk_fallback(rest))
 
 
 # dependencies of manifests: (path, node, relation, target)

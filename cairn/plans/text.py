@@ -60,6 +60,25 @@ def _(fx):
     return T.resolve_imports(imports, f.select("path"), (("@", ""),))
 
 
+# four repositories, each with aliases of its own for the same imports, in tsconfig.json or go.mod; what is no file falls back
+@query("C10_config_aliases", """
+WITH f AS (SELECT file_key % 4 AS repo, id AS path, replace(id, '.py', '.ts') AS ts, split_part(id, '/', 1) AS a, split_part(id, '/', 2) AS b, regexp_replace(regexp_replace(id, '^.*/', ''), '\\.py$', '') AS stem FROM fx_files)
+SELECT repo, ts AS path, module, 'IMPORTS' AS relation, CASE WHEN k = 0 AND repo IN (0, 3) OR k = 1 AND repo <> 2 OR k = 2 AND repo = 3 THEN ts WHEN k = 4 THEN a || '/' || b || '/none_' || stem || '.js' ELSE module || '.js' END AS target
+FROM (SELECT *, unnest(['@/' || a || '/' || b || '/' || stem, '@' || a || '/' || b || '/' || stem, 'x.io/mod/' || a || '/' || b || '/' || stem, 'lib/' || stem, './none_' || stem]) AS module, unnest(range(5)) AS k FROM f)""")
+def _(fx):
+    parts, stem = F.split("path", "/"), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.ts$", "")
+    f = fx.files.select((F.col("file_key") % 4).alias("repo"), F.regexp_replace("id", r"\.py$", ".ts").alias("path")).withColumns({"stem": stem, "a": parts[0], "b": parts[1]})
+    forms = ["@/{a}/{b}/{stem}", "@{a}/{b}/{stem}", "x.io/mod/{a}/{b}/{stem}", "lib/{stem}", "./none_{stem}"]
+    filled = [F.replace(F.replace(F.replace(F.lit(x), F.lit("{a}"), F.col("a")), F.lit("{b}"), F.col("b")), F.lit("{stem}"), F.col("stem")) for x in forms]
+    imports = f.select("repo", "path", F.explode(F.array(*filled)).alias("module"), F.lit("IMPORTS").alias("relation"))
+    # an alias for everything; one that leads nowhere, with one for each top folder beside it; none; and a module's name
+    folders = F.array_join(F.transform(F.array_sort(F.collect_set("a")), lambda x: F.concat(F.lit('"@'), x, F.lit('/*": ["./'), x, F.lit('/*"]'))), ", ")
+    config = f.groupBy("repo").agg(folders.alias("folders")).withColumn("paths", F.when(F.col("repo") == 1, F.concat(F.lit('"@/*": ["./nowhere/*"], '), "folders")).when(F.col("repo") == 2, F.lit("")).otherwise(F.lit('"@/*": ["./*", "other/*"]')))
+    config = config.select("repo", F.lit("tsconfig.json").alias("path"), F.concat(F.lit('{"compilerOptions": {"paths": {'), "paths", F.lit("}}}")).alias("content"))
+    module = f.where("repo = 3").select("repo", F.lit("go.mod").alias("path"), F.lit("module x.io/mod\n\ngo 1.22").alias("content")).distinct()
+    return T.resolve_imports(imports, f.select("repo", "path"), (), T.config_aliases(config.unionByName(module)), fallback=True)
+
+
 @query("K2_call_edges", f"WITH s AS ({SRC_SQL}) SELECT path || '::C' || k || '::run' AS src, path || '::C' || k || '::stop' AS dst FROM s UNION ALL SELECT path || '::C' || k || '::run', path || '::helper_' || k FROM s")
 def _(fx):
     s = sources(fx)
@@ -86,7 +105,7 @@ def _(fx):
 
 @query("K6_chunk_fallback")
 def _(fx):
-    return T.chunk_plain(fx.documents.select(F.col("doc_id").cast("string").alias("path"), "text").withColumnRenamed("text", "content"), "plain")
+    return T.chunk_fallback(fx.documents.select(F.col("doc_id").cast("string").alias("path"), "text").withColumnRenamed("text", "content"))
 
 
 MANIFESTS = {

@@ -115,15 +115,90 @@ def test_split_covers_the_text(size, overlap):
 
 
 def test_markdown_sections_and_windows(spark):
-    """Long sections are cut, their windows overlap and cover them; headings begin sections, in any level."""
+    """Headings begin sections, in any level; long sections are cut in windows that overlap by half and say their part."""
     long = "\n".join(f"line {i} of a long section" for i in range(400))
-    text = f"intro\n# One\n{long}\n### Two\nend\n####### not a heading\n#also not"
-    out = T.chunk_markdown(spark.createDataFrame([("a.md", text), ("b.md", ""), ("c.md", "# Only")], "path string, content string"), 2000, 100).collect()
-    of = lambda path, section: [r["content"] for r in sorted(out, key=lambda r: r["part"]) if (r["path"], r["section"]) == (path, section)]
-    assert of("a.md", 0) == ["intro"] and of("a.md", 2) == ["### Two\nend\n####### not a heading\n#also not"]
+    text = f"intro\r\n# One\n{long}\n### Two\nend\n####### not a heading\n#also not"
+    out = T.chunk_markdown(spark.createDataFrame([("a.md", text), ("b.md", ""), ("c.md", "#  Only ")], "path string, content string"), 2000).collect()
+    of = lambda path, section: [r for r in sorted(out, key=lambda r: r["part"]) if (r["path"], r["section"]) == (path, section)]
+    assert [r["content"] for r in of("a.md", 0)] == ["File: a.md\nDoc: Introduction\n\nintro"]
+    assert [r["content"] for r in of("a.md", 2)] == ["File: a.md\nDoc: Two\n\n### Two\nend\n####### not a heading\n#also not"]
+    assert [(r["heading"], r["content"]) for r in of("c.md", 1)] == [("Only", "File: c.md\nDoc: Only\n\n#  Only")]
     parts = of("a.md", 1)
-    assert len(parts) > 4 and all(len(p) <= 2000 for p in parts) and "# One\n" + long == parts[0] + "".join(p[100:] for p in parts[1:])
-    assert {r["path"] for r in out} == {"a.md", "c.md"} and {r["heading"] for r in out if r["section"] > 0} == {"One", "Two", "Only"}
+    assert [r["heading"] for r in parts] == [f"One (part {i + 1})" for i in range(len(parts))] and {r["path"] for r in out} == {"a.md", "c.md"}
+    body, at = f"# One\n{long}", 0
+    for i, r in enumerate(parts):
+        head = f"File: a.md\nDoc: One\n (part {i + 1})\n"
+        assert r["content"].startswith(head)
+        piece = r["content"][len(head) :]
+        found = body.index(piece, max(0, at - 1010))
+        assert found <= at and len(piece) <= 2000
+        if i + 1 < len(parts):
+            assert body[found + len(piece)] == "\n"  # cut at a line's end
+        at = found + len(piece)
+    assert at == len(body)
+
+
+def plain_split(text, size, overlap, separators):
+    """The same rule, said another way: first all pieces in order, cut as far as need be, then one pass that joins them."""
+    sep = next((s for s in separators if not s or s in text), separators[-1])
+    rest = separators[separators.index(sep) + 1 :]
+    pieces = [c for c in text] if not sep else [p for p in [text.split(sep)[0]] + [sep + x for x in text.split(sep)[1:]] if p]
+    out, group = [], []
+
+    def join():
+        while group:
+            n = 1
+            while n < len(group) and sum(map(len, group[: n + 1])) <= size:
+                n += 1
+            chunk = "".join(group[:n]).strip()
+            out.extend([chunk] if chunk else [])
+            if n == len(group):
+                group.clear()
+                return
+            keep = n
+            while keep > 0 and sum(map(len, group[keep - 1 : n])) <= overlap and sum(map(len, group[keep - 1 : n + 1])) <= size:
+                keep -= 1
+            del group[:keep]
+
+    for p in pieces:
+        if len(p) >= size and rest:
+            join()
+            out += plain_split(p, size, overlap, rest)
+        else:
+            group.append(p)
+    join()
+    return out
+
+
+def test_recursive_split_equals_plain(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    out = {}
+    for r in T.chunk_fallback(docs).orderBy("path", "part").collect():
+        out.setdefault(r["path"], []).append(r["content"])
+    want = {r["path"]: plain_split(r["content"], 1000, 100, ["\n\n", "\n", " ", ""]) for r in docs.collect() if (r["content"] or "").strip(" ")}
+    assert out == {p: [f"File: {p}\n{c}" for c in cs] for p, cs in want.items() if cs}
+
+
+def test_source_is_cut_at_its_structure(spark):
+    body = "\n".join(f"    x{i} = compute(value_{i}, {i})" for i in range(20))
+    code = "import os\n" + "".join(f"\ndef f{k}(value):\n{body}" for k in range(4)) + f"\nclass A:\n{body}"
+    out = [r["content"] for r in T.chunk_fallback(spark.createDataFrame([("m/a.py", code), ("m/b.txt", "y" * 2500), ("m/c.py", " ")], "path string, content string"), 1000, 100).orderBy("path", "part").collect()]
+    mine = [c.removeprefix("File: m/a.py\n") for c in out if c.startswith("File: m/a.py\n")]
+    assert all(len(c) <= 1000 for c in mine) and [c.split("\n")[0] for c in mine] == ["import os", "def f1(value):", "def f2(value):", "def f3(value):", "class A:"]  # the first function fits beside the import
+    assert mine == [c for c in plain_split(code, 1000, 100, T.SEPARATORS["python"] + T.LAST_SEPARATORS)]
+    assert [len(c) - len("File: m/b.txt\n") for c in out if c.startswith("File: m/b.txt\n")] == [1000, 1000, 700]
+
+
+def test_aliases_of_each_repository(spark):
+    files = [(1, "tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["./src/*", "x/*"], "@lib/*": ["libs/*"], "none": []}}}'), (1, "src/u.ts", ""), (1, "libs/v/index.ts", ""), (2, "go.mod", "module h.io/m\n"), (2, "pkg/w.go", ""), (2, "src/u.ts", ""), (3, "tsconfig.json", "{ broken"), (3, "sub/tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["./src/*"]}}}')]
+    files = spark.createDataFrame(files, "repo int, path string, content string")
+    table = T.config_aliases(files)
+    assert sorted(tuple(r) for r in table.collect()) == [(1, "@", "src"), (1, "@lib", "libs"), (2, "h.io/m", "")]
+    imports = [(1, "a/b.ts", "@/u"), (1, "a/b.ts", "@lib/v"), (1, "a/b.ts", "@lib/none"), (2, "a.go", "h.io/m/pkg/w"), (2, "a/b.ts", "@/u"), (2, "a/b.ts", "../src/u"), (2, "a/b.ts", "../gone"), (3, "x/y.py", "p.q"), (3, "A.java", "java.util.List"), (2, "a.go", "fmt")]
+    imports = spark.createDataFrame([(*r, "IMPORTS") for r in imports], "repo int, path string, module string, relation string")
+    got = {(r["repo"], r["module"]): r["target"] for r in T.resolve_imports(imports, files, (), table, fallback=True).collect()}
+    assert got == {(1, "@/u"): "src/u.ts", (1, "@lib/v"): "libs/v/index.ts", (1, "@lib/none"): "@lib/none.js", (2, "h.io/m/pkg/w"): "pkg/w.go", (2, "@/u"): "@/u.js", (2, "../src/u"): "src/u.ts", (2, "../gone"): "gone.js", (3, "p.q"): "p/q.py", (3, "java.util.List"): "java/util/List.java"}
+    assert T.resolve_imports(imports, files, (), table).count() == 4
 
 
 def test_structure_in_all_languages(spark):
