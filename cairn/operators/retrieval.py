@@ -238,18 +238,28 @@ def in_files(rows: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFram
     return rows.join(files, "id").join(asked, "query_id").where((F.coalesce(F.size("files"), F.lit(0)) <= 0) | near).select(*own)
 
 
-def keyword_fallback(queries: DataFrame, chunks: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+def keyword_fallback(queries: DataFrame, chunks: DataFrame, hits: DataFrame, k: int, stages: Stages | None = None) -> DataFrame:
     """(query_id, id, score, rank) for queries without a hit: chunks that hold the first token, shortest first.
 
-    A token is inside a word, so tokens are matched to the corpus's distinct words, and these to the chunks.
+    A token is inside a word, so tokens are matched to the corpus's distinct words, and these to the chunks. Of each
+    token (and set of files, where queries have ``files``) the ``k`` shortest chunks are kept before tokens meet their
+    questions. With ``stages`` what is counted or used twice is written first.
     """
+    keep = stages.keep if stages else lambda df: df
     token = F.try_element_at(tokens(sanitize_query(F.col("text"))), F.lit(1))
-    left = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id", token.alias("term")).where("term is not null")
-    held = chunks.select("id", F.length("content").alias("length"), F.explode(F.array_distinct(words(F.col("content")))).alias("text"))
-    pairs = contained(left, held)
-    rows = held.join(small(pairs), "text").join(left, "term").select("query_id", "id", "length").distinct()
-    if "files" in queries.columns:
-        rows = in_files(rows, queries, chunks)
+    own = ["files"] if "files" in queries.columns else []
+    left = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id", token.alias("term"), *own).where("term is not null")
+    left = keep(left)
+    held = chunks.select("id", F.length("content").alias("length"), F.explode(F.array_distinct(words(F.col("content")))).alias("text"), *(["file"] if own else []))
+    pairs = keep(contained(left, held))
+    rows = held.join(small(pairs), "text").select("term", "id", "length", *(["file"] if own else [])).distinct()
+    if own:
+        near = (F.coalesce(F.size("files"), F.lit(0)) <= 0) | F.exists("files", lambda f: F.contains("file", f) | F.contains(f, "file"))
+        rows = rows.join(left.select("term", "files").distinct(), "term").where(near)
+    nth = F.row_number().over(Window.partitionBy("term", *own).orderBy("length", "id"))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("term").alias("__term"), "id", "length", *[F.col(c).alias("__files") for c in own])
+    same = F.col("term") == F.col("__term")
+    rows = left.join(rows, same & F.col("files").eqNullSafe(F.col("__files")) if own else same).select("query_id", "id", "length")
     return top_k(rows.withColumn("score", F.lit(0.5)), k, F.col("length"), F.col("id")).drop("length")
 
 
@@ -358,7 +368,7 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edg
     dense = stages.keep(cut(in_files(wide, routed, chunks)))
     sparse = sparse_search(routed, chunks, most, stages=stages).join(routed.select("query_id", "k"), "query_id").where("rank <= k").drop("k")
     sparse = stages.keep(sparse)
-    fallback = keyword_fallback(routed, chunks, sparse, most).join(routed.select("query_id", "k"), "query_id").where("rank <= k").drop("k")
+    fallback = keyword_fallback(routed, chunks, sparse, most, stages).join(routed.select("query_id", "k"), "query_id").where("rank <= k").drop("k")
     fallback = stages.keep(fallback)
     places = dense.join(chunks.select("id", "file"), "id").groupBy("query_id", "file").agg(F.min("rank").alias("place"))
     graph = stages.keep(graph_search(routed, places, nodes, edges, ownership))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cairn.functions import exprs as X
 from cairn.operators import insight as I
 from cairn.operators import retrieval as R
+from cairn.operators.dense_index import dense_search_indexed
 from cairn.operators.keyword_index import KeywordIndex
 from cairn.plans.registry import query
 
@@ -93,6 +94,13 @@ def _(fx):
     return dense(fx)
 
 
+@query("R5_indexed_search")
+def _(fx):
+    c = fx.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    q = fx.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return dense_search_indexed(q, c, K, fx.stages)
+
+
 # keyword queries: two words from the middle of documents
 KEYED = "SELECT doc_id AS query_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[20:21], ' ') AS text FROM documents WHERE doc_id % 20 = 0"
 SPLIT = "list_filter(string_split_regex(lower(%s), '[^\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)"
@@ -135,7 +143,7 @@ SELECT query_id, doc_id AS id, 5e-1 AS score, CAST(row_number() OVER (PARTITION
 def _(fx):
     q = fx.benchmark.select(F.col("item_id").alias("query_id"), F.regexp_extract(F.lower("text"), r"[\p{L}\p{N}_]{2,}", 0).alias("text"))
     none = fx.spark.createDataFrame([], "query_id long")
-    return R.keyword_fallback(q, chunks(fx), none, K)
+    return R.keyword_fallback(q, chunks(fx), none, K, fx.stages)
 
 
 # questions over the code base: a file's name, an author, words of a document's text after two forms

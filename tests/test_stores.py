@@ -3,13 +3,15 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import communities as C
+from cairn.operators import dense_index as D
 from cairn.operators import graph as G
 from cairn.operators.keyword_index import KeywordIndex
-from cairn.operators.retrieval import sparse_search
+from cairn.operators.retrieval import dense_search, keyword_fallback, sparse_search
 from cairn.sources.tables import Stages
 from cairn.streaming import ingest as I
 
@@ -205,3 +207,52 @@ def test_strong_components_and_short_cycles(spark, seed):
     for most in (2, 3, 6):
         out = {r["file"]: r["length"] for r in G.files_on_cycles(changed, edges, most).collect()}
         assert out == {a: k for a, k in back.items() if k and k <= most}
+
+
+def found_share(found, exact):
+    want = {(r["query_id"], r["id"]) for r in exact.collect()}
+    rows = found.collect()
+    assert len({(r["query_id"], r["rank"]) for r in rows}) == len(rows)
+    return len(want & {(r["query_id"], r["id"]) for r in rows}) / len(want)
+
+
+@pytest.mark.parametrize("spread", [0.15, None])
+def test_indexed_search_finds_what_the_exact_one_finds(spark, sf, spread):
+    """Of clustered vectors, in tiles of few rows, and of the table's vectors, which have no clusters."""
+    if spread:
+        rng = np.random.default_rng(3)
+        x = rng.standard_normal((40, 24))[rng.integers(0, 40, 3000)] + spread * rng.standard_normal((3000, 24))
+        chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    else:
+        chunks = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    odd = spark.createDataFrame([(-1, None), (-2, []), (-3, [0.0, 0.0]), (-4, [1.0])], "id long, embedding array<double>")
+    chunks = chunks.withColumn("embedding", F.col("embedding").cast("array<double>")).unionByName(odd)
+    queries = chunks.where("id % 20 = 0 or id < 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = D.dense_search_indexed(queries, chunks, 10, Stages(spark), tile=200 if spread else 4096)
+    exact = dense_search(queries, chunks, 10)
+    assert found_share(found, exact) >= 0.9
+    both = {(r["query_id"], r["id"]): r["score"] for r in exact.collect()}
+    assert all(abs(r["score"] - both[r["query_id"], r["id"]]) < 1e-8 for r in found.collect() if (r["query_id"], r["id"]) in both)
+
+
+def test_clustered_vectors_need_few_probes():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 32))[rng.integers(0, 60, 4000)] + 0.1 * rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert D.probes_needed(x, 10, 4, 8, 0.95) <= 1 < D.probes_needed(rng.standard_normal((4000, 32)), 10, 4, 8, 0.95)
+
+
+def test_fallback_keeps_the_shortest_of_each_token(spark):
+    rng = random.Random(6)
+    chunks = [(i, " ".join(rng.choice(["abc", "xabcy", "zz", "q"]) for _ in range(rng.randrange(1, 9))), f"f{i % 3}") for i in range(60)]
+    queries = [(q, text, files) for q, (text, files) in enumerate([("abc", None), ("abc", ["f1"]), ("abc zz", []), ("zz", ["f1", "f2"]), ("nothing", None), ("?", None)])]
+    c = spark.createDataFrame(chunks, "id long, content string, file string")
+    q = spark.createDataFrame(queries, "query_id long, text string, files array<string>")
+    none = spark.createDataFrame([(2,)], "query_id long")
+    want = []
+    for n, text, files in queries:
+        term = text.split()[0]
+        held = sorted((len(t), i) for i, t, f in chunks if any(term in w and len(w) > 1 for w in t.split()) and (not files or f in files)) if n != 2 and term != "?" else []
+        want += [(n, i, k + 1) for k, (_, i) in enumerate(held[:4])]
+    for stages in (None, Stages(spark)):
+        assert sorted((r["query_id"], r["id"], r["rank"]) for r in keyword_fallback(q, c, none, 4, stages).collect()) == sorted(want)
