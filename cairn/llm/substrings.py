@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import ArrayType, IntegerType, IntegralType, LongType, StructType
 
 from cairn.llm.common import Workspace
 
@@ -112,28 +114,28 @@ def run_hashes(hashes: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.nda
     return one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def spans_of(texts: list[str], least_words: int, least_pieces: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first piece, hashes) of the runs of each text. The texts are cut and hashed as one, line after line."""
+def spans_of(texts: list[str], least_words: int, least_pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first piece, hashes) of the runs of all texts, and where those of each text begin and the last ones end.
+
+    The texts are cut and hashed as one, line after line.
+    """
     hashes, starts, cuts = pieces("\n".join(texts))
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     bound = np.searchsorted(cuts, np.searchsorted(starts, at), "right")  # the first piece of each text
     first, end = runs(cuts, least_words, least_pieces, np.repeat(bound[1:], np.diff(bound)))
-    one, two = run_hashes(hashes, np.concatenate([[0], cuts])[first], cuts[end - 1])
+    one, two = run_hashes(hashes, np.concatenate([[0], cuts]).astype(np.int64)[first], cuts[end - 1])
     cut = np.searchsorted(first, bound)
-    return [((first[a:z] - b).astype(np.int32), one[a:z], two[a:z]) for a, z, b in zip(cut, cut[1:], bound, strict=False)]
+    return (first - np.repeat(bound[:-1], np.diff(cut))).astype(np.int32), one, two, cut
 
 
-def _parts(texts: pd.Series, most: int = 1 << 16) -> Iterator[list[str]]:
-    """Texts in turn, in lists of about ``most`` characters, so that arrays are neither many nor long."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t or "")
-        size += len(part[-1])
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _parts(texts: pa.Array, most: int = 1 << 16) -> Iterator[slice]:
+    """Consecutive texts of about ``most`` characters, one at least, so that arrays are neither many nor long."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    a = 0
+    while a < len(ends):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most)))
+        yield slice(a, z)
+        a = z
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -160,15 +162,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     work = Workspace(docs.sparkSession, "substrings")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    @F.pandas_udf("pos array<int>, h1 array<long>, h2 array<int>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            out = [x for part in _parts(texts) for x in spans_of(part, least_words, least_sentences)]
-            yield pd.DataFrame(out, columns=["pos", "h1", "h2"])
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text")
+            for at in _parts(texts):
+                pos, one, two, cut = spans_of([t or "" for t in texts[at].to_pylist()], least_words, least_sentences)
+                has = np.diff(cut) > 0
+                offsets = pa.array(cut[np.append(has, True)], pa.int32())  # texts without runs have no length between
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pos, one, two)]
+                own = [b.column(c)[at].filter(pa.array(has)) for c in ("id", "key")]
+                yield pa.RecordBatch.from_arrays([*own, *lists], names=["id", "key", "pos", "h1", "h2"])
 
     last = F.lit((1 << 63) - 1) if isinstance(docs.schema[id_col].dataType, IntegralType) else F.lit("\uffff")  # after all ids
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", last).alias("id"), F.hash("text").alias("key"))  # the key tells rows of one id apart
-    listed = work.save(rows.select("id", "key", spans("text").alias("s")).select("id", "key", "s.*").where(F.size("pos") > 0), "spans")
+    to_hash = rows.select("id", "key", "text")
+    found = StructType(to_hash.schema.fields[:2]).add("pos", ArrayType(IntegerType())).add("h1", ArrayType(LongType())).add("h2", ArrayType(IntegerType()))
+    listed = work.save(to_hash.mapInArrow(spans, found), "spans")
     flat = listed.select("id", "key", F.explode(F.arrays_zip("pos", "h1", "h2")).alias("s")).select("id", "key", "s.*")
     # hashes that occur again, by their first part; only rows that have one are looked at further
     repeated = work.save(flat.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "repeated")
