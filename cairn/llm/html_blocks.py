@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: One attribute after another: a name, and its value, if it has one.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Elements whose content is no text of the page.
@@ -28,8 +29,11 @@ ENDS = {"li": ("li",), "option": ("option",), "dd": ("dd", "dt"), "dt": ("dd", "
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 BOILER_TAGS = frozenset(("nav", "footer", "aside", "form", "button", "menu", "dialog"))
 ARTICLE_TAGS = frozenset(("article", "main"))
-#: Words of a class, id or role that hint at what is not the article; not where they say what a layout has.
-BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modal|overlay|newsletter|subscri\w*|sign-?up|share|sharing|social|related|recommend\w*|side-?bar|menu\w*|nav\w*|breadcrumbs?|masthead|footers?|site-?header|page-?header|top-?bar|comments?|disqus|repl(?:y|ies)|respond|widgets?|log-?in|search\w*|pagination|pager|toolbar|copyright|complementary|contentinfo|paywall)(?:$|[\s_\d-])", re.I)
+#: Words that hint at what is not the article: at the end of a name in a class, id or role, or at its beginning, before
+#: no more than a place, a part or a number. What a layout has, and what an article is about, are other names.
+WORDS = r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modal|overlay|newsletter|subscri\w*|sign-?up|share|sharing|social|related|recommend\w*|side-?bar|menu\w*|nav\w*|breadcrumbs?|masthead|footers?|site-?header|page-?header|top-?bar|comments?|disqus|repl(?:y|ies)|respond|widgets?|log-?in|search\w*|pagination|pager|toolbar|copyright|complementary|contentinfo|paywall)"
+PARTS = r"(?:left|right|top|bottom|main|primary|secondary|inner|outer|fixed|sticky|bars?|box(?:es)?|wrap(?:per)?|container|content|area|block|section|panel|links?|list|items?|buttons?|btns?|icons?|form|text|title|header|col(?:umn)?|row|slot|unit|zone|body|inline|mobile|desktop|small|large|count|thread|post|author|meta|us|me|\d{1,3}|[a-z])"
+BOILER = re.compile(rf"(?:(?<![^\s_-])|^){WORDS}(?:[_-]{PARTS})*(?!\S)", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|post-?(?:body|content)|entry-?content|main-?content|story(?:-?body)?|content-?body)(?:$|[\s_-])", re.I)
 LAYOUT = re.compile(r"(?<!\S)(?:has|with|without|no|is|not|js)[-_]\S+", re.I)
 SPACE = re.compile(r"\s+")
@@ -81,7 +85,7 @@ def blocks(page: str | None) -> list[Block]:
     stack = [_Open("", 0, 0, 0, False)]
     names: Counter[str] = Counter()  # of the open block elements
     parts: list[str] = []
-    linked = anchors = heading = at = 0
+    linked = anchor = heading = at = 0  # anchor: how many block elements were open where the open link began, and 1
 
     def flush():
         nonlocal parts, linked
@@ -99,7 +103,7 @@ def blocks(page: str | None) -> list[Block]:
             if not stack[-1].hidden:
                 text = html.unescape(t)
                 parts.append(text)
-                if anchors:
+                if anchor:
                     linked += len(text.split())
             continue
         if t[1] in "!?":
@@ -107,8 +111,8 @@ def blocks(page: str | None) -> list[Block]:
         name = NAME.match(t).group(1).lower()
         inline = name not in BLOCK and "-" not in name
         if t[1] == "/":
-            if name == "a" and anchors:
-                anchors -= 1
+            if name == "a":
+                anchor = 0
             if inline:
                 if stack[-1].inline and stack[-1].name == name:
                     stack.pop()
@@ -120,7 +124,9 @@ def blocks(page: str | None) -> list[Block]:
                     names[last.name] -= not last.inline
                     if last.name == name and not last.inline:
                         break
-                heading, anchors = 0, 0
+                heading = 0
+                if anchor > sum(not x.inline for x in stack):
+                    anchor = 0  # it was never closed
             continue
         if name in RAW:
             end = RAW[name].search(page, at)
@@ -134,8 +140,11 @@ def blocks(page: str | None) -> list[Block]:
                 flush()
             continue
         if name == "a":
-            anchors += 1
-        said = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(t)} if "=" in t or "hidden" in t else {}
+            anchor = sum(not x.inline for x in stack)  # links do not nest
+        said: dict[str, str] = {}
+        if "=" in t or "hidden" in t:
+            for k, v in ATTRIBUTE.findall(t, len(name) + 1):
+                said.setdefault(k.lower(), v.strip("\"'"))  # of an attribute given twice the first counts
         hidden = name == "head" or "hidden" in said or said.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(said.get("style", "")))
         if inline:
             # only what is hidden, and what lies in it, needs to be closed again
@@ -146,11 +155,13 @@ def blocks(page: str | None) -> list[Block]:
         while stack[-1].inline or (name in CLOSES and stack[-1].name == "p") or stack[-1].name in ENDS.get(name, ()):
             last = stack.pop()
             names[last.name] -= not last.inline
+            if anchor > sum(not x.inline for x in stack):
+                anchor = 0
         named = LAYOUT.sub(" ", " ".join(said.get(k, "") for k in ("class", "id", "role")))
         mark, outer = _hint(name, named, said.get("role", ""), stack[-1])
         stack.append(_Open(name, mark, outer, (0 if name == "body" else stack[-1].hidden) + hidden, False))
         names[name] += 1
-        heading, anchors = int(name in HEADINGS), 0
+        heading = int(name in HEADINGS)
     flush()
     return out
 
@@ -203,6 +214,10 @@ LABELLED = (
     "<div class=ad>-4</div><article><p>+1</article><footer>-30<p>-22</footer>",
     # lists of links with some words between
     "<div><h2>-3</h2><ul><li><a>-6</a> 2<li><a>-7</a> 1<li><a>-5</a> 2</ul></div><div><p>+80<p>+41<p>+66</div><div>-1 <a>4</a></div>",
+    # an article that begins beside links, and is nothing else
+    "<article><p>+40<ul><li><a>+2</a><li>+3</ul><p>+40</article>", "<main><p>+12<p><a>+4</a></main>", "<article><h1>+4</h1><p><a>+3</a><p>+20</article>", "<nav><a>-1</a></nav><article><p>+9<p><a>+5</a><p>+30</article>",
+    # cards: links around headings and teasers
+    "<div><h1>+6</h1><p>+70<p>+55<p>+48</div><div><a><h3>-5</h3><p>-26</p></a></div><div><a><h3>-4</h3><p>-18</p></a></div>",
     # text alone
     "<p>+20", "+30", "<div>+12</div><div>+40</div>", "<pre>+25</pre>",
 )
@@ -250,8 +265,11 @@ def extract_text(pages: DataFrame, html_col: str = "html", tree: tuple | None =
 
     Each page is cut in flat text blocks; a decision tree over FEATURES (word counts and link densities of a block and
     its neighbours, hints around it, and how far the page's hints can be trusted) picks those of the article, which are
-    joined by one space in page order. The tree grown on LABELLED asks for the link density first; among blocks below
-    hints of boilerplate, and where a page has no hints, figures of the neighbours decide. Null and empty pages, and pages without such blocks, give an empty string. Rows are independent: no
+    joined by one space in page order. The tree grown on LABELLED asks first whether a hint of boilerplate stands around
+    a block (place): such blocks go, unless hardly a word of the page is free of hints and neither the block nor what
+    follows it is a link. All other blocks are decided by their link density, then by word counts and link densities of
+    the blocks before and after them, and links that remain stay only inside an element or name of an article. Null and
+    empty pages, and pages without such blocks, give an empty string. Rows are independent: no
     shuffle. Nothing is dropped or cut otherwise.
     """
     tree = tree or train_tree(pages.sparkSession)

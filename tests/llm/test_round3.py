@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import ann, embedding_dups, lm_scores, manifest, runs, substrings
+from cairn.llm import ann, embedding_dups, html_blocks, lm_scores, manifest, runs, substrings
 from cairn.llm.common import Workspace
 from cairn.llm.queries import QUERIES
 
@@ -304,3 +304,21 @@ def test_pipeline_keeps_clashing_columns(spark, sf):
     mixed = pipeline.mixture(spark, table, sf)
     assert set(table.columns) <= set(mixed.columns) and len(mixed.columns) == len(table.columns)
     assert mixed.where("position is null or cast(position as string) like 'own%'").count() == 0 < mixed.count()
+
+
+def test_names_inside_attributes_and_links_around_blocks(spark):
+    w = lambda n, x: " ".join([x] * n)
+    pages = [
+        (f'<article title="The hidden valley"><p>{w(30, "in")}</article>', w(30, "in")),
+        (f'<main data-sidebar="hidden"><p>{w(30, "in")}</main>', w(30, "in")),
+        (f'<article><p>{w(30, "in")}<p data-hidden=1>{w(20, "in")}<p hidden>{w(9, "out")}</article>', w(50, "in")),
+        (f'<article><p>{w(30, "in")} see <a href="/hidden-valley">the valley</a> now</article>', w(30, "in") + " see the valley now"),
+        (f'<nav><a>out</a></nav><article><h1>{w(5, "in")}</h1><p>{w(60, "in")}<section class="share-economy"><p>{w(60, "in")}</section></article><footer>{w(9, "out")}</footer>', w(125, "in")),
+        (f'<main><div class="menu-of-the-day"><p>{w(40, "in")}<p>{w(33, "in")}</div></main><footer>{w(9, "out")}</footer>', w(73, "in")),
+        (f'<article class="news alert-2024"><p>{w(50, "in")}</article><article class="news"><p>{w(60, "in")}</article>', w(110, "in")),
+        (f'<div><h1>{w(6, "in")}</h1><p>{w(70, "in")}<p>{w(55, "in")}</div><div><a href=1><h3>{w(5, "out")}</h3><p>{w(26, "out")}</p></a></div><div><a href=2><h3>{w(5, "out")}</h3><p>{w(26, "out")}</p></a></div>', w(131, "in")),
+        (f'<article><p>{w(50, "in")}<div class="social-share-buttons">{w(4, "out")}</div><p>{w(40, "in")}</article><div class="cookie-notice">{w(12, "out")}</div>', w(90, "in")),
+        (f'<article><p>{w(40, "in")}<ul><li><a href=x>in in<li>in in in</ul><p>{w(40, "in")}</article>', w(85, "in")),
+    ]
+    frame = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "page_id long, html string")
+    assert {r["page_id"]: r["text"] for r in html_blocks.extract_text(frame).collect()} == {i: t for i, (_, t) in enumerate(pages)}
