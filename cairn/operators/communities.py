@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.exprs import basename
+from cairn.functions.exprs import LAYER_COLOURS, basename
 from cairn.operators.graph import reversed_edges
 from cairn.sources.tables import Stages
 
-# Layers in their order, and the colour of each.
-LAYER_ORDER = ("api", "service", "data", "ui", "util", "other")
-LAYER_COLORS = {"api": "#6366f1", "service": "#8b5cf6", "data": "#06b6d4", "ui": "#f59e0b", "util": "#64748b", "other": "#475569"}
 #: Products of degrees may pass the range of a long.
 EXACT = "decimal(19,0)"
 
@@ -96,7 +93,7 @@ def merged_communities(nodes: DataFrame, labels: DataFrame, most: int = 6) -> Da
     few = nodes.select("id").limit(4).count() <= 3
     if few:
         layer = F.coalesce("layer", F.lit("other"))
-        labels = nodes.select("id", F.when(layer.isin(*LAYER_ORDER), layer).otherwise("other").alias("label"))
+        labels = nodes.select("id", F.when(layer.isin(*LAYER_COLOURS), layer).otherwise("other").alias("label"))
     size = labels.groupBy("label").agg(F.count("*").alias("n"))
     rank = size.orderBy(F.desc("n"), "label").limit(most)
     rank = rank.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)  # ``most`` rows
@@ -121,10 +118,10 @@ def community_report(nodes: DataFrame, communities: DataFrame) -> DataFrame:
         names = names.unionByName(following.select("community", "x.id", "x.name"))
     listed = names.withColumn("nth", nth).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda x: x["name"]), ", ").alias("label"))
     label = F.when(F.length("label") > 40, F.concat(F.substring("label", 1, 38), F.lit("…"))).otherwise(F.col("label"))
-    place = F.coalesce(*[F.when(F.col("layer") == x, i) for i, x in enumerate(LAYER_ORDER)], F.lit(len(LAYER_ORDER)))
+    place = F.coalesce(*[F.when(F.col("layer") == x, i) for i, x in enumerate(LAYER_COLOURS)], F.lit(len(LAYER_COLOURS)))
     layers = rows.groupBy("community", "layer").agg(F.count("*").alias("n"))
     top = layers.groupBy("community").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("n"), place.alias("place"), "layer")).alias("top"))
-    color = F.coalesce(*[F.when(F.col("top.layer") == x, F.lit(c)) for x, c in LAYER_COLORS.items()], F.lit(LAYER_COLORS["other"]))
+    color = F.coalesce(*[F.when(F.col("top.layer") == x, F.lit(c)) for x, c in LAYER_COLOURS.items()], F.lit(LAYER_COLOURS["other"]))
     return top.join(listed, "community").select("community", "n", label.alias("label"), F.col("top.layer").alias("dominant_layer"), color.alias("color"))
 
 

@@ -103,8 +103,8 @@ def functions_to_files(edges: DataFrame) -> DataFrame:
 def infer_edges(affected: DataFrame, edges: DataFrame) -> DataFrame:
     """(request_id, a, b, kind) for requests whose affected nodes have no explicit edge among them.
 
-    SIBLING: same folder; PAIRED: same stem; RELATED: one stem contains the other, both longer than three characters,
-    found over shared name tokens. RELATED wins over PAIRED, PAIRED over SIBLING; a < b.
+    SIBLING: same folder; PAIRED: same stem; RELATED: one stem contains the other, both longer than three characters.
+    RELATED wins over PAIRED, PAIRED over SIBLING; a < b.
     """
     explicit = induced_edges(affected, edges).select("request_id").distinct()
     stem = F.regexp_replace(basename(F.col("id")), r"\.[^.]*$", "")
@@ -115,10 +115,18 @@ def infer_edges(affected: DataFrame, edges: DataFrame) -> DataFrame:
     pick = [F.col("a.request_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b")]
     sib = a.join(b, same & (F.col("a.folder") == F.col("b.folder")) & less).select(*pick, F.lit(1).alias("k"))
     pair = a.join(b, same & (F.col("a.stem") == F.col("b.stem")) & less).select(*pick, F.lit(2).alias("k"))
-    tokens = rows.where("length(stem) > 3").withColumn("token", F.explode(F.array_distinct(F.split("stem", "[_.-]+"))))
-    a, b = tokens.alias("a"), tokens.alias("b")
-    within = F.contains(F.col("a.stem"), F.col("b.stem")) | F.contains(F.col("b.stem"), F.col("a.stem"))
-    rel = a.join(b, same & (F.col("a.token") == F.col("b.token")) & less).where(within & (F.col("a.stem") != F.col("b.stem"))).select(*pick, F.lit(3).alias("k"))
+    # a stem inside another shares all its runs of three characters: the rarest of them among the request's stems looks it up
+    stems = rows.where("length(stem) > 3").select("request_id", "stem").distinct()
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("stem") - 2), lambda i: F.substring("stem", i, F.lit(3))))
+    grams = stems.select("request_id", "stem", F.explode(runs).alias("gram"))
+    df = grams.groupBy("request_id", "gram").agg(F.count("*").alias("df"))
+    rarest = grams.join(df, ["request_id", "gram"]).groupBy("request_id", "stem").agg(F.min(F.struct("df", "gram")).alias("key"))
+    held = rarest.select("request_id", F.col("stem").alias("part"), F.col("key.gram").alias("gram")).join(grams, ["request_id", "gram"])
+    held = held.where(F.contains("stem", "part") & (F.col("stem") != F.col("part"))).select("request_id", "part", "stem")
+    whole = rows.select("request_id", F.col("id").alias("x"), "stem")
+    inner = rows.select("request_id", F.col("id").alias("y"), F.col("stem").alias("part"))
+    rel = held.join(whole, ["request_id", "stem"]).join(inner, ["request_id", "part"])
+    rel = rel.select("request_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(3).alias("k"))
     best = sib.unionByName(pair).unionByName(rel).groupBy("request_id", "a", "b").agg(F.max("k").alias("k"))
     return best.select("request_id", "a", "b", F.when(F.col("k") == 3, "RELATED").when(F.col("k") == 2, "PAIRED").otherwise("SIBLING").alias("kind"))
 

@@ -418,12 +418,12 @@ def _(fx):
     return louvain(fx)
 
 
-LAYER_PLACE = "CASE layer " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(C.LAYER_ORDER)) + " ELSE 6 END"
+LAYER_PLACE = "CASE layer " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(X.LAYER_COLOURS)) + " ELSE 6 END"
 
 
 @query("G11_community_report", f"""{LOUVAIN}, named AS (SELECT community, string_agg(name, ', ' ORDER BY id) AS label FROM (SELECT community, id, name FROM cm JOIN fx_nodes USING (id) QUALIFY row_number() OVER (PARTITION BY community ORDER BY id) <= 3) GROUP BY 1),
 lay AS (SELECT community, layer, count(*) AS c FROM cm JOIN fx_nodes USING (id) GROUP BY 1, 2), tot AS (SELECT community, CAST(sum(c) AS BIGINT) AS n FROM lay GROUP BY 1),
 top AS (SELECT community, layer FROM lay QUALIFY row_number() OVER (PARTITION BY community ORDER BY c DESC, {LAYER_PLACE}) = 1)
-SELECT community, n, CASE WHEN length(label) > 40 THEN left(label, 38) || '…' ELSE label END AS label, layer AS dominant_layer, CASE layer {" ".join(f"WHEN '{x}' THEN '{c}'" for x, c in C.LAYER_COLORS.items())} END AS color FROM tot JOIN named USING (community) JOIN top USING (community)""")
+SELECT community, n, CASE WHEN length(label) > 40 THEN left(label, 38) || '…' ELSE label END AS label, layer AS dominant_layer, CASE layer {" ".join(f"WHEN '{x}' THEN '{c}'" for x, c in X.LAYER_COLOURS.items())} END AS color FROM tot JOIN named USING (community) JOIN top USING (community)""")
 def _(fx):
     return C.community_report(fx.nodes, fx.stages.keep(louvain(fx)))

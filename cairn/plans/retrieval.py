@@ -376,6 +376,39 @@ def _(fx):
     )
 
 
+# names of all kinds, one for each file, with what they are: language, manifest, test, role
+KINDS = [
+    ("a.PY", "python", False, False, "code"), ("b.jsx", "jsx", False, False, "code"), ("api/c.tsx", "tsx", False, False, "api"), ("d.test.ts", "typescript", False, True, "test"), ("tests/E.java", "java", False, True, "test"),
+    ("f.hpp", "cpp", False, False, "code"), ("g.h", "c", False, False, "code"), ("h_test.go", "go", False, True, "test"), ("services/i.rs", "rust", False, False, "backend"), ("j.kt", "kotlin", False, False, "code"),
+    ("k.sv", "systemverilog", False, False, "code"), ("l.unknown", "unknown", False, False, "code"), ("noextension", "unknown", False, False, "code"), (".bashrc", "unknown", False, False, "code"), ("pages/m.js", "javascript", False, False, "frontend"),
+    ("package.json", "unknown", True, False, "infrastructure"), ("Dockerfile.dev", "unknown", True, False, "infrastructure"), ("requirements-x.txt", "unknown", True, False, "infrastructure"), ("main.tf", "unknown", True, False, "infrastructure"),
+    ("setup.py", "python", True, False, "infrastructure"), ("my_package.json", "unknown", False, False, "code"), ("dockerfile_notes", "unknown", False, False, "code"), ("__tests__/n.rb", "ruby", False, True, "test"), ("contest.py", "python", False, False, "code"),
+]
+_kinds = "(VALUES " + ", ".join(f"({i}, '{n}', '{lang}', {m}, {t}, '{r}')" for i, (n, lang, m, t, r) in enumerate(KINDS)) + ") k(i, name, language, manifest, test, role)"
+
+
+@query("B3_B6_names_of_all_kinds", f"SELECT 'x' || file_key || '/' || name AS path, language, manifest, test, role FROM fx_files JOIN {_kinds} ON i = file_key % {len(KINDS)}")
+def _(fx):
+    name = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), (F.col("file_key") % len(KINDS) + 1).cast("int"))
+    path = F.concat(F.lit("x"), F.col("file_key").cast("string"), F.lit("/"), name)
+    p = F.col("path")
+    return fx.files.select(path.alias("path")).select("path", X.detect_language(p).alias("language"), X.is_manifest(p).alias("manifest"), X.is_test_file(p).alias("test"), X.node_role(p).alias("role"))
+
+
+# a layer's own tag, under any name; folders and modules by the beginning of a part; files by any part
+TAGS = [("API", "api"), ("utility", "util"), (" ui ", "ui"), ("unheard", "other"), (None, None)]
+PLACES = [("folder", "x/models/y", "data"), ("module", "domain/z", "service"), ("file", "a/db/q.py", "data"), ("file", "src/app/t.tsx", "ui"), ("file", "my_api/s.py", "api"), ("file", "app/backend/models/u.py", "service"), ("file", "plain/w.py", "other"), ("folder", "lib/core/v", "service"), ("file", "", "util")]
+_tags = "(VALUES " + ", ".join(f"({i}, {'NULL' if a is None else repr(a)}, {'NULL' if b is None else repr(b)})" for i, (a, b) in enumerate(TAGS)) + ") t(ti, tag, said)"
+_places = "(VALUES " + ", ".join(f"({i}, {k!r}, {n!r}, {x!r})" for i, (k, n, x) in enumerate(PLACES)) + ") p(pi, kind, id, layer)"
+
+
+@query("B7_layers_by_tag_and_place", f"SELECT file_key, coalesce(said, layer) AS layer FROM fx_files JOIN {_tags} ON ti = file_key % {len(TAGS)} JOIN {_places} ON pi = file_key % {len(PLACES)}")
+def _(fx):
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("file_key") % n + 1).cast("int"))
+    kind, node = (pick([p[i] for p in PLACES], len(PLACES)) for i in (0, 1))
+    return fx.files.select("file_key", X.infer_layer(pick([t[0] for t in TAGS], len(TAGS)), node, F.lit("utils/name"), kind).alias("layer"))
+
+
 @query("B10_feature_name", """
 SELECT DISTINCT msg, CASE WHEN regexp_matches(msg, '^(feat|feature|fix|chore|refactor)(\\([^)]*\\))?: ') THEN trim(regexp_replace(msg, '^[a-z]+(\\([^)]*\\))?:', '')) ELSE left(msg, 120) END AS feature FROM fx_commits""")
 def _(fx):
