@@ -16,7 +16,7 @@ CRITICAL = ["auth", "payment", "security", "config", "main", "init", "decoder",
 STORAGE = ["schema", "migration", "model", "db", "database", "table"]
 ROUTE = ["route", "endpoint", "api", "controller", "handler"]
 SENSITIVE = ["auth", "payment", "security", "config"]
-FALLBACK = ["auth", "payment", "security", "config", "core", "main"]
+FALLBACK = ["auth", "payment", "security", "config", "main", "init"]
 
 
 def _has(node_id: Column, words: list[str]) -> Column:
@@ -48,24 +48,60 @@ def dependency_score(node_id: Column, hop: Column, churn: Column) -> Column:
     return F.least(F.lit(100), F.bround(score, 0).cast("int"))
 
 
-def fallback_score(node_id: Column, direct: Column, hop: Column) -> Column:
+def fallback_score(node_id: Column, direct: Column, hop: Column, incidents: Column) -> Column:
+    """0..100 for what only the wider search of ``nearby`` found."""
     score = F.greatest(F.lit(5), 15 - 3 * hop) * F.when(direct, 1.5).otherwise(1.0) * F.when(_has(node_id, FALLBACK), 1.8).otherwise(1.0)
-    return F.least(F.lit(100), F.bround(score, 0).cast("int"))
+    return F.least(F.lit(100), F.bround(score * incident_factor(incidents), 0).cast("int"))
 
 
 USES = ("DEPENDS_ON", "CALLS", "IMPORTS")
 MAYBE = ("MAYBE_CALLS", "MAYBE_DEPENDS")
 
 
-def affected_by(sources: DataFrame, nodes: DataFrame, edges: DataFrame, mode: str = "union", limit: int = 300, more: int = 200) -> DataFrame:
+def nearby(sources: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 200, through: int = 100) -> DataFrame:
+    """(request_id, id, kind, hop) around whatever resembles sources (request_id, id) that hit nothing by themselves.
+
+    Nodes resemble a source if their id holds its file name, or begins the source's own. Their neighbours over any
+    relation come first: hop 1 over what a file uses, else 2; kind ``fallback`` over dependencies and imports, else
+    ``fallback_indirect``; ``limit`` rows a request. Then files whose functions are linked with functions of nodes
+    whose id begins with the source (hop 2), ``through`` rows. Names are looked up by runs of characters, beginnings by
+    equality. Ids with ``::`` and the source itself are left out.
+    """
+    name = F.element_at(F.split("id", r"[/\\\\]"), -1)
+    asked = sources.select("request_id", F.col("id").alias("source"), name.alias("term"))
+    held = contained(asked.select("term"), nodes.select(F.col("id").alias("text")))
+    like = asked.join(held, "term").select("request_id", "source", F.col("text").alias("id"))
+    heads = asked.select("request_id", "source", F.explode(F.transform(F.sequence(F.lit(1), F.length("source")), lambda n: F.substring("source", F.lit(1), n))).alias("id"))
+    like = like.unionByName(heads.join(nodes.select("id"), "id", "left_semi")).distinct()
+    both = edges.select("src", "dst", "relation").unionByName(reversed_edges(edges.select("src", "dst", "relation")))
+    hop = F.when(F.col("relation").isin(*USES), 1).otherwise(2)
+    kind = F.when(F.col("relation").isin("DEPENDS_ON", "IMPORTS"), "fallback").otherwise("fallback_indirect")
+    near = like.join(both, F.col("id") == F.col("src")).where("dst <> id").select("request_id", "source", F.col("dst").alias("id"), hop.alias("hop"), kind.alias("kind"))
+    contains = edges.where("relation = 'CONTAINS'").select(F.col("src").alias("file"), F.col("dst").alias("fn")).distinct()
+    own = like.where("startswith(id, source)").join(contains, F.col("id") == F.col("file")).select("request_id", "source", F.col("id").alias("mine"), F.col("fn").alias("src"))
+    far = own.join(both.select("src", "dst").distinct(), "src").join(contains.select("file", F.col("fn").alias("dst")), "dst").where("file <> mine")
+    far = far.select("request_id", "source", F.col("file").alias("id"), F.lit(2).alias("hop"), F.lit("fallback_indirect").alias("kind"))
+
+    def cut(rows: DataFrame, n: int) -> DataFrame:
+        rows = rows.where("not contains(id, '::') and id <> source").groupBy("request_id", "id").agg(F.min(F.struct("hop", "kind")).alias("h"))
+        nth = F.row_number().over(Window.partitionBy("request_id").orderBy("h", "id"))
+        return rows.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")
+
+    rows = cut(near, limit).unionByName(cut(far, through)).groupBy("request_id", "id").agg(F.min("h").alias("h"))
+    return rows.select("request_id", "id", "h.kind", "h.hop")
+
+
+def affected_by(sources: DataFrame, nodes: DataFrame, edges: DataFrame, mode: str = "union", limit: int = 300, more: int = 200, stages: Stages | None = None) -> DataFrame:
     """(request_id, id, kind, hop) for sources (request_id, id): who is hit when a source changes.
 
     A source stands for its file's symbols, too. Classes in order: dependents (possible ones included), dependencies,
     dependents and dependencies through functions, siblings. ``union`` keeps all, the lowest hop first and then the
     class order; ``cascade`` keeps the first class that is not empty. ``limit`` rows a request stay. Then come pure
     dependencies that are not among them, possible ones included, ``more`` at most. Ids with ``::`` are left out. A
-    source that is infrastructure hits every file (kind ``everything``) and nothing else.
+    source that is infrastructure hits every file (kind ``everything``) and nothing else. Where nothing is found at
+    all, what is ``nearby`` is given. With ``stages`` what is used twice is written.
     """
+    keep = stages.keep if stages else lambda df: df
     asked = sources.join(nodes.where("infrastructure").select("id"), "id", "left_anti").select("request_id", "id")
     whole = sources.join(nodes.where("infrastructure").select("id"), "id", "left_semi").select("request_id", F.col("id").alias("source"))
     symbols = nodes.where("contains(id, '::')").select("id", F.substring_index("id", "::", 1).alias("file"))
@@ -95,22 +131,25 @@ def affected_by(sources: DataFrame, nodes: DataFrame, edges: DataFrame, mode: st
         nth = F.row_number().over(Window.partitionBy("request_id").orderBy("hop", "kind", "id"))
         return df.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth")
 
-    out = cut(out, limit)
+    out = keep(cut(out, limit))
     pure = step(also).withColumn("hop", F.lit(1)).unionByName(step(lifted).withColumn("hop", F.lit(2)))
     pure = pure.where("not contains(id, '::')").join(asked, ["request_id", "id"], "left_anti").groupBy("request_id", "id").agg(F.min("hop").alias("hop"))
     pure = cut(pure.join(out.select("request_id", "id"), ["request_id", "id"], "left_anti").select("request_id", "id", F.lit("dependency").alias("kind"), "hop"), more)
+    pure = keep(pure)
+    lost = asked.join(out.select("request_id").unionByName(pure.select("request_id")).distinct(), "request_id", "left_anti")
+    rest = nearby(keep(lost), nodes, edges)
     # such sources are few and stated, and each of them does hit every file
     files = nodes.where("type = 'file'").select("id")
     all_ = files.join(small(whole), F.col("id") != F.col("source")).select("request_id", "id", F.lit("everything").alias("kind"), F.lit(1).alias("hop"))
-    return out.unionByName(pure).unionByName(all_)
+    return out.unionByName(pure).unionByName(rest).unionByName(all_)
 
 
-def blast_radius(sources: DataFrame, nodes: DataFrame, edges: DataFrame, untested: DataFrame, mode: str = "union") -> DataFrame:
+def blast_radius(sources: DataFrame, nodes: DataFrame, edges: DataFrame, untested: DataFrame, mode: str = "union", stages: Stages | None = None) -> DataFrame:
     """(request_id, id, kind, hop, score, contribution): scored impact of each source; 100 where it hits everything."""
     facts = nodes.select("id", "churn", "incidents").join(untested.select("id", F.lit(True).alias("u")), "id", "left").withColumn("untested", F.coalesce("u", F.lit(False))).drop("u")
-    hits = affected_by(sources, nodes, edges, mode).join(facts, "id")
+    hits = affected_by(sources, nodes, edges, mode, stages=stages).join(facts, "id")
     dep = F.col("kind") == "dependency"
-    score = F.when(F.col("kind") == "everything", 100).when(dep, dependency_score(F.col("id"), F.col("hop"), F.col("churn"))).otherwise(risk_score(F.col("id"), F.col("kind"), F.col("hop"), F.col("churn"), F.col("untested"), F.col("incidents")))
+    score = F.when(F.col("kind") == "everything", 100).when(dep, dependency_score(F.col("id"), F.col("hop"), F.col("churn"))).when(F.startswith("kind", F.lit("fallback")), fallback_score(F.col("id"), F.col("kind") == "fallback", F.col("hop"), F.col("incidents"))).otherwise(risk_score(F.col("id"), F.col("kind"), F.col("hop"), F.col("churn"), F.col("untested"), F.col("incidents")))
     return hits.select("request_id", "id", "kind", "hop", score.alias("score"), (F.when(dep, 0.3).otherwise(1.0) * score).alias("contribution"))
 
 

@@ -54,7 +54,7 @@ scored AS (SELECT *, CASE WHEN kind = 'dependency' THEN 3e-1 ELSE 1e0 END * scor
 
 def scored(fx, r, mode="union"):
     nodes, edges = fx.written("nodes"), fx.written("edges")
-    return R.blast_radius(fx.stages.keep(r), nodes, fx.stages.keep(code_edges(fx)), G.mark_untested(nodes, edges), mode)
+    return R.blast_radius(fx.stages.keep(r), nodes, fx.stages.keep(code_edges(fx)), G.mark_untested(nodes, edges), mode, fx.stages)
 
 
 PR = "SELECT hash AS request_id, file AS id FROM fx_commit_files WHERE hash % 20 = 0"
@@ -92,10 +92,29 @@ def _(fx):
     return scored(fx, r).where("kind = 'dependency'").groupBy("score").agg(F.count("*").alias("n"))
 
 
-@query("H1c_fallback_scores", """
-SELECT id, least(100, CAST(round_even(greatest(5, 15 - 3) * CASE WHEN is_test_file THEN 1e0 ELSE 1.5e0 END * CASE WHEN regexp_matches(id, 'auth|payment|security|config|core|main') THEN 1.8e0 ELSE 1e0 END, 0) AS INT)) AS score FROM fx_files""")
+FALLBACK_SCORE = "least(100, CAST(round_even(greatest(5, 15 - 3 * hop) * CASE WHEN kind = 'fallback' THEN 1.5e0 ELSE 1e0 END * CASE WHEN regexp_matches(id, 'auth|payment|security|config|main|init') THEN 1.8e0 ELSE 1e0 END * (1 + ln(1 + CAST(incidents AS DOUBLE))), 0) AS INT))"
+# changes that name a file without its folder hit nothing themselves: what lies around the files whose ids hold the name
+BARE = f"""WITH q AS (SELECT file_key AS request_id, regexp_replace(id, '^.*/', '') AS id FROM fx_files WHERE file_key % 20 = 0), ce AS {CODE},
+bo AS (SELECT src, dst, relation FROM ce UNION ALL SELECT dst, src, relation FROM ce),
+nr AS (SELECT q.request_id, bo.dst AS id, {{'hop': CASE WHEN relation IN ('DEPENDS_ON', 'CALLS', 'IMPORTS') THEN 1 ELSE 2 END, 'kind': CASE WHEN relation IN ('DEPENDS_ON', 'IMPORTS') THEN 'fallback' ELSE 'fallback_indirect' END}} AS h
+ FROM q JOIN fx_nodes n ON contains(n.id, q.id) JOIN bo ON bo.src = n.id WHERE bo.dst <> n.id AND NOT contains(bo.dst, '::')),
+nb AS (SELECT request_id, id, min(h) AS h FROM nr GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY min(h), id) <= 200),
+fb AS (SELECT nb.request_id, nb.id, h.kind AS kind, CAST(h.hop AS INT) AS hop, incidents FROM nb JOIN fx_nodes n ON n.id = nb.id)"""
+
+
+def bare(fx):
+    r = requests(fx)
+    return scored(fx, r.select("request_id", F.element_at(F.split("id", "/"), -1).alias("id")))
+
+
+@query("H1c_fallback_scores", BARE + f" SELECT {FALLBACK_SCORE} AS score, hop, count(*) AS n FROM fb GROUP BY 1, 2")
+def _(fx):
+    return bare(fx).groupBy("score", "hop").agg(F.count("*").alias("n"))
+
+
+@query("G2_fallback", BARE + f" SELECT request_id, id, kind, hop, {FALLBACK_SCORE} AS score, CAST({FALLBACK_SCORE} AS DOUBLE) AS contribution FROM fb")
 def _(fx):
-    return fx.files.select("id", R.fallback_score(F.col("id"), ~F.col("is_test_file"), F.lit(1)).alias("score"))
+    return bare(fx)
 
 
 @query("G3_blast_edges", affected_sql(REQ, "union") + """, i AS (SELECT a.request_id, e.src, e.dst, e.relation, greatest(a.score, b.score) AS m FROM fx_edges e JOIN scored a ON a.id = e.src JOIN scored b ON b.id = e.dst AND b.request_id = a.request_id)
