@@ -256,3 +256,19 @@ def test_fallback_keeps_the_shortest_of_each_token(spark):
         want += [(n, i, k + 1) for k, (_, i) in enumerate(held[:4])]
     for stages in (None, Stages(spark)):
         assert sorted((r["query_id"], r["id"], r["rank"]) for r in keyword_fallback(q, c, none, 4, stages).collect()) == sorted(want)
+
+
+def test_what_is_nearby_through_names_and_functions(spark):
+    from cairn.operators import risk as K
+
+    edges = [("a/pay.py", "b/x.py", "DEPENDS_ON"), ("c/y.py", "a/pay.py", "COVERS"), ("a/pay.py", "a/pay.py::f", "CONTAINS"), ("a/pay.py::f", "d/z.py::g", "CALLS"), ("d/z.py", "d/z.py::g", "CONTAINS"), ("e/pay.py.bak", "b/x.py", "CALLS")]
+    edges = spark.createDataFrame(edges, "src string, dst string, relation string")
+    ids = ["a/pay.py", "b/x.py", "c/y.py", "d/z.py", "e/pay.py.bak", "a/pay.py::f", "d/z.py::g"]
+    nodes = spark.createDataFrame([(i, "file", False) for i in ids], "id string, type string, infrastructure boolean")
+    ask = lambda *rows: {(r["request_id"], r["id"]): (r["kind"], r["hop"]) for r in K.nearby(spark.createDataFrame(rows, "request_id int, id string"), nodes, edges).collect()}
+    one = {"b/x.py": ("fallback", 1), "c/y.py": ("fallback_indirect", 2), "a/pay.py": ("fallback_indirect", 2)}  # its function resembles, too
+    assert ask((1, "pay.py"), (2, "nothing.py"), (3, "a/pay")) == {**{(1, k): v for k, v in one.items()}, **{(3, k): v for k, v in one.items()}, (3, "d/z.py"): ("fallback_indirect", 2)}
+    assert ask((4, "b/x.py::deep")) == {(4, "a/pay.py"): ("fallback", 1), (4, "e/pay.py.bak"): ("fallback_indirect", 1)}
+    out = K.affected_by(spark.createDataFrame([(1, "pay.py"), (2, "a/pay.py")], "request_id int, id string"), nodes, edges)
+    kinds = {(r["request_id"], r["id"]): r["kind"] for r in out.collect()}
+    assert kinds[1, "b/x.py"] == "fallback" and kinds[2, "b/x.py"] == "dependency" and (2, "c/y.py") not in kinds
