@@ -253,10 +253,55 @@ def seen(as_of, days: int):
     return (F.col("last_login") >= cut) | (F.col("last_login").isNull() & (F.col("updated_at") >= cut))
 
 
-def active_users(users: DataFrame, as_of: DataFrame, days: int = 30) -> DataFrame:
-    """Users who logged in, or without a login were updated, in the last ``days``; newest login first."""
-    rows = users.join(F.broadcast(as_of.limit(1))).where(seen(F.col("as_of"), days)).drop("as_of")
-    return rows.orderBy(F.desc_nulls_last("last_login"), "id")
+def active_users(users: DataFrame, as_of: DataFrame, days: int = 30, use_last_login: bool = True, only_active: bool = False) -> DataFrame:
+    """Users who logged in, or without a login were updated, in the last ``days``; newest login first.
+
+    Without ``use_last_login`` their last update counts alone; with ``only_active`` closed accounts are left out.
+    """
+    rows = users.join(F.broadcast(as_of.limit(1))).where("is_active" if only_active else "true")
+    cut = F.col("as_of") - F.expr(f"INTERVAL {days} DAYS")
+    rows = rows.where(seen(F.col("as_of"), days) if use_last_login else F.col("updated_at") >= cut).drop("as_of")
+    return rows.orderBy(*([F.desc_nulls_last("last_login")] if use_last_login else []), F.desc_nulls_last("updated_at"), "id")
+
+
+def count_active_users(users: DataFrame, as_of: DataFrame, days: int = 30, use_last_login: bool = True, only_active: bool = True) -> DataFrame:
+    """One row: the number of active users."""
+    return active_users(users, as_of, days, use_last_login, only_active).agg(F.count("*").alias("n"))
+
+
+def users_in_range(users: DataFrame, start, end, use_last_login: bool = True, only_active: bool = True) -> DataFrame:
+    """Users whose last login (their last update where there is none, or in its place) lies between two times, both included."""
+    login, update = F.col("last_login").between(start, end), F.col("updated_at").between(start, end)
+    rows = users.where("is_active" if only_active else "true").where(login | (F.col("last_login").isNull() & update) if use_last_login else update)
+    return rows.orderBy(*([F.desc_nulls_last("last_login")] if use_last_login else []), F.desc_nulls_last("updated_at"), "id")
+
+
+def completed_profiles(users: DataFrame, only_active: bool = True) -> DataFrame:
+    """Users who completed their profile, of active accounts only where asked for."""
+    return users.where("profile_completed").where("is_active" if only_active else "true")
+
+
+def embedding_profile(chunks: DataFrame, expected: int, newest: int = 5) -> DataFrame:
+    """(dim, n, mismatch, newest): chunks (embedding, file, created_at) by the length of their vectors, with the files of
+    the newest ones; chunks without a vector have length 0."""
+    rows = chunks.select(F.coalesce(F.nullif(F.size("embedding"), F.lit(-1)), F.lit(0)).cast("long").alias("dim"), "file", "created_at")
+    files = rows.groupBy("dim", "file").agg(F.max("created_at").alias("at"))
+    nth = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("at"), "file"))
+    last = files.withColumn("nth", nth).where(F.col("nth") <= newest).groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("nth", "file"))).alias("x"))
+    n = rows.groupBy("dim").agg(F.count("*").alias("n"))
+    return n.join(last, "dim").select("dim", "n", (F.col("dim") != expected).alias("mismatch"), F.col("x.file").alias("newest"))
+
+
+def weekly_digest(nodes: DataFrame, keep: int = 10) -> DataFrame:
+    """(tenant_id, unowned, incidents, files, top_files): three figures of each tenant and its files of the highest risk.
+
+    Only the files kept are brought together; ties go to the smaller id.
+    """
+    unowned = F.count_if(F.col("top_owner").isNull() | F.col("top_owner").isin("", "None", "Unknown"))
+    sums = nodes.groupBy("tenant_id").agg(unowned.alias("unowned"), F.sum("incidents").alias("incidents"), F.count("*").alias("files"))
+    nth = F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc(F.col("bus_risk") * (1 + F.col("incidents"))), "id"))
+    top = nodes.withColumn("nth", nth).where(F.col("nth") <= keep).groupBy("tenant_id").agg(F.sort_array(F.collect_list(F.struct("nth", "id"))).alias("t"))
+    return sums.join(top.withColumnRenamed("tenant_id", "of"), F.col("tenant_id").eqNullSafe(F.col("of"))).select(*sums.columns, F.col("t.id").alias("top_files"))
 
 
 def inactive_users(users: DataFrame, as_of: DataFrame, days: int = 30) -> DataFrame:

@@ -181,6 +181,28 @@ def _(fx):
     return I.inactive_users(users(fx), fx.as_of)
 
 
+@query("D25_count_active_users", f"""
+SELECT count(*) AS n FROM ({USERS}), {NOW} WHERE is_active AND (last_login >= as_of - INTERVAL 90 DAY OR (last_login IS NULL AND updated_at >= as_of - INTERVAL 90 DAY))""")
+def _(fx):
+    return I.count_active_users(users(fx), fx.as_of, 90)
+
+
+@query("D25_users_in_range", f"""
+SELECT 'login' AS by, id, last_login, updated_at FROM ({USERS}) WHERE is_active AND (last_login BETWEEN TIMESTAMP '1998-03-01' AND TIMESTAMP '1998-06-30' OR (last_login IS NULL AND updated_at BETWEEN TIMESTAMP '1998-03-01' AND TIMESTAMP '1998-06-30'))
+UNION ALL SELECT 'update', id, last_login, updated_at FROM ({USERS}) WHERE updated_at BETWEEN TIMESTAMP '1998-03-01' AND TIMESTAMP '1998-03-31'""")
+def _(fx):
+    at = lambda d: F.to_timestamp(F.lit(d))
+    login = I.users_in_range(users(fx), at("1998-03-01"), at("1998-06-30")).withColumn("by", F.lit("login"))
+    update = I.users_in_range(users(fx), at("1998-03-01"), at("1998-03-31"), False, False).withColumn("by", F.lit("update"))
+    return login.unionByName(update).select("by", "id", "last_login", "updated_at")
+
+
+@query("D25_completed_profiles", f"SELECT id, is_active FROM ({USERS}) JOIN customer ON c_custkey = id WHERE is_active AND c_acctbal > 0")
+def _(fx):
+    done = fx.customer.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("profile_completed"))
+    return I.completed_profiles(users(fx).join(done, "id")).select("id", "is_active")
+
+
 @query("D26_contribution_grid", """
 WITH m AS (SELECT CAST(max(ts) AS DATE) AS as_of FROM events),
 c AS (SELECT CAST(unnest(generate_series(CAST(as_of - 363 AS TIMESTAMP), CAST(as_of AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM m),
@@ -220,13 +242,8 @@ def _(fx):
 WITH t AS (SELECT layer, id, row_number() OVER (PARTITION BY layer ORDER BY bus_risk*(1 + incidents) DESC, id) AS nth, incidents, top_owner FROM fx_nodes)
 SELECT layer AS tenant_id, count(*) FILTER (WHERE {NOBODY}) AS unowned, CAST(sum(incidents) AS BIGINT) AS incidents, count(*) AS files, string_agg(id, ',' ORDER BY nth) FILTER (WHERE nth <= 10) AS top_files FROM t GROUP BY 1""")
 def _(fx):
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("layer").orderBy(F.desc(F.col("bus_risk") * (1 + F.col("incidents"))), "id"))
-    unowned = F.count_if(F.col("top_owner").isNull() | F.col("top_owner").isin("", "None", "Unknown"))
-    top = F.sort_array(F.collect_list(F.when(F.col("nth") <= 10, F.struct("nth", "id"))))
-    out = fx.nodes.withColumn("nth", nth).groupBy(F.col("layer").alias("tenant_id")).agg(unowned.alias("unowned"), F.sum("incidents").alias("incidents"), F.count("*").alias("files"), top.alias("t"))
-    return out.withColumn("top_files", F.array_join(F.transform("t", lambda x: x["id"]), ",")).drop("t")
+    out = I.weekly_digest(fx.nodes.withColumnRenamed("layer", "tenant_id"))
+    return out.withColumn("top_files", F.array_join("top_files", ","))
 
 
 @query("E6_project_overview", """
@@ -236,10 +253,13 @@ def _(fx):
 
 
 @query("E9_embedding_profile", """
-SELECT len(embedding) AS dim, count(*) AS n, len(embedding) <> 64 AS mismatch, max(vec_id) AS newest FROM embeddings GROUP BY 1""")
+WITH c AS (SELECT CASE WHEN file_key % 5 = 0 THEN 32 ELSE len(embedding) END AS dim, id AS file, vec_id // 3 AS created_at FROM embeddings JOIN fx_files ON file_key = vec_id // 2),
+f AS (SELECT dim, file, max(created_at) AS last FROM c GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY dim ORDER BY max(created_at) DESC, file) <= 5)
+SELECT CAST(dim AS BIGINT) AS dim, n, dim <> 64 AS mismatch, newest FROM (SELECT dim, count(*) AS n FROM c GROUP BY 1) JOIN (SELECT dim, string_agg(file, ',' ORDER BY last DESC, file) AS newest FROM f GROUP BY 1) USING (dim)""")
 def _(fx):
-    dim = F.size("embedding")
-    return fx.embeddings.groupBy(dim.cast("long").alias("dim")).agg(F.count("*").alias("n"), F.max("vec_id").alias("newest")).withColumn("mismatch", F.col("dim") != 64)
+    short = F.when(F.col("file_key") % 5 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    c = fx.embeddings.join(fx.files, F.col("file_key") == F.floor(F.col("vec_id") / 2)).select(short.alias("embedding"), F.col("id").alias("file"), F.floor(F.col("vec_id") / 3).alias("created_at"))
+    return I.embedding_profile(c, 64).withColumn("newest", F.array_join("newest", ","))
 
 
 @query("B13_risk_band_filter", """
