@@ -179,11 +179,20 @@ def impact_subgraph(targets: DataFrame, edges: DataFrame, max_hops: int = 2) ->
     return met.join(dep, met.id == dep.dst).select("request_id", "src", "dst").distinct()
 
 
-def expand_subgraph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, max_nodes: int = 100, relations: tuple[str, ...] = (DEPENDS, "CALLS", "CONTAINS", "DEFINES", "COVERS")) -> DataFrame:
-    """(request_id, id, hop): undirected search from seeds, cut to ``max_nodes`` per request, nearest first."""
+def expand_subgraph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, max_nodes: int = 100, relations: tuple[str, ...] = (DEPENDS, "CALLS", "CONTAINS", "DEFINES", "COVERS"), include_functions: bool = False, most_seeds: int | None = None) -> DataFrame:
+    """(request_id, id, hop): undirected search from seeds, cut to ``max_nodes`` per request, nearest first.
+
+    Depth is held to 1..4 and ``max_nodes`` to 10..300. Functions are passed over unless asked for; with ``most_seeds``
+    a request starts from that many of its seeds, by id.
+    """
+    depth, max_nodes = min(4, max(1, depth)), min(300, max(10, max_nodes))
+    kinds = ["file", "folder", "module", "class", *(["function"] if include_functions else [])]
     some = edges.where(F.col("relation").isin(*relations)).select("src", "dst")
-    allowed = nodes.where(F.col("type").isin("file", "folder", "module", "class")).select(F.col("id").alias("dst"))
+    allowed = nodes.where(F.col("type").isin(*kinds)).select(F.col("id").alias("dst"))
     links = some.unionByName(reversed_edges(some)).join(allowed, "dst", "left_semi")
+    if most_seeds is not None:
+        first = F.row_number().over(Window.partitionBy("request_id").orderBy("id"))
+        seeds = seeds.select("request_id", "id").distinct().withColumn("nth", first).where(F.col("nth") <= most_seeds).drop("nth")
     found = reach(seeds, links, depth)
     nth = F.row_number().over(Window.partitionBy("request_id").orderBy("hop", "id"))
     return found.withColumn("nth", nth).where(F.col("nth") <= max_nodes).drop("nth")

@@ -328,6 +328,11 @@ def focus_subgraph(queries: DataFrame, nodes: DataFrame, edges: DataFrame, stage
     return members, induced_edges(members, edges)
 
 
+def expand_layer(layers: DataFrame, nodes: DataFrame, edges: DataFrame, stages: Stages, max_nodes: int = 80) -> tuple[DataFrame, DataFrame]:
+    """``focus_subgraph`` of layers (query_id, layer) without a text: one link around 20 files of each, inside the layer."""
+    return focus_subgraph(layers.select("query_id", F.lit("").alias("text"), "layer"), nodes, edges, stages, depth=1, max_nodes=max_nodes)
+
+
 def focused_subgraph(queries: DataFrame, fused: DataFrame, dense: DataFrame, expanded: DataFrame, nodes: DataFrame, edges: DataFrame, stages: Stages, k: int = 15, depth: int = 1, max_nodes: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (request_id, id, hop), their edges, and a summary (request_id, nodes, edges, truncated, seed_source).
 

@@ -117,6 +117,19 @@ def _(fx):
     return bare(fx)
 
 
+# seven requests of many seeds, over files and their functions, deeper and wider than is allowed
+@query("G5_expand_with_functions", f"""
+WITH ce AS {CODE}, e AS (SELECT src, dst FROM ce WHERE relation IN ('DEPENDS_ON', 'CALLS', 'CONTAINS', 'COVERS')), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+h0 AS (SELECT file_key % 7 AS request_id, id, 0 AS hop FROM fx_files QUALIFY row_number() OVER (PARTITION BY file_key % 7 ORDER BY id) <= 30),
+{", ".join(f"h{i} AS (SELECT request_id, id, min(hop) AS hop FROM (SELECT * FROM h{i - 1} UNION ALL SELECT request_id, dst, {i} FROM h{i - 1} JOIN b ON src = id WHERE hop = {i - 1}) GROUP BY 1, 2)" for i in range(1, 5))}
+SELECT request_id, id, CAST(hop AS INT) AS hop FROM h4 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY hop, id) <= 300""")
+def _(fx):
+    kinds = fx.files.select("id", F.lit("file").alias("type"))
+    kinds = kinds.unionByName(fx.files.select(F.concat("id", F.lit("::f")).alias("id"), F.lit("function").alias("type")))
+    seeds = fx.files.select((F.col("file_key") % 7).alias("request_id"), "id")
+    return G.expand_subgraph(seeds, kinds, fx.stages.keep(code_edges(fx)), 9, 5000, include_functions=True, most_seeds=30)
+
+
 @query("G3_blast_edges", affected_sql(REQ, "union") + """, i AS (SELECT a.request_id, e.src, e.dst, e.relation, greatest(a.score, b.score) AS m FROM fx_edges e JOIN scored a ON a.id = e.src JOIN scored b ON b.id = e.dst AND b.request_id = a.request_id)
 SELECT DISTINCT request_id, src, dst, relation, starts_with(relation, 'MAYBE') AS dashed, CASE relation WHEN 'COVERS' THEN 'Test Coverage' ELSE relation END AS label,
  CASE WHEN m >= 75 THEN 'high' WHEN m >= 40 THEN 'medium' WHEN m >= 15 THEN 'moderate' ELSE 'low' END AS band FROM i""")
@@ -178,6 +191,15 @@ def _(fx):
     return R.focus_subgraph(hinted(hybrid(fx)[0]), fx.written("nodes"), fx.written("edges"), fx.stages)[1]
 
 
+@query("G6_expand_layer", f"""
+WITH aq AS (SELECT DISTINCT layer AS query_id, layer FROM fx_nodes), sl AS (SELECT query_id, id FROM aq JOIN fx_nodes USING (layer) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 20),
+{around_sql('sl').replace('<= 40', '<= 80')} SELECT query_id AS request_id, id FROM t""")
+def _(fx):
+    nodes = fx.written("nodes")
+    layers = nodes.select(F.col("layer").alias("query_id"), "layer").distinct()
+    return R.expand_layer(layers, nodes, fx.written("edges"), fx.stages)[0].select("request_id", "id")
+
+
 WIDER = "(SELECT query_id, text || ' ' || words AS text, layer FROM aq JOIN (SELECT query_id, string_agg(word, ' ') AS words FROM (SELECT DISTINCT a.query_id, unnest(words) AS word FROM pt_t a JOIN " + SYN + " ON list_contains(a.tokens, key)) x JOIN pt_t USING (query_id) WHERE NOT list_contains(tokens, word) GROUP BY 1) USING (query_id))"
 
 
