@@ -254,8 +254,12 @@ def keyword_fallback(queries: DataFrame, chunks: DataFrame, hits: DataFrame, k:
     pairs = keep(contained(left, held))
     rows = held.join(small(pairs), "text").select("term", "id", "length", *(["file"] if own else [])).distinct()
     if own:
-        near = (F.coalesce(F.size("files"), F.lit(0)) <= 0) | F.exists("files", lambda f: F.contains("file", f) | F.contains(f, "file"))
-        rows = rows.join(left.select("term", "files").distinct(), "term").where(near)
+        asked = left.select("term", "files").distinct()
+        free = asked.where(F.coalesce(F.size("files"), F.lit(0)) <= 0)
+        bound = asked.select("term", "files", F.explode("files").alias("one"))
+        near = F.contains("file", "one") | F.contains("one", "file")
+        held_to = rows.join(bound, "term").where(near).select("term", "id", "length", "files").distinct()
+        rows = rows.join(free, "term").select("term", "id", "length", "files").unionByName(held_to)
     nth = F.row_number().over(Window.partitionBy("term", *own).orderBy("length", "id"))
     rows = rows.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("term").alias("__term"), "id", "length", *[F.col(c).alias("__files") for c in own])
     same = F.col("term") == F.col("__term")
