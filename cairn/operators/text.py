@@ -52,19 +52,19 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     A function belongs to the class above it that is indented less, if any. A symbol ends before the next one at the
     same or a lower indent that follows it, else with its file.
     """
-    lines = lines_of(files).withColumn("language", detect_language(F.col("path")))
+    split = F.split("content", "\n")
+    lines = files.select("path", F.size(split).alias("last_line"), F.posexplode(split).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1).withColumn("language", detect_language(F.col("path")))
     found = lines.withColumns({"class": _pick("class"), "function": _pick("function"), "indent": F.length(F.regexp_extract("line", r"^(\s*)", 1))})
     found = found.withColumn("function", F.when(~F.col("function").isin(*NO_FUNCTION), F.col("function")))
-    last = lines.groupBy("path").agg(F.max("line_no").alias("last_line"))
-    s = found.where("class is not null or function is not null").select("path", "line_no", "indent", F.coalesce("class", "function").alias("name"), F.when(F.col("class").isNotNull(), "class").otherwise("function").alias("type"))
+    s = found.where("class is not null or function is not null").select("path", "last_line", "line_no", "indent", F.coalesce("class", "function").alias("name"), F.when(F.col("class").isNotNull(), "class").otherwise("function").alias("type"))
     w = Window.partitionBy("path").orderBy("line_no")
     above = F.last(F.when(F.col("type") == "class", F.struct("name", "indent")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     s = s.withColumn("c", above)
     scope = F.when((F.col("type") == "function") & (F.col("c.indent") < F.col("indent")), F.concat("path", F.lit("::"), "c.name")).otherwise(F.col("path"))
     # a file's symbols as one row, each with the next one at the same or a lower indent
     listed = F.sort_array(F.collect_list(F.struct("line_no", "indent", "name", "type", "scope")))
-    s = s.withColumn("scope", scope).groupBy("path").agg(listed.alias("s"))
-    s = s.select("path", F.explode(F.arrays_zip("s", F.pandas_udf(_next_outer, "array<int>")(F.col("s.line_no"), F.col("s.indent")).alias("nxt"))).alias("x")).select("path", "x.s.*", "x.nxt").join(last, "path")
+    s = s.withColumn("scope", scope).groupBy("path").agg(listed.alias("s"), F.max("last_line").alias("last_line"))
+    s = s.select("path", "last_line", F.explode(F.arrays_zip("s", F.pandas_udf(_next_outer, "array<int>")(F.col("s.line_no"), F.col("s.indent")).alias("nxt"))).alias("x")).select("path", "last_line", "x.s.*", "x.nxt")
     return s.select("path", F.concat("scope", F.lit("::"), "name").alias("id"), "name", "type", "scope", F.col("line_no").alias("start_line"), F.coalesce(F.col("nxt") - 1, "last_line").alias("end_line"), "indent")
 
 
