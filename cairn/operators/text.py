@@ -97,12 +97,15 @@ def extract_imports(files: DataFrame) -> DataFrame:
 
 
 def call_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(src, dst): calls inside a function's lines of functions of the same file; ``self.x`` prefers the same class."""
+    """(src, dst): calls inside a function's lines of functions of the same file; ``self.x`` prefers the same class.
+
+    Both sides are lines of texts, which Spark takes for smaller than they are, so they are merged, never broadcast.
+    """
     f = symbols.where("type = 'function'").select("path", F.col("id").alias("src"), F.col("scope").alias("src_scope"), "start_line", "end_line")
     calls = lines_of(files).select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(r"((?:self\.)?\w+)\s*\("), F.lit(1))).alias("call"))
     calls = calls.select("path", "line_no", F.startswith("call", F.lit("self.")).alias("own"), F.regexp_replace("call", r"^self\.", "").alias("name")).where(~F.col("name").isin(*NO_CALL))
     t = symbols.where("type = 'function'").select("path", "name", F.col("id").alias("dst"), F.col("scope").alias("dst_scope"))
-    rows = calls.join(t, ["path", "name"]).join(f, "path").where(F.col("line_no").between(F.col("start_line") + 1, F.col("end_line")) & (F.col("src") != F.col("dst")))
+    rows = calls.join(t.hint("merge"), ["path", "name"]).join(f.hint("merge"), "path").where(F.col("line_no").between(F.col("start_line") + 1, F.col("end_line")) & (F.col("src") != F.col("dst")))
     rows = rows.withColumn("same", F.col("own") & (F.col("src_scope") == F.col("dst_scope")))
     best = F.max("same").over(Window.partitionBy("path", "line_no", "name", "src"))
     return rows.withColumn("best", best).where("not best or same").select("src", "dst").distinct()
