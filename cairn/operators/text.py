@@ -259,15 +259,18 @@ def chunk_markdown(docs: DataFrame, max_chars: int = 2000, overlap: float = 0.5)
 
 
 def chunk_code(files: DataFrame, symbols: DataFrame, max_chars: int = 2000, overlap: int = 150) -> DataFrame:
-    """(path, symbol_id, chunk_type, part, content): a chunk a symbol with a header, and module chunks of the other lines."""
+    """(path, symbol_id, chunk_type, part, content): a chunk a symbol with a header, and module chunks of the other lines.
+
+    Lines and symbols are merged, as Spark takes lines of texts for smaller than they are and would broadcast them.
+    """
     lines = lines_of(files)
     s = symbols.select(F.col("path").alias("of"), "id", "name", "type", "start_line", "end_line")
-    inside = lines.join(s, (F.col("path") == F.col("of")) & F.col("line_no").between(F.col("start_line"), F.col("end_line")))
+    inside = lines.join(s.hint("merge"), (F.col("path") == F.col("of")) & F.col("line_no").between(F.col("start_line"), F.col("end_line")))
     join = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     own = inside.groupBy("path", "id", "name", "type").agg(join.alias("body"))
     header = F.concat(F.lit("File: "), "path", F.lit("\n"), F.initcap("type"), F.lit(": "), "name", F.lit("\n"))
     own = own.select("path", F.col("id").alias("symbol_id"), F.col("type").alias("chunk_type"), F.concat(header, "body").alias("content"))
-    free = lines.join(inside.select("path", "line_no").distinct(), ["path", "line_no"], "left_anti").groupBy("path").agg(join.alias("body")).where(F.length(F.trim("body")) > 20)
+    free = lines.join(inside.select("path", "line_no").distinct().hint("merge"), ["path", "line_no"], "left_anti").groupBy("path").agg(join.alias("body")).where(F.length(F.trim("body")) > 20)
     free = free.select("path", F.lit(None).cast("string").alias("symbol_id"), F.lit("module").alias("chunk_type"), F.concat(F.lit("File: "), "path", F.lit("\n"), "body").alias("content"))
     every = own.unionByName(free)
     cut = _windows(max_chars, overlap, ("\n",))
