@@ -368,7 +368,8 @@ def chunk_all(files: DataFrame) -> DataFrame:
     symbols = extract_symbols(source)
     code = chunk_code(source, symbols)
     # code gives no chunk only where it has no symbol and at most twenty characters
-    tiny = source.where(F.length(F.trim("content")) <= 20).join(symbols.select("path").distinct(), "path", "left_anti")
+    few = source.where(F.length(F.trim("content")) <= 20)
+    tiny = few.join(extract_symbols(few).select("path").distinct().hint("merge"), "path", "left_anti")
     rest = f.where("kind = 'plain'").unionByName(tiny)
     return manifest.unionByName(marked).unionByName(code).unionByName(chunk_fallback(rest))
 
