@@ -1,8 +1,11 @@
 """What larger tables showed: joins that Spark took for small, texts that begin with letters outside ASCII."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from cairn.operators import text as T
+from cairn.operators.insight import nodes_by_name
+from cairn.operators.matching import contained
 from cairn.plans import ORACLES, QUERIES
 from tests.oracle import rows
 
@@ -35,3 +38,15 @@ def test_keyword_fallback_of_texts_that_begin_with_other_letters(spark, sf, tmp_
     for t in ("benchmark", "documents"):
         con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     assert got and got == rows(con.sql(ORACLES["R7_keyword_fallback"]).df())
+
+
+def test_runs_of_characters_are_not_broadcast_and_find_terms_of_all_lengths(spark):
+    names = [f"api/b{i}/Core_part_{i}.py" for i in range(40)] + ["x", "ab", "abc", "aaaaaaaaaa", ""]
+    texts = spark.createDataFrame([(n,) for n in names], "text string")
+    terms = ["x", "ab", "abc", "part_1", "Core_part_12.py", "aaaaaaaa", "none of them", "", "/b3"]
+    found = contained(spark.createDataFrame([(t,) for t in terms], "term string"), texts)
+    assert {tuple(r) for r in found.collect()} == {(t, n) for t in terms for n in names if t and t in n}
+    nodes = texts.select(F.col("text").alias("id"), F.col("text").alias("name"))
+    asked = spark.createDataFrame([(1, "Core_"), (2, "ab")], "query_id long, term string")
+    # only terms with their one run are sent anywhere
+    assert joins(nodes_by_name(asked, nodes)).count("BroadcastHashJoin") <= 2
