@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cairn.operators import text as T
 from cairn.operators.insight import nodes_by_name
 from cairn.operators.matching import contained
+from cairn.operators.risk import blast_edges
 from cairn.plans import ORACLES, QUERIES
 from tests.oracle import rows
 
@@ -50,3 +51,15 @@ def test_runs_of_characters_are_not_broadcast_and_find_terms_of_all_lengths(spar
     asked = spark.createDataFrame([(1, "Core_"), (2, "ab")], "query_id long, term string")
     # only terms with their one run are sent anywhere
     assert joins(nodes_by_name(asked, nodes)).count("BroadcastHashJoin") <= 2
+
+
+def test_edges_of_sources_that_hit_everything_are_not_shuffled_by_request(spark):
+    files = spark.createDataFrame([(c,) for c in "abcd"], "id string")
+    edges = spark.createDataFrame([("a", "b", "COVERS"), ("b", "c", "MAYBE_CALLS"), ("c", "d", "CALLS"), ("c", "d", "CALLS"), ("d", "z", "CALLS")], "src string, dst string, relation string")
+    hit = spark.createDataFrame([(1, "b", 20), (1, "c", 50), (1, "z", 9)], "request_id int, id string, score int")
+    whole = spark.createDataFrame([(2, "a"), (3, "d")], "request_id int, source string")
+    found = blast_edges(hit, edges, whole, files)
+    want = {(1, "b", "c", True, "MAYBE_CALLS", "medium"), (2, "b", "c", True, "MAYBE_CALLS", "high"), (2, "c", "d", False, "CALLS", "high"), (3, "a", "b", False, "Test Coverage", "high"), (3, "b", "c", True, "MAYBE_CALLS", "high")}
+    got = [(r.request_id, r.src, r.dst, r.dashed, r.label, r.band) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert joins(found).count("BroadcastNestedLoopJoin") == 1
