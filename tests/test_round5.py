@@ -28,3 +28,19 @@ def test_seeds_by_tokens_that_many_or_few_questions_ask_for(spark):
     for k in (1, 4, 100):
         best = {(r.query_id, r.id, r.points) for r in R.keyword_seeds(qs, ns, k).collect()}
         assert best == {(q, n, p) for q, found in every.items() for p, n in sorted(found, key=lambda x: (-x[0], x[1]))[:k]}
+
+
+def test_reviews_of_what_hits_every_file_count_files_and_do_not_list_them(spark):
+    files = [f"a/f{i:02}.py" for i in range(5)] + [f"b/test_{i:02}.py" for i in range(14)]
+    nodes = spark.createDataFrame([(f, "file") for f in files] + [("m", "module")], "id string, type string")
+    pr = spark.createDataFrame([(1, "a/f00.py"), (2, "b/test_00.py"), (3, "b/test_00.py"), (3, "a/f01.py"), (4, "m"), (5, "b/test_03.py"), (5, "a/f02.py")], "pr_id int, file string")
+    whole = [(2, "b/test_00.py"), (3, "b/test_00.py"), (3, "a/f01.py"), (4, "m"), (5, "b/test_03.py")]
+    near = [(1, "a/f01.py"), (1, "b/test_01.py"), (3, "m"), (5, "b/test_03.py"), (5, "a/f01.py"), (5, "x/spec")]
+    listed = sorted({(p, f) for p, s in whole for f in files if f != s} | set(near))
+    none = lambda schema: spark.createDataFrame([], schema)
+    risks = spark.createDataFrame([(f, 10, "o", 0.1, 0) for f in [*files, "m"]], "file string, risk int, owner string, bus_risk double, incidents int")
+    rest = (none("pr_id int, file string"), none("src string, dst string, violation_rule string"), none("pr_id int, person string, confidence double"))
+    every = R.pr_review(pr, risks, spark.createDataFrame(listed, "pr_id int, id string"), *rest)
+    counted = R.pr_review(pr, risks, spark.createDataFrame(near, "pr_id int, id string"), *rest, spark.createDataFrame(whole, "pr_id int, source string"), nodes.where("type = 'file'").select("id"))
+    assert sorted(counted.collect()) == sorted(every.collect())
+    assert {r.pr_id: r.affected for r in counted.collect()} == {1: 2, 2: 18, 3: 20, 4: 19, 5: 20}
