@@ -2,7 +2,12 @@
 
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
+
+from cairn.operators import retrieval as V
 from cairn.operators import risk as R
 
 
@@ -44,3 +49,21 @@ def test_reviews_of_what_hits_every_file_count_files_and_do_not_list_them(spark)
     counted = R.pr_review(pr, risks, spark.createDataFrame(near, "pr_id int, id string"), *rest, spark.createDataFrame(whole, "pr_id int, source string"), nodes.where("type = 'file'").select("id"))
     assert sorted(counted.collect()) == sorted(every.collect())
     assert {r.pr_id: r.affected for r in counted.collect()} == {1: 2, 2: 18, 3: 20, 4: 19, 5: 20}
+
+
+def test_dense_search_returns_k_of_each_query_from_a_partition_whatever_its_batches(monkeypatch):
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-2, 3, (300, 4)).astype(float)  # many ties, some zero vectors
+    ids = rng.permutation(300)
+    asked = np.arange(0, 300, 20)
+    sent = SimpleNamespace(value={4: (asked, V._unit(vectors[asked]))})
+    score = np.round(V._unit(vectors[asked]) @ V._unit(vectors).T, 9)
+    monkeypatch.setattr(V, "TILE", 15 * 7)
+    for k in (1, 5, 400):
+        batches = [pd.DataFrame({"id": ids[i : i + 50], "embedding": list(vectors[i : i + 50])}) for i in range(0, 300, 50)] + [pd.DataFrame({"id": [900, 901], "embedding": [None, [1.0]]})]
+        got = pd.concat(V._best(sent, k)(batches))
+        want = []
+        for q, row in zip(asked, score):
+            found = sorted((-s, i) for s, i in zip(row, ids) if s == s)[:k]
+            want += [(q, i, -s) for s, i in found]
+        assert sorted(map(tuple, got.itertuples(index=False))) == sorted(want)
