@@ -1,11 +1,13 @@
 """What larger tables showed: rows that grow with questions times nodes."""
 
+import math
 import re
 from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from cairn.operators import retrieval as V
 from cairn.operators import risk as R
@@ -67,3 +69,26 @@ def test_dense_search_returns_k_of_each_query_from_a_partition_whatever_its_batc
             found = sorted((-s, i) for s, i in zip(row, ids) if s == s)[:k]
             want += [(q, i, -s) for s, i in found]
         assert sorted(map(tuple, got.itertuples(index=False))) == sorted(want)
+
+
+def test_keyword_search_deals_out_no_row_per_query_and_candidate(spark):
+    texts = [(i, " ".join(["alpha"] * (i % 3 + 1) + ["beta"] * (i % 2) + ["gamma"] * (i % 50 == 0))) for i in range(400)]
+    chunks = spark.createDataFrame(texts, "id long, content string")
+    queries = spark.createDataFrame([(q, t) for q, t in enumerate(["alpha", "beta alpha", "gamma alpha", "gamma beta", "delta alpha", ""] * 3)], "query_id long, text string")
+    found = V.sparse_search(queries, chunks, 5)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    mean = sum(len(t.split()) for _, t in texts) / len(texts)
+    for q in range(18):
+        terms = ["alpha", "beta alpha", "gamma alpha", "gamma beta", "delta alpha", ""][q % 6].split()
+        n = {t: sum(t in x.split() for _, x in texts) for t in terms}
+        rows = []
+        for i, x in texts:
+            w = x.split()
+            if terms and all(t in w for t in terms):
+                rows.append((-round(sum(math.log(1 + (400 - n[t] + 0.5) / (n[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in sorted(terms)), 6), i))
+        assert [i for _, i in sorted(got.get(q, []))] == [i for _, i in sorted(rows)[:5]]
+    # parts give the best of a query only: k of each, or as many more as score the same but for rounding
+    lists = V._rank_in_parts(queries.selectExpr("'' AS tenant_id", "query_id", "split(text, ' ') AS terms").where("text = 'alpha'"), V.postings(chunks).withColumn("tenant_id", F.lit("")), V.postings(chunks).groupBy("term").agg(F.count("*").alias("df")).withColumn("tenant_id", F.lit("")), spark.createDataFrame([("", 400, mean)], "tenant_id string, n_docs long, mean double"), 5, 1.2, 0.75)
+    assert lists.count() <= 3 * 8 * 10 < 3 * 400
