@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import Workspace
@@ -50,8 +50,11 @@ def set_digest(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 42) - (1 << 63) if len(hashes) else 0
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, key, fp, bands, sketch) per row: digests of the text and of its shingle set, and of its signature."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, more: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, key, fp, bands, sketch) per row: digests of the text and of its shingle set, and of its signature.
+
+    ``more`` are further columns, by name, that are made in the same pass.
+    """
 
     @F.pandas_udf("fp long, bands array<long>, sketch binary")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -63,8 +66,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 out.append((set_digest(hashes), bands(least) if len(hashes) else [], (least >> np.uint64(56)).astype(np.uint8).tobytes()))
             yield pd.DataFrame(out, columns=["fp", "bands", "sketch"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), sketch(F.col(text_col)).alias("s"))
-    return rows.select("doc_id", "key", "s.*")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), sketch(F.col(text_col)).alias("s"), *[c.alias(n) for n, c in (more or {}).items()])
+    return rows.select("doc_id", "key", "s.*", *(more or {}))
 
 
 def _forest(fps: np.ndarray, marks: np.ndarray, least: float) -> list[tuple[int, int]]:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import Workspace
@@ -40,13 +40,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A bit is set if it is set in over half of the XXH64 (seed 42) of all ``width``-word shingles, repeats included.
     Fewer words than ``width``: the whole sequence is the one shingle. No words (null, empty, white space): 0.
     """
+    return docs.select(F.col(id_col).alias("doc_id"), fingerprint_of(text_col, width).alias("fp"))
+
+
+def fingerprint_of(text_col: str, width: int = 3) -> Column:
+    """The fingerprint of a column of texts; see :func:`fingerprints`."""
 
     @F.pandas_udf("long")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col)).alias("fp"))
+    return simhash(F.col(text_col))
 
 
 def covering_masks(radius: int, seed: int = 1) -> list[int]:
@@ -133,28 +138,48 @@ def fingerprint_links(fps: DataFrame, work: Workspace, radius: int = 3, bucket_l
     return links.distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int | None = None, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int | None = None, similarity: float | None = None, fp_width: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long), component_id (smallest doc_id reachable over links).
 
-    Rows link if the Jaccard similarity of their sets of ``width``-word shingles is ``similarity`` or more; fp is then
-    a digest of the set. With a ``radius``, rows link if their SimHash fingerprints differ in at most so many bits.
+    With a ``radius``, rows link if their SimHash fingerprints (of ``fp_width``-word shingles, else ``width``) differ in
+    at most so many bits. With a ``similarity``, rows link if the Jaccard similarity of their sets of ``width``-word
+    shingles is that or more. With both, either links them, and fp is the fingerprint; with neither, ``similarity`` is
+    0.8. Without a ``radius``, fp is a digest of the set.
     Copies share a fingerprint, so only distinct fingerprints are compared, however many rows carry one. Null texts
     count as empty; repeated rows come out as often as they went in; an empty table gives no rows; a null doc_id never
     becomes a component's id unless it is alone. Other columns are ignored.
     """
     work = Workspace(docs.sparkSession, "simhash")
-    if radius is None:
-        found = work.save(sketches(docs, id_col, text_col, width), "sketches")
-        fps = found.select("doc_id", "fp")
-        first = F.first(F.struct("key", "bands", "sketch")).alias("s")
-        nodes = work.save(found.groupBy("fp").agg(F.min("doc_id").alias("first_id"), first).select("fp", "first_id", "s.*"), "nodes")
-        parts = connected_components(similar_links(nodes, docs, text_col, work, width, similarity), work)
-    else:
-        fps = work.save(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    if similarity is None and radius is not None:
+        fps = work.save(fingerprints(docs, id_col, text_col, fp_width or width), "fingerprints")
         nodes = work.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
         parts = connected_components(fingerprint_links(nodes.select("fp"), work, radius), work)
+    else:
+        more = {} if radius is None else {"simhash": fingerprint_of(text_col, fp_width or width)}
+        found = work.save(sketches(docs, id_col, text_col, width, more), "sketches")
+        fps = found.select("doc_id", "fp", *more)
+        first = F.first(F.struct("key", "bands", "sketch")).alias("s")
+        nodes = work.save(found.groupBy("fp").agg(F.min("doc_id").alias("first_id"), first).select("fp", "first_id", "s.*"), "nodes")
+        links = similar_links(nodes, docs, text_col, work, width, 0.8 if similarity is None else similarity)
+        if radius is not None:
+            links = links.unionByName(_links_of_sets(fps, work, radius))
+        parts = connected_components(links, work)
     # components of fingerprints -> smallest doc_id over all their fingerprints
     member = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("comp"))
     member = work.save(member, "members")
     best = member.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    return fps.join(member.join(best, "comp").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rows = fps.join(member.join(best, "comp").select("fp", "component_id"), "fp")
+    return rows.select("doc_id", (F.col("simhash") if "simhash" in rows.columns else F.col("fp")).alias("fp"), "component_id")
+
+
+def _links_of_sets(fps: DataFrame, work: Workspace, radius: int) -> DataFrame:
+    """Links (a, b) of the shingle sets (fp) of rows whose fingerprints (simhash) lie within ``radius`` bits.
+
+    The least set stands for its fingerprint: every other set of it links to it, and so do links of fingerprints.
+    """
+    both = work.save(fps.select("fp", "simhash").distinct(), "sets-of-fingerprints")
+    one = work.save(both.groupBy("simhash").agg(F.min("fp").alias("one")), "fingerprints")
+    near = fingerprint_links(one.select(F.col("simhash").alias("fp")), work, radius)
+    near = near.join(one.select(F.col("simhash").alias("a"), F.col("one").alias("x")), "a").join(one.select(F.col("simhash").alias("b"), F.col("one").alias("y")), "b")
+    same = both.join(one, "simhash").where("fp <> one").select(F.col("fp").alias("a"), F.col("one").alias("b"))
+    return work.save(near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same), "links-of-fingerprints")

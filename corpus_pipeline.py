@@ -38,9 +38,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of every group of near-duplicates (of several, that of the smallest hash)."""
+    """The document of the smallest doc_id of every group of near-duplicates (of several, that of the smallest hash).
+
+    Documents link by their SimHash fingerprints, at 3 bits of 64, and, as most near copies differ in more, also by the
+    exact Jaccard similarity of their sets of five-word shingles.
+    """
     row = _fresh(docs)
-    near = near_duplicates(_known(docs, row).select(row, "text"), id_col=row)
+    near = near_duplicates(_known(docs, row).select(row, "text"), id_col=row, radius=3, fp_width=3, similarity=0.8)
     first = near.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias(row)).distinct()
     return _known(docs, row).join(first, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
