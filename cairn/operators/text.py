@@ -6,6 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,6 +236,10 @@ def heading_windows(path: str, title: str, body: str, size: int, overlap: int) -
     return out
 
 
+#: Sections whose chunks leave a task at once.
+SECTIONS = 64
+
+
 def chunk_markdown(docs: DataFrame, max_chars: int = 2000, overlap: float = 0.5) -> DataFrame:
     """(path, section, part, heading, content): a document's sections by heading, each cut in windows that overlap.
 
@@ -249,13 +254,15 @@ def chunk_markdown(docs: DataFrame, max_chars: int = 2000, overlap: float = 0.5)
     sections = rows.groupBy("path", "section").agg(F.max("h").alias("heading"), text.alias("content"))
     title = F.when(F.col("section") == 0, "Introduction").otherwise(F.col("heading"))
 
-    @F.pandas_udf("array<struct<heading:string,content:string>>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for paths, titles, bodies in batches:
-            yield pd.Series([[{"heading": h, "content": c} for h, c in heading_windows(p, t, b.strip(), max_chars, int(max_chars * overlap))] for p, t, b in zip(paths, titles, bodies, strict=True)])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, SECTIONS):  # chunks hold a text about twice, so they leave a few texts at a time
+                rows = b.slice(start, SECTIONS).to_pylist()
+                out = [(r["path"], r["section"], part, h, c) for r in rows for part, (h, c) in enumerate(heading_windows(r["path"], r["title"], r["content"].strip(), max_chars, int(max_chars * overlap)))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["path", "section", "part", "heading", "content"])
 
-    found = sections.select("path", "section", F.posexplode(cut("path", title, "content")).alias("part", "x"))
-    return found.select("path", "section", "part", "x.heading", "x.content")
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+    return sections.select("path", "section", title.alias("title"), "content").mapInArrow(cut, "path string, section long, part int, heading string, content string")
 
 
 def chunk_code(files: DataFrame, symbols: DataFrame, max_chars: int = 2000, overlap: int = 150) -> DataFrame:
