@@ -167,9 +167,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: tuple[tuple[s
     base = base.otherwise(F.when(F.contains(m, F.lit("/")), m).otherwise(F.replace(m, F.lit("."), F.lit("/"))))
     ends = ["", ".py", ".ts", ".tsx", ".js", ".jsx", ".go", "/__init__.py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
     rows = rows.select(*own, "path", "module", "relation", base.alias("base"))
-    tried = rows.select(*own, "path", "module", "relation", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ends])).alias("nth", "target"))
-    hit = tried.join(files.select(*own, F.col("path").alias("target")), [*own, "target"])
-    hit = hit.groupBy(*own, "path", "module", "relation").agg(F.min_by("target", "nth").alias("target"))
+    # a file is found under each base that it ends, by the first of the endings that lead to it
+    t = F.col("target")
+    found = F.filter(F.array(*[F.struct(F.lit(n).alias("nth"), F.when(F.endswith(t, F.lit(e)), F.substring(t, F.lit(1), F.length(t) - len(e))).alias("base")) for n, e in enumerate(ends)]), lambda x: x["base"].isNotNull())
+    known = files.select(*own, F.col("path").alias("target")).select(*own, "target", F.explode(found).alias("x")).select(*own, "target", "x.*")
+    known = known.groupBy(*own, "base").agg(F.min(F.struct("nth", "target")).alias("m")).select(*own, "base", "m.target")
+    hit = rows.join(known.hint("merge"), [*own, "base"]).select(*own, "path", "module", "relation", "target").distinct()
     if not fallback:
         return hit
     language = detect_language(F.col("path"))
