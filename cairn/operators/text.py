@@ -90,11 +90,11 @@ def structure_edges(symbols: DataFrame) -> DataFrame:
 
 def extract_imports(files: DataFrame) -> DataFrame:
     """(path, module, relation): IMPORTS; MAYBE_IMPORTS for wildcards, MAYBE_DEPENDS for importlib calls."""
-    lines = lines_of(files).withColumn("language", detect_language(F.col("path"))).withColumn("module", _pick("import"))
+    lines = lines_of(files).withColumn("language", detect_language(F.col("path")))
     star = F.col("line").rlike(r"^\s*from\s+[\w.]+\s+import\s+\*")
-    plain = lines.where("module is not null").select("path", "module", F.when(star, "MAYBE_IMPORTS").otherwise("IMPORTS").alias("relation"))
-    dynamic = lines.select("path", F.nullif(F.regexp_extract("line", r"importlib\.import_module\(\s*['\"]([^'\"]+)['\"]", 1), F.lit("")).alias("module"), F.lit("MAYBE_DEPENDS").alias("relation")).where("module is not null")
-    return plain.unionByName(dynamic).distinct()
+    dynamic = F.nullif(F.regexp_extract("line", r"importlib\.import_module\(\s*['\"]([^'\"]+)['\"]", 1), F.lit(""))
+    both = F.array(F.struct(_pick("import").alias("module"), F.when(star, "MAYBE_IMPORTS").otherwise("IMPORTS").alias("relation")), F.struct(dynamic.alias("module"), F.lit("MAYBE_DEPENDS").alias("relation")))
+    return lines.select("path", F.explode(both).alias("x")).select("path", "x.*").where("module is not null").distinct()
 
 
 def call_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:

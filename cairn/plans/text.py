@@ -21,7 +21,12 @@ SRC_SQL = SRC.replace("{fx_files}", "fx_files").replace("\\\\.py", "\\.py")
 
 
 def sources(fx):
-    return fx.spark.sql(SRC, fx_files=fx.files)
+    return fx.spark.sql(SRC, fx_files=dealt(fx))
+
+
+def dealt(fx):
+    """Files dealt to tasks before texts are made of them, as ``part`` is small and read by few."""
+    return fx.files.select("file_key", "id").repartition("file_key")
 
 
 @query("K1_extract_structure", f"""
@@ -53,7 +58,7 @@ WITH f AS (SELECT id AS path, regexp_replace(regexp_replace(id, '^.*/', ''), '\\
 SELECT path, module, 'IMPORTS' AS relation, path AS target FROM (SELECT path, unnest([a || '.' || b || '.' || stem, '../../' || a || '/' || b || '/' || stem, '@' || a || '/' || b || '/' || stem || '.py', './' || stem, '../' || b || '/./' || stem]) AS module FROM f)""")
 def _(fx):
     parts, stem = F.split("path", "/"), F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.py$", "")
-    f = fx.files.select(F.col("id").alias("path")).withColumns({"stem": stem, "a": parts[0], "b": parts[1]})
+    f = dealt(fx).select(F.col("id").alias("path")).withColumns({"stem": stem, "a": parts[0], "b": parts[1]})
     forms = ["{a}.{b}.{stem}", "../../{a}/{b}/{stem}", "@{a}/{b}/{stem}.py", "./{stem}", "../{b}/./{stem}", "../../../../{a}/{b}/{stem}", "{a}/{b}/no_{stem}", "os"]
     filled = [F.replace(F.replace(F.replace(F.lit(x), F.lit("{a}"), F.col("a")), F.lit("{b}"), F.col("b")), F.lit("{stem}"), F.col("stem")) for x in forms]
     imports = f.select("path", F.explode(F.array(*filled)).alias("module"), F.lit("IMPORTS").alias("relation"))
