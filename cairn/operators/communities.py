@@ -25,15 +25,35 @@ def _turn(v: Column, turn: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(v, F.lit(f":{turn}"))), 1, 1), 16, 10).cast("int") % 2 == 0
 
 
+def _numbered(nodes: DataFrame, turns: int) -> DataFrame:
+    """(id, n, turns): a number for every distinct id, in the order of ids once written, and a bit for each of its turns."""
+    if turns > 62:
+        raise ValueError("a node has 62 turns at most")
+    bits = F.lit(0).cast("long")
+    for t in range(turns):
+        bits = bits + F.when(_turn(F.col("id"), t), F.lit(1 << t).cast("long")).otherwise(0)
+    return nodes.select("id").distinct().orderBy("id").select("id", F.monotonically_increasing_id().alias("n"), bits.alias("turns"))
+
+
+def _numbered_links(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, w, turns): the links of ``simple_links`` between numbers, with the turns of a."""
+    e = edges.select("src", "dst").where("src <> dst")
+    e = e.join(names.select(F.col("id").alias("src"), F.col("n").alias("a"), F.col("turns").alias("x")), "src").drop("src")
+    e = e.join(names.select(F.col("id").alias("dst"), F.col("n").alias("b"), F.col("turns").alias("y")), "dst")
+    both = e.select("a", "b", F.col("x").alias("turns")).unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("y").alias("turns")))
+    return both.distinct().select("a", "b", F.lit(1).cast("long").alias("w"), "turns")
+
+
 def _moved(now: DataFrame, links: DataFrame, turn: int, two_m: int) -> DataFrame:
-    """(v, k, c) after the nodes whose turn it is chose the community around them that adds most to the modularity.
+    """(v, k, c, turns) after the nodes whose turn it is chose the community around them that adds most to the modularity.
 
     With the node taken out of its own, a community adds 2m * links into it - degree * its degrees. Whole numbers
     decide; ties go to the smallest label.
     """
     total = now.groupBy("c").agg(F.sum("k").alias("total"))
-    free = now.where(_turn(F.col("v"), turn))
-    near = links.where("a <> b").join(free.select(F.col("v").alias("a")), "a", "left_semi").join(now.select(F.col("v").alias("b"), "c"), "b")
+    turns = F.col("turns").bitwiseAND(F.lit(1 << turn).cast("long")) != 0
+    free = now.where(turns)
+    near = links.where(turns & (F.col("a") != F.col("b"))).select("a", "b", "w").join(now.select(F.col("v").alias("b"), "c"), "b")
     around = near.groupBy(F.col("a").alias("v"), "c").agg(F.sum("w").alias("w"))
     own = free.select("v", "c", F.lit(0).cast("long").alias("w"))  # it may always stay
     around = around.unionByName(own).groupBy("v", "c").agg(F.sum("w").alias("w"))
@@ -41,7 +61,7 @@ def _moved(now: DataFrame, links: DataFrame, turn: int, two_m: int) -> DataFrame
     others = F.col("total") - F.when(F.col("c") == F.col("was"), F.col("k")).otherwise(0)
     gain = F.lit(two_m).cast(EXACT) * F.col("w").cast(EXACT) - F.col("k").cast(EXACT) * others.cast(EXACT)
     best = rows.groupBy("v").agg(F.min(F.struct((-gain).alias("loss"), "c")).alias("best"))
-    return now.join(best, "v", "left").select("v", "k", F.coalesce("best.c", "c").alias("c"))
+    return now.join(best, "v", "left").select("v", "k", F.coalesce("best.c", "c").alias("c"), "turns")
 
 
 def _quality(links: DataFrame, labels: DataFrame, two_m: int):
@@ -66,13 +86,15 @@ def louvain(nodes: DataFrame, edges: DataFrame, stages: Stages, levels: int = 3,
     that adds most to the modularity; then communities become the nodes of the next level, their links added up. The level whose
     labels have the highest modularity on the first graph is returned, no level at all being one of them. Every round
     is written to the shared folder; a whole number per level reaches the driver. A community's label is one of its ids.
+    Rounds work on numbers in the order of the ids, which stand for them in ties, so no name is dealt out again.
     """
-    first = links = stages.keep(simple_links(nodes, edges))
+    names = stages.keep(_numbered(nodes, levels * rounds))
+    first = links = stages.keep(_numbered_links(names, edges))
     two_m = first.agg(F.sum("w")).first()[0] or 0
-    labels = stages.keep(nodes.select("id", F.col("id").alias("label")).distinct())
+    labels = names.select(F.col("n").alias("id"), F.col("n").alias("label"))
     best, most = labels, _quality(first, labels, two_m)
     for level in range(levels):
-        now = stages.keep(links.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k")).withColumn("c", F.col("v")))
+        now = stages.keep(links.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k"), F.max("turns").alias("turns")).select("v", "k", F.col("v").alias("c"), "turns"))
         for turn in range(rounds):
             now = stages.keep(_moved(now, links, level * rounds + turn, two_m))
         to = now.select(F.col("v").alias("label"), "c")
@@ -81,8 +103,10 @@ def louvain(nodes: DataFrame, edges: DataFrame, stages: Stages, levels: int = 3,
         if quality > most:
             best, most = labels, quality
         ends = links.join(to.select(F.col("label").alias("a"), F.col("c").alias("x")), "a").join(to.select(F.col("label").alias("b"), F.col("c").alias("y")), "b")
-        links = stages.keep(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
-    return best
+        ends = ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w"))
+        links = stages.keep(ends.join(names.select(F.col("n").alias("a"), "turns"), "a").select("a", "b", "w", "turns"))
+    best = best.join(names.select(F.col("n").alias("id"), F.col("id").alias("name")), "id").select("name", "label")
+    return best.join(names.select(F.col("n").alias("label"), F.col("id").alias("of")), "label").select(F.col("name").alias("id"), F.col("of").alias("label"))
 
 
 def merged_communities(nodes: DataFrame, labels: DataFrame, most: int = 6) -> DataFrame:
@@ -104,19 +128,13 @@ def merged_communities(nodes: DataFrame, labels: DataFrame, most: int = 6) -> Da
 def community_report(nodes: DataFrame, communities: DataFrame) -> DataFrame:
     """(community, n, label, dominant_layer, color): three names by id, cut at 40 characters; the most frequent layer.
 
-    Layers as frequent follow their fixed order. ``nodes`` is (id, name, layer). Only three names of a community and
-    one row of a layer in it meet.
+    Layers as frequent follow their fixed order. ``nodes`` is (id, name, layer). Of a task only three names of a community
+    and one row of a layer in it meet others.
     """
     rows = communities.join(nodes.select("id", basename(F.coalesce("name", "id")).alias("name"), F.coalesce("layer", F.lit("other")).alias("layer")), "id")
     nth = F.row_number().over(Window.partitionBy("community").orderBy("id"))
-    firsts = rows.groupBy("community").agg(F.min("id").alias("id"))
-    # the three smallest ids, one after another, so that no community is gathered
-    names = rows.join(firsts, ["community", "id"]).select("community", "id", "name")
-    for _ in range(2):
-        last = names.groupBy("community").agg(F.max("id").alias("last"))
-        following = rows.join(last, "community").where("id > last").groupBy("community").agg(F.min(F.struct("id", "name")).alias("x"))
-        names = names.unionByName(following.select("community", "x.id", "x.name"))
-    listed = names.withColumn("nth", nth).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda x: x["name"]), ", ").alias("label"))
+    names = rows.withColumn("nth", nth).where("nth <= 3")  # three of each leave a task, so no community is gathered
+    listed = names.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda x: x["name"]), ", ").alias("label"))
     label = F.when(F.length("label") > 40, F.concat(F.substring("label", 1, 38), F.lit("…"))).otherwise(F.col("label"))
     place = F.coalesce(*[F.when(F.col("layer") == x, i) for i, x in enumerate(LAYER_COLOURS)], F.lit(len(LAYER_COLOURS)))
     layers = rows.groupBy("community", "layer").agg(F.count("*").alias("n"))
